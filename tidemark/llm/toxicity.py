@@ -15,31 +15,65 @@ from .common import labelled_sample, remainder, small_batches
 #: Labelled documents of each class that the model learns from, at most about.
 PER_LABEL = 4000
 #: Tokens kept in the model: those whose log-odds differ from zero by this many standard errors, at most MOST.
-SIGNIFICANT, MOST = 2.5, 100_000
-#: Mass of the Dirichlet prior, and the cost of a token that tells nothing.
-PRIOR, DRIFT = 2000.0, 0.12
+SIGNIFICANT, MOST = 3.2, 100_000
+#: Lengths of the word beginnings that are tokens too: words nobody has seen are judged by how they begin.
+BEGIN = range(3, 9)
+#: Least log-odds of a beginning: shorter of one says little about its words.
+STRONG = 2.5
+#: Words whose weight a worker remembers.
+REMEMBERED = 300_000
+#: Mass of the Dirichlet prior as a share of all tokens, and the cost of a token that tells nothing.
+PRIOR, DRIFT = 0.03, 0.12
 THRESHOLD = 0.7
 _words = regex.compile(r"[\p{L}\p{M}]+").findall
 
 
-def log_odds(toxic: list[list[str]], clean: list[list[str]]) -> dict[str, float]:
+def tokens(word: str) -> list[str]:
+    """A word, and its beginnings marked by a star."""
+    return [word, *(word[:k] + "*" for k in BEGIN if k <= len(word))]
+
+
+class Weights:
+    """Weight of a word: the log-odds of whichever of its tokens differs from zero most surely; None without any."""
+
+    def __init__(self, odds: dict[str, tuple[float, float]]):
+        self.odds, self.known = odds, {}
+
+    def __call__(self, words: list[str]) -> list[float | None]:
+        known, odds = self.known, self.odds
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in set(words):
+            if w not in known:
+                best = max((odds[t] for t in tokens(w) if t in odds), default=None)
+                known[w] = None if best is None else best[1]
+        return list(map(known.__getitem__, words))
+
+    def __reduce__(self):
+        return Weights, (self.odds,)
+
+
+def log_odds(toxic: list[list[str]], clean: list[list[str]]) -> Weights:
     """Log-odds of tokens between the two sides with an informative Dirichlet prior from both together.
 
     A token counts once for each document, so that one document's repeats weigh little.
     """
-    a, b = Counter(w for d in toxic for w in set(d)), Counter(w for d in clean for w in set(d))
+    def count(side):
+        return Counter(t for d in side for t in {t for w in set(d) for t in tokens(w)})
+
+    a, b = count(toxic), count(clean)
     na, nb = sum(a.values()), sum(b.values())
     both = na + nb
     out = {}
-    for w in a.keys() | b.keys():
-        prior = PRIOR * (a[w] + b[w]) / both
-        x, y = a[w] + prior, b[w] + prior
-        odds = np.log(x / (na + PRIOR - x)) - np.log(y / (nb + PRIOR - y))
+    for t in a.keys() | b.keys():
+        prior = PRIOR * (a[t] + b[t])
+        x, y = a[t] + prior, b[t] + prior
+        odds = np.log(x / (na + PRIOR * both - x)) - np.log(y / (nb + PRIOR * both - y))
         error = np.sqrt(1 / x + 1 / y)
-        if abs(odds) > SIGNIFICANT * error:
-            out[w] = (abs(odds) / error, float(odds))
-    best = sorted(out, key=lambda w: (-out[w][0], w))[:MOST]
-    return {w: out[w][1] for w in best}
+        if abs(odds) > SIGNIFICANT * error and (t[-1] != "*" or odds > STRONG):
+            out[t] = (float(abs(odds) / error), float(odds))
+    best = sorted(out, key=lambda t: (-out[t][0], t))[:MOST]
+    return Weights({t: out[t] for t in best})
 
 
 def segments(values: list[float]) -> list[tuple[int, int, float]]:
@@ -64,13 +98,13 @@ def segments(values: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, right - left) for a, b, left, right, _ in found]
 
 
-def passages(weights: dict[str, float], text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+def passages(weights: Weights, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
     """Tokens of a text, and its maximal segments as (first token, end token, score).
 
     Tokens without weight cost DRIFT; a stretch of them is one step, so the scan follows the tokens with weight.
     """
     words = _words((text or "").lower())
-    got = list(map(weights.get, words))
+    got = weights(words)
     at = [i for i, v in enumerate(got) if v is not None]
     values, ends, last = [], [], 0
     for i in at:
@@ -83,7 +117,7 @@ def passages(weights: dict[str, float], text: str | None) -> tuple[int, list[tup
     return len(words), [(ends[a] - 1, ends[b - 1], s) for a, b, s in segments(values)]
 
 
-def summary(weights: dict[str, float], text: str | None) -> tuple[float, float]:
+def summary(weights: Weights, text: str | None) -> tuple[float, float]:
     """Best segment score less the growth with length that chance gives, and the sum of all segments alike."""
     n, found = passages(weights, text)
     chance = np.log(2 + n)
@@ -133,14 +167,23 @@ def _excess(law, best, length):
 
 
 def _logistic(z, y):
-    x, a, b = np.minimum(z, 12.0), 1.0, -2.0
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+    """Slope and base of the log-odds over the clipped excess, drawn lightly to (1, -2); steps that overshoot are halved."""
+    x = np.minimum(z, 60.0)
+
+    def loss(v):
+        m = v[0] * x + v[1]
+        return np.logaddexp(0, m).sum() - (y * m).sum() + 0.5 * ((v[0] - 1) ** 2 + (v[1] + 2) ** 2)
+
+    v = np.array([1.0, -2.0])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(v[0] * x + v[1], -30, 30)))
         g, h = p - y, p * (1 - p)
-        hess = np.array([[h @ (x * x) + 1e-2, h @ x], [h @ x, h.sum() + 1e-2]])
-        step = np.linalg.solve(hess, np.array([g @ x, g.sum()]))
-        a, b = a - step[0], b - step[1]
-    return float(max(a, 1e-3)), float(b)
+        hess = np.array([[h @ (x * x) + 1, h @ x], [h @ x, h.sum() + 1]])
+        step = np.linalg.solve(hess, np.array([g @ x + v[0] - 1, g.sum() + v[1] + 2]))
+        while loss(v - step) > loss(v) and np.abs(step).max() > 1e-6:
+            step = step / 2
+        v = v - step
+    return float(max(v[0], 1e-3)), float(v[1])
 
 
 def score(model: dict, text: str | None) -> float:
@@ -148,7 +191,7 @@ def score(model: dict, text: str | None) -> float:
     if model["weights"] is None:
         return 0.0
     best, length = summary(model["weights"], text)
-    z = float(np.minimum(_excess(model["law"], np.array(best), np.array(length)), 12.0))
+    z = float(np.minimum(_excess(model["law"], np.array(best), np.array(length)), 60.0))
     return float(1 / (1 + np.exp(-np.clip(model["slope"] * z + model["base"], -30, 30))))
 
 
@@ -177,7 +220,7 @@ def scores(docs: DataFrame, model: dict, folds: int = 3, held: int = 1) -> DataF
             model = sent.value
             texts = b.column(2).to_pylist()
             own = [score(model, t) for t in texts]
-            found = [passages(model["weights"] or {}, t)[1] if s >= THRESHOLD else [] for t, s in zip(texts, own)]
+            found = [passages(model["weights"], t)[1] if s >= THRESHOLD else [] for t, s in zip(texts, own)]
             found = [[{"first": a, "end": e, "score": s} for a, e, s in x if s > 2 * DRIFT] for x in found]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.float64()), pa.array([int(s >= THRESHOLD) for s in own], pa.int32()), pa.array(found, kind)], ["doc_id", "held_out", "score", "predicted", "passages"])
 
