@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import public_tokenizers
-import regex
 
 #: Vocabulary used unless another file is named.
 VOCABULARY = "byte_bpe_50k.json"
-#: Words whose ids a worker remembers; longer words than WORD are not remembered.
-REMEMBERED, WORD = 200_000, 48
+#: Pieces whose ids a worker remembers; longer pieces than PIECE are not remembered.
+REMEMBERED, PIECE = 400_000, 40
+#: Pieces of one text that the library gets at a time.
+JOINED = 500
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -18,11 +20,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes.
+    """Ids as little-endian unsigned 32-bit bytes, for byte-level vocabularies that put a space before its word.
 
-    The vocabulary splits a text into words before it merges bytes, so ids of a text are the ids of its
-    words in order. Words seen before are looked up, others go through the library in one batch.
-    Strings of special tokens in a text are ordinary text.
+    Such a vocabulary never merges across the start of a space between two other characters, so the ids of a
+    text are those of its pieces between spaces, each with its space. Pieces seen before are looked up. New
+    ones go through the library joined to one text, whose ids are told apart by the bytes they stand for.
+    Texts in which a space meets other white space, or an end, go through the library whole. Strings of
+    special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -31,25 +35,44 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words = regex.compile(public_tokenizers.PATTERN).findall
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        from array import array
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of each new piece with a space before it."""
+        parts = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
+        for part, ids in zip(parts, self._ids([" " + " ".join(p) for p in parts])):
+            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in part])
+            stops = (4 * (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1)).tolist()
+            data, at = ids.tobytes(), 0
+            for p, stop in zip(part, stops):
+                self.known[p] = data[at:stop]
+                at = stop
 
-        split = [self.words(x) for x in texts]
+    def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        missing = {w for words in split for w in words if w not in known}
-        batch = list(missing)
-        if batch:
-            for w, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
-                known[w] = array("I", e.ids).tobytes()
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in batch:
-            if len(w) > WORD:
-                del known[w]
+        split = [t.split(" ") for t in texts]
+        new = set().union(*split).difference(known)
+        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        whole = [i for i, s in enumerate(split) if len(s) > 1 and not odd.isdisjoint(s)] if odd else []
+        for i in whole:
+            split[i] = [""]
+        self._learn(new := list(new - odd))
+        first = self._ids([s[0] for s in split])
+        out = [f.tobytes() + b"".join(map(known.__getitem__, s[1:])) for f, s in zip(first, split)]
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
+            out[i] = ids.tobytes()
+        for p in new:
+            if len(p) > PIECE:
+                del known[p]
         return out
 
 
