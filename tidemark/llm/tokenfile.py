@@ -22,7 +22,7 @@ END = 2
 #: Longest code in bits; the decoding table has 2 ** LONGEST entries.
 LONGEST = 16
 #: Tokens between bit-offset checkpoints, and tokens after which a block ends with its document.
-STEP, BLOCK = 256, 1 << 17
+STEP, BLOCK = 96, 1 << 17
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -137,15 +137,23 @@ def _plain(data: bytes, n: int) -> np.ndarray:
 
 
 def _count(batches):
-    total = np.zeros(0, dtype=np.int64)
+    """How often each id occurs, gathered over stretches of a million ids."""
+    total, held, size = np.zeros(0, dtype=np.int64), [], 0
+
+    def add():
+        nonlocal total, held, size
+        own = np.bincount(np.concatenate(held), minlength=len(total))
+        own[: len(total)] += total
+        total, held, size = own, [], 0
+
     for b in batches:
         for data, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            own = np.bincount(_plain(data, n))
-            if len(own) > len(total):
-                own[: len(total)] += total
-                total = own
-            else:
-                total[: len(own)] += own
+            held.append(_plain(data, n))
+            size += n
+            if size > 1_000_000:
+                add()
+    if held:
+        add()
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used].astype(np.int64))], ["id", "n"])
 
@@ -178,7 +186,7 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", path: str | N
             first = start + np.cumsum(n) - n
             cols = [[part], [number], [[x[0] for x in held]], [first], [n], [offsets[::STEP]], [data]]
             number, start = number + 1, start + len(all_ids)
-            kinds = [pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 4, pa.binary()]
+            kinds = [pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["part", "block", "doc_ids", "starts", "counts", "checkpoints", "bits"])
 
         part = None
@@ -197,7 +205,7 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", path: str | N
             yield block(part)
 
 
-    schema = "part int, block int, doc_ids array<long>, starts array<long>, counts array<long>, checkpoints array<long>, bits binary"
+    schema = "part int, block int, doc_ids array<long>, starts array<long>, counts array<long>, checkpoints array<int>, bits binary"
     ids.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     release(ids)
 

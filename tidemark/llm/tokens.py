@@ -11,6 +11,8 @@ import public_tokenizers
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces whose ids a worker remembers; longer pieces than PIECE are not remembered.
 REMEMBERED, PIECE = 400_000, 40
+#: Marks that end a piece after a letter and are then tokens of their own.
+MARKS = ".,!?;:%&*#$|"
 #: Pieces of one text that the library gets at a time.
 JOINED = 500
 
@@ -39,40 +41,65 @@ class Encoder:
         self.bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.bytes[i] = len(token)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str | None, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Ids of each new piece with a space before it."""
-        parts = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
+        """Ids of each new piece with a space before it; marks behind its last letter are looked up apart."""
+        known, tails, need = self.known, [], set()
+        for p in new:
+            stem = p.rstrip(MARKS)
+            if stem is not p and stem[-1:].isalpha():
+                tails.append((p, stem))
+                if stem not in known:
+                    need.add(stem)
+            else:
+                need.add(p)
+        need = list(need)
+        parts = [need[i : i + JOINED] for i in range(0, len(need), JOINED)]
         for part, ids in zip(parts, self._ids([" " + " ".join(p) for p in parts])):
             ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in part])
             stops = (4 * (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1)).tolist()
-            data, at = ids.tobytes(), 0
-            for p, stop in zip(part, stops):
-                self.known[p] = data[at:stop]
-                at = stop
+            data = ids.tobytes()
+            known.update(zip(part, (data[a:b] for a, b in zip([0, *stops], stops))))
+        for p, stem in tails:
+            mark = p[len(stem) :]
+            if mark not in self.marks:
+                self.marks[mark] = self._ids([mark])[0].tobytes()
+            known[p] = known[stem] + self.marks[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
+            self.marks.clear()
         split = [t.split(" ") for t in texts]
-        new = set().union(*split).difference(known)
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        whole = [i for i, s in enumerate(split) if len(s) > 1 and not odd.isdisjoint(s)] if odd else []
-        for i in whole:
-            split[i] = [""]
-        self._learn(new := list(new - odd))
         first = self._ids([s[0] for s in split])
-        out = [f.tobytes() + b"".join(map(known.__getitem__, s[1:])) for f, s in zip(first, split)]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids.tobytes()
+        for s in split:
+            s[0] = None
+        known[None] = b""
+        found = [list(map(known.get, s)) for s in split]
+        gaps = [[i for i, v in enumerate(f) if v is None] if None in f else [] for f in found]
+        new = {s[i] for s, g in zip(split, gaps) for i in g}
+        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        self._learn(list(new - odd))
+        out, whole = [], []
+        for n, (head, s, f, g) in enumerate(zip(first, split, found, gaps)):
+            if odd and not odd.isdisjoint(s[i] for i in g) or len(s) > 1 and texts[n][: texts[n].index(" ")][-1:].isspace():
+                whole.append(n)
+                out.append(b"")
+                continue
+            for i in g:
+                f[i] = known[s[i]]
+            out.append(head.tobytes() + b"".join(f))
+        for n, ids in zip(whole, self._ids([texts[n] for n in whole])):
+            out[n] = ids.tobytes()
         for p in new:
             if len(p) > PIECE:
-                del known[p]
+                known.pop(p, None)
         return out
 
 
