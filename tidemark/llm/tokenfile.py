@@ -80,37 +80,31 @@ def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tupl
     return words.astype(">u4").tobytes()[: (total + 7) // 8], starts
 
 
-def decoding_table(lengths: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """Bits that a look-up takes, and for each value of them the symbol and the length of its code."""
+def decoding_table(lengths: np.ndarray) -> tuple[int, np.ndarray]:
+    """Bits that a look-up takes, and for each value of them the symbol with the length of its code in the top byte."""
     longest = max(1, int(lengths.max(initial=0)))
-    codes = canonical(lengths)
-    symbol, size = np.zeros(1 << longest, dtype=np.uint32), np.ones(1 << longest, dtype=np.int64)
+    table = np.full(1 << longest, 1 << 24, dtype=np.uint32)
     used = np.flatnonzero(lengths)
     used = used[np.lexsort((used, lengths[used]))]
     spans = np.int64(1) << (longest - lengths[used].astype(np.int64))
-    end = int(spans.sum())
-    symbol[:end], size[:end] = np.repeat(used.astype(np.uint32), spans), np.repeat(lengths[used].astype(np.int64), spans)
-    assert not len(used) or int(codes[used[0]]) == 0
-    return longest, symbol, size
+    table[: int(spans.sum())] = np.repeat((used | lengths[used].astype(np.int64) << 24).astype(np.uint32), spans)
+    return longest, table
 
 
 def decode_bits(data: bytes, count: int, checkpoints: np.ndarray, table, step: int = STEP) -> np.ndarray:
     """count ids of a stream, all stretches between checkpoints at once, one look-up each at a time."""
-    longest, symbol, size = table
-    raw = np.frombuffer(data + b"\0" * 8, dtype=np.uint8).astype(np.uint64)
-    at = checkpoints.astype(np.int64).copy()
-    out = np.zeros((len(at), step), dtype=np.uint32)
-    mask = np.uint64((1 << longest) - 1)
-    last = len(data)
-    for i in range(min(step, count)):
-        byte = np.minimum(at >> 3, last)
-        value = raw[byte] << np.uint64(32)
-        for k in range(1, 5):
-            value |= raw[byte + k] << np.uint64(32 - 8 * k)
-        value = (value >> (np.uint64(40 - longest) - (at & 7).astype(np.uint64))) & mask
-        out[:, i] = symbol[value]
-        at += size[value]
-    return out.ravel()[:count] if len(at) else np.zeros(0, dtype=np.uint32)
+    longest, entries = table
+    raw = np.frombuffer(data + bytes(8), dtype=np.uint8).astype(np.uint32)
+    near = raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
+    at, last = checkpoints.astype(np.int64), len(near) - 1
+    rows = min(step, count)
+    out = np.zeros((rows, len(at)), dtype=np.uint32)
+    mask, drop = np.uint32((1 << longest) - 1), 32 - longest
+    for i in range(rows):
+        value = entries[near[np.minimum(at >> 3, last)] >> (drop - (at & 7)).astype(np.uint32) & mask]
+        out[i] = value
+        at = at + (value >> np.uint32(24))
+    return (out.T.ravel() & np.uint32(0xFFFFFF))[:count]
 
 
 def token_ids(docs: DataFrame, text: str, path: str, end: int) -> DataFrame:

@@ -10,7 +10,7 @@ import public_tokenizers
 #: Vocabulary used unless another file is named.
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces whose ids a worker remembers; longer pieces than PIECE are not remembered.
-REMEMBERED, PIECE = 400_000, 40
+REMEMBERED, PIECE = 900_000, 16
 #: Marks that end a piece after a letter and are then tokens of their own.
 MARKS = ".,!?;:%&*#$|"
 #: Pieces of one text that the library gets at a time.
