@@ -108,55 +108,43 @@ def decode_bits(data: bytes, count: int, checkpoints: np.ndarray, table, step: i
 
 
 def token_ids(docs: DataFrame, text: str, path: str, end: int) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian, 16 bits if the vocabulary allows, else 32) in ascending doc_id within and over parts."""
+    """doc_id, part, n_tokens and ids (16 bits if the vocabulary allows, else 32) in ascending doc_id within and over parts.
+
+    Each task adds a row of its own at its end: only counts, how often each id occurred in its documents.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     src = src.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    names, kinds = ["doc_id", "part", "n_tokens", "ids", "counts"], [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches):
         own = encoder(path)
-        small = own.tokenizer.get_vocab_size() <= 1 << 16
+        size = own.tokenizer.get_vocab_size()
+        kind, last, total = "<u2" if size <= 1 << 16 else "<u4", np.array([end], dtype="<u4").tobytes(), np.zeros(max(size, end + 1), dtype=np.int64)
         for b in batches:
-            ids = [np.append(np.frombuffer(x, dtype="<u4"), np.uint32(end)) for x in own.encode(b.column(1).to_pylist())]
-            data = [(x.astype("<u2") if small else x).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) for x in ids], pa.int64()), pa.array(data, pa.binary())], ["doc_id", "part", "n_tokens", "ids"])
+            ids = [x + last for x in own.encode(b.column(1).to_pylist())]
+            total += np.bincount(np.frombuffer(b"".join(ids), dtype="<u4"), minlength=len(total))
+            data = [np.frombuffer(x, dtype="<u4").astype(kind).tobytes() for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(data, kinds[3]), pa.nulls(len(ids), kinds[4])], names)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:4]), pa.array([total], kinds[4])], names)
 
-    return src.mapInArrow(run, "doc_id long, part int, n_tokens long, ids binary")
+    return src.mapInArrow(run, "doc_id long, part int, n_tokens long, ids binary, counts array<long>")
 
 
 def _plain(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, dtype="<u2" if len(data) == 2 * n else "<u4")
 
 
-def _count(batches):
-    """How often each id occurs, gathered over stretches of a million ids."""
-    total, held, size = np.zeros(0, dtype=np.int64), [], 0
-
-    def add():
-        nonlocal total, held, size
-        own = np.bincount(np.concatenate(held), minlength=len(total))
-        own[: len(total)] += total
-        total, held, size = own, [], 0
-
-    for b in batches:
-        for data, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held.append(_plain(data, n))
-            size += n
-            if size > 1_000_000:
-                add()
-    if held:
-        add()
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used].astype(np.int64))], ["id", "n"])
-
-
 def write_tokens(docs: DataFrame, folder: str, text: str = "text", path: str | None = None, end: int = END) -> None:
     """Write the file set for docs (null text: empty; rows without an id first; repeated ids in any order) to folder."""
     spark = docs.sparkSession
-    ids = cut(token_ids(docs, text, path or vocabulary_path(), end), "token-ids")
-    counted = ids.select("ids", "n_tokens").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    ids = table = cut(token_ids(docs, text, path or vocabulary_path(), end), "token-ids")
+    counted = ids.filter("counts is not null").select(F.posexplode("counts").alias("id", "n")).filter("n > 0")
+    counted = counted.groupBy("id").agg(F.sum("n").alias("n")).collect()
+    ids = ids.filter("counts is null").drop("counts")
     counts = np.zeros(max((r["id"] for r in counted), default=0) + 1, dtype=np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
@@ -185,7 +173,7 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", path: str | N
 
         part = None
         for b in batches:
-            for doc, at, n, data in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, at, n, data in zip(*(c.to_pylist() for c in b.columns[:4])):
                 if at != part:
                     if held:
                         yield block(part)
@@ -201,7 +189,7 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", path: str | N
 
     schema = "part int, block int, doc_ids array<long>, starts array<long>, counts array<long>, checkpoints array<int>, bits binary"
     ids.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
-    release(ids)
+    release(table)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
