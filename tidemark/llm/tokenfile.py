@@ -66,12 +66,13 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bit stream of ids, and the bit offset of each."""
-    size = lengths[ids].astype(np.int64)
+    top = codes << (np.uint64(64) - np.maximum(lengths, 1).astype(np.uint64))
+    size = lengths.astype(np.int64)[ids]
     ends = np.cumsum(size)
     starts = ends - size
     total = int(ends[-1]) if len(ids) else 0
-    word, within = starts >> 5, (starts & 31).astype(np.uint64)
-    wide = codes[ids] << (np.uint64(64) - within - size.astype(np.uint64))
+    word = starts >> 5
+    wide = top[ids] >> (starts & 31).view(np.uint64)
     words = np.zeros((total + 31) // 32 + 2, dtype=np.uint64)
     if len(ids):
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
@@ -138,11 +139,21 @@ def _plain(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, dtype="<u2" if len(data) == 2 * n else "<u4")
 
 
+def _added(batches):
+    """The sum of the tasks' counts, as rows of the ids that occur."""
+    total = np.zeros(0, dtype=np.int64)
+    for b in batches:
+        for x in b.column(0):
+            total = x.values.to_numpy() + (total if len(total) else 0)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "n"])
+
+
 def write_tokens(docs: DataFrame, folder: str, text: str = "text", path: str | None = None, end: int = END) -> None:
     """Write the file set for docs (null text: empty; rows without an id first; repeated ids in any order) to folder."""
     spark = docs.sparkSession
     ids = table = cut(token_ids(docs, text, path or vocabulary_path(), end), "token-ids")
-    counted = ids.filter("counts is not null").select(F.posexplode("counts").alias("id", "n")).filter("n > 0")
+    counted = ids.filter("counts is not null").select("counts").mapInArrow(_added, "id long, n long")
     counted = counted.groupBy("id").agg(F.sum("n").alias("n")).collect()
     ids = ids.filter("counts is null").drop("counts")
     counts = np.zeros(max((r["id"] for r in counted), default=0) + 1, dtype=np.int64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 import numpy as np
@@ -72,6 +73,14 @@ class Encoder:
             known[p] = known[stem] + self.marks[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Nothing here makes cycles, so the collector need not walk what is remembered."""
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
