@@ -14,8 +14,9 @@ from .common import labelled_sample, remainder, small_batches
 
 #: Labelled documents of each class that the model learns from, at most about.
 PER_LABEL = 4000
-#: Tokens kept in the model: those whose log-odds differ from zero by this many standard errors, at most MOST.
-SIGNIFICANT, MOST = 3.2, 100_000
+#: Tokens kept in the model: those whose log-odds differ from zero by this many standard errors, the surest
+#: first, no more than ten and one for each EVIDENCE toxic documents.
+SIGNIFICANT, EVIDENCE = 3.0, 3
 #: Lengths of the word beginnings that are tokens too: words nobody has seen are judged by how they begin.
 BEGIN = range(3, 9)
 #: Least log-odds of a beginning: shorter of one says little about its words.
@@ -72,7 +73,7 @@ def log_odds(toxic: list[list[str]], clean: list[list[str]]) -> Weights:
         error = np.sqrt(1 / x + 1 / y)
         if abs(odds) > SIGNIFICANT * error and (t[-1] != "*" or odds > STRONG):
             out[t] = (float(abs(odds) / error), float(odds))
-    best = sorted(out, key=lambda t: (-out[t][0], t))[:MOST]
+    best = sorted(out, key=lambda t: (-out[t][0], t))[: 10 + len(toxic) // EVIDENCE]
     return Weights({t: out[t] for t in best})
 
 
