@@ -50,8 +50,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def text_of(docs: DataFrame, text: str = "text") -> Column:
-    return F.coalesce(docs[text], F.lit(""))
+def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named by their place, so that no name can clash, and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
 def join_spread(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread: Column) -> DataFrame:

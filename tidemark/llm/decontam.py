@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, positional, small_batches
 
 WINDOW = 10
 #: Bytes of benchmark text whose tables one task holds; a larger benchmark is searched block after block.
@@ -169,6 +169,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lim
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a window of the benchmark, columns unchanged."""
-    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    found = marked(plain, benchmark, text=f"c{docs.columns.index('text')}", keep_text=True)
+    plain, names = positional(docs)
+    found = marked(plain, benchmark, text=names["text"], keep_text=True)
     return found.filter(F.size("spans") == 0).select(*plain.columns).toDF(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, cut, join_spread, release
+from .common import HOT_KEYS, cut, join_spread, positional, release
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Up to so many repeated hashes (of 16 bytes) are broadcast to find the texts to compare; beyond, they are joined by shuffle.
@@ -82,9 +82,9 @@ def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
     act = cut(act.withColumnsRenamed({"doc_id": "exact_id", "text_sha256": "exact_sha"}), "exact-act")
     if act.count() <= BROADCAST_HASHES:
         act = F.broadcast(act)
-    tag = F.sha2(normalised(F.col(text)).cast("binary"), 256)
-    marked = docs.withColumn("exact_tag", tag)
-    marked = marked.join(act, (F.col("exact_tag") == F.col("exact_sha")) & docs["doc_id"].eqNullSafe(F.col("exact_id")), "left")
-    single = marked.filter(F.col("exact_kept").isNull()).select(*docs.columns)
-    again = marked.filter("exact_kept").dropDuplicates(["doc_id", "exact_tag"]).select(*docs.columns)
-    return single.unionByName(again)
+    plain, names = positional(docs)
+    marked = plain.withColumn("exact_tag", F.sha2(normalised(F.col(names[text])).cast("binary"), 256))
+    marked = marked.join(act, (F.col("exact_tag") == F.col("exact_sha")) & F.col(names["doc_id"]).eqNullSafe(F.col("exact_id")), "left")
+    single = marked.filter(F.col("exact_kept").isNull()).select(*plain.columns)
+    again = marked.filter("exact_kept").dropDuplicates([names["doc_id"], "exact_tag"]).select(*plain.columns)
+    return single.unionByName(again).toDF(*docs.columns)

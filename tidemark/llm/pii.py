@@ -78,8 +78,9 @@ def _proposals(text: Column, pattern: str) -> Column:
 
     The gaps that a split leaves alternate with the matches, so running sums of both lengths give the places.
     """
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+    pairs = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h))
     starts = _running(pairs)
     return F.transform(
         F.arrays_zip(hits.alias("hit"), gaps.alias("gap"), starts.alias("base")),

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, remainder, small_batches
+from .common import labelled_sample, positional, remainder, small_batches
 from .features import SLICE, char_grams, code_points, word_grams
 
 #: Labelled documents of each class that the model learns from, at most about.
@@ -115,12 +115,12 @@ def scores(docs: DataFrame, model: dict, folds: int = 5, held: int = 0) -> DataF
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def with_score(docs: DataFrame, model: dict, name: str) -> DataFrame:
+def with_score(docs: DataFrame, model: dict, name: str, text: str = "text") -> DataFrame:
     """docs and a column with the score of its text."""
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at = docs.columns.index(text)
 
     def run(batches):
         for b in batches:
@@ -139,5 +139,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the classifier rejects, columns unchanged."""
-    scored = with_score(docs, learn(docs, labels), "quality_score")
-    return scored.filter(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    plain, names = positional(docs)
+    scored = with_score(plain, learn(docs, labels), "quality_score", names["text"])
+    return scored.filter(F.col("quality_score") >= THRESHOLD).select(*plain.columns).toDF(*docs.columns)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, cut, join_spread, release, small_batches
+from .common import HOT_KEYS, cut, join_spread, positional, release, small_batches
 
 BITS = 64
 #: Most differing bits of two linked fingerprints.
@@ -264,7 +264,8 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     act = cut(act.withColumnRenamed("doc_id", "simhash_id"), "simhash-act")
     if act.count() <= BROADCAST_IDS:
         act = F.broadcast(act)
-    marked = docs.join(act, docs["doc_id"].eqNullSafe(F.col("simhash_id")), "left")
-    single = marked.filter(F.col("simhash_kept").isNull()).select(*docs.columns)
-    again = marked.filter("simhash_kept").dropDuplicates(["simhash_id"]).select(*docs.columns)
-    return single.unionByName(again)
+    plain, names = positional(docs)
+    marked = plain.join(act, F.col(names["doc_id"]).eqNullSafe(F.col("simhash_id")), "left")
+    single = marked.filter(F.col("simhash_kept").isNull()).select(*plain.columns)
+    again = marked.filter("simhash_kept").dropDuplicates(["simhash_id"]).select(*plain.columns)
+    return single.unionByName(again).toDF(*docs.columns)
