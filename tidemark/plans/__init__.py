@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("timeline",)
+FAMILIES = ("timeline", "totals")
 
 
 def all_queries() -> dict:
