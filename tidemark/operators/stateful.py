@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ def batch(df: DataFrame, by: str, cols: list[str], step: Step, start: tuple, sch
     """Run a step over each key's rows in order."""
     names = [f.split()[0] for f in schema.split(", ")]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         state, out = start, []
         for row in pdf.sort_values(order, kind="stable")[cols].itertuples(index=False, name=None):
             state, rows = step(state, row)
