@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import os
+from itertools import compress, islice
+from operator import not_
 
 import numpy as np
 import public_tokenizers
@@ -52,6 +54,9 @@ class Encoder:
         """Ids of each new piece with a space before it; marks behind its last letter are looked up apart."""
         known, tails, need = self.known, [], set()
         for p in new:
+            if p.isalpha():
+                need.add(p)
+                continue
             stem = p.rstrip(MARKS)
             if stem is not p and stem[-1:].isalpha():
                 tails.append((p, stem))
@@ -91,10 +96,10 @@ class Encoder:
             s[0] = None
         known[None] = b""
         found = [list(map(known.get, s)) for s in split]
-        gaps = [[i for i, v in enumerate(f) if v is None] if None in f else [] for f in found]
-        new = {s[i] for s, g in zip(split, gaps) for i in g}
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        self._learn(list(new - odd))
+        gaps = [list(compress(range(1, len(f)), map(not_, islice(f, 1, None)))) for f in found]
+        new = set().union(*(map(s.__getitem__, g) for s, g in zip(split, gaps)))
+        odd = {p for p in new if not p.isalpha() and (not p or p[0].isspace() or p[-1].isspace())}
+        self._learn(list(new - odd) if odd else list(new))
         out, whole = [], []
         for n, (head, s, f, g) in enumerate(zip(first, split, found, gaps)):
             if odd and not odd.isdisjoint(s[i] for i in g) or len(s) > 1 and texts[n][: texts[n].index(" ")][-1:].isspace():
