@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import conv, geo, text, times
-from tidemark.operators import aggregate, graph, search, spatial, stateful, tables
+from tidemark.functions.hours import week_ranges
+from tidemark.operators import aggregate, graph, search, spatial, stateful, tables, tracks
 from tidemark.operators import timeseries as ts
 from tidemark.sources import html, ulog
+from tidemark.streaming import windows
 
 
 def one(spark, column):
@@ -154,3 +156,33 @@ def test_html_tables(spark):
     page = "<h2>Town  A</h2><table><tr><th>road</th><td>x<br>y</td></tr><tr><td>1 &amp; 2</td></tr></table>"
     got = html.tables(spark.createDataFrame([(1, page), (2, None), (3, "<p>none")], "id long, html string"), "id", "html").collect()
     assert [tuple(r) for r in got] == [(1, 0, 0, "Town A", ["road", "x | y"]), (1, 0, 1, "Town A", ["1 & 2"])]
+
+
+def test_opening_hours():
+    assert week_ranges("24/7") == [(0, 10080)]
+    assert week_ranges("Mo-Fr 09:00-17:00; We off")[:3] == [(540, 1020), (1980, 2460), (4860, 5340)]
+    assert week_ranges("Su 22:00-02:00") == [(0, 120), (9960, 10080)]
+    assert week_ranges("Mo 08:00-12:00,12:00-14:00; PH off") == [(480, 840)]
+    assert week_ranges("Sa-Mo 10:00-11:00") == [(600, 660), (7800, 7860), (9240, 9300)]
+    assert week_ranges("off") == [] and week_ranges("Mo off") is None and week_ranges("by appointment") is None and week_ranges(None) is None
+
+
+def test_tracks(spark):
+    line = spark.createDataFrame([(1, i, float(i), y) for i, y in enumerate([0.0, 0.1, 0.0, 5.0, 0.0])], "l int, i int, x double, y double")
+    assert sorted(r["i"] for r in tracks.simplify(line, "l", "i", "x", "y", 1.0).collect()) == [0, 2, 3, 4]
+    pairs = spark.createDataFrame([(1, 1, 7, 5.0), (1, 1, 8, 1.0), (1, 2, 8, 0.5), (1, 2, 9, 3.0)], "k int, t int, p int, d double")
+    assert {tuple(r) for r in tracks.assign_once(pairs, "k", "t", "p", "d", 1).collect()} == {(1, 1, 8), (1, 2, 9)}
+    docs = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "z"), (4, "c", "z"), (5, "d", None)], "id long, a string, b string")
+    got = {tuple(r) for r in tracks.staged_groups(docs, "id", [("a", F.col("a")), ("b", F.col("b"))]).collect()}
+    assert got == {(1, "a", 1), (2, "a", 1), (3, "b", 3), (4, "b", 3), (5, "single", 5)}
+
+
+def test_streamed_windows_equal_batch(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:{i:02d}:00") for i in range(0, 50, 3)] + [(99, "2024-01-02 12:00:00")]
+    df = spark.createDataFrame(rows, "id long, s string").select("id", F.col("s").cast("timestamp").alias("ts"))
+    df.write.parquet(f"{tmp_path}/in")
+    of = lambda d: windows.tumbling(d, "ts", [], "10 minutes", "1 minute", F.count("*").alias("n")).select(F.col("window.start").alias("w"), "n")
+    windows.run_available(of(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/run")
+    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/run/out").collect()}
+    want = {tuple(r) for r in of(df).collect()}
+    assert got <= want and len(want) - len(got) <= 1

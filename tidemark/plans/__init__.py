@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("timeline", "totals", "words", "places", "machines")
+FAMILIES = ("timeline", "totals", "words", "places", "machines", "tracks")
 
 
 def all_queries() -> dict:
