@@ -260,6 +260,21 @@ def test_language_id(spark, corpus, odd, none):
     assert langid.identify(none).collect() == []
 
 
+def test_document_frequencies_cover_all_texts(spark, corpus, odd, none):
+    import numpy as np
+
+    for docs in (corpus[0], odd, none):
+        df, total = langid.frequencies(docs)
+        want, n = np.zeros(1 << langid.BITS), 0
+        for r in docs.select("text").collect():
+            if r["text"] and any(c.isalpha() for c in r["text"]):
+                n += 1
+                for at in range(0, len(r["text"]), 1 << 20):
+                    assert at == 0  # longer texts would need the union of their slices
+                    want[np.unique(langid.grams(r["text"]))] += 1
+        assert total == n and (df == want).all()
+
+
 def test_quality(spark, corpus, odd, none):
     docs, labels = corpus
     model = quality.learn(docs, labels)

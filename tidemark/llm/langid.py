@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import labelled_sample, remainder, small_batches
 from .features import SLICE, char_grams, code_points
 
-#: Documents of each language that the model learns from, at most about; the rest of the method sees all rows.
+#: Documents of each language that the regression learns from, at most about; document frequencies come from all.
 PER_LANGUAGE = 1500
 SIZES, BITS = (1, 2, 3), 18
 UNKNOWN = "und"
@@ -65,16 +68,52 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def fit(texts: list[str], labels: list[str], epochs: int = 2) -> dict:
-    """classes, table (bucket to weights times IDF), bias and temperature; every fifth text only calibrates."""
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """How many texts of docs hold each bucket, and how many texts have a letter.
+
+    Each task sends one packed vector; vectors are added in square-root many tasks and then in one, so no
+    task reads more than the square root of their number, and the driver gets one.
+    """
+    small_batches(docs.sparkSession)
+    size = (1 << BITS) + 1
+
+    def count(batches):
+        df, held = np.zeros(size, dtype=np.int64), np.zeros(1 << BITS, dtype=bool)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                if not text or not _letter(text):
+                    continue
+                df[-1] += 1
+                for at in range(0, len(text), SLICE):
+                    held[grams(text[at : at + SLICE])] = True
+                own = np.flatnonzero(held)
+                df[own] += 1
+                held[own] = False
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(df.tobytes(), 1)])], ["df"])
+
+    def add(batches):
+        df = np.zeros(size, dtype=np.int64)
+        for b in batches:
+            for x in b.column(0):
+                df += np.frombuffer(zlib.decompress(x.as_py()), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(df.tobytes(), 1)])], ["df"])
+
+    src = docs.select("text")
+    some = src.mapInArrow(count, "df binary").repartition(max(1, math.isqrt(src.rdd.getNumPartitions())))
+    df = np.frombuffer(zlib.decompress(some.mapInArrow(add, "df binary").repartition(1).mapInArrow(add, "df binary").first()["df"]), dtype=np.int64)
+    return df[:-1], int(df[-1])
+
+
+def fit(texts: list[str], labels: list[str], df: np.ndarray, total: int, epochs: int = 2) -> dict:
+    """classes, table (bucket to weights times IDF), bias and temperature; every fifth text only calibrates.
+
+    df and total: how many of all texts to learn from hold each bucket, and how many there are.
+    """
     classes = sorted(set(labels))
     y = np.array([classes.index(x) for x in labels])
     docs = [np.unique(grams(t), return_counts=True) for t in texts]
     own = [i for i in range(len(docs)) if i % 5 or len(docs) < 20]
-    df = np.zeros(1 << BITS)
-    for i in own:
-        df[docs[i][0]] += 1
-    idf = np.log((1 + len(own)) / (1 + df)) + 1
+    idf = np.log((1 + total) / (1 + df)) + 1
     idf[df == 0] = 0  # an n-gram never seen has no say
     scaled = [(b, 10 * c / c.sum() * idf[b]) for b, c in docs]
     model, bias = Ftrl(1 << BITS, len(classes)), 1 << BITS
@@ -108,13 +147,16 @@ def score(model: dict, text: str | None) -> tuple[str, float]:
 
 
 def learn(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = PER_LANGUAGE) -> dict:
-    """Fit on a bounded sample of the documents outside the held-out fold that have a language."""
-    own = docs.filter(F.coalesce(remainder(docs["doc_id"], folds) != held, F.lit(False)))
+    """Fit on a bounded sample of the documents outside the held-out fold that have a language.
+
+    The inverse document frequencies are those of all of them.
+    """
+    own = docs.filter(F.coalesce(remainder(docs["doc_id"], folds) != held, F.lit(False)) & F.col("lang").isNotNull())
     frame, _ = labelled_sample(docs.select("doc_id", "text"), own.select("doc_id", "lang"), "lang", per_language)
     frame = frame[[bool(_letter(t)) for t in frame["text"]]]
     if frame.empty:
         return {"classes": [], "table": None, "bias": None, "temperature": 1.0}
-    return fit(frame["text"].tolist(), frame["y"].tolist())
+    return fit(frame["text"].tolist(), frame["y"].tolist(), *frequencies(own))
 
 
 def predict(docs: DataFrame, model: dict, folds: int = 4, held: int = 2) -> DataFrame:
