@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: A step: state and row in, state and output rows out. State is a flat tuple.
@@ -14,17 +19,29 @@ Step = Callable[[tuple, tuple], tuple[tuple, list[tuple]]]
 
 
 def batch(df: DataFrame, by: str, cols: list[str], step: Step, start: tuple, schema: str, order: list[str]) -> DataFrame:
-    """Run a step over each key's rows in order."""
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = start, []
-        for row in pdf.sort_values(order, kind="stable")[cols].itertuples(index=False, name=None):
-            state, rows = step(state, row)
-            out += [(key[0], *r) for r in rows]
-        return pd.DataFrame(out, columns=names)
-
-    return df.select(by, *dict.fromkeys([*cols, *order])).groupBy(by).applyInPandas(run, schema)
+    """Run a step over each key's rows in order.
+
+    Keys are walked in sorted partitions, so a key of any length needs no more memory than its state. Missing
+    numbers reach the step as NaN, other missing values as None; rows without an order come last.
+    """
+    kinds = T.StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(kinds)
+        now, state, first = None, start, True
+        for b in batches:
+            columns = [c.fill_null(math.nan) if pa.types.is_floating(c.type) else c for c in b.columns]
+            out = []
+            for key, *row in zip(*(c.to_pylist() for c in columns)):
+                if first or key != now:
+                    now, state, first = key, start, False
+                state, rows = step(state, tuple(row))
+                out += [(key, *r) for r in rows]
+            names = arrow.names
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)] if out else [pa.array([], f.type) for f in arrow], names)
+
+    own = df.repartition(by).sortWithinPartitions(by, *(F.col(c).asc_nulls_last() for c in order))
+    return own.select(by, *cols).mapInArrow(run, kinds)
 
 
 def stream(df: DataFrame, by: str, cols: list[str], step: Step, start: tuple, schema: str, state_schema: str, order: list[str]) -> DataFrame:
@@ -118,8 +135,6 @@ def trips(parked_us: int = 300_000_000, moving: int = 2) -> Step:
 
 def ewma(tau_us: int) -> Step:
     """Exponentially weighted mean of rows (id, t, value) with time constant tau."""
-    import math
-
     def step(state, row):
         t, mean = state
         if t is None:
@@ -129,3 +144,59 @@ def ewma(tau_us: int) -> Step:
         return (row[1], mean), [(row[0], mean)]
 
     return step
+
+
+def kalman(drift: float, noise: float, unit_us: int) -> Step:
+    """Local level of rows (id, t, value): its variance grows by drift each unit, a reading has variance noise."""
+    def step(state, row):
+        t, level, spread = state
+        if t is None:
+            return (row[1], row[2], noise), [(row[0], row[2], noise)]
+        spread = spread + drift * ((row[1] - t) / unit_us)
+        gain = spread / (spread + noise)
+        level = level + gain * (row[2] - level)
+        spread = (1 - gain) * spread
+        return (row[1], level, spread), [(row[0], level, spread)]
+
+    return step
+
+
+def particles(count: int, drift: float, noise: float, unit_us: int) -> Step:
+    """The same level by a bootstrap filter of count particles: systematic resampling below half the effective size.
+
+    Chance is drawn from each row's id, so repeated runs, batches and streams agree. State: time, levels, weights.
+    """
+    def step(state, row):
+        rng = np.random.default_rng(row[0])
+        if state[0] is None:
+            x = row[2] + np.sqrt(noise) * rng.standard_normal(count)
+            w = np.full(count, 1 / count)
+        else:
+            x = np.array(state[1]) + np.sqrt(drift * (row[1] - state[0]) / unit_us) * rng.standard_normal(count)
+            v = np.log(np.array(state[2])) - (row[2] - x) ** 2 / (2 * noise)
+            w = np.exp(v - v.max()) + 1e-300
+            w /= w.sum()
+            if 1 / (w @ w) < count / 2:
+                at = np.searchsorted(np.cumsum(w), (rng.random() + np.arange(count)) / count)
+                x, w = x[np.minimum(at, count - 1)], np.full(count, 1 / count)
+        return (row[1], x.tolist(), w.tolist()), [(row[0], float(w @ x))]
+
+    return step
+
+
+def held_limit(hold_us: int) -> Step:
+    """Rows (id, t, value) where the shown value changes: a new one shows after it held so long, a return cancels it."""
+    def step(state, row):
+        shown, wish, since = state
+        _, t, value = row
+        if shown is None:
+            return (value, None, None), [(row[0], value)]
+        if value == shown:
+            return (shown, None, None), []
+        if value != wish:
+            return (shown, value, t), []
+        if t - since >= hold_us:
+            return (value, None, None), [(row[0], value)]
+        return state, []
+
+    return step
