@@ -186,3 +186,65 @@ def test_streamed_windows_equal_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/run/out").collect()}
     want = {tuple(r) for r in of(df).collect()}
     assert got <= want and len(want) - len(got) <= 1
+
+
+def test_level_filters(spark):
+    rng = random.Random(3)
+    rows, level = [], 0.0
+    for i in range(300):
+        level += rng.gauss(0, 1)
+        rows.append((i % 2, i, i * 1000, level + rng.gauss(0, 3)))
+    df = spark.createDataFrame(rows, "k int, id long, t long, value double")
+    exact = {r["id"]: r["level"] for r in stateful.batch(df, "k", ["id", "t", "value"], stateful.kalman(0.5, 9.0, 1000), (None, 0.0, 0.0), "k int, id long, level double, spread double", ["t"]).collect()}
+    near = {r["id"]: r["level"] for r in stateful.batch(df, "k", ["id", "t", "value"], stateful.particles(2000, 0.5, 9.0, 1000), (None, None, None), "k int, id long, level double", ["t"]).collect()}
+    assert len(exact) == len(near) == 300
+    assert sum(abs(exact[i] - near[i]) for i in exact) / 300 < 0.2
+
+
+def test_state_machines_meet_missing_values(spark):
+    df = spark.createDataFrame([(None, 1, 90.0), (1, 2, None), (1, 3, 90.0), (1, 4, None), (1, 5, 1.0), (2, None, 95.0)], "k long, id long, value double")
+    got = {tuple(r) for r in stateful.batch(df, "k", ["id", "value"], stateful.hysteresis(80.0, 40.0), (False,), "k long, id long, warning boolean", ["id"]).collect()}
+    assert got == {(None, 1, True), (1, 3, True), (1, 4, False), (2, None, True)}
+    assert stateful.batch(df.limit(0), "k", ["id", "value"], stateful.hysteresis(80.0, 40.0), (False,), "k long, id long, warning boolean", ["id"]).collect() == []
+
+
+def test_held_limit(spark):
+    df = spark.createDataFrame([(1, i, t, v) for i, (t, v) in enumerate([(0, 50), (1, 90), (3, 50), (4, 90), (6, 90), (9, 90), (10, 30), (12, 60), (16, 60), (18, 60)])], "k int, id long, t long, v long")
+    got = [(r["id"], r["shown"]) for r in stateful.batch(df, "k", ["id", "t", "v"], stateful.held_limit(5), (None, None, None), "k int, id long, shown long", ["t"]).collect()]
+    assert got == [(0, 50), (5, 90), (9, 60)]
+
+
+def test_paths(spark):
+    edges = [(1, 2, 1.0), (2, 5, 1.0), (1, 3, 1.5), (3, 5, 1.0), (1, 4, 2.0), (4, 5, 2.0), (1, 5, 9.0)]
+    e = spark.createDataFrame(edges, "a long, b long, cost double")
+    got = {}
+    for r in graph.alternatives(e, 1, 5, 4, 3.0, 6).collect():
+        got.setdefault(r["path"], []).append((r["a"], r["b"]))
+    assert sorted(map(sorted, got.values())) == [[(1, 2), (2, 5)], [(1, 3), (3, 5)], [(1, 4), (4, 5)]]
+    assert graph.alternatives(e, 5, 1, 2, 3.0, 6).collect() == []
+    assert {tuple(r) for r in graph.exits(graph.both_ways(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"))).collect()} == {(1, 2, 3), (3, 2, 1)}
+    tree = graph.both_ways(spark.createDataFrame([(1, 2, 1.0), (1, 3, 2.0), (3, 4, 5.0), (2, 6, 1.5)], "a long, b long, cost double"), "cost")
+    assert {tuple(r) for r in graph.longest_path(tree, 1, 20).collect()} == {(4, 6, 9.5)}
+
+
+def test_segment_cells_and_crossings(spark):
+    rng = random.Random(5)
+    rows = [(i, *(rng.uniform(-3, 3) for _ in range(4))) for i in range(60)] + [(60, -1.0, 0.5, 2.0, 0.5), (61, 0.5, -1.0, 0.5, 2.0), (62, 0.2, 0.2, 0.2, 0.2)]
+    df = spark.createDataFrame(rows, "id int, ax double, ay double, bx double, b2 double")
+    got = {r["id"]: {(c["cx"], c["cy"]) for c in r["c"]} for r in df.select("id", geo.segment_cells(F.col("ax"), F.col("ay"), F.col("bx"), F.col("b2"), 1.0).alias("c")).collect()}
+    for i, ax, ay, bx, b2 in rows:
+        want = {(math.floor(ax + (bx - ax) * k / 4000), math.floor(ay + (b2 - ay) * k / 4000)) for k in range(4001)}
+        assert want <= got[i] and len(got[i]) <= len(want) + 1
+    cross = lambda *v: one(spark, geo.crossing(*map(F.lit, v)))
+    assert cross(0.0, 0.0, 2.0, 2.0, 0.0, 2.0, 2.0, 0.0) == 0.5
+    assert cross(0.0, 0.0, 2.0, 2.0, 0.0, 1.0, 2.0, 3.0) is None and cross(0.0, 0.0, 1.0, 0.0, 3.0, -1.0, 3.0, 1.0) is None
+
+
+def test_fits(spark):
+    pts = [(float(i), float(i * i % 7)) for i in range(12)]
+    c, s = math.cos(0.4), math.sin(0.4)
+    df = spark.createDataFrame([(1, x, y, c * x - s * y + 3, s * x + c * y - 1, 2 * x - 3 * y + 5) for x, y in pts] + [(2, 1.0, 1.0, 0.0, 0.0, 0.0)], "k int, x double, y double, u double, v double, z double")
+    got = aggregate.rigid_fit(df.filter("k = 1"), ["k"], ("x", "y"), ("u", "v")).first()
+    assert [got["turn"], got["dx"], got["dy"]] == pytest.approx([0.4, 3.0, -1.0])
+    plane = {r["k"]: (r["p"], r["q"], r["r"]) for r in aggregate.plane_fit(df, ["k"], "x", "y", "z").collect()}
+    assert plane[1] == pytest.approx((2.0, -3.0, 5.0)) and plane[2] == (None, None, None)

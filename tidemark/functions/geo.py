@@ -70,3 +70,35 @@ def in_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
         at = (y - y1) * ((x2 - x1) / (y2 - y1)) + x1
         crossings = crossings + F.when(((y < y1) != (y < y2)) & (x < at), 1).otherwise(0)
     return crossings % 2 == 1
+
+
+def crossing(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """Share of the segment a-b at which it crosses the segment c-d; null if they do not cross or are parallel."""
+    area = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+    s = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / F.when(area != 0, area)
+    u = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / F.when(area != 0, area)
+    return F.when((s >= 0) & (s <= 1) & (u >= 0) & (u <= 1), s)
+
+
+def segment_cells(ax: Column, ay: Column, bx: Column, by: Column, size: float) -> Column:
+    """Array of the grid cells (structs cx, cy) that a segment touches: a row of cells at a time, by where it enters and leaves."""
+    low, high = F.least(ay, by), F.greatest(ay, by)
+    rows = F.sequence(cell(low, size), cell(high, size))
+    flat = by == ay
+
+    def row(r):
+        def at(y):
+            inside = F.least(F.greatest(y, low), high)
+            return F.when(flat, ax).otherwise(ax + (bx - ax) * (inside - ay) / F.when(~flat, by - ay))
+
+        p, q = at(r * size), at((r + 1) * size)
+        p, q = (F.when(flat, F.least(ax, bx)).otherwise(F.least(p, q)), F.when(flat, F.greatest(ax, bx)).otherwise(F.greatest(p, q)))
+        return F.transform(F.sequence(cell(p, size), cell(q, size)), lambda c: F.struct(c.alias("cx"), r.alias("cy")))
+
+    return F.flatten(F.transform(rows, row))
+
+
+def turn_angle(ax, ay, bx, by, cx, cy) -> Column:
+    """Turn at b on the way from a to c, in radians: positive to the left, pi for the way back."""
+    x, y, u, v = bx - ax, by - ay, cx - bx, cy - by
+    return F.atan2(x * v - y * u, x * u + y * v)

@@ -86,3 +86,34 @@ def longest_prefix(df: DataFrame, text: str, table: DataFrame, prefix: str, valu
     cuts = rows.select("_row", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda n: F.substring(F.col(text), F.lit(1), n))).alias(prefix))
     best = cuts.join(table, prefix).groupBy("_row").agg(F.max_by(value, F.length(prefix)).alias(value))
     return rows.join(best, "_row", "left").drop("_row")
+
+
+def rigid_fit(df: DataFrame, by: list[str], a: tuple[str, str], b: tuple[str, str], weight: Column | None = None) -> DataFrame:
+    """by, turn, dx, dy, n: rotation (radians) and shift that carry points a to points b with the least weighted square error."""
+    w = F.lit(1.0) if weight is None else weight
+    (ax, ay), (bx, by_) = ([F.col(c) for c in p] for p in (a, b))
+    s = df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum(w).alias("w"),
+        *(F.sum(w * c).alias(n) for n, c in (("ax", ax), ("ay", ay), ("bx", bx), ("by", by_), ("dot", ax * bx + ay * by_), ("cross", ax * by_ - ay * bx))),
+    )
+    m = {c: F.col(c) / F.col("w") for c in ("ax", "ay", "bx", "by")}
+    turn = F.atan2(F.col("cross") / F.col("w") - (m["ax"] * m["by"] - m["ay"] * m["bx"]), F.col("dot") / F.col("w") - (m["ax"] * m["bx"] + m["ay"] * m["by"]))
+    s = s.withColumn("turn", turn)
+    c, d = F.cos("turn"), F.sin("turn")
+    return s.select(*by, "turn", (m["bx"] - c * m["ax"] + d * m["ay"]).alias("dx"), (m["by"] - d * m["ax"] - c * m["ay"]).alias("dy"), "n")
+
+
+def plane_fit(df: DataFrame, by: list[str], x: str, y: str, z: str) -> DataFrame:
+    """by, p, q, r of z = p x + q y + r by the normal equations; null where the points do not span a plane."""
+    s = df.groupBy(*by).agg(F.covar_pop(x, x).alias("xx"), F.covar_pop(x, y).alias("xy"), F.covar_pop(y, y).alias("yy"), F.covar_pop(x, z).alias("xz"), F.covar_pop(y, z).alias("yz"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate((x, y, z))))
+    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
+    s = s.withColumn("det", F.when(det > 1e-12, det))
+    p = (F.col("xz") * F.col("yy") - F.col("yz") * F.col("xy")) / F.col("det")
+    q = (F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy")) / F.col("det")
+    return s.select(*by, p.alias("p"), q.alias("q"), (F.col("m2") - p * F.col("m0") - q * F.col("m1")).alias("r"))
+
+
+def budget_shares(df: DataFrame, by: list[str], value: str, budget: float, edges: list[float]) -> DataFrame:
+    """by, n, over (share beyond budget), counts: rows below each edge and not below the one before, and the rest."""
+    place = sum(((F.col(value) >= e).cast("int") for e in edges), F.lit(0))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col(value) > budget).cast("double")).alias("over"), F.array(*(F.count_if(place == i) for i in range(len(edges) + 1))).alias("counts"))

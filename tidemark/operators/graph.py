@@ -110,3 +110,52 @@ def split_ways(ways: DataFrame) -> DataFrame:
     stops = v.filter("stop").groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("stops"))
     parts = ways.join(stops, "id").select("id", "refs", F.posexplode(F.expr("transform(slice(stops, 1, size(stops) - 1), (a, i) -> struct(a, stops[i + 1] as b))")).alias("part", "p"))
     return parts.select(F.col("id").alias("way"), "part", F.expr("slice(refs, p.a + 1, p.b - p.a + 1)").alias("refs"))
+
+
+def exits(edges: DataFrame) -> DataFrame:
+    """a, b, c: at the end b of each directed edge (a, b) every edge (b, c) on but the way back."""
+    on = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    return edges.select("a", "b").join(on, "b").filter("c <> a").select("a", "b", "c")
+
+
+def way_to(best: DataFrame, goal: int, rounds: int) -> DataFrame:
+    """place, a, b: the edges of the path to goal over the via of cheapest(), counted back from it; empty if it was not reached."""
+    at = best.filter(F.col("node") == goal).select(F.lit(0).alias("place"), F.col("via").alias("a"), F.col("node").alias("b"))
+    out = at = cut(at.filter("a is not null"))
+    for k in range(1, rounds):
+        step = at.select(F.col("a").alias("node")).join(best, "node").filter("via is not null")
+        at = cut(step.select(F.lit(k).alias("place"), F.col("via").alias("a"), F.col("node").alias("b")))
+        if at.isEmpty():
+            break
+        out = out.unionByName(at)
+    return cut(out)
+
+
+def alternatives(edges: DataFrame, start: int, goal: int, count: int, penalty: float, rounds: int) -> DataFrame:
+    """path, place, a, b, cost: the cheapest path, then others found after each path's edges cost penalty times as much.
+
+    Paths found before are not repeated; costs are those of the plain edges. Paths have at most rounds edges.
+    """
+    spark, out, now = edges.sparkSession, None, edges
+    source = spark.createDataFrame([(start, 0.0)], "node long, cost double")
+    for k in range(count):
+        way = way_to(cheapest(now, source, rounds), goal, rounds)
+        found = way.join(edges, ["a", "b"]).groupBy("place", "a", "b").agg(F.min("cost").alias("cost")).withColumn("path", F.lit(k))
+        now = cut(now.join(F.broadcast(way.select("a", "b", F.lit(True).alias("_used"))), ["a", "b"], "left").withColumn("cost", F.when(F.col("_used"), F.col("cost") * penalty).otherwise(F.col("cost"))).drop("_used"))
+        out = found if out is None else out.unionByName(found)
+    same = out.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "a", "b"))).alias("way"))  # at most rounds edges each
+    first = same.groupBy("way").agg(F.min("path").alias("path"))
+    return out.join(F.broadcast(first.select("path")), "path").select("path", "place", "a", "b", "cost")
+
+
+def farthest(edges: DataFrame, start: int, rounds: int) -> DataFrame:
+    """node, cost: the node that is costliest to reach from start, the least of equals."""
+    spark = edges.sparkSession
+    reached = cheapest(edges, spark.createDataFrame([(start, 0.0)], "node long, cost double"), rounds)
+    return reached.orderBy(F.desc("cost"), "node").limit(1).select("node", "cost")
+
+
+def longest_path(edges: DataFrame, start: int, rounds: int) -> DataFrame:
+    """a, b, cost: ends and length of the longest cheapest path of the tree that holds start, by two sweeps."""
+    a = farthest(edges, start, rounds).first()["node"]
+    return farthest(edges, a, rounds).select(F.lit(a).cast("long").alias("a"), F.col("node").alias("b"), "cost")

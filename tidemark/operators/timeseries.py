@@ -6,6 +6,8 @@ ones comes from a table with one row for each key and bucket.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,13 +118,16 @@ def inside_windows(df: DataFrame, windows: DataFrame, by: list[str], t: str, buc
     return left.join(first, "_row", "left").select(*df.columns, F.col("_w.from_t").alias("from_t"), F.col("_w.to_t").alias("to_t"))
 
 
-def merge_intervals(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+def merge_intervals(df: DataFrame, by: list[str], start: str, end: str, bucket: int = BUCKET) -> DataFrame:
     """by, start, end: touching and overlapping intervals of each key as one."""
-    before = Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_far", F.max(end).over(before))
-    df = df.withColumn("_new", F.when(F.col("_far").isNull() | (F.col(start) > F.col("_far")), 1).otherwise(0))
-    return df.withColumn("_run", F.sum("_new").over(upto)).groupBy(*by, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
+    df = _bucketed(df, start, bucket)
+    inside = Window.partitionBy(*by, "_b").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = df.groupBy(*by, "_b").agg(F.max(end).alias("_m")).select(*by, "_b", F.max("_m").over(before).alias("_base"))
+    df = df.withColumn("_in", F.max(end).over(inside)).join(base, [*by, "_b"], "left").withColumn("_far", F.greatest("_in", "_base"))
+    new = F.when(F.col("_far").isNull() | (F.col(start) > F.col("_far")), 1).otherwise(0)
+    run = running_sum(df.drop("_in", "_base"), by, [start, end], new, "_run", bucket)
+    return run.groupBy(*by, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
 
 
 def held_integral(df: DataFrame, by: list[str], order: list[str], value: str, lo: int, hi: int, longest: int) -> DataFrame:
@@ -140,3 +145,39 @@ def grid(df: DataFrame, by: list[str], t: str, step: int) -> DataFrame:
     ticks = F.sequence(F.ceil(F.col("_a") / step).cast("long"), F.floor(F.col("_z") / step).cast("long"))
     some = ends.filter(F.ceil(F.col("_a") / step) <= F.floor(F.col("_z") / step))
     return some.select(*by, F.explode(ticks).alias(t)).withColumn(t, F.col(t) * step)
+
+
+def breaks(df: DataFrame, by: list[str], order: list[str], cols: list[str], broken, name: str = "segment", bucket: int = BUCKET) -> DataFrame:
+    """df with the number of breaks up to the row; broken says from the row before (a struct, null for the first) whether one is here."""
+    marked = previous(df, by, order, cols, bucket, "_before")
+    marked = marked.withColumn("_broken", F.coalesce(broken(F.col("_before")), F.lit(False)).cast("int"))
+    return running_sum(marked, by, order, F.col("_broken"), name, bucket).drop("_before", "_broken")
+
+
+def spells(df: DataFrame, by: list[str], t: str, flag: Column, merge: int, least: int) -> DataFrame:
+    """by, from_t, to_t, n: stretches of flagged rows, joined over gaps of at most merge, that last at least least."""
+    run = islands(df.filter(flag), by, [t], merge)
+    got = run.groupBy(*by, "run").agg(F.min(t).alias("from_t"), F.max(t).alias("to_t"), F.count("*").alias("n"))
+    return got.filter(F.col("to_t") - F.col("from_t") >= least).drop("run")
+
+
+def unwrapped(df: DataFrame, by: list[str], order: list[str], angle: str, name: str, bucket: int = BUCKET) -> DataFrame:
+    """df with the angle (radians) made continuous: steps over half a turn lose or gain whole turns."""
+    d = F.col(angle) - F.col("_before")[angle]
+    turns = -F.floor((d + math.pi) / (2 * math.pi))
+    steps = previous(df, by, order, [angle], bucket, "_before").withColumn("_turns", F.coalesce(turns, F.lit(0)))
+    total = running_sum(steps, by, order, F.col("_turns"), "_total", bucket)
+    return total.withColumn(name, F.col(angle) + 2 * math.pi * F.col("_total")).drop("_before", "_turns", "_total")
+
+
+def late(df: DataFrame, by: list[str], arrival: str, t: str, delay: int, bucket: int) -> DataFrame:
+    """df with late: the row came after one of its key that is more than delay younger; what a watermark would drop.
+
+    Arrival numbers are cut into buckets, like times elsewhere, so that a long key is no single task.
+    """
+    df = _bucketed(df, arrival, bucket)
+    inside = Window.partitionBy(*by, "_b").orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = df.groupBy(*by, "_b").agg(F.max(t).alias("_m")).select(*by, "_b", F.max("_m").over(before).alias("_base"))
+    out = df.withColumn("_in", F.max(t).over(inside)).join(base, [*by, "_b"], "left")
+    return out.withColumn("late", F.greatest("_in", "_base") - F.col(t) > delay).drop("_b", "_in", "_base")
