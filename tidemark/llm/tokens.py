@@ -50,13 +50,10 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of each new piece with a space before it; marks behind its last letter are looked up apart."""
-        known, tails, need = self.known, [], set()
-        for p in new:
-            if p.isalpha():
-                need.add(p)
-                continue
+    def _learn(self, words: set[str], others: set[str]) -> None:
+        """Ids of each new piece (words of letters only, and others) with a space before it; marks behind its last letter are looked up apart."""
+        known, tails, need = self.known, [], words
+        for p in others:
             stem = p.rstrip(MARKS)
             if stem is not p and stem[-1:].isalpha():
                 tails.append((p, stem))
@@ -66,11 +63,13 @@ class Encoder:
                 need.add(p)
         need = list(need)
         parts = [need[i : i + JOINED] for i in range(0, len(need), JOINED)]
-        for part, ids in zip(parts, self._ids([" " + " ".join(p) for p in parts])):
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in part])
+        texts = [" " + " ".join(p) for p in parts]
+        for part, text, ids in zip(parts, texts, self._ids(texts)):
+            sizes = map(len, part) if text.isascii() else (len(p.encode("utf-8", "surrogatepass")) for p in part)
+            ends = np.cumsum(np.fromiter(sizes, dtype=np.int64, count=len(part)) + 1)
             stops = (4 * (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1)).tolist()
             data = ids.tobytes()
-            known.update(zip(part, (data[a:b] for a, b in zip([0, *stops], stops))))
+            known.update(zip(part, map(data.__getitem__, map(slice, [0, *stops], stops))))
         for p, stem in tails:
             mark = p[len(stem) :]
             if mark not in self.marks:
@@ -98,8 +97,10 @@ class Encoder:
         found = [list(map(known.get, s)) for s in split]
         gaps = [list(compress(range(1, len(f)), map(not_, islice(f, 1, None)))) for f in found]
         new = set().union(*(map(s.__getitem__, g) for s, g in zip(split, gaps)))
-        odd = {p for p in new if not p.isalpha() and (not p or p[0].isspace() or p[-1].isspace())}
-        self._learn(list(new - odd) if odd else list(new))
+        words = set(filter(str.isalpha, new))
+        others = new - words
+        odd = {p for p in others if not p or p[0].isspace() or p[-1].isspace()}
+        self._learn(words, others - odd)
         out, whole = [], []
         for n, (head, s, f, g) in enumerate(zip(first, split, found, gaps)):
             if odd and not odd.isdisjoint(s[i] for i in g) or len(s) > 1 and texts[n][: texts[n].index(" ")][-1:].isspace():
@@ -111,9 +112,8 @@ class Encoder:
             out.append(head.tobytes() + b"".join(f))
         for n, ids in zip(whole, self._ids([texts[n] for n in whole])):
             out[n] = ids.tobytes()
-        for p in new:
-            if len(p) > PIECE:
-                known.pop(p, None)
+        for p in [p for p in new if len(p) > PIECE]:
+            known.pop(p, None)
         return out
 
 
