@@ -248,3 +248,23 @@ def test_fits(spark):
     assert [got["turn"], got["dx"], got["dy"]] == pytest.approx([0.4, 3.0, -1.0])
     plane = {r["k"]: (r["p"], r["q"], r["r"]) for r in aggregate.plane_fit(df, ["k"], "x", "y", "z").collect()}
     assert plane[1] == pytest.approx((2.0, -3.0, 5.0)) and plane[2] == (None, None, None)
+
+
+def test_viterbi(spark):
+    import itertools
+
+    rng = random.Random(9)
+    rows = [(k, i, i * 10 + (1000 if k == 2 and i > 3 else 0), *(rng.uniform(-3, 0) for _ in range(3))) for k in (1, 2) for i in range(7)]
+    df = spark.createDataFrame(rows, "k int, i int, t long, s0 double, s1 double, s2 double")
+    got = {(r["k"], r["i"]): r["state"] for r in graph.viterbi(df, ["k"], ["t"], ["s0", "s1", "s2"], 0.8, 500).collect()}
+    for chain in (rows[:7], rows[7:11], rows[11:]):
+        best = max(itertools.product(range(3), repeat=len(chain)), key=lambda p: sum(r[3 + s] for r, s in zip(chain, p)) + sum(math.log(0.8 if a == b else 0.1) for a, b in zip(p, p[1:])))
+        assert [got[r[0], r[1]] for r in chain] == list(best)
+
+
+def test_close_values_meet_at_cell_borders(spark):
+    rng = random.Random(2)
+    a, b = ([(i % 2, i, round(rng.uniform(-20, 20), 1)) for i in range(60)] for _ in range(2))
+    left, right = spark.createDataFrame(a, "k int, i int, v double"), spark.createDataFrame(b, "k int, j int, w double")
+    got = sorted((r["i"], r["j"]) for r in spatial.close_values(left, right, ["k"], "v", "w", 3.0).collect())
+    assert got == sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and abs(x[2] - y[2]) < 3.0)

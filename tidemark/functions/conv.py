@@ -64,3 +64,11 @@ def rate_hz(t_us: Column) -> Column:
     """Aggregate: events a second between the first and the last; 0 for less than two or no span."""
     span = (F.max(t_us) - F.min(t_us)) / 1e6
     return F.coalesce((F.count(t_us) - 1) / F.nullif(span, F.lit(0.0)), F.lit(0.0))
+
+
+def first_match(rules: list[tuple[Column, str]], otherwise: str | None = None) -> Column:
+    """Name of the first rule that holds; a rule that is null does not."""
+    out = F
+    for rule, name in rules:
+        out = out.when(rule, name)
+    return out.otherwise(otherwise)

@@ -96,3 +96,14 @@ def bit_field(bytes_: Column, start: int, bits: int, big: bool = False, signed:
     if signed:
         value = F.when(value >= (1 << (bits - 1)), value - (1 << bits)).otherwise(value)
     return F.when(F.size(bytes_) > last, value)
+
+
+def code_normal(x: Column, size: int = 4) -> Column:
+    """A code as typed, in upper-case groups of size with dashes: letters that look like digits become those, all else goes."""
+    plain = F.regexp_replace(F.translate(F.upper(x), "OIL", "011"), "[^0-9A-Z]", "")
+    return F.regexp_replace(plain, f"(.{{{size}}})(?=.)", "$1-")
+
+
+def house_key(x: Column) -> Column:
+    """A house number for comparison: no spaces, dashes or dots, lower case, leading zeros gone."""
+    return F.regexp_replace(F.regexp_replace(F.lower(x), r"[\x20.-]+", ""), "^0+(?=[0-9])", "")

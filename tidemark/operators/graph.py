@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.tables import cut
+from tidemark.operators.timeseries import islands
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -77,8 +79,12 @@ def cheapest(edges: DataFrame, sources: DataFrame, rounds: int, most: float = fl
     return best
 
 
-def viterbi(df: DataFrame, by: list[str], order: list[str], emission: list[str], stay: float) -> DataFrame:
-    """df with state: the likeliest chain over columns of log-likelihoods, where leaving a state costs log(1 - stay)."""
+def viterbi(df: DataFrame, by: list[str], order: list[str], emission: list[str], stay: float, gap: int) -> DataFrame:
+    """df with state: the likeliest chain over columns of log-likelihoods, where leaving a state costs log(1 - stay).
+
+    A chain breaks where time (order[0]) jumps by more than gap, which bounds what one task holds; of equally
+    likely states the first is taken.
+    """
     n = len(emission)
     change = np.full((n, n), np.log((1 - stay) / max(1, n - 1)))
     np.fill_diagonal(change, np.log(stay))
@@ -97,9 +103,8 @@ def viterbi(df: DataFrame, by: list[str], order: list[str], emission: list[str],
             state[i - 1] = back[i][state[i]]
         return pdf.assign(state=state)
 
-    from pyspark.sql import types as T
-
-    return df.groupBy(*by).applyInPandas(run, T.StructType([*df.schema.fields, T.StructField("state", T.LongType())]))
+    runs = islands(df, by, order, gap)
+    return runs.groupBy(*by, "run").applyInPandas(run, T.StructType([*runs.schema.fields, T.StructField("state", T.LongType())])).drop("run")
 
 
 def split_ways(ways: DataFrame) -> DataFrame:

@@ -71,3 +71,10 @@ def corridor(points: DataFrame, segs: DataFrame, key: str, x: str, y: str, width
     met = met.withColumns({"off": d, "along": F.col("before") + t * F.col("length")}).filter(F.col("off") <= width)
     best = met.groupBy(key).agg(F.min(F.struct(F.round("off", 9).alias("off"), "along")).alias("b"))
     return best.select(key, F.col("b.along").alias("along"), F.col("b.off").alias("off"))
+
+
+def close_values(left: DataFrame, right: DataFrame, by: list[str], value: str, other: str, apart: float) -> DataFrame:
+    """Pairs of rows with equal keys whose values differ by less than apart: right rows meet left ones by cell, not by key alone."""
+    a = left.withColumn("_cell", F.floor(F.col(value) / apart).cast("long"))
+    b = right.withColumn("_cell", F.explode(F.array(*((F.floor(F.col(other) / apart) + k).cast("long") for k in (-1, 0, 1)))))
+    return a.join(b, [*by, "_cell"]).filter(F.abs(F.col(value) - F.col(other)) < apart).drop("_cell")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions import geo
+from tidemark.functions import conv, geo, text
 from tidemark.functions.times import open_at, rush_factor, week_minute
 from tidemark.operators import aggregate as ag
 from tidemark.operators import graph as gr
@@ -217,7 +217,50 @@ def r9_bit_masks(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.bit_or(mask).cast("long").alias("any"), F.bit_and(mask).cast("long").alias("all"), F.sum(F.bit_count(mask)).alias("bits"))
 
 
-QUERIES = {k: v for k, v in globals().items() if callable(v) and k[0] in "cdehlmprst" and k[1:2].isdigit()}
+def c21_close_balances(spark, sf_dir):
+    a = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
+    b = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
+    return sp.close_values(a, b, ["nation"], "c_acctbal", "s_acctbal", 400.0).select("c_custkey", "s_suppkey")
+
+
+def b5_classes(spark, sf_dir):
+    """Rules in order, the first that holds names the row."""
+    rules = [(F.col("p_size") <= 5, "small"), (F.col("p_type") == "ECONOMY", "cheap"), (F.col("p_retailprice") > 950, "dear"), (F.col("p_name").endswith("ring"), "ring")]
+    return _t(spark, sf_dir, "part").select("p_partkey", conv.first_match(rules, "other").alias("class"))
+
+
+def d37_common_spelling(spark, sf_dir):
+    """The commonest name of each brand, of equally common ones the first by code point."""
+    n = _t(spark, sf_dir, "part").groupBy("p_brand", "p_name").agg(F.count("*").alias("n"))
+    best = n.groupBy("p_brand").agg(F.min(F.struct((-F.col("n")).alias("k"), "p_name")).alias("b"))
+    return best.select("p_brand", F.col("b.p_name").alias("name"), (-F.col("b.k")).alias("n"))
+
+
+def d56_distinct_counts(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_orderkey").alias("orders"))
+
+
+def e11_heaviest(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    share = F.col("o_totalprice") / F.sum("o_totalprice").over(Window.partitionBy("o_custkey"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("place"), F.round(share, 6).alias("share"))
+
+
+def t5_date_stamps(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyMMdd").alias("stamp")).agg(F.count("*").alias("n"))
+
+
+def s17_codes(spark, sf_dir):
+    code = F.substr(F.md5(F.col("c_custkey").cast("string")), F.lit(1), F.lit(10))
+    return _t(spark, sf_dir, "customer").select("c_custkey", text.code_normal(F.concat(code, F.lit(" lo"))).alias("code"))
+
+
+def s14_house_keys(spark, sf_dir):
+    house = F.concat(F.lpad(F.pmod(F.col("s_suppkey"), F.lit(40)).cast("string"), 3, "0"), F.lit(" - "), F.substr("s_name", F.lit(1), F.lit(1)))
+    return _t(spark, sf_dir, "supplier").groupBy(text.house_key(house).alias("house")).agg(F.count("*").alias("n"))
+
+
+QUERIES = {k: v for k, v in globals().items() if callable(v) and k[0] in "bcdehlmprst" and k[1:2].isdigit()}
 _L = "v AS (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
 _S = "s AS (SELECT label, x AS ax, y AS ay, lead(x) OVER (PARTITION BY label ORDER BY vec_id) AS bx, lead(y) OVER (PARTITION BY label ORDER BY vec_id) AS b2 FROM v)"
 _BOTH = "SELECT a, b, cost FROM t UNION ALL SELECT b, a, cost FROM t"
@@ -273,4 +316,12 @@ ORACLES = {
     "t3_rush_factor": "SELECT CAST(hour(ts) AS BIGINT) AS h, isodow(ts) <= 5 AS workday, round(avg(CASE WHEN isodow(ts) <= 5 AND (hour(ts) BETWEEN 7 AND 9 OR hour(ts) BETWEEN 16 AND 18) THEN 1.4 ELSE 1.0 END), 4) AS factor FROM events GROUP BY 1, 2",
     "s12_numbers": "WITH d AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) BETWEEN 2 AND 6), lambda x: CAST(x AS BIGINT)) AS n FROM documents) SELECT doc_id, len(n) AS n, CAST(coalesce(list_sum(n), 0) AS BIGINT) AS total FROM d",
     "r9_bit_masks": "WITH m AS (SELECT l_suppkey, CAST(l_quantity > 25 AS INT) + 2 * CAST(l_discount > 0.05 AS INT) + 4 * CAST(l_tax > 0.04 AS INT) AS m FROM lineitem) SELECT l_suppkey, CAST(bit_or(m) AS BIGINT) AS any, CAST(bit_and(m) AS BIGINT) AS all, CAST(sum(bit_count(m)) AS BIGINT) AS bits FROM m GROUP BY 1",
+    "c21_close_balances": "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) < 400",
+    "b5_classes": "SELECT p_partkey, CASE WHEN p_size <= 5 THEN 'small' WHEN p_type = 'ECONOMY' THEN 'cheap' WHEN p_retailprice > 950 THEN 'dear' WHEN p_name LIKE '%ring' THEN 'ring' ELSE 'other' END AS class FROM part",
+    "d37_common_spelling": "WITH n AS (SELECT p_brand, p_name AS name, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_brand, name, n FROM n QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, name) = 1",
+    "d56_distinct_counts": "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY 1",
+    "e11_heaviest": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS share FROM orders",
+    "t5_date_stamps": "SELECT strftime(o_orderdate, '%y%m%d') AS stamp, count(*) AS n FROM orders GROUP BY 1",
+    "s17_codes": "WITH c AS (SELECT c_custkey, translate(upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 10) || 'lo'), 'OIL', '011') AS c FROM customer) SELECT c_custkey, c[1:4] || '-' || c[5:8] || '-' || c[9:12] AS code FROM c",
+    "s14_house_keys": "SELECT CAST(s_suppkey % 40 AS VARCHAR) || lower(s_name[1]) AS house, count(*) AS n FROM supplier GROUP BY 1",
 }

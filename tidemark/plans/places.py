@@ -103,7 +103,7 @@ def h1_cheapest_path(spark, sf_dir):
 def h10_viterbi(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.log1p(F.greatest(F.col("value"), F.lit(0.0))).alias("v"))
     e = e.withColumns({f"s{k}": -F.pow(F.col("v") - m, 2) for k, m in enumerate((1.0, 3.0, 4.5))})
-    return gr.viterbi(e, ["user_id"], ["t", "event_id"], ["s0", "s1", "s2"], 0.9).select("event_id", "state")
+    return gr.viterbi(e, ["user_id"], ["t", "event_id"], ["s0", "s1", "s2"], 0.9, 86_400_000_000).select("event_id", "state")
 
 
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k[0] in "cdhm" and k[1:2].isdigit()}
