@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from tidemark.llm import tokenfile as t
 from tidemark.llm.tokens import encoder, vocabulary_path
@@ -43,10 +44,10 @@ def test_bits_round_trip(size):
 
 
 def test_files(spark, tmp_path):
-    texts = ["a small text", None, "", "ein  Text\n mit\tRand ", "x" * 3000, "<|endoftext|> as text", "a small text"]
+    texts = ["a small text", None, "", "ein  Text\n mit\tRand ", "x" * 3000, "<|endoftext|> as text", "a small text", "end <|endoftext|> begin", "a<|endoftext|><|endoftext|>", "<|endoftext| >"]
     rows = [(i * 3, x) for i, x in enumerate(texts)] + [(3, "again"), (None, "no id")]
     t.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/f")
-    tok = encoder(vocabulary_path()).tokenizer
+    tok = Tokenizer.from_file(vocabulary_path())
     got = t.read_tokens(spark, f"{tmp_path}/f").collect()
     at = 0
     for r in sorted(got, key=lambda r: r["start"]):
@@ -71,8 +72,8 @@ def test_ids_are_the_librarys():
     import random
 
     random.seed(2)
-    parts = [" ", "  ", "\n", "\t", "a", "b'", "'s", "é", "字", "12", "!", "??", "\r\n", " ", "😀", "Word,"]
+    parts = ["<|endoftext|>", " ", "  ", "\n", "\t", "a", "b'", "'s", "é", "字", "12", "!", "??", "\r\n", " ", "😀", "Word,"]
     texts = ["".join(random.choice(parts) for _ in range(random.randrange(14))) for _ in range(4000)]
     own = encoder(vocabulary_path())
-    want = own.tokenizer.encode_batch(texts, add_special_tokens=False)
+    want = Tokenizer.from_file(vocabulary_path()).encode_batch(texts, add_special_tokens=False)
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [e.ids for e in want]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 #: Rows an Arrow batch may hold, so that a batch of long texts stays small.
 BATCH_ROWS = 500
+#: Bytes that a partition of a shuffle with a given number of partitions should hold, and the most partitions.
+PART_BYTES, MOST_PARTS = 128 << 20, 1 << 20
+#: Distinct values that a label may have.
+MOST_LABELS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,21 +39,68 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
+    if _scratch.get() is not None:
+        _scratch.get().cuts.append(out)
     return out
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(*cuts: DataFrame) -> None:
     """Delete tables made by cut() that nothing reads any more."""
     for df in cuts:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df.cut_path)
+
+
+class Scratch:
+    """Tables cut since scratch() was entered."""
+
+    def __init__(self, outer: Scratch | None):
+        self.outer, self.cuts = outer, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, which outlives this scratch; the caller's scratch, if there is one, takes it over."""
+        self.cuts = [c for c in self.cuts if c is not df]
+        if self.outer is not None:
+            self.outer.cuts.append(df)
+        return df
+
+
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
 
+@contextmanager
+def scratch():
+    """On leaving, delete the tables that were cut inside and not kept."""
+    own = Scratch(_scratch.get())
+    token = _scratch.set(own)
+    try:
+        yield own
+    finally:
+        _scratch.reset(token)
+        release(*own.cuts)
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory that one Arrow batch of whole texts takes."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+def small(batches, rows: int = BATCH_ROWS):
+    """Arrow batches cut to so few rows that what is made of their texts stays small; Spark bounds their bytes itself."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of df; for files read directly that of the files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def parts_for(df: DataFrame, each: int = PART_BYTES) -> int:
+    """Shuffle partitions for df: those the session asks for, more where each would hold over so many bytes."""
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(own, min(input_bytes(df) // each + 1, MOST_PARTS))
 
 
 def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -74,6 +127,27 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spr
     return joined.drop("join_salt", "hot_found", *(f"hot_{c}" for c in names), *(f"cold_{c}" for c in names))
 
 
+def keep_rows(docs: DataFrame, tag, decided: DataFrame, most: int) -> DataFrame:
+    """docs, columns unchanged, without the rows whose tag is decided against; of rows that share a tag decided for, one.
+
+    tag makes the tag column from a function that finds the columns of docs by name. decided has tag, kept and times (rows with the tag) and holds only tags that are decided against or on
+    several rows. It is broadcast up to a checked count; beyond, it is joined by shuffle with hot tags split.
+    """
+    plain, names = positional(docs)
+    marked = plain.withColumn("keep_tag", tag(lambda name: F.col(names[name])))
+    act = decided.select(F.col("tag").alias("keep_tag"), F.col("kept").alias("keep_kept"), F.col("times").alias("keep_times"))
+    if act.count() <= most:
+        marked = marked.join(F.broadcast(act), "keep_tag", "left")
+    else:
+        total = act.agg(F.sum("keep_times")).first()[0]
+        marked = join_spread(marked, act, "keep_tag", act.filter(F.col("keep_times") > F.lit(total / HOT_KEYS)), F.monotonically_increasing_id())
+    if act.filter("keep_kept and keep_times > 1").isEmpty():
+        return marked.filter("keep_kept is null or keep_kept").select(*plain.columns).toDF(*docs.columns)
+    single = marked.filter("keep_kept is null or (keep_kept and keep_times = 1)").select(*plain.columns)
+    again = marked.filter("keep_kept and keep_times > 1").dropDuplicates(["keep_tag"]).select(*plain.columns)
+    return single.unionByName(again).toDF(*docs.columns)
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: how the held-out rows are told."""
     return F.crc32(doc_id.cast("string")) % n
@@ -83,20 +157,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     """At most about per_label documents of each label as pandas (text, label): a bounded, repeatable sample.
 
     labels has doc_id and the label column and only rows that may be learned from. Rows are chosen by a
-    hash of their id against a threshold from the label counts; ids that repeat count once, with their
-    largest label. Labels are told apart by value; the number of distinct labels must be small.
+    hash of their id against a threshold from the label counts, so the order of rows plays no part. Ids that
+    repeat count once, with their largest label and least text. Labels are told apart by value; over
+    MOST_LABELS of them are an error.
     """
-    spark = docs.sparkSession
     one = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    counts = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(1000).collect()}
+    counts = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"column {label} has over {MOST_LABELS} distinct labels")
     place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000))
     rule = F.lit(False)
     for y, n in counts.items():
         rule = rule | ((F.col("y") == F.lit(y)) & (place < F.lit(int(1_000_000 * min(1.0, per_label / n)))))
-    most = int(per_label * 1.2 * max(1, len(counts))) + 100
-    chosen = one.filter(rule).limit(most)
-    picked = docs.select("doc_id", F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    picked = picked.join(F.broadcast(chosen), "doc_id").limit(2 * most)
-    small_batches(spark)
-    frame = picked.toPandas().sort_values("doc_id", kind="stable").drop_duplicates("text")
+    chosen = one.filter(rule)
+    picked = docs.select("doc_id", F.col(text).alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    frame = picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).toPandas()
+    frame = frame.sort_values("doc_id", kind="stable").drop_duplicates("text")
     return frame.reset_index(drop=True), counts

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+from itertools import chain
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, positional, small_batches
+from .common import cut, positional, scratch, small
 
 WINDOW = 10
 #: Bytes of benchmark text whose tables one task holds; a larger benchmark is searched block after block.
 BLOCK_BYTES = 16 << 20
+#: Up to so many rows that a benchmark of several blocks hits are broadcast.
+BROADCAST_HITS = 1_000_000
 
+#: What separates words, as a pattern.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bytes that are no part of a word become spaces, A-Z become a-z; bytes of other alphabets belong to words.
 _WORDS = bytes(b | 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -90,6 +99,17 @@ class Matcher:
         return spans, found
 
 
+_matchers: dict[str, Matcher] = {}
+
+
+def matcher_of(name: str, items: list[tuple[str, str]], size: int) -> Matcher:
+    """The worker's matcher for the block of this name; one is remembered over tasks, that of the last block."""
+    if name not in _matchers:
+        _matchers.clear()
+        _matchers[name] = Matcher(items, size)
+    return _matchers[name]
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -103,53 +123,80 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _blocks(benchmark: DataFrame, limit: int):
     """The benchmark in blocks of (name, text) of at most about limit bytes; one is at the driver at a time."""
     held, size = [], 0
-    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").filter("text is not null").toLocalIterator():
-        held.append((r["name"], r["text"]))
-        size += len(r["text"])
-        if size >= limit:
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text", F.octet_length("text").alias("size"))
+    for r in named.filter("text is not null").toLocalIterator():
+        if held and size + r["size"] > limit:
             yield held
             held, size = [], 0
+        held.append((r["name"], r["text"]))
+        size += r["size"]
     yield held
 
 
+SPANS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+
+
+def _search(src: DataFrame, text: str, block: list, size: int, width: int) -> DataFrame:
+    """The first width columns of src, n_words, spans (hit word ranges, merged) and items (names, sorted) of each row."""
+    sent, name = src.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+    schema = T.StructType([*src.schema.fields[:width], T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+    kinds = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())
+    at = src.columns.index(text)
+
+    def run(batches):
+        matcher = matcher_of(name, sent.value, size)
+        for b in small(batches):
+            counts, spans, items = [], [], []
+            for t in b.column(at).to_pylist():
+                words = words_of(t)
+                own, found = matcher.hits(words)
+                counts.append(len(words))
+                spans.append([{"a": x, "b": y} for x, y in _merged(own)])
+                items.append(sorted(found))
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(counts, pa.int64()), pa.array(spans, kinds[0]), pa.array(items, kinds[1])], schema.names)
+
+    return src.mapInArrow(run, schema)
+
+
+def _over_blocks(src: DataFrame, text: str, blocks, size: int) -> DataFrame:
+    """All columns of src, n_words, spans and items of each row, for a benchmark of several blocks.
+
+    Rows get a number in one copy of src; each block then writes the numbers, spans and items of the rows it
+    hits only, and these are united by number.
+    """
+    with scratch() as held:
+        rows = held.keep(cut(src.withColumn("mark_row", F.monotonically_increasing_id()), "marked-rows"))
+        found = None
+        for block in blocks:
+            hits = cut(_search(rows.select("mark_row", text), text, block, size, 1).filter("size(spans) > 0").drop("n_words"), "marked")
+            found = hits if found is None else found.unionByName(hits)
+        merged = F.aggregate(
+            F.array_sort(F.flatten(F.collect_list("spans"))),
+            F.array().cast(SPANS),
+            lambda out, x: F.when((F.size(out) > 0) & (x["a"] <= F.try_element_at(out, F.lit(-1))["b"]), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(F.try_element_at(out, F.lit(-1))["a"].alias("a"), F.greatest(x["b"], F.try_element_at(out, F.lit(-1))["b"]).alias("b"))))).otherwise(F.concat(out, F.array(x))),
+        )
+        hit = held.keep(cut(found.groupBy("mark_row").agg(merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), "marked-hits"))
+    if hit.count() <= BROADCAST_HITS:
+        hit = F.broadcast(hit)
+    words = F.size(F.filter(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, UPPER.lower()), WORD_GAP), lambda w: w != "")).cast("long")
+    joined = rows.join(hit, "mark_row", "left").withColumn("n_words", words)
+    return joined.select(*src.columns, "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def marked(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep_text: bool = False, size: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
     """doc_id (with keep_text all columns of docs), n_words, spans (hit word ranges, merged) and items (names, sorted) of each row.
 
     Null texts have no words; null item ids count as one item with an empty name; repeated items and rows
-    count as they come; an empty benchmark hits nothing. Rows of docs meet the benchmark block by block.
+    count as they come; an empty benchmark hits nothing. A benchmark beyond limit meets docs block by block.
     """
-    from pyspark.sql import types as T
-
-    spark = docs.sparkSession
-    small_batches(spark)
     src = docs if keep_text else docs.select(F.col("doc_id"), F.col(text))
-    width = len(src.columns)
-    span = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-    schema = T.StructType([*src.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))])
-    kinds = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())
-    at = src.columns.index(text)
-    df = None
-    for block in _blocks(benchmark, limit):
-        sent = spark.sparkContext.broadcast(block)
-        if df is not None:
-            df = cut(df, "marked")
-
-        def run(batches, sent=sent, first=df is None):
-            matcher = Matcher(sent.value, size)
-            for b in batches:
-                counts, spans, items = [], [], []
-                for i, t in enumerate(b.column(at).to_pylist()):
-                    words = words_of(t)
-                    own, found = matcher.hits(words)
-                    if not first:
-                        own += [(x["a"], x["b"]) for x in b.column(width + 1)[i].as_py()]
-                        found |= set(b.column(width + 2)[i].as_py())
-                    counts.append(len(words))
-                    spans.append([{"a": x, "b": y} for x, y in _merged(own)])
-                    items.append(sorted(found))
-                yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(counts, pa.int64()), pa.array(spans, kinds[0]), pa.array(items, kinds[1])], schema.names)
-
-        df = (src if df is None else df).mapInArrow(run, schema)
+    blocks = _blocks(benchmark, limit)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        df = _search(src, text, first, size, len(src.columns))
+    else:
+        df = _over_blocks(src, text, chain((first, second), blocks), size)
     return df if keep_text else df.drop(text)
 
 
@@ -167,8 +214,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lim
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows that hold a window of the benchmark, columns unchanged."""
     plain, names = positional(docs)
-    found = marked(plain, benchmark, text=names["text"], keep_text=True)
+    found = marked(plain, benchmark, text=names["text"], keep_text=True, limit=limit)
     return found.filter(F.size("spans") == 0).select(*plain.columns).toDF(*docs.columns)

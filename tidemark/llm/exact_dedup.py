@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, cut, join_spread, positional, release
+from .common import HOT_KEYS, cut, join_spread, keep_rows, scratch
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Up to so many repeated hashes (of 16 bytes) are broadcast to find the texts to compare; beyond, they are joined by shuffle.
@@ -44,30 +44,37 @@ def exact_dedup(docs: DataFrame, text: str = "text", hashed=content_hash) -> Dat
     An empty table gives an empty result; other columns, whatever their names, are not read.
 
     Hashes are counted on narrow rows. Only texts whose hash repeats are moved: grouping them by hash and
-    whole text compares the bytes and combines copies before the shuffle. Hashes with two texts are grouped
-    by text instead.
+    whole text compares the bytes and combines copies before the shuffle. Hot hashes meet their rows by
+    broadcast, in no shuffle before that grouping. Hashes with two texts are grouped by text instead.
     """
+    with scratch() as held:
+        return held.keep(cut(_grouped(docs, text, hashed), "exact"))
+
+
+def _grouped(docs: DataFrame, text: str, hashed) -> DataFrame:
     src = docs.select(F.col("doc_id"), normalised(F.col(text)).alias("norm"))
     src = src.select("doc_id", "norm", hashed(F.col("norm")).alias("h"))
     sha = F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha")
     narrow = cut(src.select("doc_id", F.monotonically_increasing_id().alias("row"), "h", sha), "exact-hashes")
     total = narrow.count()
     repeated = cut(narrow.groupBy("h").agg(_first(), F.count("*").alias("n")).filter("n > 1"), "exact-groups")
-    known = repeated.select("h")
+    hot = repeated.filter(F.col("n") > F.lit(total / HOT_KEYS))
     if repeated.count() <= BROADCAST_HASHES:
-        known = F.broadcast(known)
-    texts = src.join(known, "h", "left_semi").groupBy("h", "norm").agg(F.count("*").alias("n"))
+        again = src.join(F.broadcast(repeated.select("h")), "h", "left_semi")
+    else:
+        top = F.broadcast(hot.select("h"))
+        again = src.join(top, "h", "left_semi").unionByName(src.join(top, "h", "left_anti").join(repeated.select("h"), "h", "left_semi"))
+    texts = again.groupBy("h", "norm").agg(F.count("*").alias("n"))
     clashes = cut(texts.groupBy("h").agg(F.count("*").alias("texts")).filter("texts > 1").select("h"), "exact-clashes")
-    hot = repeated.filter(F.col("n") > F.lit(total / HOT_KEYS))
     if clashes.isEmpty():
-        release(clashes)
         return _report(join_spread(narrow, repeated, "h", hot, F.col("row")))
     clean = narrow.join(clashes, "h", "left_anti")
     out = _report(join_spread(clean, repeated, "h", hot, F.col("row")))
     mixed = src.join(clashes, "h", "left_semi").select("doc_id", F.monotonically_increasing_id().alias("row"), "norm", sha)
     mixed = cut(mixed, "exact-clashing-texts")
-    groups = mixed.groupBy("norm").agg(_first(), F.count("*").alias("n"))
-    return out.unionByName(_report(mixed.join(groups, "norm", "left")))
+    groups = cut(mixed.groupBy("norm").agg(_first(), F.count("*").alias("n")), "exact-clashing-groups")
+    top = groups.filter(F.col("n") > F.lit(total / HOT_KEYS))
+    return out.unionByName(_report(join_spread(mixed, groups, "norm", top, F.col("row"))))
 
 
 def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -76,15 +83,11 @@ def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
     The rows to act on, known by id and hash of the text, are broadcast up to a checked count and
     joined by shuffle beyond it. Of rows that repeat id and text one stays.
     """
-    found = exact_dedup(docs, text)
-    act = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("exact_kept"), F.count("*").alias("exact_times"))
-    act = act.filter(~F.col("exact_kept") | (F.col("exact_times") > 1))
-    act = cut(act.withColumnsRenamed({"doc_id": "exact_id", "text_sha256": "exact_sha"}), "exact-act")
-    if act.count() <= BROADCAST_HASHES:
-        act = F.broadcast(act)
-    plain, names = positional(docs)
-    marked = plain.withColumn("exact_tag", F.sha2(normalised(F.col(names[text])).cast("binary"), 256))
-    marked = marked.join(act, (F.col("exact_tag") == F.col("exact_sha")) & F.col(names["doc_id"]).eqNullSafe(F.col("exact_id")), "left")
-    single = marked.filter(F.col("exact_kept").isNull()).select(*plain.columns)
-    again = marked.filter("exact_kept").dropDuplicates([names["doc_id"], "exact_tag"]).select(*plain.columns)
-    return single.unionByName(again).toDF(*docs.columns)
+    def tag(doc_id, sha):
+        return F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(" "), sha)
+
+    with scratch() as held:
+        found = exact_dedup(docs, text).select(tag(F.col("doc_id"), F.col("text_sha256")).alias("tag"), "kept")
+        act = found.groupBy("tag").agg(F.max("kept").alias("kept"), F.count("*").alias("times")).filter("not kept or times > 1")
+        act = held.keep(cut(act, "exact-act"))
+    return keep_rows(docs, lambda col: tag(col("doc_id"), F.sha2(normalised(col(text)).cast("binary"), 256)), act, BROADCAST_HASHES)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, remainder, small_batches
-from .features import SLICE, char_grams, code_points
+from .common import labelled_sample, remainder, small
+from .features import char_grams
 
 #: Documents of each language that the regression learns from, at most about; document frequencies come from all.
 PER_LANGUAGE = 1500
@@ -22,9 +23,9 @@ _letter = regex.compile(r"\p{L}").search
 _gap = regex.compile(r"[^\p{L}\p{M}]+").sub
 
 
-def grams(text: str) -> np.ndarray:
-    """Buckets of the n-grams of the lower-cased letters; other characters are one space."""
-    return char_grams(code_points(" " + _gap(" ", text.lower()) + " "), SIZES, BITS)
+def grams(text: str) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams of the lower-cased letters, slice by slice; other characters are one space."""
+    return char_grams(" " + _gap(" ", text.lower()) + " ", SIZES, BITS)
 
 
 class Ftrl:
@@ -74,18 +75,17 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     Each task sends one packed vector; vectors are added in square-root many tasks and then in one, so no
     task reads more than the square root of their number, and the driver gets one.
     """
-    small_batches(docs.sparkSession)
     size = (1 << BITS) + 1
 
     def count(batches):
         df, held = np.zeros(size, dtype=np.int64), np.zeros(1 << BITS, dtype=bool)
-        for b in batches:
+        for b in small(batches):
             for text in b.column(0).to_pylist():
                 if not text or not _letter(text):
                     continue
                 df[-1] += 1
-                for at in range(0, len(text), SLICE):
-                    held[grams(text[at : at + SLICE])] = True
+                for own in grams(text):
+                    held[own] = True
                 own = np.flatnonzero(held)
                 df[own] += 1
                 held[own] = False
@@ -111,7 +111,7 @@ def fit(texts: list[str], labels: list[str], df: np.ndarray, total: int, epochs:
     """
     classes = sorted(set(labels))
     y = np.array([classes.index(x) for x in labels])
-    docs = [np.unique(grams(t), return_counts=True) for t in texts]
+    docs = [np.unique(np.concatenate(list(grams(t))), return_counts=True) for t in texts]
     own = [i for i in range(len(docs)) if i % 5 or len(docs) < 20]
     idf = np.log((1 + total) / (1 + df)) + 1
     idf[df == 0] = 0  # an n-gram never seen has no say
@@ -137,8 +137,7 @@ def score(model: dict, text: str | None) -> tuple[str, float]:
     if not text or not _letter(text) or not model["classes"]:
         return UNKNOWN, 0.0
     total, n = np.zeros(len(model["classes"])), 0
-    for at in range(0, len(text), SLICE):
-        b = grams(text[at : at + SLICE])
+    for b in grams(text):
         total += model["table"][b].sum(axis=0, dtype=np.float64)
         n += len(b)
     p = softmax((total / n + model["bias"]) / model["temperature"])
@@ -165,11 +164,10 @@ def predict(docs: DataFrame, model: dict, folds: int = 4, held: int = 2) -> Data
     Null ids are not held out; repeated rows are scored alike; a model fitted on no rows answers `und`.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             got = [score(sent.value, t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, release, small_batches
+from .common import cut, scratch, small
 from .tokens import encoder, vocabulary_path
 
 SEQUENCE = 2048
@@ -90,12 +90,10 @@ def plan(counts: dict[int, int], capacity: int = SEQUENCE) -> np.ndarray:
 
 def pieces(docs: DataFrame, text: str, path: str, capacity: int, end: int) -> DataFrame:
     """doc_id, row, piece, start, length, ids_crc32 for each piece of each row."""
-    small_batches(docs.sparkSession)
-
     def run(batches):
         own = encoder(path)
         last = np.array([end], dtype="<u4").tobytes()
-        for b in batches:
+        for b in small(batches):
             out = []
             texts = b.column(2).to_pylist()
             for doc, row, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), own.encode(texts)):
@@ -125,8 +123,13 @@ def pack(docs: DataFrame, text: str = "text", path: str | None = None, capacity:
     best-fit decreasing. Pieces then look up their place by their rank among those of their size. Ranks come
     from square-root many buckets of a size, so pieces of one frequent size are ranked in many tasks.
     """
-    spark = docs.sparkSession
-    cutted = cut(pieces(docs, text, path or vocabulary_path(), capacity, end), "pack-pieces")
+    with scratch() as held:
+        return held.keep(cut(_placed(cut(pieces(docs, text, path or vocabulary_path(), capacity, end), "pack-pieces"), capacity), "packed"))
+
+
+def _placed(cutted: DataFrame, capacity: int) -> DataFrame:
+    """Pieces with their sequence and offset."""
+    spark = cutted.sparkSession
     counts = {r["length"]: r["n"] for r in cutted.groupBy("length").agg(F.count("*").alias("n")).collect()}
     placed = plan(counts, capacity)
     sent = spark.sparkContext.broadcast(placed)

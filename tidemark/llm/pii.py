@@ -11,8 +11,28 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9_-]{20,128}(?![A-Za-z0-9+/_=-])"
+#: Length of an IBAN by country: fixed values of the registry.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18,
+    "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31,
+    "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29,
+    "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+
+
+def _iban() -> str:
+    """For each length, its countries, two check digits and as many characters, in groups or not."""
+    lengths = sorted(set(IBAN_LENGTHS.values()))
+    forms = ("(?:" + "|".join(c for c, m in IBAN_LENGTHS.items() if m == n) + rf")[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n in lengths)
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(forms)})(?![A-Za-z0-9])"
+
+
+IBAN = _iban()
+SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
 
 #: Words that raise a span's score when they stand within NEAR characters before it.
 CONTEXT = {
@@ -54,7 +74,7 @@ def mod97(x: Column) -> Column:
     plain = F.regexp_replace(x, " ", "")
     moved = F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))
     rest = F.aggregate(
-        F.split(moved, "(?!^)"),
+        F.filter(F.split(moved, ""), lambda c: c != ""),
         F.lit(0),
         lambda r, c: F.when(c <= "9", (r * 10 + F.ascii(c) - 48) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97),
     )
@@ -106,23 +126,27 @@ def _checked(kind: str, x: Column) -> tuple[Column, Column]:
     if kind == "phone":
         return F.length(digits(hit)).between(9, 15), none
     if kind == "iban":
-        return F.lit(True), mod97(hit)
-    return hit.rlike("[0-9]") & hit.rlike("[A-Za-z]"), none
+        return mod97(hit), F.lit(True)
+    # a path has slashes too, but hardly ever capitals, small letters and digits at once
+    mixed = hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
+    return F.when(hit.rlike("[/+]"), mixed & hit.rlike("[a-z]") & hit.rlike("[A-Z]") & ~hit.startswith("/")).otherwise(mixed), none
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and found: array of (kind, start, end, hit, score) by kind as in KINDS, then start, for each row.
+def with_spans(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """docs and a column with its array of (kind, start, end, hit, score) by kind as in KINDS, then start.
 
-    The base kinds are reported whenever their check holds; the others need a score of LEAST: a checksum, or
-    a context word before them. Null text counts as empty; ids that repeat or are missing make no difference.
+    The base kinds are reported whenever their check holds. Of the others, a span whose checksum fails is
+    never reported, and one without a checksum needs a score of LEAST: a context word before it. Null text
+    counts as empty. docs must have no column p_<kind>.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    t = F.coalesce(F.col(text), F.lit(""))
     # a cheap look for what every match of a kind holds decides whether its pattern runs at all
-    needs = {"email": F.contains("text", F.lit("@")), "ip": F.col("text").rlike(r"[0-9]\.[0-9]"), "card": F.col("text").rlike(r"[0-9][\x20-]?[0-9]"), "phone": F.contains("text", F.lit("+")), "iban": F.col("text").rlike("[A-Z]{2}[0-9]{2}"), "secret": F.col("text").rlike("[A-Za-z0-9_-]{20}")}
+    needs = {"email": F.contains(t, F.lit("@")), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike(r"[0-9][\x20-]?[0-9]"), "phone": F.contains(t, F.lit("+")), "iban": t.rlike("[A-Z]{2}[0-9]{2}"), "secret": t.rlike("[A-Za-z0-9+/_-]{20}")}
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "secret": SECRET}
     empty = "array<struct<start:int,end:int,hit:string,before:string>>"
+    rows = docs
     for kind in KINDS:
-        rows = rows.withColumn(f"p_{kind}", F.when(needs[kind], _proposals(F.col("text"), patterns[kind])).otherwise(F.array().cast(empty)))
+        rows = rows.withColumn(f"p_{kind}", F.when(needs[kind], _proposals(t, patterns[kind])).otherwise(F.array().cast(empty)))
 
     def scored(kind):
         def one(x):
@@ -133,11 +157,19 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         least = 0.0 if kind in BASE else LEAST
         return F.filter(F.transform(f"p_{kind}", one), lambda s: s["score"] >= least)
 
-    return rows.select("doc_id", F.concat(*(scored(k) for k in KINDS)).alias("found"))
+    return rows.select(*docs.columns, F.concat(*(scored(k) for k in KINDS)).alias(name))
+
+
+def find(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id and found (see with_spans) for each row; ids that repeat or are missing make no difference."""
+    return with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), "text", "found").drop("text")
 
 
 def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row; see find() for the odd cases."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, found (any span) and score (the surest one's, 0 without) for each row.
+
+    See with_spans() and find() for the odd cases.
+    """
     def joined(keep):
         return F.array_join(F.transform(keep, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -148,14 +180,22 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+    surest = F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0.0))
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
+        F.size("found").cast("long").alias("n_spans"), (F.size("found") > 0).alias("found"), surest.alias("score"),
+    )
 
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and the text with each reported span replaced by its kind in brackets (spans of different kinds may overlap: the first counts)."""
-    found = find(docs, text).select("doc_id", F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("found"))
+    """doc_id and the text with each reported span replaced by its kind in brackets.
+
+    Each row is masked by its own spans, whatever its id. Spans of different kinds may overlap: they are
+    replaced together under the kind that begins first. Null text becomes empty.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    both = rows.join(found.dropDuplicates(["doc_id"]), "doc_id", "left")
-    step = lambda s, x: F.when(x["start"] < s["at"], s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], F.substr("text", s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["kind"], F.lit("]")).alias("out")))
-    got = F.aggregate(F.coalesce("found", F.array().cast("array<struct<start:int,end:int,kind:string>>")), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return both.select("doc_id", F.concat(got["out"], F.substr("text", got["at"] + 1)).alias("text"))
+    spans = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    # a span inside what is covered already adds nothing; one that reaches beyond extends the cover
+    step = lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substr("text", s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["kind"], F.lit("]"))).alias("out"))
+    got = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return with_spans(rows, "text", "found").withColumn("got", got).select("doc_id", F.concat("got.out", F.substr("text", F.col("got.at") + 1)).alias("text"))

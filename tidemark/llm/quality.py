@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, positional, remainder, small_batches
-from .features import SLICE, char_grams, code_points, word_grams
+from .common import labelled_sample, positional, remainder, small
+from .features import char_grams, word_grams
 
 #: Labelled documents of each class that the model learns from, at most about.
 PER_LABEL = 3000
@@ -18,9 +20,10 @@ SIZES = (3,)
 THRESHOLD = 0.3
 
 
-def grams(text: str) -> np.ndarray:
-    c = code_points("\n" + text + "\n")
-    return np.concatenate([char_grams(c, SIZES, BITS), word_grams(c, BITS)])
+def grams(text: str) -> Iterator[np.ndarray]:
+    """Buckets of the character n-grams, words and word pairs, slice by slice."""
+    yield from char_grams("\n" + text + "\n", SIZES, BITS)
+    yield from word_grams(text, BITS)
 
 
 def fit(texts: list[str], labels: list[int], share: float) -> dict:
@@ -37,7 +40,7 @@ def fit(texts: list[str], labels: list[int], share: float) -> dict:
     y = np.array(labels, dtype=int)
     docs = []
     for t in texts:
-        b, c = np.unique(grams(t), return_counts=True)
+        b, c = np.unique(np.concatenate(list(grams(t))), return_counts=True)
         seen[b] = True
         docs.append((b, (c / c.sum()).astype(np.float32)))
     weight = np.array([0.5 / max(1, (y == k).sum()) * len(y) for k in (0, 1)], dtype=np.float32)
@@ -86,8 +89,7 @@ def score(model: dict, text: str | None) -> float:
     if model["table"] is None:
         return 0.5
     total, n, text = 0.0, 0, text or ""
-    for at in range(0, len(text), SLICE):
-        b = grams(text[at : at + SLICE])
+    for b in grams(text):
         total += float(model["table"][b].sum(dtype=np.float64))
         n += len(b)
     v = model["scale"] * total / max(1, n) + model["bias"] + model["shift"]
@@ -118,12 +120,11 @@ def scores(docs: DataFrame, model: dict, folds: int = 5, held: int = 0) -> DataF
 def with_score(docs: DataFrame, model: dict, name: str, text: str = "text") -> DataFrame:
     """docs and a column with the score of its text."""
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             own = pa.array([score(sent.value, t) for t in b.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, own], [*b.schema.names, name])
 
@@ -138,7 +139,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the classifier rejects, columns unchanged."""
+    """docs without the rows that the classifier rejects, columns unchanged.
+
+    Null texts count as empty; every row is judged by its own text, so repeated or missing ids and other
+    columns, whatever their names, make no difference. Without labels of both classes all rows stay (0.5).
+    """
     plain, names = positional(docs)
     scored = with_score(plain, learn(docs, labels), "quality_score", names["text"])
     return scored.filter(F.col("quality_score") >= THRESHOLD).select(*plain.columns).toDF(*docs.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, exact_dedup, langid, packing, pii, quality, sharding, simhash, tokenfile, toxicity
+from .common import cut, remove
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +49,9 @@ def op8_sharding(spark, sf_dir):
 def op9_token_file(spark, sf_dir):
     folder = tokenfile.new_folder(spark)
     tokenfile.write_tokens(_table(spark, sf_dir, "documents"), folder)
-    return tokenfile.digests(spark, folder)
+    read = cut(tokenfile.digests(spark, folder), "token-digests")
+    remove(spark, folder)
+    return read
 
 
 def op10_personal_data(spark, sf_dir):
@@ -77,4 +80,10 @@ ORACLES = {
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN names USING (doc_id)""",
+    "op8_sharding": """
+        WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(strlen(text), 0) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS bits FROM documents),
+        p AS (SELECT i, doc_id, n_bytes, bits, depth, bits >> (60 - depth) AS prefix FROM d, (SELECT unnest(range(0, 61)) AS depth)),
+        t AS (SELECT *, sum(n_bytes) OVER (PARTITION BY depth, prefix) AS shard_bytes FROM p),
+        f AS (SELECT * FROM t WHERE shard_bytes <= 33554432 OR depth = 60 QUALIFY row_number() OVER (PARTITION BY i ORDER BY depth) = 1)
+        SELECT doc_id, n_bytes, left(lpad(bin(bits), 60, '0'), CAST(depth AS INTEGER)) AS shard, CAST(depth AS INTEGER) AS depth, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_bytes > 33554432 AS over_limit FROM f""",
 }

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scratch
 
 #: Bytes of text a shard may hold.
 LIMIT = 32 << 20
@@ -16,7 +16,8 @@ FINER, DEEPEST = 4, 60
 
 
 def _bits() -> Column:
-    return F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit((1 << DEEPEST) - 1))
+    """The first DEEPEST bits of the id's md5."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, DEEPEST // 4), 16, 10).cast("long")
 
 
 def _prefix(bits: Column | str, depth: Column) -> Column:
@@ -24,13 +25,19 @@ def _prefix(bits: Column | str, depth: Column) -> Column:
 
 
 def _directory(cells: DataFrame, deep: int, limit: int, done: int) -> DataFrame:
-    """cell, depth, fits: the shortest prefix of each cell, longer than done bits, whose rows fit the limit."""
+    """cell, leaf (depth, prefix, bytes): the shortest prefix of each cell, from done bits on, whose rows fit the limit.
+
+    A prefix is a leaf if it fits and its parent does not, and each parent has two children at most. A leaf
+    then names the cells below it, which are few, as it fits and cells are fine.
+    """
     each = cells.select("cell", "size", F.explode(F.sequence(F.lit(done), F.lit(deep))).alias("depth"))
-    each = each.withColumn("prefix", F.call_function("shiftright", F.col("cell"), (F.lit(deep) - F.col("depth")).cast("int")))
-    total = each.groupBy("depth", "prefix").agg(F.sum("size").alias("bytes"))
-    fits = each.join(total, ["depth", "prefix"]).filter(F.col("bytes") <= limit)
-    first = fits.groupBy("cell").agg(F.min(F.struct("depth", "prefix", "bytes")).alias("leaf"))
-    return cells.select("cell").join(first, "cell", "left")
+    up = F.call_function("shiftright", F.col("cell"), (F.lit(deep) - F.col("depth")).cast("int"))
+    fits = cut(each.groupBy("depth", up.alias("prefix")).agg(F.sum("size").alias("bytes")).filter(F.col("bytes") <= limit), "shard-fits")
+    parents = fits.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
+    leaves = fits.join(parents, ["depth", "prefix"], "left_anti")
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(deep) - F.col("depth")).cast("int"))
+    below = F.sequence(F.col("prefix") * width, (F.col("prefix") + 1) * width - 1)
+    return leaves.select(F.explode(below).alias("cell"), F.struct("depth", "prefix", "bytes").alias("leaf")).join(cells.select("cell"), "cell", "right")
 
 
 def shard(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -40,6 +47,11 @@ def shard(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:
     no bytes; rows without an id hash alike. Rows that no bit tells apart (a document over the limit, an id
     that repeats) make one shard marked over_limit. Empty in, empty out.
     """
+    with scratch() as held:
+        return held.keep(cut(_sharded(docs, text, limit), "shards"))
+
+
+def _sharded(docs: DataFrame, text: str, limit: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"))
     rows = cut(rows.withColumn("bits", _bits()), "shard-rows")
     got = rows.agg(F.sum("n_bytes").alias("size"), F.count("*").alias("n")).first()

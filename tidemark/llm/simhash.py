@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, cut, join_spread, positional, release, small_batches
+from .common import HOT_KEYS, PART_BYTES, cut, join_spread, keep_rows, scratch, small
 
 BITS = 64
 #: Most differing bits of two linked fingerprints.
@@ -20,8 +20,12 @@ SEGMENTS = (13, 13, 13, 13, 12)
 CHAIN = 3
 #: Fingerprints under one key that are compared in pairs; those under fuller keys are linked through their balls.
 PAIRED = 96
-#: Up to so many ids of rows to drop are broadcast.
-BROADCAST_IDS = 1_000_000
+#: Up to so many tags (of 32 bytes) of rows to drop are broadcast.
+BROADCAST_TAGS = 1_000_000
+#: Fingerprints that show which keys are crowded; a key with so many of them is not paired at all.
+SHOWN, CROWDED = 20_000, 10
+#: Bytes of a row of signatures in a shuffle.
+SIGNATURE_BYTES = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,16 +55,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) and node (its vertex number) for each row."""
-    small_batches(docs.sparkSession)
-
+    """doc_id, tag (of id and text), fp (the fingerprint as a signed long) and node (its vertex number) for each row."""
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             f = np.array([fingerprint(x) for x in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64)), pa.array(_mixed(f).view(np.int64))], ["doc_id", "fp", "node"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f.view(np.int64)), pa.array(_mixed(f).view(np.int64))], ["doc_id", "tag", "fp", "node"])
+
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), _tag(F.col("doc_id"), F.col(text)).alias("tag"))
+    return src.mapInArrow(run, "doc_id long, tag string, fp long, node long")
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long, node long")
+
+def _tag(doc_id, text):
+    """Tells rows apart that share their id but not their text."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(" "), F.coalesce(text, F.lit(""))).cast("binary"))
 
 
 def _ring():
@@ -75,13 +82,15 @@ def _ring():
     return masks, out
 
 
-def signatures(prints: DataFrame) -> DataFrame:
+def signatures(prints: DataFrame, crowded: np.ndarray | None = None) -> DataFrame:
     """key, flip, start and fp: two fingerprints within DISTANCE share a key of some chain.
 
     A chain's key holds its first CHAIN segments with at most one bit flipped on either side, so keys
-    meet when the first segments are equal and the next ones differ in two bits at most.
+    meet when the first segments are equal and the next ones differ in two bits at most. A fingerprint under
+    one of the (sorted) crowded keys gets one row with a key of its own and tag -1 for all of them.
     """
     ring = _ring()[1]
+    many = prints.sparkSession.sparkContext.broadcast(crowded) if crowded is not None and len(crowded) else None
 
     def run(batches):
         for b in batches:
@@ -92,11 +101,26 @@ def signatures(prints: DataFrame) -> DataFrame:
                     keys = (g & np.uint64(mask))[None, :] ^ np.array(flips, dtype=np.uint64)[:, None]
                     keys = _mixed(keys ^ np.uint64((start + 1) * 0xD6E8FEB86659FD93 % (1 << 64)))
                     tag = np.repeat(np.arange(len(flips), dtype=np.int16) * 8 + start, len(g))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(tag), pa.array(np.tile(g, len(flips)).view(np.int64))], ["key", "tag", "fp"])
+                    keys, own = keys.ravel().view(np.int64), np.tile(g, len(flips))
+                    if many is not None:
+                        full = many.value[np.minimum(np.searchsorted(many.value, keys), len(many.value) - 1)] == keys
+                        some = np.unique(own[full])
+                        keys, tag, own = (np.concatenate(x) for x in ((keys[~full], _mixed(some).view(np.int64)), (tag[~full], np.full(len(some), -1, dtype=np.int16)), (own[~full], some)))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(tag), pa.array(own.view(np.int64))], ["key", "tag", "fp"])
 
     return prints.select("fp").mapInArrow(run, "key long, tag short, fp long")
 
 
+def crowded_keys(prints: DataFrame, n: int) -> np.ndarray:
+    """Keys that hold over about one in SHOWN / CROWDED of the n distinct fingerprints, sorted, from those of least hash.
+
+    Only a hint: members of crowded keys are linked exactly all the same, through their balls, without meeting in one task.
+    """
+    some = prints.filter(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, SHOWN / max(1, n)))))
+    keys = signatures(some).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= F.lit(max(CROWDED, PAIRED * min(1.0, SHOWN / max(1, n))))).select("key")
+    return np.sort(np.array([r["key"] for r in keys.collect()], dtype=np.int64))
+
+
 def _pairs(keys, tags, prints, masks):
     """Links among sorted rows: same key and chain, flips that meet once, prefix budgets, then the full distance."""
     found = []
@@ -163,6 +187,10 @@ def _scan(batches):
         return rest, out
 
     for b in batches:
+        tags = b.column(1).to_numpy()
+        if (tags < 0).any():
+            yield emit(np.unique(b.column(2).to_numpy().view(np.uint64)[tags < 0]), None)
+            b = b.filter(pa.array(tags >= 0))
         kept.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)))
         size += b.num_rows
         if size >= chunk:
@@ -193,9 +221,10 @@ def _as_nodes(batches):
 
 def links(prints: DataFrame) -> DataFrame:
     """Edges u < v between the nodes of distinct fingerprints (column fp), enough to connect all within DISTANCE."""
-    spark = prints.sparkSession
-    sigs = signatures(prints)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = prints.count()
+    sigs = signatures(prints, crowded_keys(prints, n))
+    per_row = sum(len(flips) for _, flips in _ring()[1])
+    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * per_row * SIGNATURE_BYTES // PART_BYTES + 1)
     found = sigs.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_scan, "a long, b long")
     found = cut(found, "simhash-found")
     pairs = found.filter("b is not null")
@@ -205,9 +234,7 @@ def links(prints: DataFrame) -> DataFrame:
         least = balls.groupBy("word").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("word", "a")
         stars = balls.join(least, "word").filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
         pairs = pairs.unionByName(stars)
-    out = cut(pairs.mapInArrow(_as_nodes, "u long, v long"), "simhash-links")
-    release(found)
-    return out
+    return cut(pairs.mapInArrow(_as_nodes, "u long, v long"), "simhash-links")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -218,10 +245,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     steps = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), name)
-        left = step.select("u", F.col("m").alias("mu"))
-        right = step.select(F.col("u").alias("v"), F.col("m").alias("mv"))
-        moved = edges.join(left, "u").join(right, "v").filter("mu <> mv")
+        step = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")), name)
+        hubs = step.filter(F.col("n") > F.lit(edges.count() / HOT_KEYS))
+        left, left_hot = (x.select("u", F.col("m").alias("mu")) for x in (step, hubs))
+        right, right_hot = (x.select(F.col("u").alias("v"), F.col("m").alias("mv")) for x in (step, hubs))
+        moved = join_spread(join_spread(edges, left, "u", left_hot, F.col("v")), right, "v", right_hot, F.col("u")).filter("mu <> mv")
         edges = cut(moved.select(F.least("mu", "mv").alias("u"), F.greatest("mu", "mv").alias("v")).distinct(), name)
         steps.append(step)
     if not steps:
@@ -241,31 +269,36 @@ def simhash_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     links of at most DISTANCE differing bits; ids that repeat share it where their texts do, and rows
     without an id get the least id of their component, null if it has none. Empty in, empty out.
     """
+    with scratch() as held:
+        found = _joined(docs, text)
+        return held.keep(cut(found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"), "simhash"))
+
+
+def _joined(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, tag, fp, component_id and first (the row of the component that stays) for each row."""
     narrow = cut(fingerprints(docs, text), "simhash-prints")
-    nodes = cut(narrow.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.count("*").alias("n")), "simhash-nodes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    nodes = cut(narrow.groupBy("node").agg(F.min(order).alias("least"), F.min("fp").alias("fp"), F.count("*").alias("n")), "simhash-nodes")
     roots = components(links(nodes), "simhash-roots")
     of = nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("of_root"))
+    least = cut(of.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("nodes")), "simhash-firsts")
     total = narrow.count()
-    found = cut(of.join(least, "root").select("node", "component_id", "n"), "simhash-components")
-    hot = found.filter(F.col("n") > F.lit(total / HOT_KEYS)).select("node", "component_id")
-    out = join_spread(narrow, found.select("node", "component_id"), "node", hot, F.col("doc_id"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    large = least.filter(F.col("nodes") > F.lit(total / HOT_KEYS)).select("root", "first")
+    found = cut(join_spread(of, least.select("root", "first"), "root", large, F.col("node")).select("node", "first", "n"), "simhash-components")
+    hot = found.filter(F.col("n") > F.lit(total / HOT_KEYS)).select("node", "first")
+    out = join_spread(narrow, found.select("node", "first"), "node", hot, F.col("doc_id"))
+    return out.withColumn("component_id", F.col("first.doc_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the row of least id of each component, columns unchanged; of rows that repeat that id one stays.
+    """docs with one row of each component, columns unchanged: that of least id (rows without an id last), then of least tag.
 
-    Rows to drop, known by their ids, are broadcast up to a checked count and joined by shuffle beyond it.
+    Rows are known by a tag of id and text, so rows that share an id, or have none, are told apart by their
+    texts; of rows that repeat both, one stays. Tags of rows to drop are broadcast up to a checked count and
+    joined by shuffle beyond it. Null texts count as empty; empty in, empty out; other columns are not read.
     """
-    found = simhash_dedup(docs, text)
-    act = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("simhash_kept"), F.count("*").alias("simhash_times"))
-    act = act.filter(~F.col("simhash_kept") | (F.col("simhash_times") > 1))
-    act = cut(act.withColumnRenamed("doc_id", "simhash_id"), "simhash-act")
-    if act.count() <= BROADCAST_IDS:
-        act = F.broadcast(act)
-    plain, names = positional(docs)
-    marked = plain.join(act, F.col(names["doc_id"]).eqNullSafe(F.col("simhash_id")), "left")
-    single = marked.filter(F.col("simhash_kept").isNull()).select(*plain.columns)
-    again = marked.filter("simhash_kept").dropDuplicates(["simhash_id"]).select(*plain.columns)
-    return single.unionByName(again).toDF(*docs.columns)
+    with scratch() as held:
+        found = _joined(docs, text)
+        act = found.groupBy("tag").agg(F.max(F.col("tag") == F.col("first.tag")).alias("kept"), F.count("*").alias("times"))
+        act = held.keep(cut(act.filter("not kept or times > 1"), "simhash-act"))
+    return keep_rows(docs, lambda col: _tag(col("doc_id"), col(text)), act, BROADCAST_TAGS)

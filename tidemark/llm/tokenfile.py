@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, release, shared_folder, small_batches
+from .common import cut, parts_for, scratch, shared_folder, small
 from .tokens import encoder, vocabulary_path
 
 END = 2
@@ -111,20 +111,17 @@ def decode_bits(data: bytes, count: int, checkpoints: np.ndarray, table, step: i
 def token_ids(docs: DataFrame, text: str, path: str, end: int) -> DataFrame:
     """doc_id, part, n_tokens and ids (16 bits if the vocabulary allows, else 32) in ascending doc_id within and over parts.
 
-    Each task adds a row of its own at its end: only counts, how often each id occurred in its documents.
+    Parts are ranges of id and text hash, so that an id that many rows share is no single part. Each task adds a row of its own at its end: only counts, how often each id occurred in its documents.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    src = src.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    src = src.repartitionByRange(parts_for(src), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
     names, kinds = ["doc_id", "part", "n_tokens", "ids", "counts"], [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches):
         own = encoder(path)
         size = own.tokenizer.get_vocab_size()
         kind, last, total = "<u2" if size <= 1 << 16 else "<u4", np.array([end], dtype="<u4").tobytes(), np.zeros(max(size, end + 1), dtype=np.int64)
-        for b in batches:
+        for b in small(batches):
             ids = [x + last for x in own.encode(b.column(1).to_pylist())]
             total += np.bincount(np.frombuffer(b"".join(ids), dtype="<u4"), minlength=len(total))
             data = [np.frombuffer(x, dtype="<u4").astype(kind).tobytes() for x in ids]
@@ -151,8 +148,11 @@ def _added(batches):
 
 def write_tokens(docs: DataFrame, folder: str, text: str = "text", path: str | None = None, end: int = END) -> None:
     """Write the file set for docs (null text: empty; rows without an id first; repeated ids in any order) to folder."""
-    spark = docs.sparkSession
-    ids = table = cut(token_ids(docs, text, path or vocabulary_path(), end), "token-ids")
+    with scratch():
+        _write(docs.sparkSession, cut(token_ids(docs, text, path or vocabulary_path(), end), "token-ids"), folder)
+
+
+def _write(spark: SparkSession, ids: DataFrame, folder: str) -> None:
     counted = ids.filter("counts is not null").select("counts").mapInArrow(_added, "id long, n long")
     counted = counted.groupBy("id").agg(F.sum("n").alias("n")).collect()
     ids = ids.filter("counts is null").drop("counts")
@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", path: str | N
             first = start + np.cumsum(n) - n
             cols = [[part], [number], [[x[0] for x in held]], [first], [n], [offsets[::STEP]], [data]]
             number, start = number + 1, start + len(all_ids)
-            kinds = [pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.int32()), pa.binary()]
+            kinds = [pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 4, pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["part", "block", "doc_ids", "starts", "counts", "checkpoints", "bits"])
 
         part = None
@@ -197,10 +197,8 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", path: str | N
         if held:
             yield block(part)
 
-
-    schema = "part int, block int, doc_ids array<long>, starts array<long>, counts array<long>, checkpoints array<int>, bits binary"
+    schema = "part int, block int, doc_ids array<long>, starts array<long>, counts array<long>, checkpoints array<long>, bits binary"
     ids.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
-    release(table)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -214,7 +212,6 @@ def _read(spark, folder, column, value, kind) -> DataFrame:
     for r in book:
         lengths[r["id"]] = r["bits"]
     sent = spark.sparkContext.broadcast(lengths)
-    small_batches(spark)
 
     def run(batches):
         table = decoding_table(sent.value)

@@ -30,8 +30,8 @@ class Encoder:
     Such a vocabulary never merges across the start of a space between two other characters, so the ids of a
     text are those of its pieces between spaces, each with its space. Pieces seen before are looked up. New
     ones go through the library joined to one text, whose ids are told apart by the bytes they stand for.
-    Texts in which a space meets other white space, or an end, go through the library whole. Strings of
-    special tokens are ordinary text.
+    Texts in which a space meets other white space, or an end, and those that hold the string of an added
+    token (special ones too) go through the library whole; with a vocabulary that normalises, all do.
     """
 
     def __init__(self, path: str):
@@ -39,7 +39,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = self.tokenizer.normalizer is None and all(t.content and not t.normalized and " " not in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
@@ -89,6 +90,13 @@ class Encoder:
         if len(known) > REMEMBERED:
             known.clear()
             self.marks.clear()
+        special = [n for n, t in enumerate(texts) if not self.plain or any(map(t.__contains__, self.added))]
+        if special:
+            out = [ids.tobytes() for ids in self._ids([texts[n] for n in special])]
+            own = dict(zip(special, out))
+            others = [t for n, t in enumerate(texts) if n not in own]
+            rest = iter(self._encode(others) if others else ())
+            return [own[n] if n in own else next(rest) for n in range(len(texts))]
         split = [t.split(" ") for t in texts]
         first = self._ids([s[0] for s in split])
         for s in split:
