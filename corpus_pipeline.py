@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, exact_dedup, packing, quality, simhash
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +35,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what each returns is written and read again."""
+    """All stages in order; what each returns is written and read again, and what it needed is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
-    return docs
+    with scratch() as held:
+        for name, stage in STAGES:
+            with scratch() as own:
+                after = own.keep(cut(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}"))
+            docs = after
+        return held.keep(docs)
