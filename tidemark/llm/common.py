@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 #: Rows an Arrow batch may hold, so that a batch of long texts stays small.
 BATCH_ROWS = 500
-#: Bytes that a partition of a shuffle with a given number of partitions should hold, and the most partitions.
-PART_BYTES, MOST_PARTS = 128 << 20, 1 << 20
+#: Bytes that a partition of a shuffle with a given number of partitions should hold.
+PART_BYTES = 128 << 20
 #: Distinct values that a label may have.
 MOST_LABELS = 1000
 
@@ -92,15 +92,10 @@ def small(batches, rows: int = BATCH_ROWS):
             yield b.slice(at, rows)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Spark's estimate of the size of df; for files read directly that of the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
-def parts_for(df: DataFrame, each: int = PART_BYTES) -> int:
-    """Shuffle partitions for df: those the session asks for, more where each would hold over so many bytes."""
-    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(own, min(input_bytes(df) // each + 1, MOST_PARTS))
+def parts_for(df: DataFrame, text: str, each: int = PART_BYTES) -> int:
+    """Shuffle partitions for df: those the session asks for, more where each would hold over so many bytes of text."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // each + 1)
 
 
 def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

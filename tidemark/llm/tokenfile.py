@@ -114,7 +114,7 @@ def token_ids(docs: DataFrame, text: str, path: str, end: int) -> DataFrame:
     Parts are ranges of id and text hash, so that an id that many rows share is no single part. Each task adds a row of its own at its end: only counts, how often each id occurred in its documents.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    src = src.repartitionByRange(parts_for(src), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
+    src = src.repartitionByRange(parts_for(src, "text"), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
     names, kinds = ["doc_id", "part", "n_tokens", "ids", "counts"], [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches):
