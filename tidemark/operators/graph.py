@@ -79,6 +79,20 @@ def cheapest(edges: DataFrame, sources: DataFrame, rounds: int, most: float = fl
     return best
 
 
+def detours(edges: DataFrame, start: int, goal: int, places: DataFrame, rounds: int) -> DataFrame:
+    """node, detour of places (node): what calling there on the way from start to goal costs more than the way itself.
+
+    Two searches serve all places: one from start, one from goal over the edges turned round.
+    """
+    spark = edges.sparkSession
+    at = lambda node: spark.createDataFrame([(node, 0.0)], "node long, cost double")
+    there = cheapest(edges, at(start), rounds).select("node", F.col("cost").alias("_to"))
+    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost")
+    home = cheapest(back, at(goal), rounds).select("node", F.col("cost").alias("_from"))
+    own = there.filter(F.col("node") == goal).select(F.col("_to").alias("_own"))
+    return places.select("node").join(there, "node").join(home, "node").join(F.broadcast(own)).select("node", (F.col("_to") + F.col("_from") - F.col("_own")).alias("detour"))
+
+
 def viterbi(df: DataFrame, by: list[str], order: list[str], emission: list[str], stay: float, gap: int) -> DataFrame:
     """df with state: the likeliest chain over columns of log-likelihoods, where leaving a state costs log(1 - stay).
 
