@@ -8,61 +8,107 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DAYS = ("Mo", "Tu", "We", "Th", "Fr", "Sa", "Su")
-WEEK = 7 * 1440
+DAYS = ("mo", "tu", "we", "th", "fr", "sa", "su")
+DAY, WEEK = 1440, 7 * 1440
 RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_token = re.compile(r"\s*(?:(?P<all>24/7)|(?P<span>\d{1,2}:\d{2}\s*-\s*\d{1,2}:\d{2})\+?|(?P<day>mo|tu|we|th|fr|sa|su|ph)(?![a-z])|(?P<off>off|closed)(?![a-z])|(?P<mark>[-,:]))", re.I)
 
 
-def _days(text: str) -> list[int] | None:
-    out: list[int] = []
-    for part in filter(None, re.split(r"\s*,\s*", text)):
-        ends = part.split("-")
-        if any(e not in DAYS for e in ends) or len(ends) > 2:
+def _tokens(rule: str) -> list[tuple[str, str]] | None:
+    """(kind, text) of a rule's parts; None if something in it is unknown."""
+    out, at = [], 0
+    rule = rule.rstrip()
+    while at < len(rule):
+        m = _token.match(rule, at)
+        if not m:
             return None
-        a, b = DAYS.index(ends[0]), DAYS.index(ends[-1])
-        out += [d % 7 for d in range(a, b + 1 if b >= a else b + 8)]
+        out.append((m.lastgroup, m[m.lastgroup].lower()))
+        at = m.end()
     return out
 
 
-def week_ranges(value: str | None) -> list[tuple[int, int]] | None:
-    """Sorted disjoint ranges; None for what is not understood or names no opening at all, [] for always closed."""
-    if not value or not value.strip():
+def _span(text: str) -> tuple[int, int] | None:
+    h, m, h2, m2 = map(int, re.findall(r"\d+", text))
+    a, b = 60 * h + m, 60 * h2 + m2
+    if a >= DAY or b > 2 * DAY or m >= 60 or m2 >= 60:
         return None
-    value = value.strip()
-    if value == "24/7":
-        return [(0, WEEK)]
-    if value in ("off", "closed"):
-        return []
-    week: dict[int, list[tuple[int, int]]] = {}
-    opened = False
-    for rule in filter(None, (r.strip() for r in value.split(";"))):
-        m = re.fullmatch(r"((?:(?:Mo|Tu|We|Th|Fr|Sa|Su|PH)[-,\s]*)*)(off|closed|[0-9:,\-\s]+)", rule)
-        if not m:
+    return a, b + DAY if b <= a and b <= DAY else b
+
+
+def _rules(tokens: list[tuple[str, str]]) -> list[tuple[list[int], list[tuple[int, int]]]] | None:
+    """(days, spans) of the rules in one part between semicolons; those after the first add to what is there."""
+    out, i = [], 0
+    kinds = [k if k != "mark" else t for k, t in tokens] + ["end"]
+    while kinds[i] != "end":
+        days, named = [], kinds[i] == "day"
+        while kinds[i] == "day":
+            a = b = tokens[i][1]
+            if kinds[i + 1] == "-":
+                if kinds[i + 2] != "day" or "ph" in (a, tokens[i + 2][1]):
+                    return None
+                b, i = tokens[i + 2][1], i + 2
+            if a != "ph":
+                first, last = DAYS.index(a), DAYS.index(b)
+                days += [(first + k) % 7 for k in range((last - first) % 7 + 1)]
+            i += 1
+            if kinds[i] == "," and kinds[i + 1] == "day":
+                i += 1
+            else:
+                break
+        if named and kinds[i] == ":":
+            i += 1
+        spans = []
+        if kinds[i] == "all" and not named:
+            spans, i = [(0, DAY)], i + 1
+        elif kinds[i] == "off":
+            i += 1
+        elif kinds[i] == "span":
+            while True:
+                span = _span(tokens[i][1])
+                if span is None:
+                    return None
+                spans.append(span)
+                i += 1
+                if kinds[i] == "," and kinds[i + 1] == "span":
+                    i += 1
+                else:
+                    break
+        elif named and kinds[i] == "end":
+            spans = [(0, DAY)]
+        else:
             return None
-        names = [n for n in re.split(r"\s*,\s*", m[1].strip(" ,")) if n and n != "PH"]
-        if m[1].strip() and not names:
+        if days or not named:
+            out.append((days if named else list(range(7)), spans))
+        else:
+            out.append(([], []))
+        if kinds[i] == "," and kinds[i + 1] == "day":
+            i += 1
+        elif kinds[i] != "end":
+            return None
+    return out
+
+
+def week_ranges(value: str | None) -> list[tuple[int, int]] | None:
+    """Sorted disjoint ranges; None for what is not understood or only closes some days, [] for always closed.
+
+    Rules after a semicolon replace the days they name, rules after a comma before a weekday add to them; a
+    later end than midnight runs into the next day, equal ends are the whole day, public holidays are dropped.
+    """
+    week: list[list[tuple[int, int]] | None] = [None] * 7
+    for part in (value or "").split(";"):
+        if not part.strip():
             continue
-        days = _days(",".join(names)) if names else list(range(7))
-        if days is None:
+        tokens = _tokens(part)
+        rules = _rules(tokens) if tokens is not None else None
+        if rules is None:
             return None
-        spans = []
-        if m[2] not in ("off", "closed"):
-            for part in m[2].replace(" ", "").split(","):
-                t = re.fullmatch(r"(\d{1,2}):(\d{2})-(\d{1,2}):(\d{2})", part)
-                if not t:
-                    return None
-                a, b = int(t[1]) * 60 + int(t[2]), int(t[3]) * 60 + int(t[4])
-                spans.append((a, b if b > a else b + 1440))
-            opened = True
-        for d in days:
-            week[d] = spans
-    if not opened:
+        for k, (days, spans) in enumerate(rules):
+            for d in days:
+                week[d] = (week[d] or []) + spans if k and spans else spans
+    if not any(week) and None in week:
         return None
-    flat: list[tuple[int, int]] = []
-    for d, spans in week.items():
-        for a, b in spans:
-            a, b = a + d * 1440, b + d * 1440
-            flat += [(a, b)] if b <= WEEK else [(a, WEEK), (0, b - WEEK)]
+    flat = [(a + d * DAY, b + d * DAY) for d, spans in enumerate(week) for a, b in spans or []]
+    flat = [r for a, b in flat for r in ([(a, b)] if b <= WEEK else [(a, WEEK), (0, b - WEEK)])]
     merged: list[tuple[int, int]] = []
     for a, b in sorted(flat):
         if merged and a <= merged[-1][1]:
@@ -74,4 +120,6 @@ def week_ranges(value: str | None) -> list[tuple[int, int]] | None:
 
 @F.pandas_udf(RANGES)
 def opening_hours(s: pd.Series) -> pd.Series:
-    return s.map(week_ranges)
+    """The ranges of each value; a value that repeats in a batch is read once."""
+    known = {v: week_ranges(v) for v in s.dropna().unique()}
+    return s.map(lambda v: known.get(v) if isinstance(v, str) else None)

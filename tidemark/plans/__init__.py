@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("timeline", "totals", "words", "places", "machines", "tracks", "motion", "roads")
+FAMILIES = ("timeline", "totals", "words", "places", "machines", "tracks", "motion", "roads", "parsing")
 
 
 def all_queries() -> dict:
