@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions import conv
+from tidemark.operators.tables import cut
 
 
 def line_fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -22,10 +22,49 @@ def best_field(df: DataFrame, by: list[str], fields: list[str], y: str, least: i
     return best.select(*by, F.col("b.field").alias("field"), F.col("b.r").alias("r"), F.col("b.slope").alias("slope"))
 
 
+#: Accuracy of the sketch that brackets an exact quantile: the bracket holds about four in so many rows of a group.
+SKETCH = 20_000
+#: Up to so many groups' brackets are broadcast.
+BROADCAST_GROUPS = 100_000
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """by and exact quantiles of value: wanted maps names to ('floor', q), the member at floor(q n), or ('linear', q).
+
+    A mergeable sketch brackets each rank; then values inside the brackets are counted by value, with the number
+    below and the neighbours just outside. No task holds a group, whatever its size.
+    """
+    qs = sorted({q for _, q in wanted.values()})
+    d = 2 / SKETCH
+    edges = F.percentile_approx(value, [min(1.0, max(0.0, q + e)) for q in qs for e in (-d, d)], SKETCH)
+    rows = df.select(*by, F.col(value).alias("_v")).filter("_v is not null")
+    marks = cut(df.filter(F.col(value).isNotNull()).groupBy(*by).agg(edges.alias("_e"), F.count("*").alias("_n")))
+    met = rows.join(F.broadcast(marks) if marks.count() <= BROADCAST_GROUPS else marks, by)
+    met = cut(met.groupBy(*by, "_n", *(F.when(F.col("_v").between(F.col("_e")[2 * i], F.col("_e")[2 * i + 1]), F.col("_v")).alias(f"_in{i}") for i in range(len(qs))), *(F.when(F.col("_v") < F.col("_e")[2 * i], -1).when(F.col("_v") > F.col("_e")[2 * i + 1], 1).otherwise(0).alias(f"_side{i}") for i in range(len(qs)))).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    out = None
+    for name, (kind, q) in wanted.items():
+        i = qs.index(q)
+        counts = met.groupBy(*by, "_n", f"_in{i}", f"_side{i}").agg(F.sum("_c").alias("_c"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        at = F.when(F.col(f"_side{i}") < 0, F.col("_hi")).when(F.col(f"_side{i}") > 0, F.col("_lo")).otherwise(F.col(f"_in{i}"))
+        w = Window.partitionBy(*by).orderBy(f"_side{i}", f"_in{i}")
+        upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        counts = counts.select(*by, "_n", at.alias("_at"), upto.alias("_to"), (upto - F.col("_c")).alias("_from"))
+        # below the bracket only its last member is known, above it only the first; ranks wanted lie no further out
+        spot = F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n"))) if kind == "floor" else F.floor(F.lit(q) * (F.col("_n") - 1))
+        share = F.lit(q) * (F.col("_n") - 1) - F.floor(F.lit(q) * (F.col("_n") - 1))
+        hit = lambda r: F.max(F.when((r >= F.col("_from")) & (r < F.col("_to")), F.col("_at")))
+        low, high = hit(spot), hit(F.least(F.col("_n") - 1, spot + 1))
+        exact = low if kind == "floor" else low + F.max(share) * (high - low)
+        one = counts.groupBy(*by).agg(exact.alias(name))
+        out = one if out is None else out.join(one, by)
+    return out
+
+
 def verdict(before: DataFrame, now: DataFrame, key: str, score: str, floor: float) -> DataFrame:
     """key, before, now, verdict by upper medians and worst values: worse or better beyond half again and the floor."""
     def of(df, name):
-        return df.groupBy(key).agg(conv.upper_median(F.col(score)).alias(f"{name}_median"), F.max(score).alias(f"{name}_worst"))
+        worst = df.groupBy(key).agg(F.max(score).alias(f"{name}_worst"))
+        return worst.join(quantiles(df, [key], score, {f"{name}_median": ("floor", 0.5)}), key, "left")
 
     j = of(before, "before").join(of(now, "now"), key, "full_outer")
 
@@ -36,11 +75,21 @@ def verdict(before: DataFrame, now: DataFrame, key: str, score: str, floor: floa
     return j.select(key, F.col("before_median").alias("before"), F.col("now_median").alias("now"), v.alias("verdict"))
 
 
-def largest_gap(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, low, high: the two neighbours of the sorted values that lie farthest apart; the first such pair."""
-    w = Window.partitionBy(*by).orderBy(value)
-    g = df.withColumn("_next", F.lead(value).over(w)).filter("_next is not null")
-    best = g.groupBy(*by).agg(F.min(F.struct((F.col(value) - F.col("_next")).alias("k"), F.col(value).alias("low"), F.col("_next").alias("high"))).alias("b"))
+def largest_gap(df: DataFrame, by: list[str], value: str, parts: int = 4096) -> DataFrame:
+    """by, low, high: the two neighbours of the sorted values that lie farthest apart; the first such pair.
+
+    Values are cut into parts of equal width: a gap lies inside one, or between the largest value of one and the
+    smallest of the next.
+    """
+    ends = df.groupBy(*by).agg(F.min(value).alias("_a"), F.max(value).alias("_z"))
+    rows = df.select(*by, F.col(value).alias("_v")).filter("_v is not null").join(ends, by)
+    rows = rows.withColumn("_p", F.when(F.col("_z") > F.col("_a"), F.floor((F.col("_v") - F.col("_a")) / (F.col("_z") - F.col("_a")) * parts)).otherwise(0).cast("long"))
+    w = Window.partitionBy(*by, "_p").orderBy("_v")
+    inside = rows.select(*by, F.col("_v").alias("low"), F.lead("_v").over(w).alias("high"))
+    edges = rows.groupBy(*by, "_p").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    across = edges.select(*by, F.col("_hi").alias("low"), F.lead("_lo").over(Window.partitionBy(*by).orderBy("_p")).alias("high"))
+    g = inside.unionByName(across).filter("high is not null")
+    best = g.groupBy(*by).agg(F.min(F.struct((F.col("low") - F.col("high")).alias("k"), "low", "high")).alias("b"))
     return best.select(*by, F.col("b.low").alias("low"), F.col("b.high").alias("high"))
 
 

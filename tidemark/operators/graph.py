@@ -47,36 +47,59 @@ def components(edges: DataFrame) -> DataFrame:
     return of.join(least, "root").select("node", "component")
 
 
+#: Rounds whose finds are kept as tables of their own before they become one.
+COMPACT = 8
+
+
 def hops(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
-    """node, hops: fewest edges from any source, up to most; each round moves only the frontier."""
-    seen = cut(sources.select("node").distinct().withColumn("hops", F.lit(0)))
-    front = seen
+    """node, hops: fewest edges from any source, up to most; each round moves and writes only the frontier."""
+    front = cut(sources.select("node").distinct().withColumn("hops", F.lit(0)))
+    found = [front]
     for k in range(1, most + 1):
         step = front.select(F.col("node").alias("a")).join(edges.select("a", "b"), "a").select(F.col("b").alias("node")).distinct()
-        front = cut(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(k)))
+        front = cut(step.join(_all(found).select("node"), "node", "left_anti").withColumn("hops", F.lit(k)))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        found.append(front)
+        if len(found) > COMPACT:
+            found = [cut(_all(found))]
+    return _all(found)
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _least(tables: list[DataFrame]) -> DataFrame:
+    """node, cost, via: the least of each node."""
+    if len(tables) == 1:
+        return tables[0]
+    return _all(tables).groupBy("node").agg(F.min(F.struct("cost", "via")).alias("s")).select("node", "s.*")
 
 
 def cheapest(edges: DataFrame, sources: DataFrame, rounds: int, most: float = float("inf")) -> DataFrame:
     """node, cost, via: least cost over directed edges (a, b, cost) from sources (node, cost), at most `most`.
 
-    Relaxation of the nodes that improved last round; ends when none does, or after rounds.
+    Relaxation of the nodes that improved last round; ends when none does, or after rounds. What a round
+    improves is written as a table of its own; every COMPACT rounds these become one.
     """
-    best = cut(sources.select("node", F.col("cost").cast("double").alias("cost"), F.lit(None).cast(dict(edges.dtypes)["a"]).alias("via")))
-    moved = best
+    moved = cut(sources.select("node", F.col("cost").cast("double").alias("cost"), F.lit(None).cast(dict(edges.dtypes)["a"]).alias("via")))
+    best = [moved]
     for _ in range(rounds):
         step = moved.select(F.col("node").alias("a"), F.col("cost").alias("c0")).join(edges, "a")
         step = step.select(F.col("b").alias("node"), (F.col("c0") + F.col("cost")).alias("cost"), F.col("a").alias("via")).filter(F.col("cost") <= most)
         step = step.groupBy("node").agg(F.min(F.struct("cost", "via")).alias("s")).select("node", "s.*")
-        old = best.select("node", F.col("cost").alias("old"))
+        old = _least(best).select("node", F.col("cost").alias("old"))
         moved = cut(step.join(old, "node", "left").filter("old is null or cost < old").select("node", "cost", "via"))
         if moved.isEmpty():
             break
-        best = cut(best.join(moved.select("node"), "node", "left_anti").unionByName(moved))
-    return best
+        best.append(moved)
+        if len(best) > COMPACT:
+            best = [cut(_least(best))]
+    return _least(best)
 
 
 def detours(edges: DataFrame, start: int, goal: int, places: DataFrame, rounds: int) -> DataFrame:
@@ -137,6 +160,14 @@ def exits(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").join(on, "b").filter("c <> a").select("a", "b", "c")
 
 
+def exit_counts(edges: DataFrame) -> DataFrame:
+    """a, b, n: how many ways on there are at the end b of each directed edge, but for the way back; no pair is made."""
+    out = edges.groupBy("a").agg(F.count("*").alias("_out")).withColumnRenamed("a", "b")
+    back = edges.groupBy(F.col("a").alias("b"), F.col("b").alias("a")).agg(F.count("*").alias("_back"))
+    met = edges.select("a", "b").join(out, "b", "left").join(back, ["a", "b"], "left")
+    return met.select("a", "b", (F.coalesce("_out", F.lit(0)) - F.coalesce("_back", F.lit(0))).alias("n"))
+
+
 def way_to(best: DataFrame, goal: int, rounds: int) -> DataFrame:
     """place, a, b: the edges of the path to goal over the via of cheapest(), counted back from it; empty if it was not reached."""
     at = best.filter(F.col("node") == goal).select(F.lit(0).alias("place"), F.col("via").alias("a"), F.col("node").alias("b"))

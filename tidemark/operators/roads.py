@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import geo, roads
+from tidemark.operators.graph import cheapest
 from tidemark.operators.tables import cut
 
 
@@ -83,20 +84,12 @@ def route(edges: DataFrame, turns: DataFrame, starts: DataFrame, rounds: int) ->
     """edge, cost, via_edge: least seconds to the end of each directed edge from the starting edges (edge, cost).
 
     States are directed edges, so turn costs and restrictions are exact. edges: edge, seconds (entry
-    included); turns: from_edge, to_edge, seconds. Only states that improved last round move on, and
-    improvements are appended and compacted by one aggregate a round.
+    included); turns: from_edge, to_edge, seconds.
     """
-    step = turns.join(edges.select(F.col("edge").alias("to_edge"), F.col("seconds").alias("_s")), "to_edge").select("from_edge", F.col("to_edge").alias("edge"), (F.col("seconds") + F.col("_s")).alias("_c"))
-    step = cut(step)
-    best = moved = cut(starts.select("edge", F.col("cost").cast("double").alias("cost"), F.lit(None).cast("long").alias("via_edge")))
-    for _ in range(rounds):
-        on = moved.select(F.col("edge").alias("from_edge"), F.col("cost").alias("_c0")).join(step, "from_edge")
-        on = on.groupBy("edge").agg(F.min(F.struct((F.col("_c0") + F.col("_c")).alias("cost"), F.col("from_edge").alias("via_edge"))).alias("s")).select("edge", "s.*")
-        moved = cut(on.join(best.select("edge", F.col("cost").alias("_old")), "edge", "left").filter("_old is null or cost < _old").select("edge", "cost", "via_edge"))
-        if moved.isEmpty():
-            break
-        best = cut(best.join(moved.select("edge"), "edge", "left_anti").unionByName(moved))
-    return best
+    step = turns.join(edges.select(F.col("edge").alias("to_edge"), F.col("seconds").alias("_s")), "to_edge")
+    step = cut(step.select(F.col("from_edge").alias("a"), F.col("to_edge").alias("b"), (F.col("seconds") + F.col("_s")).alias("cost")))
+    found = cheapest(step, starts.select(F.col("edge").alias("node"), "cost"), rounds)
+    return found.select(F.col("node").alias("edge"), "cost", F.col("via").alias("via_edge"))
 
 
 def trip(edges: DataFrame, turns: DataFrame, stops: list[int], rounds: int) -> DataFrame:

@@ -8,25 +8,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.functions.text import ascii_tokens, typo_budget
+from tidemark.functions.text import tokens, typo_budget
+from tidemark.operators.tables import ordinal
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """token and key, once for each row that has the token: the index as rows, so that frequent tokens stay spread."""
-    return df.select(F.explode(F.array_distinct(ascii_tokens(F.col(text)))).alias("token"), F.col(key)).distinct()
+    """token and key, once for each row that has the (folded) token: the index as rows, so that frequent tokens stay spread."""
+    return df.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("token"), F.col(key)).distinct()
 
 
-def dictionary(df: DataFrame, value: str, seen: str, most: int = 65_535) -> DataFrame:
-    """value, n, code: distinct values by falling count, first seen first; codes over most are null.
+def laid_out(index: DataFrame) -> DataFrame:
+    """The index ordered by token within files that hold ranges of tokens, so that a look-up reads few row groups."""
+    return index.repartitionByRange("token").sortWithinPartitions("token")
 
-    Ranks within a count are taken apart from the numbers of values with higher counts, so that no task orders all.
+
+def dictionary(df: DataFrame, value: str, seen: str, most: int = 65_535, width: int = 1_000_000) -> DataFrame:
+    """value, n, code: distinct values by falling count, first seen (a whole number) first; codes over most are null.
+
+    Values of one count are cut by when they were first seen, so no task orders all that were seen once. Two
+    numberings do it: counts, and within a count stretches of width.
     """
     n = df.groupBy(value).agg(F.count("*").alias("n"), F.min(seen).alias("_first"))
-    sizes = n.groupBy("n").agg(F.count("*").alias("_k"))
-    higher = sizes.select("n", F.coalesce(F.sum("_k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("n").orderBy("_first", value)) - 1
-    out = n.withColumn("_r", rank).join(higher, "n").withColumn("code", F.col("_base") + F.col("_r"))
-    return out.select(value, "n", F.when(F.col("code") < most, F.col("code")).alias("code"))
+    part = F.struct((-F.col("n")).alias("n"), F.floor(F.col("_first") / width).alias("p"))
+    out = ordinal(n, part, ["_first", value], "_code").withColumn("_code", F.col("_code") - 1)
+    return out.select(value, "n", F.when(F.col("_code") < most, F.col("_code")).alias("code"))
 
 
 def match_all(index: DataFrame, words: list[str], key: str, prefix: bool = False) -> DataFrame:
@@ -69,7 +74,9 @@ def near_tokens(index: DataFrame, words: DataFrame) -> DataFrame:
     # the first letter and the length bound the candidates, so words of one letter spread over lengths
     span = F.sequence(F.length("word") - F.col("budget"), F.length("word") + F.col("budget"))
     met = asked.withColumn("_n", F.explode(span)).join(vocabulary.withColumn("_n", F.length("token")), ["_f", "_n"])
-    got = met.withColumn("distance", osa_distance("word", "token", "budget"))
+    # a built-in distance leaves few for the exact one: a swap of neighbours costs at most two of its edits
+    near = met.filter((F.col("word") == F.col("token")) | F.expr("levenshtein(word, token, 4) between 0 and 2 * budget"))
+    got = near.withColumn("distance", osa_distance("word", "token", "budget"))
     return got.filter(F.col("distance") <= F.col("budget")).select("word", "token", "distance")
 
 

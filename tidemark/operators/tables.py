@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -23,6 +24,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored(spark, name: str, make) -> DataFrame:
+    """The table of this name, made and written to the shared folder when the session first asks for it."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _stored:
+        _stored[key] = cut(make())
+    return _stored[key]
+
+
+def ordinal(df: DataFrame, part: Column, order: list, name: str) -> DataFrame:
+    """df with each row's place (from 1) in the whole order; part is a number, or a struct of them, that rises with it and cuts it into tasks."""
+    rows = df.withColumn("_part", part)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row for each part, of which there are few: their running sum may be one task
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return rows.withColumn("_own", own).join(base, "_part").withColumn(name, F.col("_own") + F.col("_base")).drop("_part", "_own", "_base")
+
+
 def reconcile(local: DataFrame, remote: DataFrame, last: DataFrame, key: str, digest: str) -> DataFrame:
     """key, action of a three-way sync: push, pull, same, edited on both, gone here, gone there."""
     a = local.select(key, F.col(digest).alias("a"))
@@ -42,8 +64,6 @@ def reconcile(local: DataFrame, remote: DataFrame, last: DataFrame, key: str, di
 
 def keep_newest(df: DataFrame, by: list[str], order: str, newest: int, younger_than, always=None) -> DataFrame:
     """Retention: the newest few of each group, whatever is young enough, and what is always kept."""
-    from pyspark.sql.window import Window
-
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))
     keep = (F.col("_place") <= newest) | younger_than
     return df.withColumn("_place", place).filter(keep if always is None else keep | always).drop("_place")

@@ -42,41 +42,61 @@ def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column, n
     return out.withColumn(name, F.col("_in") + F.col("_base")).drop("_v", "_b", "_in", "_base")
 
 
+def around(left: DataFrame, right: DataFrame, by: list[str], t: str, cols: list[str], tie: str | None = None, back: str | None = "back", ahead: str | None = "ahead", bucket: int = BUCKET) -> DataFrame:
+    """left with structs (t, cols) of right's last row at or before its time and of the first at or after; a name of None leaves a side out.
+
+    Both sides come from one sort of each key's buckets, and what a bucket needs of its neighbours from a table
+    with one row a bucket. Right rows at one time are ordered by tie, the last of them counting either way.
+    """
+    keep = F.struct(F.col(t).alias("t"), *cols)
+    kind = right.select(keep.alias("x")).schema["x"].dataType
+    a = left.select(*by, F.col(t).alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast("long").alias("_tie"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(kind).alias("_r"))
+    # a right row stands before the left rows of its time for those that look back, behind them for those that look ahead
+    places = [o for o, name in ((0, back), (2, ahead)) if name]
+    b = right.select(*by, F.col(t).alias("_t"), F.explode(F.array(*map(F.lit, places))).alias("_o"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("_tie"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), keep.alias("_r"))
+    b = b.withColumn("_tie", F.when(F.col("_o") == 2, -F.col("_tie")).otherwise(F.col("_tie")))
+    rows = _bucketed(a.unionByName(b), "_t", bucket)
+    inside, buckets = Window.partitionBy(*by, "_b").orderBy("_t", "_o", "_tie"), Window.partitionBy(*by).orderBy("_b")
+    ends, carry, found = [], [F.col(c) for c in (*by, "_b")], {}
+    if back:
+        ends.append(F.max_by("_r", F.when(F.col("_o") == 0, F.struct("_t", "_tie"))).alias("_end"))
+        carry.append(F.last("_end", ignorenulls=True).over(buckets.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+        rows = rows.withColumn("_back", F.last(F.when(F.col("_o") == 0, F.col("_r")), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        found[back] = F.coalesce("_back", "_before")
+    if ahead:
+        ends.append(F.min_by("_r", F.when(F.col("_o") == 2, F.struct("_t", "_tie"))).alias("_start"))
+        carry.append(F.first("_start", ignorenulls=True).over(buckets.rowsBetween(1, Window.unboundedFollowing)).alias("_behind"))
+        rows = rows.withColumn("_ahead", F.first(F.when(F.col("_o") == 2, F.col("_r")), ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+        found[ahead] = F.coalesce("_ahead", "_behind")
+    marks = rows.groupBy(*by, "_b").agg(*ends).select(*carry)
+    out = rows.filter("_o = 1").join(marks, [*by, "_b"], "left")
+    return out.select("_l.*", *(c.alias(name) for name, c in found.items()))
+
+
 def asof(left: DataFrame, right: DataFrame, by: list[str], t: str, cols: list[str], tolerance: int | None = None, forward: bool = False, tie: str | None = None, name: str = "match", bucket: int = BUCKET) -> DataFrame:
     """left with a struct (t, cols) of the last row of right at or before its time (forward: the first at or after).
 
     Right rows at one time are ordered by tie. Left rows without a key or match get null.
     """
-    sign = -1 if forward else 1
-    keep = F.struct(F.col(t).alias("t"), *cols)
-    a = left.withColumn("_l", F.struct(*left.columns)).select(*by, (F.col(t) * sign).alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast("long").alias("_tie"), "_l")
-    a = a.withColumn("_r", F.lit(None).cast(right.select(keep.alias("x")).schema["x"].dataType))
-    b = right.select(*by, (F.col(t) * sign).alias("_t"), F.lit(0).alias("_o"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("_tie"), keep.alias("_r"))
-    rows = _bucketed(a.unionByName(b, allowMissingColumns=True), "_t", bucket)
-    inside = Window.partitionBy(*by, "_b").orderBy("_t", "_o", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    ends = rows.filter("_o = 0").groupBy(*by, "_b").agg(F.max_by("_r", F.struct("_t", "_tie")).alias("_end"))
-    marks = rows.select(*by, "_b").distinct().join(ends, [*by, "_b"], "left")
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = marks.select(*by, "_b", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
-    out = rows.withColumn("_in", F.last("_r", ignorenulls=True).over(inside)).filter("_o = 1").join(carry, [*by, "_b"], "left")
-    found = F.coalesce("_in", "_carry")
+    out = around(left, right, by, t, cols, tie, None if forward else name, name if forward else None, bucket)
     if tolerance is not None:
-        found = F.when(F.abs(F.col("_t") * sign - found["t"]) <= tolerance, found)
-    return out.select("_l.*", found.alias(name))
+        out = out.withColumn(name, F.when(F.abs(F.col(t) - F.col(name)["t"]) <= tolerance, F.col(name)))
+    return out
 
 
 def nearest(left: DataFrame, right: DataFrame, by: list[str], t: str, cols: list[str], tolerance: int | None = None, tie: str | None = None) -> DataFrame:
     """left with the row of right closest in time; of two equally close the earlier one."""
-    both = asof(left, right, by, t, cols, tolerance, tie=tie, name="back")
-    both = asof(both, right, by, t, cols, tolerance, forward=True, tie=tie, name="ahead")
-    closer = F.col("back").isNull() | (F.abs(F.col("ahead.t") - F.col(t)) < F.abs(F.col(t) - F.col("back.t")))
-    return both.withColumn("match", F.when(F.col("ahead").isNotNull() & closer, F.col("ahead")).otherwise(F.col("back"))).drop("back", "ahead")
+    both = around(left, right, by, t, cols, tie, "_back", "_ahead")
+    closer = F.col("_back").isNull() | (F.abs(F.col("_ahead.t") - F.col(t)) < F.abs(F.col(t) - F.col("_back.t")))
+    match = F.when(F.col("_ahead").isNotNull() & closer, F.col("_ahead")).otherwise(F.col("_back"))
+    if tolerance is not None:
+        match = F.when(F.abs(match["t"] - F.col(t)) <= tolerance, match)
+    return both.withColumn("match", match).drop("_back", "_ahead")
 
 
 def interpolate(left: DataFrame, right: DataFrame, by: list[str], t: str, value: str, gap: int, hold: int, tie: str | None = None, name: str = "value_at") -> DataFrame:
     """left with right's value at its time: linear between samples at most gap apart, else the earlier one held for hold."""
-    both = asof(left, right, by, t, [value], tie=tie, name="_p")
-    both = asof(both, right, by, t, [value], forward=True, tie=tie, name="_n")
+    both = around(left, right, by, t, [value], tie, "_p", "_n")
     p, n, at = F.col("_p"), F.col("_n"), F.col(t)
     near = (n["t"] - p["t"]) <= gap
     line = F.when(n["t"] == p["t"], p[value]).otherwise(p[value] + (n[value] - p[value]) * (at - p["t"]) / F.nullif(n["t"] - p["t"], F.lit(0)))
@@ -84,6 +104,33 @@ def interpolate(left: DataFrame, right: DataFrame, by: list[str], t: str, value:
     return both.withColumn(name, F.when(p.isNull(), None).when(n.isNotNull() & near, line).otherwise(held)).drop("_p", "_n")
 
 
+def framed(df: DataFrame, by: list[str], place: str, before: int, after: int = 0, width: int = BUCKET) -> DataFrame:
+    """df in buckets _b of place, each with copies of the rows up to before ahead of it and after behind it; _own tells them apart.
+
+    A window over a frame of that reach within (by, _b) is right for the rows with _own, so a key of any length
+    is many tasks.
+    """
+    first, last = (F.floor((F.col(place) + d) / width).cast("long") for d in (-after, before))
+    out = df.withColumn("_b", F.explode(F.sequence(first, last)))
+    return out.withColumn("_own", F.col("_b") == F.floor(F.col(place) / width))
+
+
+def over_frame(df: DataFrame, by: list[str], place: str, before: int, columns: dict, after: int = 0, width: int = BUCKET) -> DataFrame:
+    """df with columns over the rows of the key whose place is within before and after of each row's; columns maps names to functions of the window."""
+    w = Window.partitionBy(*by, "_b").orderBy(place).rangeBetween(-before, after)
+    rows = framed(df, by, place, before, after, width)
+    return rows.withColumns({name: make(w) for name, make in columns.items()}).filter("_own").drop("_b", "_own")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "place", bucket: int = BUCKET) -> DataFrame:
+    """df with each row's place (from 1) in its key's order (order[0] is time or another number); bucket is the width of a task."""
+    df = _bucketed(df, order[0], bucket)
+    inside = Window.partitionBy(*by, "_b").orderBy(*order)
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = df.groupBy(*by, "_b").agg(F.count("*").alias("_n")).select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return df.withColumn("_in", F.row_number().over(inside)).join(base, [*by, "_b"]).withColumn(name, F.col("_in") + F.col("_base")).drop("_b", "_in", "_base")
+
+
 def prefer_fresh(first: DataFrame, second: DataFrame, by: list[str], t: str, stale: int) -> DataFrame:
     """All rows of first, and those of second whose last row of first is older than stale or missing."""
     marked = asof(second, first, by, t, [], name="_m")

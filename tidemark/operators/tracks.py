@@ -6,22 +6,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidemark.operators.timeseries import asof
+from tidemark.operators.timeseries import asof, over_frame
 
 
 def backwards(df: DataFrame, by: list[str], t: str, value: str, window: int) -> DataFrame:
     """df with back: how far a value lies below the largest one of the window before it."""
-    w = Window.partitionBy(*by).orderBy(t).rangeBetween(-window, 0)
-    return df.withColumn("back", F.max(value).over(w) - F.col(value))
+    out = over_frame(df, by, t, window, {"_top": lambda w: F.max(value).over(w)})
+    return out.withColumn("back", F.col("_top") - F.col(value)).drop("_top")
 
 
-def spread_over(df: DataFrame, by: list[str], along: str, value: str, length: float) -> DataFrame:
-    """df with spread: largest less smallest value over the last stretch of this length; along is ordered and may be fractional."""
-    keys = ", ".join(by)
-    frame = f"OVER (PARTITION BY {keys} ORDER BY {along} RANGE BETWEEN {length}D PRECEDING AND CURRENT ROW)"
-    return df.withColumn("spread", F.expr(f"max({value}) {frame} - min({value}) {frame}"))
+def spread_over(df: DataFrame, by: list[str], along: str, value: str, length: float, unit: int = 1000, width: int = 100_000) -> DataFrame:
+    """df with spread: largest less smallest value over the last stretch of this length; along is ordered and is kept to a unit-th."""
+    rows = df.withColumn("_at", F.round(F.col(along) * unit).cast("long"))
+    ends = {"_hi": lambda w: F.max(value).over(w), "_lo": lambda w: F.min(value).over(w)}
+    out = over_frame(rows, by, "_at", round(length * unit), ends, width=max(width, round(length * unit)))
+    return out.withColumn("spread", F.col("_hi") - F.col("_lo")).drop("_at", "_hi", "_lo")
 
 
 def along_every(segs: DataFrame, by: list[str], step: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import conv, geo, text
-from tidemark.functions.times import open_at, rush_factor, week_minute
+from tidemark.functions.times import micros, open_at, rush_factor, week_minute
 from tidemark.operators import aggregate as ag
 from tidemark.operators import graph as gr
 from tidemark.operators import spatial as sp
@@ -65,11 +65,12 @@ def e16_unwrapped_angle(spark, sf_dir):
 
 
 def e12_centred_speed(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    days = F.datediff(F.lead("o_orderdate").over(w), F.lag("o_orderdate").over(w))
-    o = _t(spark, sf_dir, "orders").withColumn("speed", (F.lead("o_totalprice").over(w) - F.lag("o_totalprice").over(w)) / F.nullif(days, F.lit(0)))
-    # the nudge keeps quotients that end in a five from falling to either side of it
-    return o.filter("speed is not null").select("o_orderkey", F.round(F.col("speed") + 1e-7, 4).alias("speed"))
+    o = _t(spark, sf_dir, "orders").withColumn("t", micros(F.col("o_orderdate")))
+    o = ts.numbered(o, ["o_custkey"], ["t", "o_orderkey"], bucket=365 * ts.BUCKET)
+    ends = {"a": lambda w: F.first(F.struct("place", "t", "o_totalprice")).over(w), "z": lambda w: F.last(F.struct("place", "t", "o_totalprice")).over(w)}
+    o = ts.over_frame(o, ["o_custkey"], "place", 1, ends, after=1, width=10_000).filter("z.place - a.place = 2")
+    days = F.nullif((F.col("z.t") - F.col("a.t")) / (24 * HOUR), F.lit(0.0))
+    return o.select("o_orderkey", ((F.col("z.o_totalprice") - F.col("a.o_totalprice")) / days).alias("speed")).filter("speed is not null")
 
 
 def e10_first_last(spark, sf_dir):
@@ -78,8 +79,10 @@ def e10_first_last(spark, sf_dir):
 
 
 def e15_cumulative_share(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_totalprice")
-    return _t(spark, sf_dir, "orders").select("o_orderkey", F.round(F.cume_dist().over(w), 8).alias("share"))
+    o = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    n = o.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    upto = ts.running_sum(o.groupBy("o_custkey", "o_totalprice").agg(F.count("*").alias("c")), ["o_custkey"], ["o_totalprice"], F.col("c"), "upto", 50_000)
+    return o.join(upto.select("o_custkey", "o_totalprice", "upto"), ["o_custkey", "o_totalprice"]).join(n, "o_custkey").select("o_orderkey", F.round(F.col("upto") / F.col("n"), 8).alias("share"))
 
 
 def d4_budget_shares(spark, sf_dir):
@@ -179,16 +182,16 @@ def c24_shared_nodes(spark, sf_dir):
 
 def c35_exits(spark, sf_dir):
     tree = _t(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 2).cast("long").alias("a"), F.col("o_orderkey").alias("b")).filter("a <> b")
-    return gr.exits(gr.both_ways(tree)).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return gr.exit_counts(gr.both_ways(tree)).filter("n > 0")
 
 
 def h8_longest_path(spark, sf_dir):
-    tree = _t(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 2).cast("long").alias("a"), F.col("o_orderkey").alias("b")).filter("a <> b and b < 300").withColumn("cost", 1.0 + F.pmod(F.col("b"), F.lit(7)))
+    tree = _t(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 2).cast("long").alias("a"), F.col("o_orderkey").alias("b")).filter("a <> b").withColumn("cost", 1.0 + F.pmod(F.col("b"), F.lit(7)))
     return gr.longest_path(gr.both_ways(tree, "cost"), 1, 64)
 
 
 def h3_alternatives(spark, sf_dir):
-    e = _t(spark, sf_dir, "lineitem").filter("l_suppkey < 60").groupBy(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b")).agg(F.min("l_quantity").alias("cost"))
+    e = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b")).agg(F.min("l_quantity").alias("cost"))
     got = gr.alternatives(gr.both_ways(e, "cost"), 1_000_000_001, 1_000_000_002, 3, 3.0, 8)
     return got.groupBy("path").agg(F.count("*").alias("edges"), F.round(F.sum("cost"), 4).alias("cost"))
 
@@ -284,7 +287,7 @@ ORACLES = {
         r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT user_id, min(a) AS from_t, max(b) AS to_t FROM r GROUP BY user_id, run""",
     "e16_unwrapped_angle": f"""WITH {_E}, g AS (SELECT *, value - 6 * floor(value / 6) - 3 AS angle FROM e), p AS (SELECT *, angle - lag(angle) OVER (PARTITION BY user_id ORDER BY t, event_id) AS d FROM g)
         SELECT event_id, round(angle + 2 * pi() * sum(coalesce(-floor((d + pi()) / (2 * pi())), 0)) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 5) AS whole FROM p""",
-    "e12_centred_speed": "WITH s AS (SELECT o_orderkey, (lead(o_totalprice) OVER w - lag(o_totalprice) OVER w) / nullif(date_diff('day', lag(o_orderdate) OVER w, lead(o_orderdate) OVER w), 0) AS s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) SELECT o_orderkey, round(s + 1e-7, 4) AS speed FROM s WHERE s IS NOT NULL",
+    "e12_centred_speed": "WITH s AS (SELECT o_orderkey, (lead(o_totalprice) OVER w - lag(o_totalprice) OVER w) / nullif(date_diff('day', lag(o_orderdate) OVER w, lead(o_orderdate) OVER w), 0) AS s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) SELECT o_orderkey, s AS speed FROM s WHERE s IS NOT NULL",
     "e10_first_last": "SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY 1",
     "e15_cumulative_share": "SELECT o_orderkey, round(cume_dist() OVER (PARTITION BY o_custkey ORDER BY o_totalprice), 8) AS share FROM orders",
     "d4_budget_shares": """SELECT l_returnflag, l_linestatus, count(*) AS n, round(count(*) FILTER (l_extendedprice > 50000) / count(*), 6) AS over_share, count(*) FILTER (l_extendedprice < 10000) AS n0,
@@ -310,9 +313,15 @@ ORACLES = {
     "c8_events_in_windows": f"WITH {_E} SELECT event_type, count(*) AS n FROM e WHERE EXISTS (SELECT 1 FROM e w WHERE w.event_type = 'error' AND e.t >= w.t AND e.t < w.t + {HOUR // 60}) GROUP BY 1",
     "c24_shared_nodes": "WITH p AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS k FROM lineitem) SELECT a.s AS l_suppkey, count(*) AS n, min(a.k) AS least FROM p a JOIN p b ON b.s = a.s + 1 AND b.k = a.k GROUP BY 1",
     "c35_exits": "WITH t AS (SELECT o_orderkey // 2 AS a, o_orderkey AS b FROM orders WHERE o_orderkey // 2 <> o_orderkey), w AS (SELECT a, b FROM t UNION ALL SELECT b, a FROM t) SELECT x.a, x.b, count(*) AS n FROM w x JOIN w y ON y.a = x.b AND y.b <> x.a GROUP BY 1, 2",
-    "h8_longest_path": f"""WITH RECURSIVE t AS (SELECT o_orderkey // 2 AS a, o_orderkey AS b, CAST(1 + o_orderkey % 7 AS DOUBLE) AS cost FROM orders WHERE o_orderkey // 2 <> o_orderkey AND o_orderkey < 300), w AS ({_BOTH}),
-        r AS (SELECT a AS start, b AS node, a AS came, cost FROM w UNION ALL SELECT r.start, w.b, w.a, r.cost + w.cost FROM r JOIN w ON w.a = r.node AND w.b <> r.came),
-        f AS (SELECT node FROM r WHERE start = 1 ORDER BY cost DESC, node LIMIT 1) SELECT start AS a, r.node AS b, cost FROM r JOIN f ON f.node = r.start ORDER BY cost DESC, b LIMIT 1""",
+    "h8_longest_path": f"""WITH RECURSIVE t AS (SELECT o_orderkey // 2 AS a, o_orderkey AS b, CAST(1 + o_orderkey % 7 AS DOUBLE) AS cost FROM orders WHERE o_orderkey // 2 <> o_orderkey), w AS ({_BOTH}),
+        r AS (SELECT CAST(1 AS BIGINT) AS node, CAST(-1 AS BIGINT) AS came, CAST(0 AS DOUBLE) AS cost UNION ALL SELECT w.b, w.a, r.cost + w.cost FROM r JOIN w ON w.a = r.node AND w.b <> r.came),
+        f AS (SELECT node FROM r ORDER BY cost DESC, node LIMIT 1), q AS (SELECT node AS start, node, CAST(-1 AS BIGINT) AS came, CAST(0 AS DOUBLE) AS cost FROM f UNION ALL SELECT q.start, w.b, w.a, q.cost + w.cost FROM q JOIN w ON w.a = q.node AND w.b <> q.came)
+        SELECT start AS a, node AS b, cost FROM q ORDER BY cost DESC, b LIMIT 1""",
+    "l21_held_limit": f"""WITH RECURSIVE {_E}, n AS (SELECT *, CAST(floor(value / 50) AS BIGINT) * 50 AS v, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM e),
+        r AS (SELECT user_id, event_id, i, v AS shown, CAST(NULL AS BIGINT) AS wish, CAST(NULL AS BIGINT) AS since, true AS said FROM n WHERE i = 1
+        UNION ALL SELECT n.user_id, n.event_id, n.i, CASE WHEN n.v = wish AND n.v <> shown AND n.t - since >= {6 * HOUR} THEN n.v ELSE shown END, CASE WHEN n.v = shown OR n.v = wish AND n.t - since >= {6 * HOUR} THEN NULL ELSE n.v END,
+            CASE WHEN n.v = shown OR n.v = wish AND n.t - since >= {6 * HOUR} THEN NULL WHEN n.v = wish THEN since ELSE n.t END, coalesce(n.v = wish AND n.v <> shown AND n.t - since >= {6 * HOUR}, false) FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)
+        SELECT user_id, event_id, shown FROM r WHERE said""",
     "t2_open_now": f"WITH m AS (SELECT event_type, (isodow(ts) - 1) * 1440 + hour(ts) * 60 + minute(ts) AS m FROM events) SELECT event_type, count(*) FILTER ({_OPEN}) AS open, count(*) AS n FROM m GROUP BY 1",
     "t3_rush_factor": "SELECT CAST(hour(ts) AS BIGINT) AS h, isodow(ts) <= 5 AS workday, round(avg(CASE WHEN isodow(ts) <= 5 AND (hour(ts) BETWEEN 7 AND 9 OR hour(ts) BETWEEN 16 AND 18) THEN 1.4 ELSE 1.0 END), 4) AS factor FROM events GROUP BY 1, 2",
     "s12_numbers": "WITH d AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) BETWEEN 2 AND 6), lambda x: CAST(x AS BIGINT)) AS n FROM documents) SELECT doc_id, len(n) AS n, CAST(coalesce(list_sum(n), 0) AS BIGINT) AS total FROM d",
@@ -324,5 +333,5 @@ ORACLES = {
     "e11_heaviest": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS share FROM orders",
     "t5_date_stamps": "SELECT strftime(o_orderdate, '%y%m%d') AS stamp, count(*) AS n FROM orders GROUP BY 1",
     "s17_codes": "WITH c AS (SELECT c_custkey, translate(upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 10) || 'lo'), 'OIL', '011') AS c FROM customer) SELECT c_custkey, c[1:4] || '-' || c[5:8] || '-' || c[9:12] AS code FROM c",
-    "s14_house_keys": "SELECT CAST(s_suppkey % 40 AS VARCHAR) || lower(s_name[1]) AS house, count(*) AS n FROM supplier GROUP BY 1",
+    "s14_house_keys": "SELECT lpad(CAST(s_suppkey % 40 AS VARCHAR), 3, '0') || lower(s_name[1]) AS house, count(*) AS n FROM supplier GROUP BY 1",
 }

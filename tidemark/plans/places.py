@@ -79,7 +79,7 @@ def d43_split_ways(spark, sf_dir):
 
 
 def _tree(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("a"), F.floor(F.col("o_orderkey") / 2).cast("long").alias("b"))
+    return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.when(F.col("o_orderkey") % 64 != 1, F.floor(F.col("o_orderkey") / 2)).otherwise(F.col("o_orderkey")).cast("long").alias("b"))
 
 
 def h9_components(spark, sf_dir):
@@ -117,6 +117,9 @@ def _ring(ring):
     return "(" + " + ".join(f"CASE WHEN (y < {a[1]}) <> (y < {b[1]}) AND x < (y - {a[1]}) * ({b[0]} - {a[0]}) / ({b[1]} - {a[1]}) + {a[0]} THEN 1 ELSE 0 END" for a, b in sides) + ") % 2 = 1"
 
 
+_WAY = lambda a, b: f"(s{a} + ln({0.9 if a == b else 0.05}::DOUBLE))"
+_best = lambda b: "greatest(" + ", ".join(_WAY(a, b) for a in range(3)) + ")"
+_back = lambda b: f"CASE WHEN {_WAY(0, b)} >= {_WAY(1, b)} AND {_WAY(0, b)} >= {_WAY(2, b)} THEN 0 WHEN {_WAY(1, b)} >= {_WAY(2, b)} THEN 1 ELSE 2 END"
 _STEPS = "".join(f", d{k} AS (SELECT node, min(cost) AS cost FROM (SELECT * FROM d{k - 1} UNION ALL SELECT w.b, d.cost + w.cost FROM d{k - 1} d JOIN w ON w.a = d.node) GROUP BY 1)" for k in range(1, 5))
 ORACLES = {
     "c12_within_radius": f"WITH {_P} SELECT a.vec_id, b.vec_id AS other, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance FROM p a JOIN p b ON a.vec_id < b.vec_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.02",
@@ -133,7 +136,18 @@ ORACLES = {
         SELECT c_custkey, round(degrees(b), 6) AS lat, round(lon + degrees(atan2(sin(g) * sin(d) * cos(a), cos(d) - sin(a) * sin(b))), 6) AS lon FROM b""",
     "m6_tiles": f"WITH {_C} SELECT c_custkey, CAST(floor((lon + 180) / 360 * 16384) AS BIGINT) AS tx, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384) AS BIGINT) AS ty FROM c",
     "d42_degrees": "SELECT node, count(*) AS degree FROM (SELECT l_partkey AS node FROM lineitem UNION ALL SELECT l_suppkey + 1000000000 FROM lineitem) GROUP BY 1",
-    "h9_components": """WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey // 2 AS b FROM orders WHERE o_orderkey % 5 <> 0), n AS (SELECT a AS node FROM e UNION SELECT b FROM e),
+    "d43_split_ways": """WITH v AS (SELECT l_orderkey AS way, l_partkey AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS size FROM lineitem),
+        x AS (SELECT * FROM v WHERE size > 1), c AS (SELECT node, count(*) AS uses FROM x GROUP BY 1), s AS (SELECT way, pos, lead(pos) OVER (PARTITION BY way ORDER BY pos) AS stop, row_number() OVER (PARTITION BY way ORDER BY pos) - 1 AS part FROM x JOIN c USING (node) WHERE uses > 1 OR pos = 1 OR pos = size)
+        SELECT s.way, CAST(part AS INTEGER) AS part, string_agg(CAST(node AS VARCHAR), ',' ORDER BY x.pos) AS refs FROM s JOIN x ON x.way = s.way AND x.pos BETWEEN s.pos AND s.stop GROUP BY 1, 2""",
+    "h10_viterbi": f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, ln(1 + greatest(value, 0)) AS v FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) <= 86400000000 THEN 0 ELSE 1 END AS new FROM e),
+        k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY t, event_id) AS i, -power(v - 1.0, 2) AS e0, -power(v - 3.0, 2) AS e1, -power(v - 4.5, 2) AS e2 FROM k),
+        r AS (SELECT user_id, run, event_id, i, e0 AS s0, e1 AS s1, e2 AS s2, 0 AS b0, 0 AS b1, 0 AS b2 FROM n WHERE i = 1
+        UNION ALL SELECT n.user_id, n.run, n.event_id, n.i, {_best(0)} + e0, {_best(1)} + e1, {_best(2)} + e2, {_back(0)}, {_back(1)}, {_back(2)} FROM r JOIN n ON n.user_id = r.user_id AND n.run = r.run AND n.i = r.i + 1),
+        z AS (SELECT *, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS q, count(*) OVER (PARTITION BY user_id, run) AS size FROM r),
+        y AS (SELECT user_id, run, event_id, i, q AS state, CASE q WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END AS before FROM z WHERE i = size
+        UNION ALL SELECT z.user_id, z.run, z.event_id, z.i, y.before, CASE y.before WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END FROM y JOIN z ON z.user_id = y.user_id AND z.run = y.run AND z.i = y.i - 1)
+        SELECT event_id, CAST(state AS BIGINT) AS state FROM y""",
+    "h9_components": """WITH RECURSIVE e AS (SELECT o_orderkey AS a, CASE WHEN o_orderkey % 64 <> 1 THEN o_orderkey // 2 ELSE o_orderkey END AS b FROM orders), n AS (SELECT a AS node FROM e UNION SELECT b FROM e),
         r AS (SELECT node, node AS spot FROM n UNION ALL SELECT r.node, e.b FROM r JOIN e ON e.a = r.spot WHERE e.a <> e.b) SELECT node, min(spot) AS component FROM r GROUP BY 1""",
     "h6_hops": f"WITH RECURSIVE {_B}, r AS (SELECT CAST(1000000001 AS BIGINT) AS node, 0 AS hops UNION SELECT w.b, hops + 1 FROM r JOIN w ON w.a = r.node WHERE hops < 3) SELECT node, min(hops) AS hops FROM r GROUP BY 1",
     "h1_cheapest_path": f"WITH {_B}, d0 AS (SELECT CAST(1000000001 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost){_STEPS} SELECT * FROM d4",

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions import conv
 from tidemark.functions.times import micros, week_minute
+from tidemark.operators import aggregate as ag
 from tidemark.operators import timeseries as ts
+from tidemark.operators.tables import cut
 
 HOUR = 3_600_000_000
 
@@ -54,8 +55,7 @@ def c7_interval_containment(spark, sf_dir):
 def c9_sorted_merge(spark, sf_dir):
     rank = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).otherwise(3)
     e = events(spark, sf_dir).withColumn("source_rank", rank)
-    w = Window.partitionBy("user_id").orderBy("t", "source_rank", "event_id")
-    return e.select("event_id", F.row_number().over(w).cast("long").alias("place"))
+    return ts.numbered(e, ["user_id"], ["t", "source_rank", "event_id"]).select("event_id", "place")
 
 
 def c10_prefer_fresh(spark, sf_dir):
@@ -76,17 +76,17 @@ def d3_hop_sum(spark, sf_dir):
 
 def d6_quality_findings(spark, sf_dir):
     e = ts.previous(events(spark, sf_dir), ["user_id"], ["t", "event_id"], ["t", "event_id"])
-    gap = (F.col("t") - F.col("prev.t")) / 1e6
-    e = e.withColumn("gap", gap)
-    med = e.groupBy("user_id").agg(F.percentile("gap", F.lit(0.5)).alias("median_s"), F.max("gap").alias("longest_s"), F.count_if(F.col("event_id") < F.col("prev.event_id")).alias("backwards"))
-    dev = e.join(med, "user_id").groupBy("user_id").agg(F.percentile(F.abs(F.col("gap") - F.col("median_s")), F.lit(0.5)).alias("mad_s"))
-    return med.join(dev, "user_id").select("user_id", F.round("median_s", 3).alias("median_s"), F.round("longest_s", 3).alias("longest_s"), "backwards", F.round("mad_s", 3).alias("mad_s"))
+    e = cut(e.select("user_id", ((F.col("t") - F.col("prev.t")) / 1e6).alias("gap"), (F.col("event_id") < F.col("prev.event_id")).alias("back")))
+    all_ = e.groupBy("user_id").agg(F.max("gap").alias("longest_s"), F.count_if("back").alias("backwards"))
+    med = ag.quantiles(e, ["user_id"], "gap", {"median_s": ("linear", 0.5)})
+    dev = e.join(med, "user_id").withColumn("off", F.abs(F.col("gap") - F.col("median_s")))
+    dev = ag.quantiles(dev, ["user_id"], "off", {"mad_s": ("linear", 0.5)})
+    return all_.join(med, "user_id").join(dev, "user_id").select("user_id", F.round("median_s", 3).alias("median_s"), F.round("longest_s", 3).alias("longest_s"), "backwards", F.round("mad_s", 3).alias("mad_s"))
 
 
 def d7_periodicity(spark, sf_dir):
     e = events(spark, sf_dir).filter("event_type = 'purchase'")
-    periods = spark.range(1, 49).select(F.col("id").alias("hours"))
-    both = e.join(F.broadcast(periods))
+    both = e.withColumn("hours", F.explode(F.sequence(F.lit(1), F.lit(48))))
     angle = F.pmod(F.col("t"), F.col("hours") * HOUR) / (F.col("hours") * HOUR) * 2 * F.pi()
     got = both.groupBy("hours").agg(F.hypot(F.avg(F.cos(angle)), F.avg(F.sin(angle))).alias("c"))
     return got.select(F.col("hours").cast("long").alias("hours"), F.round("c", 6).alias("coherence"))
@@ -111,23 +111,23 @@ def d24_clipped_integral(spark, sf_dir):
 
 def d27_floor_quantiles(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return p.groupBy("l_suppkey").agg(conv.floor_quantile(F.col("l_extendedprice"), 0.5).alias("p50"), conv.floor_quantile(F.col("l_extendedprice"), 0.9).alias("p90"), F.round(F.percentile("l_extendedprice", F.lit(0.99)), 4).alias("p99_linear"))
+    got = ag.quantiles(p, ["l_suppkey"], "l_extendedprice", {"p50": ("floor", 0.5), "p90": ("floor", 0.9), "p99_linear": ("linear", 0.99)})
+    return got.withColumn("p99_linear", F.round("p99_linear", 4))
 
 
 def d49_poll_statistics(spark, sf_dir):
-    by_row = Window.partitionBy("user_id").orderBy("t", "event_id").rowsBetween(-99, 0)
-    by_time = Window.partitionBy("user_id").orderBy("t").rangeBetween(-24 * HOUR, 0)
-    e = events(spark, sf_dir)
-    last = F.array_sort(F.collect_list("value").over(by_row))
-    at = lambda q: F.element_at(last, F.least(F.size(last), F.floor(F.lit(q) * F.size(last)) + 1).cast("int"))
-    return e.select("event_id", at(0.5).alias("p50"), at(0.95).alias("p95"), F.count(F.when(F.col("event_type") == "error", 1)).over(by_time).alias("errors"))
+    e = ts.over_frame(events(spark, sf_dir), ["user_id"], "t", 24 * HOUR, {"errors": lambda w: F.count(F.when(F.col("event_type") == "error", 1)).over(w)})
+    e = ts.numbered(e, ["user_id"], ["t", "event_id"])
+    e = ts.over_frame(e, ["user_id"], "place", 99, {"last": lambda w: F.collect_list("value").over(w)}, width=10_000).withColumn("last", F.array_sort("last"))
+    at = lambda q: F.element_at("last", F.least(F.size("last"), F.floor(F.lit(q) * F.size("last")) + 1).cast("int"))
+    return e.select("event_id", at(0.5).alias("p50"), at(0.95).alias("p95"), "errors")
 
 
 def e3_rolling_stats(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("t", "event_id").rowsBetween(-9, 0)
-    e = events(spark, sf_dir)
-    sd = F.when(F.count("value").over(w) < 2, F.lit(-1.0)).otherwise(F.stddev_samp("value").over(w))
-    return e.select("event_id", F.round(F.avg("value").over(w), 6).alias("mean10"), F.round(sd, 3).alias("std10"))
+    e = ts.numbered(events(spark, sf_dir), ["user_id"], ["t", "event_id"])
+    of = {"n": lambda w: F.count("value").over(w), "mean": lambda w: F.avg("value").over(w), "sd": lambda w: F.stddev_samp("value").over(w)}
+    e = ts.over_frame(e, ["user_id"], "place", 9, of, width=10_000)
+    return e.select("event_id", F.round("mean", 6).alias("mean10"), F.round(F.when(F.col("n") < 2, -1.0).otherwise(F.col("sd")), 3).alias("std10"))
 
 
 def e5_gap_detection(spark, sf_dir):

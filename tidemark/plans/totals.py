@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions import conv
+from tidemark.functions.times import micros
 from tidemark.operators import aggregate as ag
 from tidemark.operators import search as se
+from tidemark.operators import timeseries as ts
 
 
 def _t(spark, sf_dir, name):
@@ -16,9 +17,11 @@ def _t(spark, sf_dir, name):
 
 def d1_summary(spark, sf_dir):
     p = _t(spark, sf_dir, "lineitem")
-    return p.groupBy("l_returnflag", "l_linestatus").agg(
+    by = ["l_returnflag", "l_linestatus"]
+    median = ag.quantiles(p, by, "l_extendedprice", {"median_price": ("linear", 0.5)})
+    return p.groupBy(*by).agg(
         F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"),
-        F.round(F.avg("l_discount"), 6).alias("discount"), F.round(F.percentile("l_extendedprice", F.lit(0.5)), 4).alias("median_price"), F.max("l_extendedprice").alias("top_price"))
+        F.round(F.avg("l_discount"), 6).alias("discount"), F.max("l_extendedprice").alias("top_price")).join(median.withColumn("median_price", F.round("median_price", 4)), by)
 
 
 def d13_line_fit(spark, sf_dir):
@@ -39,10 +42,8 @@ def d28_grouped_totals(spark, sf_dir):
 
 def d29_verdicts(spark, sf_dir):
     p = _t(spark, sf_dir, "lineitem").withColumn("y", F.year("l_shipdate"))
-    years = p.agg(F.min("y").alias("a"))
-    p = p.join(F.broadcast(years))
-    got = ag.verdict(p.filter("y = a"), p.filter("y = a + 1"), "l_suppkey", "l_quantity", 2.0)
-    return got
+    a = p.agg(F.min("y")).first()[0]
+    return ag.verdict(p.filter(F.col("y") == a), p.filter(F.col("y") == a + 1), "l_suppkey", "l_quantity", 2.0)
 
 
 def d30_largest_gap(spark, sf_dir):
@@ -87,7 +88,8 @@ def d53_softmax_weights(spark, sf_dir):
 
 def d57_checksum(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
-    return o.groupBy("o_orderstatus").agg(F.bit_xor(F.crc32(F.concat_ws("|", "o_orderkey", "o_custkey").cast("binary"))).alias("digest"), F.count("*").alias("n"))
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", "o_orderkey", "o_custkey").cast("binary")), 1, 15), 16, 10).cast("long")
+    return o.groupBy("o_orderstatus").agg(F.bit_xor(digest).alias("digest"), F.count("*").alias("n"))
 
 
 def d11_longest_prefix(spark, sf_dir):
@@ -96,9 +98,8 @@ def d11_longest_prefix(spark, sf_dir):
 
 
 def b17_retention(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders")
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).rowsBetween(Window.unboundedPreceding, 0)
-    return o.withColumn("s", F.sum("o_totalprice").over(w)).filter("s > 500000").select("o_orderkey")
+    o = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", (-micros(F.col("o_orderdate"))).alias("age"), (-F.col("o_orderkey")).alias("later"))
+    return ts.running_sum(o, ["o_custkey"], ["age", "later"], F.col("o_totalprice"), "s", 365 * ts.BUCKET).filter("s > 500000").select("o_orderkey")
 
 
 def f1_top_k(spark, sf_dir):
@@ -136,7 +137,7 @@ def g3_intersection(spark, sf_dir):
 
 
 def g4_difference(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).join(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k", "left_anti")
+    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).join(_t(spark, sf_dir, "orders").filter("o_totalprice > 150000").select(F.col("o_custkey").alias("k")), "k", "left_anti")
 
 
 def g5_containment(spark, sf_dir):
@@ -175,6 +176,7 @@ ORACLES = {
     "d53_softmax_weights": "WITH m AS (SELECT c_custkey, c_nationkey, c_acctbal / 500 AS x, max(c_acctbal / 500) OVER (PARTITION BY c_nationkey) AS m FROM customer) SELECT c_custkey, round(exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY c_nationkey), 6) AS weight FROM m",
     "d11_longest_prefix": "WITH t(prefix, make) AS (VALUES ('PROMO', 'promo'), ('PROMO BRUSHED', 'promo brushed'), ('S', 's'), ('STANDARD', 'standard'), ('ECONOMY', 'economy'), ('MEDIUM P', 'mp')) SELECT p_partkey, max_by(make, length(prefix)) AS make FROM part LEFT JOIN t ON starts_with(p_type, prefix) GROUP BY 1",
     "b17_retention": "SELECT o_orderkey FROM orders QUALIFY sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING) > 500000",
+    "d57_checksum": "SELECT o_orderstatus, bit_xor(CAST('0x' || substr(md5(o_orderkey || '|' || o_custkey), 1, 15) AS BIGINT)) AS digest, count(*) AS n FROM orders GROUP BY 1",
     "f1_top_k": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 20",
     "f2_two_phase_top_k": "WITH c AS (SELECT * FROM part ORDER BY p_size DESC, p_partkey LIMIT 250) SELECT p_partkey, round(p_retailprice / p_size, 6) AS score FROM c ORDER BY score DESC, p_partkey LIMIT 20",
     "f3_top_per_group": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders QUALIFY place <= 5",
@@ -182,7 +184,7 @@ ORACLES = {
     "f10_argmin": "SELECT s_nationkey, arg_min(s_name, (s_acctbal, s_suppkey)) AS poorest FROM supplier GROUP BY 1",
     "g1_union_best": "WITH u AS (SELECT c_nationkey AS k, c_acctbal AS score, c_name AS name FROM customer UNION ALL SELECT s_nationkey, s_acctbal, s_name FROM supplier) SELECT k, score, name FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, name DESC) = 1",
     "g3_intersection": "SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_discount > 0.09",
-    "g4_difference": "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "g4_difference": "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
     "g5_containment": "SELECT l_orderkey, count(DISTINCT l_linenumber) FILTER (l_linenumber IN (1, 2, 3)) = 3 AS has_all FROM lineitem GROUP BY 1",
     "c15_semi_anti": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50) GROUP BY 1",
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions.text import ascii_tokens
 from tidemark.operators import spatial, tables, tracks
@@ -35,8 +34,7 @@ def e13_backwards(spark, sf_dir):
 
 
 def e17_distance_frame(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = events(spark, sf_dir).withColumn("along", F.sum(F.col("event_id") % 7 + 0.5).over(w))
+    e = ts.running_sum(events(spark, sf_dir), ["user_id"], ["t", "event_id"], (F.col("event_id") % 7 + 0.5).cast("double"), "along")
     return tracks.spread_over(e, ["user_id"], "along", "value", 10.5).select("event_id", F.round("spread", 4).alias("spread"))
 
 
@@ -123,6 +121,11 @@ ORACLES = {
     "c20_staged_groups": """WITH d AS (SELECT doc_id, md5(text) AS k1, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), a AS (SELECT *, min(doc_id) OVER (PARTITION BY k1) AS g1, count(*) OVER (PARTITION BY k1) AS n1, CASE WHEN len(w) >= 8 THEN array_to_string(w[1:8], ' ') END AS k2 FROM d),
         b AS (SELECT *, min(doc_id) OVER (PARTITION BY k2) AS g2, count(*) OVER (PARTITION BY k2) AS n2 FROM a WHERE n1 = 1)
         SELECT doc_id, 'exact' AS stage, g1 AS grp FROM a WHERE n1 > 1 UNION ALL SELECT doc_id, CASE WHEN k2 IS NOT NULL AND n2 > 1 THEN 'start' ELSE 'single' END, CASE WHEN k2 IS NOT NULL AND n2 > 1 THEN g2 ELSE doc_id END FROM b""",
+    "c31_assign_once": """WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS g, l_suppkey AS s, abs(l_partkey - l_suppkey) % 50 AS d FROM lineitem), q AS (SELECT o, g, s, min(d) AS d FROM p GROUP BY 1, 2, 3),
+        n AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY g, d, s) AS i FROM q),
+        r AS (SELECT o, g, s, i, [s] AS taken, 1 AS held, true AS got FROM n WHERE i = 1
+        UNION ALL SELECT o, g, s, i, CASE WHEN ok THEN list_append(taken, s) ELSE taken END, CASE WHEN ok THEN h + 1 ELSE h END, ok FROM (SELECT *, NOT list_contains(taken, s) AND h < 3 AS ok FROM (SELECT n.o, n.g, n.s, n.i, r.taken, CASE WHEN n.g = r.g THEN r.held ELSE 0 END AS h FROM r JOIN n ON n.o = r.o AND n.i = r.i + 1)))
+        SELECT o AS l_orderkey, g AS l_linenumber, s AS l_suppkey FROM r WHERE got""",
     "a14_changed_rows": "SELECT o_orderkey, coalesce(c_mktsegment, CASE WHEN o_orderstatus = 'F' THEN 'closed' END) AS label FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) ON c_custkey = o_custkey WHERE label IS NOT NULL",
     "a33_sync": f"""WITH a AS {_SYNC.format("p_partkey % 7 <> 0", "p_partkey % 5 = 0")}, b AS {_SYNC.format("p_partkey % 11 <> 0", "p_partkey % 3 = 0")}, c AS {_SYNC.format("p_partkey % 13 <> 0", "false")},
         j AS (SELECT p_partkey, a.d AS a, b.d AS b, c.d AS c FROM a FULL JOIN b USING (p_partkey) FULL JOIN c USING (p_partkey))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import conv, text
 from tidemark.operators import search as se
+from tidemark.operators import tables
 from tidemark.sources import html
 
 
@@ -13,6 +14,11 @@ def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _index(spark, sf_dir):
+    """The documents' index, written once and read by every search of the session."""
+    return tables.stored(spark, f"index {sf_dir}", lambda: se.laid_out(se.postings(_t(spark, sf_dir, "documents"), "doc_id", "text")))
+
+
 def s1_fold_tokens(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("w"))
     return d.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
@@ -28,13 +34,13 @@ def s5_typo_budget(spark, sf_dir):
 
 
 def s6_typo_match(spark, sf_dir):
-    i = se.postings(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    i = _index(spark, sf_dir)
     words = spark.createDataFrame([("thta",), ("wiht",), ("disgustign",), ("worhtless",), ("form",), ("patehtic",), ("teh",), ("clwon",)], "word string")
     return se.near_tokens(i, words)
 
 
 def s7_prefix_range(spark, sf_dir):
-    i = se.postings(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    i = _index(spark, sf_dir)
     return i.filter((F.col("token") >= "tha") & (F.col("token") < "thb")).groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -69,24 +75,23 @@ def d39_inverted_index(spark, sf_dir):
 
 
 def c25_conjunctive_match(spark, sf_dir):
-    i = se.postings(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    i = _index(spark, sf_dir)
     return se.match_all(i, ["that", "from", "tio"], "doc_id", prefix=True)
 
 
 def c22_subset_words(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").select("p_partkey", "p_type")
-    asked = spark.createDataFrame([(1, "brass promo"), (2, "steel small"), (3, "nickel")], "q int, text string")
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
+    asked = spark.createDataFrame([(1, "widget cold"), (2, "small ring"), (3, "anvil")], "q int, text string")
     need = asked.select("q", F.explode(text.ascii_tokens(F.col("text"))).alias("token"), F.size(text.ascii_tokens(F.col("text"))).alias("need"))
-    hits = se.postings(p, "p_partkey", "p_type").join(F.broadcast(need), "token").groupBy("q", "p_partkey", "need").agg(F.count("*").alias("n"))
+    hits = se.postings(p, "p_partkey", "p_name").join(F.broadcast(need), "token").groupBy("q", "p_partkey", "need").agg(F.count("*").alias("n"))
     return hits.filter("n = need").select("q", "p_partkey")
 
 
 def f5_natural_order(spark, sf_dir):
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", F.concat((F.col("s_suppkey") % 17).cast("string"), F.lit("A"), F.col("s_nationkey").cast("string")).alias("house"))
     a, b = text.natural_order(F.col("house"))
-    from pyspark.sql.window import Window
-
-    return s.select("s_suppkey", F.row_number().over(Window.orderBy(a, b, "s_suppkey")).cast("long").alias("place"))
+    got = tables.ordinal(s.withColumns({"number": a, "rest": b}), F.col("number"), ["rest", "s_suppkey"], "place")
+    return got.select("s_suppkey", "place")
 
 
 def r1_code_names(spark, sf_dir):
@@ -106,7 +111,12 @@ def r7_json_props(spark, sf_dir):
 
 
 def a15_html_tables(spark, sf_dir):
-    return html.tables(_t(spark, sf_dir, "pages"), "page_id", "html").withColumn("cells", F.to_json("cells"))
+    """Pages with a table of each customer's orders under a line of text."""
+    row = F.concat(F.lit("<tr><td>"), F.col("o_orderkey").cast("string"), F.lit("</td><td>"), F.col("o_orderpriority"), F.lit("<br> "), F.col("o_orderstatus"), F.lit("&amp;</td></tr>"))
+    o = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda s: s["r"]), "\n").alias("rows"))
+    page = F.concat(F.lit("<h1>List</h1><p>Orders of "), F.col("c_name"), F.lit("</p><table><tr><th>key<th>what</tr>"), F.col("rows"), F.lit("</table><p>end"))
+    p = _t(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", page.alias("html"))
+    return html.tables(p, "c_custkey", "html").filter("row > 0").withColumn("cells", F.array_join("cells", ";"))
 
 
 def a15_page_links(spark, sf_dir):
@@ -119,11 +129,11 @@ def a30_catalog(spark, sf_dir):
 
 
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k[0] in "abcdfmrs" and k[1:2].isdigit()}
-_TOK = "SELECT DISTINCT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS token FROM {table}"
+_TOK = "SELECT DISTINCT {key}, unnest(regexp_extract_all(replace(replace(replace(strip_accents(replace(replace(replace(replace(lower({text}), chr(39), ''), '’', ''), 'ʼ', ''), '`', '')), 'ye', 'ie'), 'yu', 'iu'), 'ya', 'ia'), '[a-z0-9]+')) AS token FROM {table}"
 _DOC, _PART = _TOK.format(key="doc_id", text="text", table="documents"), _TOK.format(key="p_partkey", text="{}", table="part")
 _BUD = "CASE WHEN regexp_matches({0}, '[0-9]') THEN 0 WHEN length({0}) >= 8 THEN 2 WHEN length({0}) >= 4 THEN 1 ELSE 0 END"
 ORACLES = {
-    "s1_fold_tokens": "WITH d AS (SELECT doc_id, regexp_extract_all(replace(replace(replace(strip_accents(lower(text)), 'ye', 'ie'), 'yu', 'iu'), 'ya', 'ia'), '[a-z0-9]+') AS w FROM documents) SELECT doc_id, CAST(len(w) AS BIGINT) AS n, md5(array_to_string(w, ' ')) AS digest FROM d",
+    "s1_fold_tokens": "WITH d AS (SELECT doc_id, regexp_extract_all(replace(replace(replace(strip_accents(replace(replace(replace(replace(lower(text), chr(39), ''), '’', ''), 'ʼ', ''), '`', '')), 'ye', 'ie'), 'yu', 'iu'), 'ya', 'ia'), '[a-z0-9]+') AS w FROM documents) SELECT doc_id, CAST(len(w) AS BIGINT) AS n, md5(array_to_string(w, ' ')) AS digest FROM d",
     "s3_name_key": "SELECT p_partkey, array_to_string(list_filter(regexp_extract_all(lower(p_type), '[a-z0-9]+'), lambda x: x NOT IN ('standard', 'small')), ' ') AS name_key FROM part",
     "s5_typo_budget": f"WITH t AS ({_PART.format('p_type')}) SELECT DISTINCT token, CAST({_BUD.format('token')} AS INTEGER) AS budget FROM t",
     "s6_typo_match": f"""WITH t AS (SELECT DISTINCT token FROM ({_DOC})), w(word) AS (VALUES ('thta'), ('wiht'), ('disgustign'), ('worhtless'), ('form'), ('patehtic'), ('teh'), ('clwon')), b AS (SELECT word, {_BUD.format('word')} AS budget FROM w)
@@ -136,11 +146,12 @@ ORACLES = {
         SELECT o_orderkey, b[1] * 256 + b[2] AS be16, (b[3] + b[4] * 256) % 4096 AS le12, CASE WHEN b[6] > 127 THEN b[6] - 256 ELSE b[6] END AS s8 FROM b""",
     "d39_inverted_index": f"SELECT token, count(*) AS n, min(p_partkey) AS lo, max(p_partkey) AS hi FROM ({_PART.format('p_name')}) GROUP BY 1",
     "c25_conjunctive_match": f"SELECT doc_id FROM ({_DOC}) GROUP BY 1 HAVING bool_or(token = 'that') AND bool_or(token = 'from') AND bool_or(token LIKE 'tio%')",
-    "c22_subset_words": "WITH q(q, w) AS (VALUES (1, ['brass', 'promo']), (2, ['steel', 'small']), (3, ['nickel'])) SELECT q, p_partkey FROM part, q WHERE list_has_all(regexp_extract_all(lower(p_type), '[a-z0-9]+'), w)",
+    "c22_subset_words": "WITH q(q, w) AS (VALUES (1, ['widget', 'cold']), (2, ['small', 'ring']), (3, ['anvil'])) SELECT q, p_partkey FROM part, q WHERE list_has_all(regexp_extract_all(lower(p_name), '[a-z0-9]+'), w)",
     "f5_natural_order": "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey % 17, lower(CAST(s_suppkey % 17 AS VARCHAR) || 'A' || CAST(s_nationkey AS VARCHAR)), s_suppkey) AS place FROM supplier",
     "r1_code_names": "SELECT p_partkey, CASE p_size WHEN 1 THEN 'one' WHEN 2 THEN 'two' WHEN 7 THEN 'seven' ELSE 'code_' || p_size END AS name FROM part",
     "r3_zipped_turns": "SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles, max(length(text)) AS longest FROM conversations GROUP BY 1",
     "r7_json_props": "SELECT event_type, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS k, count(props->>'k') AS n FROM events GROUP BY 1",
+    "a15_html_tables": """SELECT c_custkey, CAST(0 AS INTEGER) AS "table", CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS INTEGER) AS row, 'List Orders of ' || c_name AS heading, o_orderkey || ';' || o_orderpriority || ' | ' || o_orderstatus || '&' AS cells FROM customer JOIN orders ON o_custkey = c_custkey""",
     "a15_page_links": """SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=["\'']([^"\'']+)["\'']', 1)) AS BIGINT) AS links FROM pages""",
     "a30_catalog": "SELECT page_id, strlen(html) AS size, md5(html) AS md5, sha256(html) AS sha256 FROM pages",
 }
