@@ -200,3 +200,17 @@ def held_limit(hold_us: int) -> Step:
         return state, []
 
     return step
+
+
+def guidance(off: float, hold_us: int) -> Step:
+    """Rows (id, t, distance) at which the state changes: on a route, leaving it beyond off, off it once that lasted hold_us."""
+    def step(state, row):
+        said, since = state
+        if row[2] <= off:
+            since, now = None, "on"
+        else:
+            since = row[1] if since is None else since
+            now = "off" if row[1] - since >= hold_us else "leaving"
+        return (now, since), ([(row[0], now)] if now != said else [])
+
+    return step

@@ -228,3 +228,24 @@ def late(df: DataFrame, by: list[str], arrival: str, t: str, delay: int, bucket:
     base = df.groupBy(*by, "_b").agg(F.max(t).alias("_m")).select(*by, "_b", F.max("_m").over(before).alias("_base"))
     out = df.withColumn("_in", F.max(t).over(inside)).join(base, [*by, "_b"], "left")
     return out.withColumn("late", F.greatest("_in", "_base") - F.col(t) > delay).drop("_b", "_in", "_base")
+
+
+def all_fresh(df: DataFrame, by: list[str], t: str, channel: str, channels: list[str], within: int) -> DataFrame:
+    """Rows at which every channel was heard at most within before (the row's own counts)."""
+    heard = {f"_c{i}": (lambda w, c=c: F.max(F.when(F.col(channel) == c, 1)).over(w)) for i, c in enumerate(channels)}
+    out = over_frame(df, by, t, within, heard)
+    rule = F.lit(True)
+    for i in range(len(channels)):
+        rule = rule & F.col(f"_c{i}").isNotNull()
+    return out.filter(rule).drop(*heard)
+
+
+def latched(df: DataFrame, by: list[str], order: list[str], on: Column, off: Column, name: str = "held", bucket: int = BUCKET) -> DataFrame:
+    """df with the state of a switch that on sets and off clears, cleared at first; rows between keep what was."""
+    df = _bucketed(df.withColumn("_say", F.when(on, True).when(off, False)), order[0], bucket)
+    inside = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    said = df.groupBy(*by, "_b").agg(F.max_by("_say", F.when(F.col("_say").isNotNull(), F.struct(*order))).alias("_end"))
+    carry = said.select(*by, "_b", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    out = df.withColumn("_in", F.last("_say", ignorenulls=True).over(inside)).join(carry, [*by, "_b"], "left")
+    return out.withColumn(name, F.coalesce("_in", "_carry", F.lit(False))).drop("_say", "_b", "_in", "_carry")

@@ -53,7 +53,8 @@ def c20_staged_groups(spark, sf_dir):
 
 def c31_assign_once(spark, sf_dir):
     p = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.abs(F.col("l_partkey") - F.col("l_suppkey")) % 50).alias("distance"))
-    return tracks.assign_once(p.dropDuplicates(["l_orderkey", "l_linenumber", "l_suppkey"]), "l_orderkey", "l_linenumber", "l_suppkey", "distance", 3)
+    p = p.groupBy("l_orderkey", "l_linenumber", "l_suppkey").agg(F.min("distance").alias("distance"))
+    return tracks.assign_once(p, "l_orderkey", "l_linenumber", "l_suppkey", "distance", 3)
 
 
 def m10_simplify(spark, sf_dir):
