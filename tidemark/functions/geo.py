@@ -102,3 +102,9 @@ def turn_angle(ax, ay, bx, by, cx, cy) -> Column:
     """Turn at b on the way from a to c, in radians: positive to the left, pi for the way back."""
     x, y, u, v = bx - ax, by - ay, cx - bx, cy - by
     return F.atan2(x * v - y * u, x * u + y * v)
+
+
+def planar(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH) -> tuple[Column, Column]:
+    """Distance on the plane of the middle latitude, and the bearing in degrees from 0 to 360."""
+    dx = F.radians(lon2 - lon1) * F.cos(F.radians((lat1 + lat2) / 2))
+    return radius * F.hypot(dx, F.radians(lat2 - lat1)), F.pmod(F.degrees(bearing(lat1, lon1, lat2, lon2)), F.lit(360.0))

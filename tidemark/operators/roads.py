@@ -112,3 +112,19 @@ def agreed_limit(df: DataFrame, by: list[str], limit: Column, weight: str, share
     each = df.withColumn("_l", limit).groupBy(*by, "_l").agg(F.sum(weight).alias("_w"))
     total = each.groupBy(*by).agg(F.sum("_w").alias("_all"), F.max(F.when(F.col("_l").isNotNull(), F.struct("_w", (-F.col("_l")).alias("_n")))).alias("_b"))
     return total.select(*by, F.when(F.col("_b._w") >= share * F.col("_all"), -F.col("_b._n")).alias("limit"))
+
+
+def straight_walks(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """start, k, edge: from each starting edge the walk that turns least at every node, most edges long; never back.
+
+    The next edge of each edge is found once; a step is then a join on a key that is unique on one side.
+    """
+    met = passages(edges).filter("not u_turn")
+    onward = met.groupBy("from_edge").agg(F.min(F.struct(F.round(F.abs("turn"), 6).alias("turn"), "to_edge")).alias("_n"))
+    onward = cut(onward.select(F.col("from_edge").alias("edge"), F.col("_n.to_edge").alias("next")))
+    at = starts.select(F.col("edge").alias("start"), F.lit(0).alias("k"), "edge")
+    out = at
+    for k in range(1, most):
+        at = at.join(onward, "edge").select("start", F.lit(k).alias("k"), F.col("next").alias("edge"))
+        out = out.unionByName(at)
+    return out

@@ -78,3 +78,63 @@ def close_values(left: DataFrame, right: DataFrame, by: list[str], value: str, o
     a = left.withColumn("_cell", F.floor(F.col(value) / apart).cast("long"))
     b = right.withColumn("_cell", F.explode(F.array(*((F.floor(F.col(other) / apart) + k).cast("long") for k in (-1, 0, 1)))))
     return a.join(b, [*by, "_cell"]).filter(F.abs(F.col(value) - F.col(other)) < apart).drop("_cell")
+
+
+def box_distance(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Distance of a point from a box; 0 inside."""
+    dx = F.greatest(x0 - x, F.lit(0.0), x - x1)
+    dy = F.greatest(y0 - y, F.lit(0.0), y - y1)
+    return F.hypot(dx, dy)
+
+
+def nearest_box(points: DataFrame, boxes: DataFrame, key: str, x: str, y: str, box: str, limit: float) -> DataFrame:
+    """key, box, distance of the box (x0, y0, x1, y1) nearest within limit; of equally near ones the last by name.
+
+    A box is copied to the cells it and its surroundings touch, so boxes should be small against the plane.
+    """
+    span = lambda a, b: F.sequence(cell(F.col(a) - limit, limit), cell(F.col(b) + limit, limit))
+    spread = boxes.withColumn("_i", F.explode(span("x0", "x1"))).withColumn("_j", F.explode(span("y0", "y1")))
+    met = points.withColumns({"_i": cell(F.col(x), limit), "_j": cell(F.col(y), limit)}).join(spread, ["_i", "_j"])
+    d = box_distance(*(F.col(c) for c in (x, y, "x0", "y0", "x1", "y1")))
+    best = met.withColumn("_d", d).filter(F.col("_d") <= limit).groupBy(key).agg(F.max(F.struct((-F.col("_d")).alias("k"), F.col(box).alias("box"))).alias("b"))
+    return best.select(key, F.col("b.box").alias(box), (-F.col("b.k")).alias("distance"))
+
+
+def snap(points: DataFrame, segs: DataFrame, key: str, x: str, y: str, bearing: str, seg: str, radius: float, turn: float) -> DataFrame:
+    """key, seg, off of the nearest segment within radius that runs along the point's bearing (radians) up to turn, either way."""
+    span = lambda a, b: F.sequence(cell(F.least(a, b) - radius, radius), cell(F.greatest(a, b) + radius, radius))
+    spread = segs.withColumn("_i", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("_j", F.explode(span(F.col("ay"), F.col("by_"))))
+    met = points.withColumns({"_i": cell(F.col(x), radius), "_j": cell(F.col(y), radius)}).join(spread, ["_i", "_j"])
+    off, _ = segment_distance(*(F.col(c) for c in (x, y, "ax", "ay", "bx", "by_")))
+    way = F.atan2(F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay"))
+    apart = F.pmod(way - F.col(bearing), F.lit(3.141592653589793))
+    agrees = F.least(apart, 3.141592653589793 - apart) <= turn
+    best = met.withColumn("_off", off).filter((F.col("_off") <= radius) & agrees).groupBy(key).agg(F.min(F.struct(F.round("_off", 9).alias("off"), F.col(seg).alias("seg"))).alias("b"))
+    return best.select(key, F.col("b.seg").alias(seg), F.col("b.off").alias("off"))
+
+
+def within_any(points: DataFrame, areas: DataFrame, rings: DataFrame, key: str, x: str, y: str, size: float) -> DataFrame:
+    """key and area of points inside rings (area, i, rx, ry: vertices in order), by ray casting over sides that meet the point's row of cells.
+
+    areas is not read beyond its names; a side is copied to the rows of cells it spans, so no pair of point and far side is made.
+    """
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("area").orderBy("i")
+    first = rings.groupBy("area").agg(F.min_by(F.struct("rx", "ry"), "i").alias("_f"))
+    sides = rings.join(areas.select("area"), "area").join(first, "area").withColumn("_n", F.coalesce(F.lead(F.struct("rx", "ry")).over(w), F.col("_f")))
+    sides = sides.select("area", F.col("rx").alias("ax"), F.col("ry").alias("ay"), F.col("_n.rx").alias("bx"), F.col("_n.ry").alias("by_")).filter("ay <> by_")
+    sides = sides.withColumn("_j", F.explode(F.sequence(cell(F.least("ay", "by_"), size), cell(F.greatest("ay", "by_"), size))))
+    met = points.select(key, x, y).withColumn("_j", cell(F.col(y), size)).join(sides, "_j")
+    crosses = ((F.col(y) < F.col("ay")) != (F.col(y) < F.col("by_"))) & (F.col(x) < (F.col(y) - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by_") - F.col("ay")) + F.col("ax"))
+    return met.groupBy(key, "area").agg(F.count_if(crosses).alias("_k")).filter("_k % 2 = 1").select(key, "area")
+
+
+def polygon_vertices(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, ring, hole, i, x, y of outlines in polygon text: a name, then rings (a ! marks a hole) of a vertex a line up to END."""
+    body = F.regexp_replace(F.col(text), r"^[^\n]*\n", "")
+    rings = F.filter(F.transform(F.split(body, r"\n?END\n?"), lambda r: F.trim(r)), lambda r: r != "")
+    each = df.select(key, F.explode(rings).alias("_r")).select(key, F.split("_r", r"\n").alias("_l"))
+    each = each.select(key, F.regexp_replace(F.trim(F.get("_l", F.lit(0))), "^!", "").alias("ring"), F.get("_l", F.lit(0)).startswith("!").alias("hole"), F.posexplode(F.slice("_l", F.lit(2), F.size("_l"))).alias("i", "_v"))
+    xy = F.split(F.trim("_v"), r"\s+")
+    return each.select(key, "ring", "hole", "i", F.get(xy, F.lit(0)).try_cast("double").alias("x"), F.get(xy, F.lit(1)).try_cast("double").alias("y"))
