@@ -36,7 +36,7 @@ def test_query_equals_oracle(spark, duck, name):
     assert sorted(names) == cols
     want = sorted(tuple(cell(r[names.index(c)]) for c in cols) for r in cur.fetchall())
     got = sorted(tuple(cell(r[c]) for c in cols) for r in df.collect())
-    assert got == want
+    assert got == want and got, name
 
 
 def test_entry_runs(spark):

@@ -202,6 +202,21 @@ def held_limit(hold_us: int) -> Step:
     return step
 
 
+def calibration(spread: float, drift: float, noise: float) -> Step:
+    """Rows (id, y, a, b): the two factors of y = p a + q b by a Kalman filter from (1, 0); q wanders by drift a row. Out: id, p, q."""
+    def step(state, row):
+        p, q, pp, pq, qq = state
+        _, y, a, b = row
+        qq += drift
+        ha, hb = pp * a + pq * b, pq * a + qq * b
+        s = a * ha + b * hb + noise
+        e = y - p * a - q * b
+        p, q = p + ha / s * e, q + hb / s * e
+        return (p, q, pp - ha * ha / s, pq - ha * hb / s, qq - hb * hb / s), [(row[0], p, q)]
+
+    return step
+
+
 def guidance(off: float, hold_us: int) -> Step:
     """Rows (id, t, distance) at which the state changes: on a route, leaving it beyond off, off it once that lasted hold_us."""
     def step(state, row):

@@ -10,6 +10,7 @@ from tidemark.operators import stateful as st
 from tidemark.operators import tables, tracks
 from tidemark.operators import timeseries as ts
 from tidemark.plans.timeline import _E, HOUR, events
+from tidemark.sources import ulog
 
 ORDER = ["t", "event_id"]
 STATES = {0: "off", 1: "running", 2: "stalled"}
@@ -34,6 +35,14 @@ def a3_speed_samples(spark, sf_dir):
     return e.select("event_id", fixes.midpoint(F.col("t"), F.col("event_id") % 80_001).alias("t"), F.round(speed, 6).alias("speed"), conv.code_name((F.col("event_id") % 4).cast("int"), STATES).alias("state"))
 
 
+def a1_log_scan(spark, sf_dir):
+    """Each user's days written as binary logs and read back by their own description."""
+    e = events(spark, sf_dir).withColumns({"day": F.floor(F.col("t") / (24 * HOUR)).cast("long"), "id": F.col("event_id").cast("double")})
+    log = ulog.decode(ulog.encoded(e, ["user_id", "day"], "t", ["id", "value"], "reading"))
+    got = ulog.stream_of(log, "reading", ["id", "value", "later"])
+    return got.select(F.col("id").cast("long").alias("event_id"), "path", "t_us", F.round("value", 4).alias("value"), "later")
+
+
 def a4_motion_frames(spark, sf_dir):
     v = lambda i: F.col("embedding")[i].cast("double")
     e = _t(spark, sf_dir, "embeddings")
@@ -104,7 +113,7 @@ STEPS = (0.05, 0.1, 0.25, 0.5, 1.0)
 
 def d15_snapped_scales(spark, sf_dir):
     """Each user's middle scale, or the known step that is within two hundredths of it."""
-    e = events(spark, sf_dir).withColumn("scale", F.round(F.pmod(F.col("value"), F.lit(1.2)), 2)).filter("scale > 0")
+    e = events(spark, sf_dir).withColumn("scale", F.floor(F.col("value") * 100).cast("long") % 120 / 100).filter("scale > 0")
     m = ag.quantiles(e, ["user_id"], "scale", {"scale": ("floor", 0.5)})
     near = F.filter(F.array(*map(F.lit, STEPS)), lambda s: F.abs(F.col("scale") - s) <= 0.02 * s + 1e-12)
     return m.select("user_id", F.coalesce(F.get(near, F.lit(0)), F.col("scale")).alias("scale"))
@@ -120,6 +129,13 @@ def d16_verdicts(spark, sf_dir):
     return n.join(m, "l_suppkey").join(mad, "l_suppkey").select("l_suppkey", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), v.alias("verdict"))
 
 
+def d18_calibrations(spark, sf_dir):
+    """Each supplier's price as so much a unit and so much a percent of discount, learnt line by line."""
+    p = _t(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_partkey", (F.col("l_extendedprice") / 10_000).alias("y"), (F.col("l_quantity") / 10).alias("a"), (F.col("l_discount") * 10).alias("b"))
+    got = st.batch(p, "l_suppkey", ["id", "y", "a", "b"], st.calibration(1.0, 0.01, 4.0), (1.0, 0.0, 1.0, 0.0, 1.0), "l_suppkey long, id long, p double, q double", ["id", "l_partkey", "y"])
+    return got.select("l_suppkey", "id", F.round("p", 5).alias("p"), F.round("q", 5).alias("q"))
+
+
 def d21_match_metrics(spark, sf_dir):
     """Share of readings on the wrong road, and how long it took to come back: spells of low values."""
     e = events(spark, sf_dir)
@@ -297,7 +313,7 @@ def p4_bus_report(spark, sf_dir):
     """Clicks against the nearest views: bias, scale and count."""
     e = events(spark, sf_dir)
     got = ts.nearest(_kind(e, "click"), _mean_at(e, "view"), ["user_id"], "t", ["value"], tolerance=12 * HOUR).filter("match is not null")
-    return got.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg(F.col("value") - F.col("match.value")), 4).alias("bias"), F.round(F.sum(F.col("value") * F.col("match.value")) / F.sum(F.col("match.value") * F.col("match.value")), 6).alias("scale"))
+    return got.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg(F.col("value") - F.col("match.value")), 6).alias("bias"), F.round(F.sum(F.col("value") * F.col("match.value")) / F.sum(F.col("match.value") * F.col("match.value")), 6).alias("scale"))
 
 
 def p5_offsets_by_direction(spark, sf_dir):
@@ -345,6 +361,12 @@ def _floor_q(x: str, q: float) -> str:
 
 ORACLES = {
     "a3_speed_samples": f"WITH {_E} SELECT event_id, t - event_id % 80001 // 2 AS t, CASE WHEN value >= 10 THEN round((value - 10) / 3.6::DOUBLE, 6) END AS speed, CASE event_id % 4 WHEN 0 THEN 'off' WHEN 1 THEN 'running' WHEN 2 THEN 'stalled' ELSE 'code_3' END AS state FROM e WHERE event_id % 3 = 1 AND event_id % 7 <> 0",
+    "a1_log_scan": f"WITH {_E} SELECT event_id, user_id || '/' || t // {24 * HOUR} AS path, t AS t_us, round(value, 4) AS value, CAST(NULL AS DOUBLE) AS later FROM e",
+    "d18_calibrations": """WITH RECURSIVE n AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS id, l_extendedprice / 10000 AS y, l_quantity / 10 AS a, l_discount * 10 AS b, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 8 + l_linenumber, l_partkey, l_extendedprice) AS i FROM lineitem),
+        s0 AS (SELECT DISTINCT l_suppkey FROM n), r AS (SELECT l_suppkey, CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS i, 1.0::DOUBLE AS p, 0.0::DOUBLE AS q, 1.0::DOUBLE AS pp, 0.0::DOUBLE AS pq, 1.0::DOUBLE AS qq FROM s0
+        UNION ALL SELECT l_suppkey, id, i, p + ha / s * e, q + hb / s * e, pp - ha * ha / s, pq - ha * hb / s, qq - hb * hb / s FROM (SELECT *, a * ha + b * hb + 4 AS s, y - p * a - q * b AS e FROM (SELECT *, pp * a + pq * b AS ha, pq * a + qq * b AS hb
+            FROM (SELECT n.*, r.p, r.q, r.pp, r.pq, r.qq + 0.01 AS qq FROM r JOIN n ON n.l_suppkey = r.l_suppkey AND n.i = r.i + 1))))
+        SELECT l_suppkey, id, round(p, 5) AS p, round(q, 5) AS q FROM r WHERE i > 0""",
     "a4_motion_frames": """WITH v AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
         SELECT vec_id, round(-(e[1] * e[4] + e[2] * e[5] + e[3] * e[6]) / sqrt(e[1] * e[1] + e[2] * e[2] + e[3] * e[3]), 5) AS yaw, vec_id % 2 = 1 AS moving, (vec_id >> 3) % 2 = 1 AS simulated, nullif(vec_id % 16, 15) AS code FROM v""",
     "b1_satellite_fixes": f"WITH {_E} SELECT event_id FROM e WHERE value >= 20 AND event_id % 80 < 50",
@@ -363,7 +385,7 @@ ORACLES = {
         count(*) FILTER (event_type = 'error' AND coalesce(b, '') <> 'error') AS went_off, round(count(*) FILTER (event_type = 'view') / count(*), 6) AS on_share FROM p GROUP BY 1""",
     "d10_profile_scores": """WITH p AS (SELECT l_suppkey, l_partkey, max(CAST(l_returnflag = 'R' AS INT)) AS hit FROM lineitem GROUP BY 1, 2), s AS (SELECT l_suppkey, CAST(sum(hit) AS BIGINT) AS hits, avg(hit) AS share FROM p GROUP BY 1)
         SELECT l_suppkey, hits, round(share, 6) AS share, row_number() OVER (ORDER BY share DESC, hits DESC, l_suppkey) AS place FROM s""",
-    "d15_snapped_scales": f"""WITH {_E}, s AS (SELECT user_id, round(value - floor(value / 1.2::DOUBLE) * 1.2::DOUBLE, 2) AS s FROM e), m AS (SELECT user_id, {_floor_q('s', 0.5)} AS m FROM s WHERE s > 0 GROUP BY 1)
+    "d15_snapped_scales": f"""WITH {_E}, s AS (SELECT user_id, CAST(floor(value * 100) AS BIGINT) % 120 / 100 AS s FROM e), m AS (SELECT user_id, {_floor_q('s', 0.5)} AS m FROM s WHERE s > 0 GROUP BY 1)
         SELECT user_id, coalesce(list_filter({list(STEPS)}::DOUBLE[], lambda k: abs(m - k) <= 0.02 * k + 1e-12)[1], m) AS scale FROM m""",
     "d16_verdicts": f"""WITH p AS (SELECT *, l_extendedprice / (l_quantity * 1000) AS r FROM lineitem), m AS (SELECT l_suppkey, {_floor_q('r', 0.5)} AS median, count(*) AS n, corr(l_quantity, l_extendedprice) AS c FROM p GROUP BY 1),
         d AS (SELECT l_suppkey, {_floor_q('abs(r - median)', 0.5)} AS mad FROM p JOIN m USING (l_suppkey) GROUP BY 1) SELECT l_suppkey, round(median, 6) AS median, round(mad, 6) AS mad, CASE WHEN n < 30 THEN 'pending' WHEN c > 0.85 AND mad < 0.33 * median THEN 'pass' ELSE 'fail' END AS verdict FROM m JOIN d USING (l_suppkey)""",
@@ -410,7 +432,7 @@ ORACLES = {
     "m24_drawn": "WITH u AS (SELECT o_orderkey, o_orderkey % 1001 / 1000 AS u FROM orders) SELECT o_orderkey, round(CASE WHEN u <= 0 THEN 1 WHEN u <= 0.25 THEN 1 + u / 0.25 WHEN u <= 0.5 THEN 2 + (u - 0.25) / 0.25 * 2 WHEN u <= 0.9 THEN 4 + (u - 0.5) / 0.4 * 6 ELSE 10 + (u - 0.9) / 0.1 * 30 END, 6) AS drawn FROM u",
     "p3_catalogue": f"WITH {_E} SELECT user_id, min(t) AS from_t, max(t) AS to_t, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM e GROUP BY 1",
     "p4_bus_report": f"""WITH {_E}, {_MEAN}, m AS (SELECT c.event_id, c.user_id, c.value, v.value AS v, row_number() OVER (PARTITION BY c.event_id ORDER BY abs(v.t - c.t), v.t) AS r FROM e c JOIN g v ON v.event_type = 'view' AND v.user_id = c.user_id AND abs(v.t - c.t) <= {12 * HOUR} WHERE c.event_type = 'click')
-        SELECT user_id, count(*) AS n, round(avg(value - v), 4) AS bias, round(sum(value * v) / sum(v * v), 6) AS scale FROM m WHERE r = 1 GROUP BY 1""",
+        SELECT user_id, count(*) AS n, round(avg(value - v), 6) AS bias, round(sum(value * v) / sum(v * v), 6) AS scale FROM m WHERE r = 1 GROUP BY 1""",
     "p5_offsets_by_direction": f"""WITH {_E}, p AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) <= {12 * HOUR} THEN 0 ELSE 1 END AS new FROM e), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM p),
         q AS (SELECT user_id, run, avg(value) AS o FROM r GROUP BY 1, 2) SELECT user_id, round(avg(o) FILTER (run % 2 = 1), 6) AS out_mean, round(avg(o) FILTER (run % 2 = 0), 6) AS back_mean, count(*) AS passes FROM q GROUP BY 1""",
     "p13_parity": f"""WITH {_E}, m AS (SELECT v.event_id, v.user_id, v.value, v.t, arg_max(c.value, (c.t, c.event_id)) AS cv, max(c.t) AS ct FROM e v JOIN e c ON c.event_type = 'click' AND c.user_id = v.user_id AND c.t <= v.t WHERE v.event_type = 'view' GROUP BY 1, 2, 3, 4),

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import geo
+from tidemark.functions import conv, geo
+from tidemark.operators import graph as gr
 from tidemark.operators import roads as ro
 from tidemark.operators import search as se
 from tidemark.operators import spatial as sp
 from tidemark.operators import timeseries as ts
-from tidemark.plans.roads import _GRID, grid
+from tidemark.plans.roads import _GRID, _walk, grid
 
 
 def _t(spark, sf_dir, name):
@@ -190,13 +191,58 @@ def s15_tag_helpers(spark, sf_dir):
     return p.select("p_partkey", kph.alias("kph"), people.alias("people"), F.array_join(each, "|").alias("refs"))
 
 
+def c33_cameras_ahead(spark, sf_dir):
+    """Cameras on the streets that can be reached from the first supplier within 800 m, and how far ahead they are."""
+    e = grid(spark, sf_dir)
+    at = gr.cheapest(e.select("a", "b", F.col("metres").alias("cost")), spark.createDataFrame([(1, 0.0)], "node long, cost double"), 8, 800.0)
+    cams = e.filter("edge % 3 = 0").select("edge", F.col("a").alias("node"), (F.col("edge") % 150).cast("double").alias("spot"), "metres").filter("spot <= metres")
+    got = cams.join(at.select("node", "cost"), "node").withColumn("ahead", F.col("cost") + F.col("spot")).filter("ahead <= 800")
+    return got.select("edge", "ahead")
+
+
+def h11_limits_ahead(spark, sf_dir):
+    """Along each straightest walk the metres until the road's class changes, or the walk ends."""
+    e = grid(spark, sf_dir)
+    w = ro.straight_walks(e, e.select("edge"), 5).join(e.select("edge", "cls", "metres"), "edge")
+    own = w.filter("k = 0").select("start", F.col("cls").alias("own"))
+    first = w.join(own, "start").filter("cls <> own").groupBy("start").agg(F.min("k").alias("stop"))
+    return w.join(first, "start", "left").filter("stop is null or k < stop").groupBy("start").agg(F.sum("metres").alias("metres"))
+
+
+def h13_chainage(spark, sf_dir):
+    """Official kilometres against measured ones: the sign by correlation, then the line through both."""
+    p = _t(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_extendedprice") / 1000).alias("km"), (F.when(F.col("l_suppkey") % 2 == 0, -1).otherwise(1) * F.col("l_quantity")).alias("measured"))
+    f = p.groupBy("l_suppkey").agg(F.corr("km", "measured").alias("r"), F.regr_intercept("measured", "km").alias("a"), F.regr_slope("measured", "km").alias("b"))
+    return f.select("l_suppkey", F.when(F.col("r") < 0, -1).otherwise(1).alias("sign"), F.round(F.col("a") + F.col("b") * 50, 4).alias("at_50"))
+
+
+def m5_wrapped(spark, sf_dir):
+    a = F.col("c_acctbal") / 100
+    return _t(spark, sf_dir, "customer").select("c_custkey", F.round(conv.wrap_pi(a), 6).alias("high"), F.round(conv.wrap_pi_low(a), 6).alias("low"))
+
+
+def m12_sides(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return p.select("vec_id", geo.side_of(F.lit(-1.0), F.lit(-0.5), F.lit(1.0), F.lit(0.5), F.col("x"), F.col("y"), 0.02).alias("side"))
+
+
+def t6_elapsed(spark, sf_dir):
+    """When a trip over an order's lines reaches half of its quantity: straight between the lines."""
+    q = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    o = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(q, lambda s: s["l_quantity"]).alias("q"))
+    total = F.aggregate("q", F.lit(0.0), lambda s, x: s + x)
+    step = lambda s, x: F.when(s["left"] <= 0, s).when(x >= s["left"], F.struct(F.lit(0.0).alias("left"), (s["at"] + s["left"] / x).alias("at"))).otherwise(F.struct((s["left"] - x).alias("left"), (s["at"] + 1).alias("at")))
+    got = o.withColumn("half", total / 2).withColumn("s", F.aggregate("q", F.struct(F.col("half").alias("left"), F.lit(0.0).alias("at")), step))
+    return got.select("l_orderkey", F.round("s.at", 6).alias("at"))
+
+
 def m4_planar(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") * 37 % 1400) / 10 - 70).alias("lat"), ((F.col("c_custkey") * 91 % 3600) / 10 - 180).alias("lon"))
     d, b = geo.planar(F.col("lat"), F.col("lon"), F.col("lat") + 0.01, F.col("lon") + 0.02, 6_371_008.8)
     return c.select("c_custkey", F.round(d, 3).alias("metres"), F.round(b, 4).alias("bearing"))
 
 
-QUERIES = {k: v for k, v in globals().items() if callable(v) and k[0] in "abcdhmps" and k[1:2].isdigit()}
+QUERIES = {k: v for k, v in globals().items() if callable(v) and k[0] in "abcdhmpst" and k[1:2].isdigit()}
 _P = "p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
 _S = "c AS (SELECT label, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY 1), s AS (SELECT label, cx, cy, greatest(0.1, max(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)))) AS reach FROM p JOIN c USING (label) GROUP BY 1, 2, 3)"
 _D = lambda a, b: f"sqrt(({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y))"
@@ -234,6 +280,14 @@ ORACLES = {
     "p6_off_road": f"WITH {_P} SELECT a.vec_id FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.vec_id % 4 = 0 AND b.vec_id <> a.vec_id AND {_D('a', 'b')} <= 0.03)",
     "s15_tag_helpers": """SELECT p_partkey, CAST(CASE WHEN p_partkey % 4 > 1 AND p_partkey % 200 BETWEEN 5 AND 150 THEN p_partkey % 200 ELSE 0 END AS INTEGER) AS kph, CASE p_partkey % 4 WHEN 0 THEN p_partkey * 13 WHEN 1 THEN 0 ELSE p_partkey % 200 END AS people,
         'M-0' || CAST(p_partkey % 5 AS VARCHAR) || CASE WHEN p_partkey % 2 = 0 THEN '|E 40' ELSE '' END AS refs FROM part""",
+    "c33_cameras_ahead": f"WITH {_GRID}{_walk('c', 'SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost', 'SELECT e.b, c.cost + e.metres FROM {0} c JOIN e ON e.a = c.node WHERE c.cost + e.metres <= 800', 'node')} SELECT edge, cost + edge % 150 AS ahead FROM e JOIN c8 ON node = a WHERE edge % 3 = 0 AND edge % 150 <= metres AND cost + edge % 150 <= 800",
+    "h13_chainage": "WITH p AS (SELECT l_suppkey, l_extendedprice / 1000 AS km, CASE WHEN l_suppkey % 2 = 0 THEN -1 ELSE 1 END * l_quantity AS m FROM lineitem) SELECT l_suppkey, CAST(CASE WHEN corr(km, m) < 0 THEN -1 ELSE 1 END AS INTEGER) AS sign, round(regr_intercept(m, km) + regr_slope(m, km) * 50, 4) AS at_50 FROM p GROUP BY 1",
+    "m5_wrapped": "WITH a AS (SELECT c_custkey, c_acctbal / 100 AS a FROM customer) SELECT c_custkey, round(pi() - (pi() - a - floor((pi() - a) / (2 * pi())) * 2 * pi()), 6) AS high, round(a + pi() - floor((a + pi()) / (2 * pi())) * 2 * pi() - pi(), 6) AS low FROM a",
+    "m12_sides": f"WITH {_P}, d AS (SELECT vec_id, (2 * (y + 0.5) - (x + 1)) / sqrt(5) AS d FROM p) SELECT vec_id, CASE WHEN d > 0.02 THEN 'left' WHEN d < -0.02 THEN 'right' END AS side FROM d",
+    "t6_elapsed": """WITH q AS (SELECT l_orderkey, l_quantity AS q, row_number() OVER w AS i, sum(l_quantity) OVER (w ROWS UNBOUNDED PRECEDING) AS upto, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS total FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity))
+        SELECT l_orderkey, round(i - 1 + (total / 2 - (upto - q)) / q, 6) AS at FROM q WHERE upto >= total / 2 AND upto - q < total / 2""",
     "m4_planar": """WITH c AS (SELECT c_custkey, radians((c_custkey * 37 % 1400) / 10 - 70) AS a FROM customer), d AS (SELECT c_custkey, a, a + radians(0.01) AS b FROM c)
         SELECT c_custkey, round(6371008.8 * sqrt(power(radians(0.02) * cos((a + b) / 2), 2) + power(radians(0.01), 2)), 3) AS metres, round(degrees(atan2(sin(radians(0.02)) * cos(b), cos(a) * sin(b) - sin(a) * cos(b) * cos(radians(0.02)))), 4) AS bearing FROM d""",
 }
+ORACLES["h11_limits_ahead"] = ORACLES["h12_straight_walks"].replace("SELECT start, k, edge FROM r", "") + """, w AS (SELECT r.start, r.k, cls, metres FROM r JOIN e USING (edge)), o AS (SELECT start, cls AS own FROM w WHERE k = 0), f AS (SELECT start, min(k) AS stop FROM w JOIN o USING (start) WHERE cls <> own GROUP BY 1)
+    SELECT start, sum(metres) AS metres FROM w LEFT JOIN f USING (start) WHERE stop IS NULL OR k < stop GROUP BY 1"""
