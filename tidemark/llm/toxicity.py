@@ -176,7 +176,9 @@ def fit(texts: list[str], labels: list[int], share: float) -> dict:
     The best passage of a clean document of n tokens follows a Gumbel law with location a + b log n; the
     evidence of all passages against that law gives the probability of class 1.
     """
-    words = [_words(t.lower()) for t in texts]
+    pool: dict[str, str] = {}
+    # one string for each word, however often it stands in the sample
+    words = [[pool.setdefault(w, w) for w in _words(t.lower())] for t in texts]
     own = unlike(words)
     words, y = [words[i] for i in own], np.array(labels)[own]
     counts, toxic = Counts(words), y == 1
