@@ -54,9 +54,9 @@ COMPACT = 8
 def hops(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     """node, hops: fewest edges from any source, up to most; each round moves and writes only the frontier."""
     front = cut(sources.select("node").distinct().withColumn("hops", F.lit(0)))
-    found = [front]
+    edges, found = cut(edges.select("a", "b")), [front]
     for k in range(1, most + 1):
-        step = front.select(F.col("node").alias("a")).join(edges.select("a", "b"), "a").select(F.col("b").alias("node")).distinct()
+        step = front.select(F.col("node").alias("a")).join(edges, "a").select(F.col("b").alias("node")).distinct()
         front = cut(step.join(_all(found).select("node"), "node", "left_anti").withColumn("hops", F.lit(k)))
         if front.isEmpty():
             break
@@ -83,9 +83,11 @@ def _least(tables: list[DataFrame]) -> DataFrame:
 def cheapest(edges: DataFrame, sources: DataFrame, rounds: int, most: float = float("inf")) -> DataFrame:
     """node, cost, via: least cost over directed edges (a, b, cost) from sources (node, cost), at most `most`.
 
-    Relaxation of the nodes that improved last round; ends when none does, or after rounds. What a round
+    Edges are written once, so that no round computes them again. Relaxation of the nodes that improved last
+    round; ends when none does, or after rounds. What a round
     improves is written as a table of its own; every COMPACT rounds these become one.
     """
+    edges = cut(edges.select("a", "b", "cost"))
     moved = cut(sources.select("node", F.col("cost").cast("double").alias("cost"), F.lit(None).cast(dict(edges.dtypes)["a"]).alias("via")))
     best = [moved]
     for _ in range(rounds):

@@ -83,6 +83,19 @@ def chunks(amount: float) -> Step:
     return step
 
 
+def odometry(metres: float, wait_us: int) -> Step:
+    """Chunks of rows (id, t, source, ds): one closes once it is metres long or lasted wait_us, and before the source changes. Out: id, chunk."""
+    def step(state, row):
+        number, length, took, source, last = state
+        _, t, kind, ds = row
+        dt = 0 if last is None else t - last
+        if source is not None and (kind != source or length >= metres or took >= wait_us):
+            number, length, took = number + 1, 0.0, 0
+        return (number, length + ds, took + dt, kind, t), [(row[0], number)]
+
+    return step
+
+
 def hysteresis(enter: float, leave: float) -> Step:
     """Rows (id, value) where a warning goes on above enter or off at or below leave."""
     def step(state, row):

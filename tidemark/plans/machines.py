@@ -18,6 +18,11 @@ def l5_chunks(spark, sf_dir):
     return st.batch(p, "l_suppkey", ["k", "l_quantity"], st.chunks(500.0), (0, 0.0), "l_suppkey long, k long, chunk long", ["k", "l_partkey", "l_extendedprice"])
 
 
+def l5_odometry_chunks(spark, sf_dir):
+    """Chunks of at most so far and so long, each of one channel."""
+    return st.batch(events(spark, sf_dir), "user_id", ["event_id", "t", "event_type", "value"], st.odometry(120.0, 172_800_000_000), (0, 0.0, 0, None, None), "user_id long, event_id long, chunk long", ["t", "event_id"])
+
+
 def l6_trips(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("speed", F.when(F.col("event_type") == "error", 0.0).otherwise(F.col("value")))
     return st.batch(e, "user_id", ["event_id", "t", "speed"], st.trips(3_600_000_000), (None, None, 0, None), "user_id long, start_t long, end_t long, reason string", ["t", "event_id"])
@@ -43,6 +48,9 @@ ORACLES = {
     "d49_ewma": f"""WITH RECURSIVE {_ROWS}, r AS (SELECT user_id, event_id, i, t, value AS m FROM n WHERE i = 1
         UNION ALL SELECT user_id, event_id, i, t, k * m + (1 - k) * value FROM (SELECT n.*, r.m, exp(-(n.t - r.t) / 43200000000.0::DOUBLE) AS k FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1))
         SELECT event_id, round(m, 6) AS mean FROM r""",
+    "l5_odometry_chunks": f"""WITH RECURSIVE {_ROWS}, r AS (SELECT user_id, event_id, i, t, event_type, CAST(0 AS BIGINT) AS chunk, value AS len, CAST(0 AS BIGINT) AS took FROM n WHERE i = 1
+        UNION ALL SELECT user_id, event_id, i, t, event_type, CASE WHEN shut THEN chunk + 1 ELSE chunk END, CASE WHEN shut THEN 0 ELSE len END + value, CASE WHEN shut THEN 0 ELSE took END + dt
+        FROM (SELECT n.*, r.chunk, r.len, r.took, n.t - r.t AS dt, n.event_type <> r.event_type OR r.len >= 120 OR r.took >= 172800000000 AS shut FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)) SELECT user_id, event_id, chunk FROM r""",
     "l7_engine_states": f"""WITH RECURSIVE {_ROWS}, z AS (SELECT *, value * 10 AS rpm FROM n),
         s0 AS (SELECT DISTINCT user_id FROM z), r AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS cur, CAST(NULL AS VARCHAR) AS cand, 0 AS n, CAST(NULL AS DOUBLE) AS last, 0 AS rep, false AS said FROM s0
         UNION ALL SELECT user_id, i, event_id, CASE WHEN say THEN wish ELSE cur END, wish, n2, rpm, rep2, say FROM (

@@ -9,6 +9,7 @@ from tidemark.operators import graph as gr
 from tidemark.operators import roads as ro
 from tidemark.operators import search as se
 from tidemark.operators import spatial as sp
+from tidemark.operators import tables
 from tidemark.operators import timeseries as ts
 from tidemark.plans.roads import _GRID, _walk, grid
 
@@ -166,6 +167,38 @@ def d46_urban(spark, sf_dir):
     return sp.within(_points(spark, sf_dir).select("vec_id", "x", "y"), places, "x", "y", 0.05, F.col("r")).select("vec_id").distinct()
 
 
+def d38_settlement_reach(spark, sf_dir):
+    """Each settlement's reach: its farthest child, at least its kind's radius, in whole steps of 0.05."""
+    s = _settlements(spark, sf_dir)
+    return s.select("label", F.ceil(F.greatest(F.col("reach"), F.when(F.col("label") % 3 == 0, 0.3).otherwise(0.1)) / 0.05 - 1e-9).cast("long").alias("steps"))
+
+
+def d41_cell_table(spark, sf_dir):
+    """Places in order of their cell, and of each cell the place its first one has."""
+    p = _points(spark, sf_dir).withColumns({"row": geo.cell(F.col("y"), 0.05), "col": geo.cell(F.col("x"), 0.05)})
+    got = tables.ordinal(p, F.col("row"), ["col", "y", "x", "vec_id"], "place")
+    return got.groupBy("row", "col").agg((F.min("place") - 1).alias("first"), F.count("*").alias("n"))
+
+
+def e9_local_ids(spark, sf_dir):
+    """Dense numbers within each tile."""
+    p = _points(spark, sf_dir).withColumn("tile", geo.cell(F.col("y"), 0.2) * 1000 + geo.cell(F.col("x"), 0.2))
+    return ts.numbered(p, ["tile"], ["vec_id"], bucket=10_000).select("vec_id", "tile", (F.col("place") - 1).alias("local"))
+
+
+def r2_slices(spark, sf_dir):
+    """The leading numbers of each vector, as many as its label says."""
+    e = _t(spark, sf_dir, "embeddings")
+    kept = F.slice("embedding", F.lit(1), (F.col("label") % 5 + 1).cast("int"))
+    return e.select("vec_id", F.size(kept).cast("long").alias("n"), F.round(F.aggregate(F.transform(kept, lambda v: v.cast("double")), F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+
+
+def h7_undirected(spark, sf_dir):
+    """Least metres to each supplier along the streets, whichever way they may be driven."""
+    e = grid(spark, sf_dir).select("a", "b", F.col("metres").alias("cost"))
+    return gr.cheapest(gr.both_ways(e, "cost"), spark.createDataFrame([(1, 0.0)], "node long, cost double"), 8).select("node", "cost")
+
+
 def h12_straight_walks(spark, sf_dir):
     """From every street the walk that keeps straightest, five streets long at most."""
     e = grid(spark, sf_dir)
@@ -242,7 +275,7 @@ def m4_planar(spark, sf_dir):
     return c.select("c_custkey", F.round(d, 3).alias("metres"), F.round(b, 4).alias("bearing"))
 
 
-QUERIES = {k: v for k, v in globals().items() if callable(v) and k[0] in "abcdhmpst" and k[1:2].isdigit()}
+QUERIES = {k: v for k, v in globals().items() if callable(v) and k[0] in "abcdehmprst" and k[1:2].isdigit()}
 _P = "p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
 _S = "c AS (SELECT label, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY 1), s AS (SELECT label, cx, cy, greatest(0.1, max(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)))) AS reach FROM p JOIN c USING (label) GROUP BY 1, 2, 3)"
 _D = lambda a, b: f"sqrt(({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y))"
@@ -286,6 +319,11 @@ ORACLES = {
     "m12_sides": f"WITH {_P}, d AS (SELECT vec_id, (2 * (y + 0.5) - (x + 1)) / sqrt(5) AS d FROM p) SELECT vec_id, CASE WHEN d > 0.02 THEN 'left' WHEN d < -0.02 THEN 'right' END AS side FROM d",
     "t6_elapsed": """WITH q AS (SELECT l_orderkey, l_quantity AS q, row_number() OVER w AS i, sum(l_quantity) OVER (w ROWS UNBOUNDED PRECEDING) AS upto, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS total FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity))
         SELECT l_orderkey, round(i - 1 + (total / 2 - (upto - q)) / q, 6) AS at FROM q WHERE upto >= total / 2 AND upto - q < total / 2""",
+    "d38_settlement_reach": f"WITH {_P}, {_S} SELECT label, CAST(ceil(greatest(reach, CASE WHEN label % 3 = 0 THEN 0.3 ELSE 0.1 END) / 0.05::DOUBLE - 1e-9) AS BIGINT) AS steps FROM s",
+    "d41_cell_table": f"WITH {_P}, c AS (SELECT *, CAST(floor(y / 0.05) AS BIGINT) AS r, CAST(floor(x / 0.05) AS BIGINT) AS c FROM p), o AS (SELECT r, c, row_number() OVER (ORDER BY r, c, y, x, vec_id) - 1 AS i FROM c) SELECT r AS row, c AS col, min(i) AS first, count(*) AS n FROM o GROUP BY 1, 2",
+    "e9_local_ids": f"WITH {_P}, t AS (SELECT vec_id, CAST(floor(y / 0.2) AS BIGINT) * 1000 + CAST(floor(x / 0.2) AS BIGINT) AS tile FROM p) SELECT vec_id, tile, row_number() OVER (PARTITION BY tile ORDER BY vec_id) - 1 AS local FROM t",
+    "r2_slices": "SELECT vec_id, CAST(label % 5 + 1 AS BIGINT) AS n, round(list_sum(list_transform(embedding[1:label % 5 + 1], lambda v: CAST(v AS DOUBLE))), 6) AS total FROM embeddings",
+    "h7_undirected": f"WITH {_GRID}, u AS (SELECT a, b, metres FROM e UNION ALL SELECT b, a, metres FROM e){_walk('c', 'SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost', 'SELECT u.b, c.cost + u.metres FROM {0} c JOIN u ON u.a = c.node', 'node')} SELECT * FROM c8",
     "m4_planar": """WITH c AS (SELECT c_custkey, radians((c_custkey * 37 % 1400) / 10 - 70) AS a FROM customer), d AS (SELECT c_custkey, a, a + radians(0.01) AS b FROM c)
         SELECT c_custkey, round(6371008.8 * sqrt(power(radians(0.02) * cos((a + b) / 2), 2) + power(radians(0.01), 2)), 3) AS metres, round(degrees(atan2(sin(radians(0.02)) * cos(b), cos(a) * sin(b) - sin(a) * cos(b) * cos(radians(0.02)))), 4) AS bearing FROM d""",
 }
