@@ -172,6 +172,7 @@ def exit_counts(edges: DataFrame) -> DataFrame:
 
 def way_to(best: DataFrame, goal: int, rounds: int) -> DataFrame:
     """place, a, b: the edges of the path to goal over the via of cheapest(), counted back from it; empty if it was not reached."""
+    best = cut(best)
     at = best.filter(F.col("node") == goal).select(F.lit(0).alias("place"), F.col("via").alias("a"), F.col("node").alias("b"))
     out = at = cut(at.filter("a is not null"))
     for k in range(1, rounds):
@@ -183,21 +184,30 @@ def way_to(best: DataFrame, goal: int, rounds: int) -> DataFrame:
     return cut(out)
 
 
-def alternatives(edges: DataFrame, start: int, goal: int, count: int, penalty: float, rounds: int) -> DataFrame:
+def alternatives(edges: DataFrame, start: int, goal: int, count: int, penalty: float, rounds: int, slower: float = float("inf"), shared: float = 1.0) -> DataFrame:
     """path, place, a, b, cost: the cheapest path, then others found after each path's edges cost penalty times as much.
 
-    Paths found before are not repeated; costs are those of the plain edges. Paths have at most rounds edges.
+    A path is kept if it costs at most slower times the first and shares less than this part of its cost with
+    the paths kept (with 1.0: if it is not wholly made of their edges). Costs are those of the plain edges.
+    Paths have at most rounds edges, so what is judged of one is small.
     """
-    spark, out, now = edges.sparkSession, None, edges
-    source = spark.createDataFrame([(start, 0.0)], "node long, cost double")
+    spark, kept = edges.sparkSession, None
+    edges = cut(edges.groupBy("a", "b").agg(F.min("cost").alias("cost")))
+    source, now, best = spark.createDataFrame([(start, 0.0)], "node long, cost double"), edges, None
     for k in range(count):
         way = way_to(cheapest(now, source, rounds), goal, rounds)
-        found = way.join(edges, ["a", "b"]).groupBy("place", "a", "b").agg(F.min("cost").alias("cost")).withColumn("path", F.lit(k))
+        found = cut(way.join(edges, ["a", "b"]).withColumn("path", F.lit(k)))
+        old = found.select("a", "b", F.lit(False).alias("_old")).limit(0) if kept is None else kept.select("a", "b", F.lit(True).alias("_old")).distinct()
+        got = found.join(F.broadcast(old), ["a", "b"], "left").agg(F.sum("cost").alias("cost"), F.sum(F.when(F.col("_old"), F.col("cost")).otherwise(0.0)).alias("old")).first()
+        if got["cost"] is None:
+            break
+        best = got["cost"] if best is None else best
+        if kept is None or (got["cost"] <= slower * best and got["old"] < shared * got["cost"]):
+            kept = found if kept is None else kept.unionByName(found)
         now = cut(now.join(F.broadcast(way.select("a", "b", F.lit(True).alias("_used"))), ["a", "b"], "left").withColumn("cost", F.when(F.col("_used"), F.col("cost") * penalty).otherwise(F.col("cost"))).drop("_used"))
-        out = found if out is None else out.unionByName(found)
-    same = out.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "a", "b"))).alias("way"))  # at most rounds edges each
-    first = same.groupBy("way").agg(F.min("path").alias("path"))
-    return out.join(F.broadcast(first.select("path")), "path").select("path", "place", "a", "b", "cost")
+    if kept is None:
+        kept = found
+    return kept.select("path", "place", "a", "b", "cost")
 
 
 def farthest(edges: DataFrame, start: int, rounds: int) -> DataFrame:

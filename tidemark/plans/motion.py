@@ -190,12 +190,6 @@ def h8_longest_path(spark, sf_dir):
     return gr.longest_path(gr.both_ways(tree, "cost"), 1, 64)
 
 
-def h3_alternatives(spark, sf_dir):
-    e = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b")).agg(F.min("l_quantity").alias("cost"))
-    got = gr.alternatives(gr.both_ways(e, "cost"), 1_000_000_001, 1_000_000_002, 3, 3.0, 8)
-    return got.groupBy("path").agg(F.count("*").alias("edges"), F.round(F.sum("cost"), 4).alias("cost"))
-
-
 RANGES = ((540, 1020), (1980, 2460), (3420, 3900), (9000, 10080))
 
 

@@ -198,6 +198,13 @@ def h2_trip(spark, sf_dir):
 STOPS = [1, 4, 8]
 
 
+def h3_alternatives(spark, sf_dir):
+    """Up to three ways between two suppliers: others cost at most six tenths more and share less than eight tenths with those kept."""
+    e = grid(spark, sf_dir).select("a", "b", F.col("seconds").alias("cost"))
+    got = gr.alternatives(e, 1, 8, 3, 1.4, 9, 1.6, 0.8)
+    return got.groupBy("path").agg(F.count("*").alias("edges"), F.round(F.sum("cost"), 4).alias("cost"))
+
+
 def h4_detours(spark, sf_dir):
     e = grid(spark, sf_dir).select("a", "b", F.col("seconds").alias("cost"))
     places = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
@@ -270,7 +277,23 @@ def _walk(name: str, first: str, step: str, key: str, rounds: int = ROUNDS) -> s
 
 _TURNING = "SELECT to_edge, c.cost + tn.seconds + e.seconds FROM {0} c JOIN tn ON from_edge = c.edge JOIN e ON e.edge = to_edge"
 _LEGS = [(f"l{i}x", a, b) for i, (a, b) in enumerate(zip(STOPS, STOPS[1:]))]
+def _way(k: int, rounds: int = 9) -> str:
+    """Rounds of relaxation with predecessors over edges e{k}, the way back from the goal, and the edges with its penalty as e{k + 1}."""
+    out = f", d{k}x0 AS MATERIALIZED (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost, CAST(NULL AS BIGINT) AS via)"
+    for i in range(1, rounds + 1):
+        out += f", d{k}x{i} AS MATERIALIZED (SELECT node, min(cost) AS cost, arg_min(coalesce(via, -1), (cost, coalesce(via, -1))) AS via FROM (SELECT node, cost, coalesce(via, -1) AS via FROM d{k}x{i - 1} UNION ALL SELECT x.b, d.cost + x.cost, x.a FROM d{k}x{i - 1} d JOIN e{k} x ON x.a = d.node) GROUP BY 1)"
+    out += f", w{k} AS (SELECT via AS a, node AS b FROM d{k}x{rounds} WHERE node = 8 UNION ALL SELECT d.via, d.node FROM w{k} JOIN d{k}x{rounds} d ON d.node = w{k}.a WHERE d.via >= 0)"
+    out += f", p{k} AS (SELECT {k} AS path, w.a, w.b, e0.cost FROM w{k} w JOIN e0 ON e0.a = w.a AND e0.b = w.b), e{k + 1} AS MATERIALIZED (SELECT a, b, CASE WHEN EXISTS (SELECT 1 FROM w{k} w WHERE w.a = x.a AND w.b = x.b) THEN cost * 1.4 ELSE cost END AS cost FROM e{k} x)"
+    return out
+
+
+def _kept(k: int, before: str) -> str:
+    return f"(SELECT sum(cost) FROM p{k}) <= 1.6 * (SELECT sum(cost) FROM p0) AND (SELECT coalesce(sum(cost), 0) FROM p{k} x WHERE EXISTS (SELECT 1 FROM ({before}) o WHERE o.a = x.a AND o.b = x.b)) < 0.8 * (SELECT sum(cost) FROM p{k})"
+
+
 ORACLES = {
+    "h3_alternatives": f"""WITH RECURSIVE {_GRID}, e0 AS MATERIALIZED (SELECT a, b, seconds::DOUBLE AS cost FROM e){_way(0)}{_way(1)}{_way(2)}, k1 AS (SELECT * FROM p1 WHERE {_kept(1, "SELECT a, b FROM p0")}), k2 AS (SELECT * FROM p2 WHERE {_kept(2, "SELECT a, b FROM p0 UNION SELECT a, b FROM k1")})
+        SELECT path, count(*) AS edges, round(sum(cost), 4) AS cost FROM (SELECT * FROM p0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2) GROUP BY 1""",
     "a8_drivable_ways": f"WITH {_ROAD}, {_REFS} SELECT way AS id, md5(string_agg(node, ',' ORDER BY pos)) AS refs, CAST(any_value(cls) AS BIGINT) AS cls, CAST(any_value(flags) AS BIGINT) AS flags FROM u JOIN r ON id = way GROUP BY 1",
     "a9_node_locations": f"WITH {_ROAD}, {_REFS}, {_NODE} SELECT id, lat, lon, sign = 0 AS signals, sign IN (1, 2) AS stop FROM n WHERE id IN (SELECT node FROM u)",
     "a13_relation_streets": "SELECT l_partkey, arg_min(s_name, l_suppkey) AS street FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber <> 1 GROUP BY 1",
