@@ -14,8 +14,16 @@ from tidemark.operators.tables import cut
 def drivable(ways: DataFrame) -> DataFrame:
     """id, refs and cls, oneway, flags, maxspeed of the ways cars may use; a node that repeats at once counts once."""
     refs = F.transform(F.filter(F.transform("refs", lambda r, i: F.struct(r.alias("r"), F.get("refs", i - 1).alias("before"))), lambda s: s["before"].isNull() | (s["r"] != s["before"])), lambda s: s["r"])
-    kept = ways.select("id", F.when(F.size("refs") > 0, refs).alias("refs"), roads.road(F.col("tags")).alias("road")).filter("road is not null and size(refs) >= 2")
-    return kept.select("id", "refs", "road.*")
+    return classified(ways.select("id", "tags", F.when(F.size("refs") > 0, refs).alias("refs")).filter("size(refs) >= 2")).select("id", "refs", "cls", "oneway", "flags", "maxspeed")
+
+
+def classified(ways: DataFrame) -> DataFrame:
+    """ways (with tags) that cars may use and cls, oneway, flags, maxspeed of each.
+
+    The rules stand in a generator, so that they run once a row and not once for each field and filter.
+    """
+    found = ways.select("*", F.explode_outer(F.array(roads.road(F.col("tags")))).alias("_road")).filter("_road is not null")
+    return found.select(*ways.columns, "_road.*")
 
 
 def used_nodes(nodes: DataFrame, ways: DataFrame) -> DataFrame:

@@ -14,12 +14,13 @@ from tidemark.operators.tables import ordinal
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """token and key, once for each row that has the (folded) token: the index as rows, so that frequent tokens stay spread."""
-    return df.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("token"), F.col(key)).distinct()
+    # an inner explode would let the optimizer test the array for rows first, which folds every text again
+    return df.select(F.explode_outer(F.array_distinct(tokens(F.col(text)))).alias("token"), F.col(key)).filter("token is not null")
 
 
 def laid_out(index: DataFrame) -> DataFrame:
-    """The index ordered by token within files that hold ranges of tokens, so that a look-up reads few row groups."""
-    return index.repartitionByRange("token").sortWithinPartitions("token")
+    """The index ordered by token within each file, so that a look-up reads few row groups; nothing is shuffled, so frequent tokens stay spread."""
+    return index.sortWithinPartitions("token")
 
 
 def dictionary(df: DataFrame, value: str, seen: str, most: int = 65_535, width: int = 1_000_000) -> DataFrame:

@@ -52,7 +52,8 @@ def _t(spark, sf_dir, name):
 
 
 def _tags(exprs: dict[str, str]):
-    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, exprs)), F.array(*map(F.expr, exprs.values()))), lambda k, v: v.isNotNull())
+    made = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, exprs)), F.array(*map(F.expr, exprs.values()))), lambda k, v: v.isNotNull())
+    return F.explode(F.array(made))  # made once a row, as if it were read
 
 
 def ways(spark, sf_dir):
@@ -87,8 +88,7 @@ def a13_relation_streets(spark, sf_dir):
 
 def b5_road_attributes(spark, sf_dir):
     got = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), _tags(WAY_TAGS).alias("tags"))
-    got = got.select("id", rd.road(F.col("tags")).alias("r")).filter("r is not null")
-    return got.select("id", "r.cls", "r.oneway", "r.flags", "r.maxspeed")
+    return ro.classified(got).select("id", "cls", "oneway", "flags", "maxspeed")
 
 
 def b7_one_ways(spark, sf_dir):

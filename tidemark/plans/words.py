@@ -34,7 +34,7 @@ def s5_typo_budget(spark, sf_dir):
 
 
 def s6_typo_match(spark, sf_dir):
-    i = _index(spark, sf_dir)
+    i = tables.stored(spark, f"vocabulary {sf_dir}", lambda: _index(spark, sf_dir).select("token").distinct())
     words = spark.createDataFrame([("thta",), ("wiht",), ("disgustign",), ("worhtless",), ("form",), ("patehtic",), ("teh",), ("clwon",)], "word string")
     return se.near_tokens(i, words)
 
