@@ -137,7 +137,7 @@ def g3_intersection(spark, sf_dir):
 
 
 def g4_difference(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).join(_t(spark, sf_dir, "orders").filter("o_totalprice > 150000").select(F.col("o_custkey").alias("k")), "k", "left_anti")
+    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).join(_t(spark, sf_dir, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("k")), "k", "left_anti")
 
 
 def g5_containment(spark, sf_dir):
@@ -184,7 +184,7 @@ ORACLES = {
     "f10_argmin": "SELECT s_nationkey, arg_min(s_name, (s_acctbal, s_suppkey)) AS poorest FROM supplier GROUP BY 1",
     "g1_union_best": "WITH u AS (SELECT c_nationkey AS k, c_acctbal AS score, c_name AS name FROM customer UNION ALL SELECT s_nationkey, s_acctbal, s_name FROM supplier) SELECT k, score, name FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, name DESC) = 1",
     "g3_intersection": "SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_discount > 0.09",
-    "g4_difference": "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
+    "g4_difference": "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
     "g5_containment": "SELECT l_orderkey, count(DISTINCT l_linenumber) FILTER (l_linenumber IN (1, 2, 3)) = 3 AS has_all FROM lineitem GROUP BY 1",
     "c15_semi_anti": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50) GROUP BY 1",
 }
