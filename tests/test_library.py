@@ -110,7 +110,7 @@ def test_graph(spark):
     edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (7, 8, 1.0), (9, 9, 1.0)], "a long, b long, cost double")
     assert {tuple(r) for r in graph.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 9)}
     start = spark.createDataFrame([(1, 0.0)], "node long, cost double")
-    assert {r["node"]: r["cost"] for r in graph.cheapest(edges, start, 10).collect()} == {1: 0.0, 2: 1.0, 3: 2.0}
+    assert {r["node"]: r["cost"] for r in graph.cheapest(edges, start).collect()} == {1: 0.0, 2: 1.0, 3: 2.0}
     ways = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [9, 3, 8])], "id long, refs array<long>")
     assert {(r["way"], tuple(r["refs"])) for r in graph.split_ways(ways).collect()} == {(1, (1, 2, 3)), (1, (3, 4)), (2, (9, 3)), (2, (3, 8))}
     assert graph.components(edges.limit(0)).count() == 0
@@ -218,13 +218,13 @@ def test_paths(spark):
     edges = [(1, 2, 1.0), (2, 5, 1.0), (1, 3, 1.5), (3, 5, 1.0), (1, 4, 2.0), (4, 5, 2.0), (1, 5, 9.0)]
     e = spark.createDataFrame(edges, "a long, b long, cost double")
     got = {}
-    for r in graph.alternatives(e, 1, 5, 4, 3.0, 6).collect():
+    for r in graph.alternatives(e, 1, 5, 4, 3.0).collect():
         got.setdefault(r["path"], []).append((r["a"], r["b"]))
     assert sorted(map(sorted, got.values())) == [[(1, 2), (2, 5)], [(1, 3), (3, 5)], [(1, 4), (4, 5)]]
-    assert graph.alternatives(e, 5, 1, 2, 3.0, 6).collect() == []
+    assert graph.alternatives(e, 5, 1, 2, 3.0).collect() == []
     assert {tuple(r) for r in graph.exits(graph.both_ways(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"))).collect()} == {(1, 2, 3), (3, 2, 1)}
     tree = graph.both_ways(spark.createDataFrame([(1, 2, 1.0), (1, 3, 2.0), (3, 4, 5.0), (2, 6, 1.5)], "a long, b long, cost double"), "cost")
-    assert {tuple(r) for r in graph.longest_path(tree, 1, 20).collect()} == {(4, 6, 9.5)}
+    assert {tuple(r) for r in graph.longest_path(tree, 1).collect()} == {(4, 6, 9.5)}
 
 
 def test_segment_cells_and_crossings(spark):

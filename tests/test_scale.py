@@ -89,7 +89,7 @@ def test_searches_whatever_is_compacted(spark, monkeypatch, compact):
             if a in steps and steps[a] + 1 < steps.get(b, 99):
                 steps[b] = steps[a] + 1
     e = spark.createDataFrame(edges, "a long, b long, cost double")
-    assert {r["node"]: r["cost"] for r in graph.cheapest(e, spark.createDataFrame([(0, 0.0)], "node long, cost double"), 30).collect()} == best
+    assert {r["node"]: r["cost"] for r in graph.cheapest(e, spark.createDataFrame([(0, 0.0)], "node long, cost double")).collect()} == best
     assert {r["node"]: r["hops"] for r in graph.hops(e, spark.createDataFrame([(0,)], "node long"), 30).collect()} == steps
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.tables import cut
+from tidemark.operators.tables import cut, scratch, shared_path
 from tidemark.operators.timeseries import islands
 
 
@@ -47,23 +48,13 @@ def components(edges: DataFrame) -> DataFrame:
     return of.join(least, "root").select("node", "component")
 
 
+#: Edges that one task searches at a time.
+BLOCK_EDGES = 1_500_000
 #: Rounds whose finds are kept as tables of their own before they become one.
 COMPACT = 8
-
-
-def hops(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
-    """node, hops: fewest edges from any source, up to most; each round moves and writes only the frontier."""
-    front = cut(sources.select("node").distinct().withColumn("hops", F.lit(0)))
-    edges, found = cut(edges.select("a", "b")), [front]
-    for k in range(1, most + 1):
-        step = front.select(F.col("node").alias("a")).join(edges, "a").select(F.col("b").alias("node")).distinct()
-        front = cut(step.join(_all(found).select("node"), "node", "left_anti").withColumn("hops", F.lit(k)))
-        if front.isEmpty():
-            break
-        found.append(front)
-        if len(found) > COMPACT:
-            found = [cut(_all(found))]
-    return _all(found)
+#: Nodes whose way back one task may walk; beyond, ways are found by doubling.
+WALK_NODES = 500_000
+_LABEL = "node long, cost double, via long, block int"
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -80,40 +71,135 @@ def _least(tables: list[DataFrame]) -> DataFrame:
     return _all(tables).groupBy("node").agg(F.min(F.struct("cost", "via")).alias("s")).select("node", "s.*")
 
 
-def cheapest(edges: DataFrame, sources: DataFrame, rounds: int, most: float = float("inf")) -> DataFrame:
+#: Stands for no via in arrays of long; less than any, as null is.
+NONE = np.iinfo(np.int64).min
+
+
+def relax(a: np.ndarray, b: np.ndarray, cost: np.ndarray, ahead: np.ndarray | None, nodes: np.ndarray, start: np.ndarray, before: np.ndarray, most: float, goal: int | None) -> tuple[np.ndarray, ...]:
+    """(node, cost, via) of what can be reached over edges (a, b, cost) from nodes (each once) with start costs and the via they have so far.
+
+    All nodes that improved are relaxed together until none does. Of equal costs the smallest via stays. Costs
+    over most are dropped, and with a goal those that cannot beat it: ahead holds what at least lies between b and the goal.
+    """
+    ids = np.unique(np.concatenate([a, b, nodes]))
+    order = np.argsort(a, kind="stable")
+    tail, head, cost = np.searchsorted(ids, a[order]), np.searchsorted(ids, b[order]), cost[order]
+    first = np.searchsorted(tail, np.arange(len(ids) + 1))
+    best, via = np.full(len(ids), np.inf), np.full(len(ids), np.iinfo(np.int64).max)
+    front = np.searchsorted(ids, nodes)
+    best[front], via[front] = start, before
+    aim = None if goal is None else int(np.searchsorted(ids, goal))
+    if aim is not None and (aim == len(ids) or ids[aim] != goal):
+        aim = None
+    ahead = None if ahead is None else ahead[order]
+    while len(front):
+        n = first[front + 1] - first[front]
+        edge = np.repeat(first[front] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        to, c, v = head[edge], np.repeat(best[front], n) + cost[edge], np.repeat(ids[front], n)
+        limit = most if aim is None else min(most, best[aim])
+        keep = (c if ahead is None else c + ahead[edge]) <= limit
+        keep &= (c < best[to]) | ((c == best[to]) & (v < via[to]))
+        to, c, v = to[keep], c[keep], v[keep]
+        one = np.lexsort((v, c, to))
+        to, c, v = to[one], c[one], v[one]
+        lead = np.ones(len(to), dtype=bool)
+        lead[1:] = to[1:] != to[:-1]
+        to, c, v = to[lead], c[lead], v[lead]
+        front = to[c < best[to]]
+        best[to], via[to] = c, v
+    found = np.isfinite(best)
+    return ids[found], best[found], via[found]
+
+
+def _laid_out(edges: DataFrame, blocks: int, hub: int) -> DataFrame:
+    """edges with their block: that of their start, or for starts with over hub edges one of all blocks; written in buckets of blocks."""
+    if blocks == 1:
+        return edges.withColumn("block", F.lit(0))
+    spark, path = edges.sparkSession, shared_path(edges.sparkSession)
+    # hubs of over an eighth of a block: fewer than eight for each block, one row of which is sent for 1.5 million edges
+    hubs = edges.groupBy("a").agg(F.count("*").alias("_n")).filter(F.col("_n") > hub).select("a", F.lit(True).alias("_hub"))
+    of = lambda *by: F.pmod(F.xxhash64(*by), F.lit(blocks)).cast("int")
+    laid = edges.join(F.broadcast(hubs), "a", "left").withColumn("block", F.when(F.col("_hub"), of("a", "b")).otherwise(of("a"))).drop("_hub")
+    name = f"tidemark_{path.rsplit('-', 1)[1]}"
+    laid.repartition(blocks, "block").write.bucketBy(blocks, "block").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.laid_name = name
+    return out
+
+
+def cheapest(edges: DataFrame, sources: DataFrame, most: float = float("inf"), goal: int | None = None) -> DataFrame:
     """node, cost, via: least cost over directed edges (a, b, cost) from sources (node, cost), at most `most`.
 
-    Edges are written once, so that no round computes them again. Relaxation of the nodes that improved last
-    round; ends when none does, or after rounds. What a round
-    improves is written as a table of its own; every COMPACT rounds these become one.
+    Runs until nothing improves, however many edges a path has. Edges are laid out once, in blocks of about BLOCK_EDGES by
+    their start (a hub's edges go to all blocks). In a round each block that got better costs searches all its edges in one
+    task, so paths inside a block take one round; what improved goes on to the blocks where its edges are. Of
+    equal costs the smallest via is kept, a source has none. Costs must not be negative.
+
+    With a goal only what may lie on a cheapest path to it is followed: nothing beyond the cost it has so far,
+    and if edges have a column ahead, which never exceeds the cost from b to the goal, nothing whose sum with
+    that is beyond. Costs of other nodes are then those found on the way, and may be missing.
     """
-    edges = cut(edges.select("a", "b", "cost"))
-    moved = cut(sources.select("node", F.col("cost").cast("double").alias("cost"), F.lit(None).cast(dict(edges.dtypes)["a"]).alias("via")))
-    best = [moved]
-    for _ in range(rounds):
-        step = moved.select(F.col("node").alias("a"), F.col("cost").alias("c0")).join(edges, "a")
-        step = step.select(F.col("b").alias("node"), (F.col("c0") + F.col("cost")).alias("cost"), F.col("a").alias("via")).filter(F.col("cost") <= most)
-        step = step.groupBy("node").agg(F.min(F.struct("cost", "via")).alias("s")).select("node", "s.*")
-        old = _least(best).select("node", F.col("cost").alias("old"))
-        moved = cut(step.join(old, "node", "left").filter("old is null or cost < old").select("node", "cost", "via"))
-        if moved.isEmpty():
-            break
-        best.append(moved)
-        if len(best) > COMPACT:
-            best = [cut(_least(best))]
-    return _least(best)
-
-
-def detours(edges: DataFrame, start: int, goal: int, places: DataFrame, rounds: int) -> DataFrame:
+    with scratch() as held:
+        spark = edges.sparkSession
+        more = ["ahead"] if "ahead" in edges.columns else []
+        kept = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("cost").cast("double").alias("cost"), *more))
+        blocks = max(1, -(-kept.count() // BLOCK_EDGES))
+        laid = _laid_out(kept, blocks, max(1, BLOCK_EDGES // 8))
+        first = sources.groupBy(F.col("node").cast("long").alias("node")).agg(F.min(F.col("cost").cast("double")).alias("cost")).filter(F.col("cost") <= most)
+        limit = most
+
+        def search(labels: pa.Table, own: pa.Table) -> pa.Table:
+            get = lambda t, c: t.column(c).to_numpy()
+            if labels.num_rows:
+                node, cost, via = relax(get(own, "a"), get(own, "b"), get(own, "cost"), get(own, "ahead") if more else None, get(labels, "node"), get(labels, "cost"), labels.column("via").fill_null(NONE).to_numpy(), limit, goal)
+                block = np.full(len(node), labels.column("block")[0].as_py(), np.int32)
+            else:
+                node, cost, via, block = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)
+            return pa.table([pa.array(node), pa.array(cost), pa.array(via, mask=via == NONE), pa.array(block)], names=["node", "cost", "via", "block"])
+
+        if blocks == 1:
+            step = first.select("*", F.lit(None).cast("long").alias("via"), F.lit(0).alias("block")).groupBy("block").cogroup(laid.groupBy("block")).applyInArrow(search, _LABEL)
+            return held.keep(cut(step.drop("block")))
+        moved = cut(first.select("node", "cost", F.lit(None).cast("long").alias("via"), F.lit(-1).alias("block")))
+        best, aim = [moved.drop("block")], most
+        homes = cut(laid.select(F.col("a").alias("node"), "block").distinct())
+        while True:
+            limit = aim
+            labels = cut(moved.alias("m").join(homes.alias("h"), "node").filter("h.block <> m.block").select("node", "cost", "via", "h.block"))
+            active = [r[0] for r in labels.select("block").distinct().collect()]
+            if not active:
+                break
+            step = labels.groupBy("block").cogroup(laid.filter(F.col("block").isin(active)).groupBy("block")).applyInArrow(search, _LABEL)
+            step = step.groupBy("node").agg(F.min(F.struct("cost", "via", "block")).alias("s")).select("node", "s.*")
+            old = _least(best).select("node", F.col("cost").alias("_c"), F.col("via").alias("_v"))
+            better = cut(step.join(old, "node", "left").filter("_c is null or cost < _c or (cost = _c and via < _v)").withColumn("_same", F.coalesce(F.col("cost") == F.col("_c"), F.lit(False))))
+            best.append(better.select("node", "cost", "via"))
+            if goal is not None:
+                aim = min(aim, better.filter(F.col("node") == goal).agg(F.coalesce(F.min("cost"), F.lit(float("inf")))).first()[0])
+            moved = better.filter("not _same").select("node", "cost", "via", "block")
+            if len(best) > COMPACT:
+                best = [cut(_least(best))]
+        out = held.keep(cut(_least(best)))
+        spark.sql(f"DROP TABLE {laid.laid_name}")
+        return out
+
+
+def hops(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """node, hops: fewest edges from any source, up to most."""
+    found = cheapest(edges.select("a", "b", F.lit(1.0).alias("cost")), sources.select("node", F.lit(0.0).alias("cost")), float(most))
+    return found.select("node", F.col("cost").cast("int").alias("hops"))
+
+
+def detours(edges: DataFrame, start: int, goal: int, places: DataFrame) -> DataFrame:
     """node, detour of places (node): what calling there on the way from start to goal costs more than the way itself.
 
     Two searches serve all places: one from start, one from goal over the edges turned round.
     """
     spark = edges.sparkSession
     at = lambda node: spark.createDataFrame([(node, 0.0)], "node long, cost double")
-    there = cheapest(edges, at(start), rounds).select("node", F.col("cost").alias("_to"))
+    there = cheapest(edges, at(start)).select("node", F.col("cost").alias("_to"))
     back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost")
-    home = cheapest(back, at(goal), rounds).select("node", F.col("cost").alias("_from"))
+    home = cheapest(back, at(goal)).select("node", F.col("cost").alias("_from"))
     own = there.filter(F.col("node") == goal).select(F.col("_to").alias("_own"))
     return places.select("node").join(there, "node").join(home, "node").join(F.broadcast(own)).select("node", (F.col("_to") + F.col("_from") - F.col("_own")).alias("detour"))
 
@@ -170,54 +256,72 @@ def exit_counts(edges: DataFrame) -> DataFrame:
     return met.select("a", "b", (F.coalesce("_out", F.lit(0)) - F.coalesce("_back", F.lit(0))).alias("n"))
 
 
-def way_to(best: DataFrame, goal: int, rounds: int) -> DataFrame:
-    """place, a, b: the edges of the path to goal over the via of cheapest(), counted back from it; empty if it was not reached."""
-    best = cut(best)
-    at = best.filter(F.col("node") == goal).select(F.lit(0).alias("place"), F.col("via").alias("a"), F.col("node").alias("b"))
-    out = at = cut(at.filter("a is not null"))
-    for k in range(1, rounds):
-        step = at.select(F.col("a").alias("node")).join(best, "node").filter("via is not null")
-        at = cut(step.select(F.lit(k).alias("place"), F.col("via").alias("a"), F.col("node").alias("b")))
-        if at.isEmpty():
-            break
-        out = out.unionByName(at)
-    return cut(out)
-
+def way_to(best: DataFrame, goal: int) -> DataFrame:
+    """place, a, b: the edges of the path to goal over the via of cheapest(), counted back from it; empty if it was not reached.
 
-def alternatives(edges: DataFrame, start: int, goal: int, count: int, penalty: float, rounds: int, slower: float = float("inf"), shared: float = 1.0) -> DataFrame:
+    Up to WALK_NODES nodes one task walks back. Beyond, jumps over 1, 2, 4, ... nodes are joined from one another
+    until one jump leads past the start, and the nodes of the path are then found from the longest jump down, so
+    a path of n edges takes about 2 log n joins.
+    """
+    with scratch() as held:
+        best = cut(best.filter("via is not null").select("node", "via"))
+        if best.count() <= WALK_NODES:
+
+            def walk(batches):
+                before = {}
+                for t in batches:
+                    before |= dict(zip(t.column("node").to_pylist(), t.column("via").to_pylist()))
+                path, at = [], goal
+                while at in before:
+                    path.append((len(path), before[at], at))
+                    at = before[at]
+                cols = list(zip(*path)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["place", "a", "b"])
+
+            return held.keep(cut(best.coalesce(1).mapInArrow(walk, "place long, a long, b long")))
+        jumps = [best.select("node", F.col("via").alias("to"))]
+        while not jumps[-1].filter(F.col("node") == goal).isEmpty():
+            j = jumps[-1]
+            jumps.append(cut(j.join(j.select(F.col("node").alias("to"), F.col("to").alias("_on")), "to").select("node", F.col("_on").alias("to"))))
+        spark = best.sparkSession
+        path = spark.createDataFrame([(0, goal)], "place long, node long")
+        for k in reversed(range(len(jumps))):
+            path = cut(path.unionByName(path.join(jumps[k], "node").select((F.col("place") + (1 << k)).alias("place"), F.col("to").alias("node"))))
+        return held.keep(cut(path.join(best, "node").select("place", F.col("via").alias("a"), F.col("node").alias("b"))))
+
+
+def alternatives(edges: DataFrame, start: int, goal: int, count: int, penalty: float, slower: float = float("inf"), shared: float = 1.0) -> DataFrame:
     """path, place, a, b, cost: the cheapest path, then others found after each path's edges cost penalty times as much.
 
     A path is kept if it costs at most slower times the first and shares less than this part of its cost with
     the paths kept (with 1.0: if it is not wholly made of their edges). Costs are those of the plain edges.
-    Paths have at most rounds edges, so what is judged of one is small.
     """
-    spark, kept = edges.sparkSession, None
-    edges = cut(edges.groupBy("a", "b").agg(F.min("cost").alias("cost")))
-    source, now, best = spark.createDataFrame([(start, 0.0)], "node long, cost double"), edges, None
-    for k in range(count):
-        way = way_to(cheapest(now, source, rounds), goal, rounds)
-        found = cut(way.join(edges, ["a", "b"]).withColumn("path", F.lit(k)))
-        old = found.select("a", "b", F.lit(False).alias("_old")).limit(0) if kept is None else kept.select("a", "b", F.lit(True).alias("_old")).distinct()
-        got = found.join(F.broadcast(old), ["a", "b"], "left").agg(F.sum("cost").alias("cost"), F.sum(F.when(F.col("_old"), F.col("cost")).otherwise(0.0)).alias("old")).first()
-        if got["cost"] is None:
-            break
-        best = got["cost"] if best is None else best
-        if kept is None or (got["cost"] <= slower * best and got["old"] < shared * got["cost"]):
-            kept = found if kept is None else kept.unionByName(found)
-        now = cut(now.join(F.broadcast(way.select("a", "b", F.lit(True).alias("_used"))), ["a", "b"], "left").withColumn("cost", F.when(F.col("_used"), F.col("cost") * penalty).otherwise(F.col("cost"))).drop("_used"))
-    if kept is None:
-        kept = found
-    return kept.select("path", "place", "a", "b", "cost")
-
-
-def farthest(edges: DataFrame, start: int, rounds: int) -> DataFrame:
+    with scratch() as held:
+        spark, kept = edges.sparkSession, None
+        edges = cut(edges.groupBy("a", "b").agg(F.min("cost").alias("cost")))
+        source, now, best = spark.createDataFrame([(start, 0.0)], "node long, cost double"), edges, None
+        for k in range(count):
+            way = way_to(cheapest(now, source, goal=goal), goal)
+            found = cut(way.join(edges, ["a", "b"]).withColumn("path", F.lit(k)))
+            old = found.select("a", "b", F.lit(False).alias("_old")).limit(0) if kept is None else kept.select("a", "b", F.lit(True).alias("_old")).distinct()
+            got = found.join(old, ["a", "b"], "left").agg(F.sum("cost").alias("cost"), F.sum(F.when(F.col("_old"), F.col("cost")).otherwise(0.0)).alias("old")).first()
+            if got["cost"] is None:
+                break
+            best = got["cost"] if best is None else best
+            if kept is None or (got["cost"] <= slower * best and got["old"] < shared * got["cost"]):
+                kept = found if kept is None else kept.unionByName(found)
+            if k + 1 < count:
+                now = cut(now.join(way.select("a", "b", F.lit(True).alias("_used")), ["a", "b"], "left").withColumn("cost", F.when(F.col("_used"), F.col("cost") * penalty).otherwise(F.col("cost"))).drop("_used"))
+        return held.keep(cut((found if kept is None else kept).select("path", "place", "a", "b", "cost")))
+
+
+def farthest(edges: DataFrame, start: int) -> DataFrame:
     """node, cost: the node that is costliest to reach from start, the least of equals."""
-    spark = edges.sparkSession
-    reached = cheapest(edges, spark.createDataFrame([(start, 0.0)], "node long, cost double"), rounds)
+    reached = cheapest(edges, edges.sparkSession.createDataFrame([(start, 0.0)], "node long, cost double"))
     return reached.orderBy(F.desc("cost"), "node").limit(1).select("node", "cost")
 
 
-def longest_path(edges: DataFrame, start: int, rounds: int) -> DataFrame:
+def longest_path(edges: DataFrame, start: int) -> DataFrame:
     """a, b, cost: ends and length of the longest cheapest path of the tree that holds start, by two sweeps."""
-    a = farthest(edges, start, rounds).first()["node"]
-    return farthest(edges, a, rounds).select(F.lit(a).cast("long").alias("a"), F.col("node").alias("b"), "cost")
+    a = farthest(edges, start).first()["node"]
+    return farthest(edges, a).select(F.lit(a).cast("long").alias("a"), F.col("node").alias("b"), "cost")

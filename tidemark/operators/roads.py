@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import geo, roads
-from tidemark.operators.graph import cheapest
-from tidemark.operators.tables import cut
+from tidemark.operators.graph import cheapest, way_to
+from tidemark.operators.tables import cut, scratch
 
 
 def drivable(ways: DataFrame) -> DataFrame:
@@ -88,31 +88,82 @@ def passages(edges: DataFrame, forbidden: DataFrame | None = None) -> DataFrame:
     return met.withColumn("_others", others).filter("not u_turn or _others = 0").drop("_others")
 
 
-def route(edges: DataFrame, turns: DataFrame, starts: DataFrame, rounds: int) -> DataFrame:
+def turn_graph(edges: DataFrame, turns: DataFrame) -> DataFrame:
+    """a, b, cost between directed edges: the turn from a to b and the drive over b. edges: edge, seconds (entry included); turns: from_edge, to_edge, seconds."""
+    step = turns.join(edges.select(F.col("edge").alias("to_edge"), F.col("seconds").alias("_s")), "to_edge")
+    return step.select(F.col("from_edge").alias("a"), F.col("to_edge").alias("b"), (F.col("seconds") + F.col("_s")).alias("cost"))
+
+
+def route(edges: DataFrame, turns: DataFrame, starts: DataFrame) -> DataFrame:
     """edge, cost, via_edge: least seconds to the end of each directed edge from the starting edges (edge, cost).
 
-    States are directed edges, so turn costs and restrictions are exact. edges: edge, seconds (entry
-    included); turns: from_edge, to_edge, seconds.
+    States are directed edges, so turn costs and restrictions are exact.
     """
-    step = turns.join(edges.select(F.col("edge").alias("to_edge"), F.col("seconds").alias("_s")), "to_edge")
-    step = cut(step.select(F.col("from_edge").alias("a"), F.col("to_edge").alias("b"), (F.col("seconds") + F.col("_s")).alias("cost")))
-    found = cheapest(step, starts.select(F.col("edge").alias("node"), "cost"), rounds)
+    found = cheapest(turn_graph(edges, turns), starts.select(F.col("edge").alias("node"), "cost"))
     return found.select(F.col("node").alias("edge"), "cost", F.col("via").alias("via_edge"))
 
 
-def trip(edges: DataFrame, turns: DataFrame, stops: list[int], rounds: int) -> DataFrame:
+#: By distance from the nearer end in metres: the least important class that is still searched there. Fixed values.
+HIERARCHY = ((80_000.0, 3), (35_000.0, 4), (12_000.0, 5))
+
+
+def pruned(edges: DataFrame, start: tuple[float, float], goal: tuple[float, float], levels: tuple = HIERARCHY) -> DataFrame:
+    """edges (edge, a, b, cls, x, y of the place b) without small roads far from both ends.
+
+    From each distance of levels on, only classes up to its class stay. Where all ways on from a place are smaller, they
+    stay too, so no dead end is made.
+    """
+    near = F.least(*(F.hypot(F.col("x") - x, F.col("y") - y) for x, y in (start, goal)))
+    rule = F.lit(True)
+    for distance, cls in sorted(levels):
+        rule = F.when(near >= distance, F.col("cls") <= cls).otherwise(rule)
+    marked = edges.withColumn("_main", rule)
+    some = marked.groupBy("a").agg(F.max("_main").alias("_any"))
+    return marked.join(some, "a").filter("_main or not _any").drop("_main", "_any")
+
+
+def route_to(edges: DataFrame, turns: DataFrame, starts: DataFrame, goals: DataFrame, start: tuple[float, float], goal: tuple[float, float], fastest: float, levels: tuple = HIERARCHY, safety: float = 0.995) -> DataFrame:
+    """place, edge, cost: the edges of the quickest route from one of starts (edge, cost) to one of goals (edge), counted from the start.
+
+    edges: edge, a, b, seconds, cls, x, y (place of b, metres). Away from both ends small roads are left out
+    first; if that leaves no way, all are searched. What cannot beat the best way found is not followed: from each place
+    the goal is at least the straight way at the fastest speed off, less a little for rounding. Empty if there is no way.
+    """
+    end = -1  # one state stands for all goals, and each goal leads to it for nothing
+    with scratch() as held:
+        edges, turns = cut(edges.select("edge", "a", "b", "seconds", "cls", "x", "y")), cut(turns)
+        starts, goals = cut(starts.select(F.col("edge").alias("node"), "cost")), cut(goals.select("edge"))
+        ahead = edges.select(F.col("edge").alias("b"), (F.hypot(F.col("x") - goal[0], F.col("y") - goal[1]) * F.lit(safety / fastest)).alias("ahead"))
+        for kept in (pruned(edges, start, goal, levels), edges):
+            own = kept.select(F.col("edge").alias("node"))
+            step = turn_graph(kept, turns.join(own.withColumnRenamed("node", "from_edge"), "from_edge")).join(ahead, "b")
+            step = step.unionByName(goals.select(F.col("edge").alias("a"), F.lit(end).cast("long").alias("b"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("ahead")))
+            found = cheapest(step, starts.join(own, "node", "left_semi"), goal=end)
+            way = way_to(found, end)
+            if not way.isEmpty():
+                break
+        # a of each step is a road; place 0 of the way is the step into the goal
+        out = way.join(found.select(F.col("node").alias("a"), "cost"), "a").select("place", F.col("a").alias("edge"), "cost")
+        last = out.agg(F.max("place").alias("_last"))
+        return held.keep(cut(out.join(F.broadcast(last)).select((F.col("_last") - F.col("place")).alias("place"), "edge", "cost")))
+
+
+def trip(edges: DataFrame, turns: DataFrame, stops: list[int]) -> DataFrame:
     """leg, from_node, to_node, seconds, starts_at: cheapest legs between stops in order, each with the seconds before it.
 
     stops is a short list that somebody planned; edges: edge, a, b, seconds. A leg that cannot be driven is null.
     """
     legs = None
-    for k, (a, b) in enumerate(zip(stops, stops[1:])):
-        found = route(edges, turns, edges.filter(F.col("a") == a).select("edge", F.col("seconds").alias("cost")), rounds)
-        leg = found.join(edges.filter(F.col("b") == b).select("edge"), "edge").agg(F.min("cost").alias("seconds"))
-        leg = leg.select(F.lit(k).alias("leg"), F.lit(a).cast("long").alias("from_node"), F.lit(b).cast("long").alias("to_node"), "seconds")
-        legs = leg if legs is None else legs.unionByName(leg)
-    before = Window.partitionBy(F.lit(0)).orderBy("leg").rowsBetween(Window.unboundedPreceding, -1)  # one row for each planned leg
-    return legs.withColumn("starts_at", F.coalesce(F.sum("seconds").over(before), F.lit(0.0)))
+    with scratch() as held:
+        step = cut(turn_graph(edges, turns))
+        for k, (a, b) in enumerate(zip(stops, stops[1:])):
+            starts = edges.filter(F.col("a") == a).select(F.col("edge").alias("node"), F.col("seconds").alias("cost"))
+            found = cheapest(step, starts)
+            leg = found.join(edges.filter(F.col("b") == b).select(F.col("edge").alias("node")), "node").agg(F.min("cost").alias("seconds"))
+            leg = leg.select(F.lit(k).alias("leg"), F.lit(a).cast("long").alias("from_node"), F.lit(b).cast("long").alias("to_node"), "seconds")
+            legs = leg if legs is None else legs.unionByName(leg)
+        before = Window.partitionBy(F.lit(0)).orderBy("leg").rowsBetween(Window.unboundedPreceding, -1)  # one row for each planned leg
+        return held.keep(cut(legs.withColumn("starts_at", F.coalesce(F.sum("seconds").over(before), F.lit(0.0)))))
 
 
 def agreed_limit(df: DataFrame, by: list[str], limit: Column, weight: str, share: float) -> DataFrame:

@@ -4,15 +4,53 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the folder that all executors share and read it back, so that lineage ends there."""
-    sc = df.sparkSession.sparkContext
+class Scratch:
+    """Folders of the shared store that were written since scratch() was entered."""
+
+    def __init__(self, outer: Scratch | None):
+        self.outer, self.folders = outer, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, made by cut(), which outlives this scratch; the scratch around it, if there is one, takes it over."""
+        self.folders.remove(df.cut_path)
+        if self.outer is not None:
+            self.outer.folders.append(df.cut_path)
+        return df
+
+
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch():
+    """On leaving, what cut() and shared_path() wrote inside is deleted, but for what was kept."""
+    own = Scratch(_scratch.get())
+    token = _scratch.set(own)
+    try:
+        yield own
+    finally:
+        _scratch.reset(token)
+        for folder in own.folders:
+            _remove(folder)
+
+
+def _remove(folder: str) -> None:
+    spark = SparkSession.getActiveSession()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or in local mode without it a temporary one."""
+    sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
         if not sc.master.startswith("local["):
@@ -20,8 +58,18 @@ def cut(df: DataFrame) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/tidemark/step-{uuid.uuid4().hex}"
+    if _scratch.get() is not None:
+        _scratch.get().folders.append(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the folder that all executors share and read it back, so that lineage ends there."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
 _stored: dict[tuple[str, str], DataFrame] = {}

@@ -187,7 +187,7 @@ def c35_exits(spark, sf_dir):
 
 def h8_longest_path(spark, sf_dir):
     tree = _t(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 2).cast("long").alias("a"), F.col("o_orderkey").alias("b")).filter("a <> b").withColumn("cost", 1.0 + F.pmod(F.col("b"), F.lit(7)))
-    return gr.longest_path(gr.both_ways(tree, "cost"), 1, 64)
+    return gr.longest_path(gr.both_ways(tree, "cost"), 1)
 
 
 RANGES = ((540, 1020), (1980, 2460), (3420, 3900), (9000, 10080))

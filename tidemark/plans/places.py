@@ -97,7 +97,7 @@ def h6_hops(spark, sf_dir):
 
 def h1_cheapest_path(spark, sf_dir):
     start = spark.createDataFrame([(1_000_000_001, 0.0)], "node long, cost double")
-    return gr.cheapest(_bipartite(spark, sf_dir), start, 4).select("node", "cost")
+    return gr.cheapest(_bipartite(spark, sf_dir), start).select("node", "cost")
 
 
 def h10_viterbi(spark, sf_dir):
@@ -120,7 +120,6 @@ def _ring(ring):
 _WAY = lambda a, b: f"(s{a} + ln({0.9 if a == b else 0.05}::DOUBLE))"
 _best = lambda b: "greatest(" + ", ".join(_WAY(a, b) for a in range(3)) + ")"
 _back = lambda b: f"CASE WHEN {_WAY(0, b)} >= {_WAY(1, b)} AND {_WAY(0, b)} >= {_WAY(2, b)} THEN 0 WHEN {_WAY(1, b)} >= {_WAY(2, b)} THEN 1 ELSE 2 END"
-_STEPS = "".join(f", d{k} AS (SELECT node, min(cost) AS cost FROM (SELECT * FROM d{k - 1} UNION ALL SELECT w.b, d.cost + w.cost FROM d{k - 1} d JOIN w ON w.a = d.node) GROUP BY 1)" for k in range(1, 5))
 ORACLES = {
     "c12_within_radius": f"WITH {_P} SELECT a.vec_id, b.vec_id AS other, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance FROM p a JOIN p b ON a.vec_id < b.vec_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.02",
     "c15_nearest_scaled": f"""WITH {_P}, c AS (SELECT label AS centre, avg(x) AS px, avg(y) AS py, stddev_pop(x) AS reach FROM p GROUP BY 1), j AS (SELECT vec_id, centre, reach, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS d FROM p, c)
@@ -150,5 +149,7 @@ ORACLES = {
     "h9_components": """WITH RECURSIVE e AS (SELECT o_orderkey AS a, CASE WHEN o_orderkey % 64 <> 1 THEN o_orderkey // 2 ELSE o_orderkey END AS b FROM orders), n AS (SELECT a AS node FROM e UNION SELECT b FROM e),
         r AS (SELECT node, node AS spot FROM n UNION ALL SELECT r.node, e.b FROM r JOIN e ON e.a = r.spot WHERE e.a <> e.b) SELECT node, min(spot) AS component FROM r GROUP BY 1""",
     "h6_hops": f"WITH RECURSIVE {_B}, r AS (SELECT CAST(1000000001 AS BIGINT) AS node, 0 AS hops UNION SELECT w.b, hops + 1 FROM r JOIN w ON w.a = r.node WHERE hops < 3) SELECT node, min(hops) AS hops FROM r GROUP BY 1",
-    "h1_cheapest_path": f"WITH {_B}, d0 AS (SELECT CAST(1000000001 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost){_STEPS} SELECT * FROM d4",
+    "h1_cheapest_path": f"""WITH RECURSIVE {_B}, d(node, cost) USING KEY (node) AS (SELECT CAST(1000000001 AS BIGINT), CAST(0 AS DOUBLE)
+        UNION SELECT n.node, min(n.cost) FROM (SELECT w.b AS node, d.cost + w.cost AS cost FROM d JOIN w ON w.a = d.node) n LEFT JOIN (SELECT node AS k0, cost AS c0 FROM recurring.d) r ON k0 = n.node WHERE c0 IS NULL OR n.cost < c0 GROUP BY 1)
+        SELECT * FROM d""",
 }

@@ -176,44 +176,53 @@ def _turns(spark, sf_dir, edges):
     return t.select("from_edge", "to_edge", rd.pass_seconds(F.col("turn"), F.col("degree"), F.col("signals"), F.col("u_turn"), F.lit(False)).alias("seconds"))
 
 
-ROUNDS = 8
-
-
 def c35_legal_passages(spark, sf_dir):
     return _turns(spark, sf_dir, grid(spark, sf_dir))
 
 
 def h1_route_with_turns(spark, sf_dir):
     e = grid(spark, sf_dir)
-    got = ro.route(e, _turns(spark, sf_dir, e), e.filter("a = 1").select("edge", F.col("seconds").alias("cost")), ROUNDS)
+    got = ro.route(e, _turns(spark, sf_dir, e), e.filter("a = 1").select("edge", F.col("seconds").alias("cost")))
     return got.select("edge", F.round("cost", 4).alias("cost"))
 
 
 def h2_trip(spark, sf_dir):
     e = grid(spark, sf_dir)
-    got = ro.trip(e, _turns(spark, sf_dir, e), STOPS, ROUNDS)
+    got = ro.trip(e, _turns(spark, sf_dir, e), STOPS)
     return got.select("leg", "from_node", "to_node", F.round("seconds", 4).alias("seconds"), F.round("starts_at", 4).alias("starts_at"))
 
 
+def h1_goal_route(spark, sf_dir):
+    """The quickest way from the first supplier to the last, small streets searched near both only, and what cannot beat the best way not at all."""
+    e = grid(spark, sf_dir).withColumns({"x": (F.col("b") % 10 * 200).cast("double"), "y": (F.floor(F.col("b") / 10) * 150).cast("double")})
+    last = _t(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0]
+    at = lambda node: (node % 10 * 200.0, node // 10 * 150.0)
+    starts = e.filter("a = 1").select("edge", F.col("seconds").alias("cost"))
+    got = ro.route_to(e, _turns(spark, sf_dir, e), starts, e.filter(F.col("b") == last).select("edge"), at(1), at(last), FASTEST, LEVELS)
+    return got.select("place", "edge", F.round("cost", 4).alias("cost"))
+
+
+#: Metres a second no street allows more of; classes still searched so far from both ends.
+FASTEST, LEVELS = 40.0, ((900.0, 4), (450.0, 6))
 STOPS = [1, 4, 8]
 
 
 def h3_alternatives(spark, sf_dir):
     """Up to three ways between two suppliers: others cost at most six tenths more and share less than eight tenths with those kept."""
     e = grid(spark, sf_dir).select("a", "b", F.col("seconds").alias("cost"))
-    got = gr.alternatives(e, 1, 8, 3, 1.4, 9, 1.6, 0.8)
+    got = gr.alternatives(e, 1, 8, 3, 1.4, 1.6, 0.8)
     return got.groupBy("path").agg(F.count("*").alias("edges"), F.round(F.sum("cost"), 4).alias("cost"))
 
 
 def h4_detours(spark, sf_dir):
     e = grid(spark, sf_dir).select("a", "b", F.col("seconds").alias("cost"))
     places = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
-    return gr.detours(e, 1, 8, places, ROUNDS).select("node", F.round("detour", 4).alias("detour"))
+    return gr.detours(e, 1, 8, places).select("node", F.round("detour", 4).alias("detour"))
 
 
 def h6_bounded_costs(spark, sf_dir):
     e = grid(spark, sf_dir).select("a", "b", (F.col("metres") + F.when(F.col("cls") == 8, 100.0).otherwise(0.0)).alias("cost"))
-    return gr.cheapest(e, spark.createDataFrame([(1, 0.0)], "node long, cost double"), ROUNDS, 900.0).select("node", "cost")
+    return gr.cheapest(e, spark.createDataFrame([(1, 0.0)], "node long, cost double"), 900.0).select("node", "cost")
 
 
 def d48_agreed_limits(spark, sf_dir):
@@ -267,22 +276,20 @@ _GRID = f"""s AS (SELECT s_suppkey AS a, s_nationkey FROM supplier), q AS (SELEC
         FROM k JOIN s ON s.a = via JOIN dg ON node = via WHERE turn <> 2 OR others = 0)"""
 
 
-def _walk(name: str, first: str, step: str, key: str, rounds: int = ROUNDS) -> str:
-    """Rounds of relaxation as one table after another; {0} stands for the table before."""
-    out = f", {name}0 AS MATERIALIZED ({first})"
-    for i in range(1, rounds + 1):
-        out += f", {name}{i} AS MATERIALIZED (SELECT {key}, min(cost) AS cost FROM (SELECT * FROM {name}{i - 1} UNION ALL {step.format(f'{name}{i - 1}')}) GROUP BY 1)"
-    return out
+def _walk(name: str, first: str, step: str, key: str) -> str:
+    """Least costs by recursion that ends when nothing improves; {0} stands for what improved last."""
+    return f""", {name}({key}, cost) USING KEY ({key}) AS ({first}
+        UNION SELECT n.{key}, min(n.cost) FROM ({step.format(name)}) AS n({key}, cost) LEFT JOIN (SELECT {key} AS k0, cost AS c0 FROM recurring.{name}) r ON k0 = n.{key} WHERE c0 IS NULL OR n.cost < c0 GROUP BY 1)"""
 
 
 _TURNING = "SELECT to_edge, c.cost + tn.seconds + e.seconds FROM {0} c JOIN tn ON from_edge = c.edge JOIN e ON e.edge = to_edge"
 _LEGS = [(f"l{i}x", a, b) for i, (a, b) in enumerate(zip(STOPS, STOPS[1:]))]
-def _way(k: int, rounds: int = 9) -> str:
-    """Rounds of relaxation with predecessors over edges e{k}, the way back from the goal, and the edges with its penalty as e{k + 1}."""
-    out = f", d{k}x0 AS MATERIALIZED (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost, CAST(NULL AS BIGINT) AS via)"
-    for i in range(1, rounds + 1):
-        out += f", d{k}x{i} AS MATERIALIZED (SELECT node, min(cost) AS cost, arg_min(coalesce(via, -1), (cost, coalesce(via, -1))) AS via FROM (SELECT node, cost, coalesce(via, -1) AS via FROM d{k}x{i - 1} UNION ALL SELECT x.b, d.cost + x.cost, x.a FROM d{k}x{i - 1} d JOIN e{k} x ON x.a = d.node) GROUP BY 1)"
-    out += f", w{k} AS (SELECT via AS a, node AS b FROM d{k}x{rounds} WHERE node = 8 UNION ALL SELECT d.via, d.node FROM w{k} JOIN d{k}x{rounds} d ON d.node = w{k}.a WHERE d.via >= 0)"
+def _way(k: int) -> str:
+    """Least costs with predecessors over edges e{k}, the way back from the goal, and the edges with its penalty as e{k + 1}."""
+    out = f""", d{k}(node, cost, via) USING KEY (node) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS DOUBLE), CAST(-1 AS BIGINT)
+        UNION SELECT n.node, min(n.cost), arg_min(n.via, (n.cost, n.via)) FROM (SELECT x.b AS node, d.cost + x.cost AS cost, x.a AS via FROM d{k} d JOIN e{k} x ON x.a = d.node) n
+        LEFT JOIN (SELECT node AS k0, cost AS c0, via AS v0 FROM recurring.d{k}) r ON k0 = n.node WHERE c0 IS NULL OR n.cost < c0 OR n.cost = c0 AND n.via < v0 GROUP BY 1)"""
+    out += f", w{k} AS (SELECT via AS a, node AS b FROM d{k} WHERE node = 8 UNION ALL SELECT d.via, d.node FROM w{k} JOIN d{k} d ON d.node = w{k}.a WHERE d.via >= 0)"
     out += f", p{k} AS (SELECT {k} AS path, w.a, w.b, e0.cost FROM w{k} w JOIN e0 ON e0.a = w.a AND e0.b = w.b), e{k + 1} AS MATERIALIZED (SELECT a, b, CASE WHEN EXISTS (SELECT 1 FROM w{k} w WHERE w.a = x.a AND w.b = x.b) THEN cost * 1.4 ELSE cost END AS cost FROM e{k} x)"
     return out
 
@@ -316,13 +323,21 @@ ORACLES = {
         s AS (SELECT l_orderkey * 8 + l_linenumber AS sign, edge, a, b, l_quantity * 4 AS spot, metres - l_quantity * 4 AS ahead FROM lineitem JOIN e ON edge = l_orderkey WHERE l_quantity * 4 <= metres),
         c AS (SELECT sign, edge, CASE WHEN spot <= ahead AND spot <= 40 AND da.degree >= 3 THEN a WHEN ahead <= 40 AND db.degree >= 3 THEN b END AS node FROM s JOIN d da ON da.node = a JOIN d db ON db.node = b) SELECT sign, node, CASE WHEN node IS NULL THEN edge END AS edge FROM c""",
     "c35_legal_passages": f"WITH {_GRID} SELECT * FROM tn",
-    "h1_route_with_turns": f"WITH {_GRID}{_walk('c', 'SELECT edge, seconds AS cost FROM e WHERE a = 1', _TURNING, 'edge')} SELECT edge, round(cost, 4) AS cost FROM c{ROUNDS}",
-    "h2_trip": f"WITH {_GRID}{''.join(_walk(n, f'SELECT edge, seconds AS cost FROM e WHERE a = {a}', _TURNING, 'edge') for n, a, _ in _LEGS)}, p AS ("
-    + " UNION ALL ".join(f"SELECT {i} AS leg, {a} AS f, {b} AS t, min(cost) AS s FROM {n}{ROUNDS} WHERE edge IN (SELECT edge FROM e WHERE b = {b})" for i, (n, a, b) in enumerate(_LEGS))
+    "h1_route_with_turns": f"WITH RECURSIVE {_GRID}{_walk('c', 'SELECT edge, seconds AS cost FROM e WHERE a = 1', _TURNING, 'edge')} SELECT edge, round(cost, 4) AS cost FROM c",
+    "h1_goal_route": f"""WITH RECURSIVE {_GRID}, z AS (SELECT max(a) AS z FROM s), o AS (SELECT e.*, least(sqrt(power(b % 10 * 200 - 200, 2) + power(b // 10 * 150, 2)), sqrt(power((b % 10 - z % 10) * 200, 2) + power((b // 10 - z // 10) * 150, 2))) AS near FROM e, z),
+        u AS (SELECT *, CASE WHEN near >= 900 THEN cls <= 4 WHEN near >= 450 THEN cls <= 6 ELSE true END AS main FROM o), pr AS (SELECT * FROM u QUALIFY main OR NOT bool_or(main) OVER (PARTITION BY a))""" + """,
+        d(edge, cost, via) USING KEY (edge) AS (SELECT edge, seconds::DOUBLE, CAST(-1 AS BIGINT) FROM pr WHERE a = 1
+            UNION SELECT n.edge, min(n.cost), arg_min(n.via, (n.cost, n.via)) FROM (SELECT to_edge AS edge, d.cost + (tn.seconds + pr.seconds) AS cost, d.edge AS via FROM d JOIN tn ON from_edge = d.edge JOIN pr ON pr.edge = to_edge) n
+            LEFT JOIN (SELECT edge AS k0, cost AS c0, via AS v0 FROM recurring.d) r ON k0 = n.edge WHERE c0 IS NULL OR n.cost < c0 OR n.cost = c0 AND n.via < v0 GROUP BY 1),
+        w AS (SELECT edge, cost, via, 0 AS back FROM d WHERE edge = (SELECT arg_min(edge, (cost, edge)) FROM d WHERE edge IN (SELECT edge FROM pr, z WHERE b = z.z))
+            UNION ALL SELECT d.edge, d.cost, d.via, back + 1 FROM w JOIN d ON d.edge = w.via)
+        SELECT max(back) OVER () - back AS place, edge, round(cost, 4) AS cost FROM w""",
+    "h2_trip": f"WITH RECURSIVE {_GRID}{''.join(_walk(n, f'SELECT edge, seconds AS cost FROM e WHERE a = {a}', _TURNING, 'edge') for n, a, _ in _LEGS)}, p AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS leg, {a} AS f, {b} AS t, min(cost) AS s FROM {n} WHERE edge IN (SELECT edge FROM e WHERE b = {b})" for i, (n, a, b) in enumerate(_LEGS))
     + ") SELECT CAST(leg AS INTEGER) AS leg, CAST(f AS BIGINT) AS from_node, CAST(t AS BIGINT) AS to_node, round(s, 4) AS seconds, round(coalesce(sum(s) OVER (ORDER BY leg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS starts_at FROM p",
-    "h4_detours": f"""WITH {_GRID}{_walk('x', 'SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost', 'SELECT e.b, c.cost + e.seconds FROM {0} c JOIN e ON e.a = c.node', 'node')}{_walk('y', 'SELECT CAST(8 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost', 'SELECT e.a, c.cost + e.seconds FROM {0} c JOIN e ON e.b = c.node', 'node')}
-        SELECT x.node, round(x.cost + y.cost - (SELECT cost FROM x{ROUNDS} WHERE node = 8), 4) AS detour FROM x{ROUNDS} x JOIN y{ROUNDS} y USING (node)""",
-    "h6_bounded_costs": f"WITH {_GRID}{_walk('c', 'SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost', 'SELECT e.b, c.cost + e.metres + CASE WHEN e.cls = 8 THEN 100 ELSE 0 END FROM {0} c JOIN e ON e.a = c.node WHERE c.cost + e.metres + CASE WHEN e.cls = 8 THEN 100 ELSE 0 END <= 900', 'node')} SELECT * FROM c{ROUNDS}",
+    "h4_detours": f"""WITH RECURSIVE {_GRID}{_walk('x', 'SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost', 'SELECT e.b, c.cost + e.seconds FROM {0} c JOIN e ON e.a = c.node', 'node')}{_walk('y', 'SELECT CAST(8 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost', 'SELECT e.a, c.cost + e.seconds FROM {0} c JOIN e ON e.b = c.node', 'node')}
+        SELECT x.node, round(x.cost + y.cost - (SELECT cost FROM x WHERE node = 8), 4) AS detour FROM x JOIN y USING (node)""",
+    "h6_bounded_costs": f"WITH RECURSIVE {_GRID}{_walk('c', 'SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost', 'SELECT e.b, c.cost + e.metres + CASE WHEN e.cls = 8 THEN 100 ELSE 0 END FROM {0} c JOIN e ON e.a = c.node WHERE c.cost + e.metres + CASE WHEN e.cls = 8 THEN 100 ELSE 0 END <= 900', 'node')} SELECT * FROM c",
     "d48_agreed_limits": f"""WITH {_ROAD}, l AS (SELECT r.o_custkey, {_LIMIT} AS l, CAST(floor(o_totalprice) AS BIGINT) AS w FROM r JOIN orders ON o_orderkey = id), g AS (SELECT o_custkey, l, sum(w) AS w FROM l GROUP BY 1, 2), t AS (SELECT o_custkey, sum(w) AS total FROM g GROUP BY 1),
         b AS (SELECT * FROM g WHERE l IS NOT NULL QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY w DESC, l) = 1) SELECT t.o_custkey, CAST(CASE WHEN w >= 0.34 * total THEN l END AS INTEGER) AS "limit" FROM t LEFT JOIN b USING (o_custkey)""",
 }

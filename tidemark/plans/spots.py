@@ -196,7 +196,7 @@ def r2_slices(spark, sf_dir):
 def h7_undirected(spark, sf_dir):
     """Least metres to each supplier along the streets, whichever way they may be driven."""
     e = grid(spark, sf_dir).select("a", "b", F.col("metres").alias("cost"))
-    return gr.cheapest(gr.both_ways(e, "cost"), spark.createDataFrame([(1, 0.0)], "node long, cost double"), 8).select("node", "cost")
+    return gr.cheapest(gr.both_ways(e, "cost"), spark.createDataFrame([(1, 0.0)], "node long, cost double")).select("node", "cost")
 
 
 def h12_straight_walks(spark, sf_dir):
@@ -227,7 +227,7 @@ def s15_tag_helpers(spark, sf_dir):
 def c33_cameras_ahead(spark, sf_dir):
     """Cameras on the streets that can be reached from the first supplier within 800 m, and how far ahead they are."""
     e = grid(spark, sf_dir)
-    at = gr.cheapest(e.select("a", "b", F.col("metres").alias("cost")), spark.createDataFrame([(1, 0.0)], "node long, cost double"), 8, 800.0)
+    at = gr.cheapest(e.select("a", "b", F.col("metres").alias("cost")), spark.createDataFrame([(1, 0.0)], "node long, cost double"), 800.0)
     cams = e.filter("edge % 3 = 0").select("edge", F.col("a").alias("node"), (F.col("edge") % 150).cast("double").alias("spot"), "metres").filter("spot <= metres")
     got = cams.join(at.select("node", "cost"), "node").withColumn("ahead", F.col("cost") + F.col("spot")).filter("ahead <= 800")
     return got.select("edge", "ahead")
@@ -313,7 +313,7 @@ ORACLES = {
     "p6_off_road": f"WITH {_P} SELECT a.vec_id FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.vec_id % 4 = 0 AND b.vec_id <> a.vec_id AND {_D('a', 'b')} <= 0.03)",
     "s15_tag_helpers": """SELECT p_partkey, CAST(CASE WHEN p_partkey % 4 > 1 AND p_partkey % 200 BETWEEN 5 AND 150 THEN p_partkey % 200 ELSE 0 END AS INTEGER) AS kph, CASE p_partkey % 4 WHEN 0 THEN p_partkey * 13 WHEN 1 THEN 0 ELSE p_partkey % 200 END AS people,
         'M-0' || CAST(p_partkey % 5 AS VARCHAR) || CASE WHEN p_partkey % 2 = 0 THEN '|E 40' ELSE '' END AS refs FROM part""",
-    "c33_cameras_ahead": f"WITH {_GRID}{_walk('c', 'SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost', 'SELECT e.b, c.cost + e.metres FROM {0} c JOIN e ON e.a = c.node WHERE c.cost + e.metres <= 800', 'node')} SELECT edge, cost + edge % 150 AS ahead FROM e JOIN c8 ON node = a WHERE edge % 3 = 0 AND edge % 150 <= metres AND cost + edge % 150 <= 800",
+    "c33_cameras_ahead": f"WITH RECURSIVE {_GRID}{_walk('c', 'SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost', 'SELECT e.b, c.cost + e.metres FROM {0} c JOIN e ON e.a = c.node WHERE c.cost + e.metres <= 800', 'node')} SELECT edge, cost + edge % 150 AS ahead FROM e JOIN c ON node = a WHERE edge % 3 = 0 AND edge % 150 <= metres AND cost + edge % 150 <= 800",
     "h13_chainage": "WITH p AS (SELECT l_suppkey, l_extendedprice / 1000 AS km, CASE WHEN l_suppkey % 2 = 0 THEN -1 ELSE 1 END * l_quantity AS m FROM lineitem) SELECT l_suppkey, CAST(CASE WHEN corr(km, m) < 0 THEN -1 ELSE 1 END AS INTEGER) AS sign, round(regr_intercept(m, km) + regr_slope(m, km) * 50, 4) AS at_50 FROM p GROUP BY 1",
     "m5_wrapped": "WITH a AS (SELECT c_custkey, c_acctbal / 100 AS a FROM customer) SELECT c_custkey, round(pi() - (pi() - a - floor((pi() - a) / (2 * pi())) * 2 * pi()), 6) AS high, round(a + pi() - floor((a + pi()) / (2 * pi())) * 2 * pi() - pi(), 6) AS low FROM a",
     "m12_sides": f"WITH {_P}, d AS (SELECT vec_id, (2 * (y + 0.5) - (x + 1)) / sqrt(5) AS d FROM p) SELECT vec_id, CASE WHEN d > 0.02 THEN 'left' WHEN d < -0.02 THEN 'right' END AS side FROM d",
@@ -323,7 +323,7 @@ ORACLES = {
     "d41_cell_table": f"WITH {_P}, c AS (SELECT *, CAST(floor(y / 0.05) AS BIGINT) AS r, CAST(floor(x / 0.05) AS BIGINT) AS c FROM p), o AS (SELECT r, c, row_number() OVER (ORDER BY r, c, y, x, vec_id) - 1 AS i FROM c) SELECT r AS row, c AS col, min(i) AS first, count(*) AS n FROM o GROUP BY 1, 2",
     "e9_local_ids": f"WITH {_P}, t AS (SELECT vec_id, CAST(floor(y / 0.2) AS BIGINT) * 1000 + CAST(floor(x / 0.2) AS BIGINT) AS tile FROM p) SELECT vec_id, tile, row_number() OVER (PARTITION BY tile ORDER BY vec_id) - 1 AS local FROM t",
     "r2_slices": "SELECT vec_id, CAST(label % 5 + 1 AS BIGINT) AS n, round(list_sum(list_transform(embedding[1:label % 5 + 1], lambda v: CAST(v AS DOUBLE))), 6) AS total FROM embeddings",
-    "h7_undirected": f"WITH {_GRID}, u AS (SELECT a, b, metres FROM e UNION ALL SELECT b, a, metres FROM e){_walk('c', 'SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost', 'SELECT u.b, c.cost + u.metres FROM {0} c JOIN u ON u.a = c.node', 'node')} SELECT * FROM c8",
+    "h7_undirected": f"WITH RECURSIVE {_GRID}, u AS (SELECT a, b, metres FROM e UNION ALL SELECT b, a, metres FROM e){_walk('c', 'SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost', 'SELECT u.b, c.cost + u.metres FROM {0} c JOIN u ON u.a = c.node', 'node')} SELECT * FROM c",
     "m4_planar": """WITH c AS (SELECT c_custkey, radians((c_custkey * 37 % 1400) / 10 - 70) AS a FROM customer), d AS (SELECT c_custkey, a, a + radians(0.01) AS b FROM c)
         SELECT c_custkey, round(6371008.8 * sqrt(power(radians(0.02) * cos((a + b) / 2), 2) + power(radians(0.01), 2)), 3) AS metres, round(degrees(atan2(sin(radians(0.02)) * cos(b), cos(a) * sin(b) - sin(a) * cos(b) * cos(radians(0.02)))), 4) AS bearing FROM d""",
 }
