@@ -88,34 +88,45 @@ def _rules(tokens: list[tuple[str, str]]) -> list[tuple[list[int], list[tuple[in
     return out
 
 
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that touch or overlap as one: where the number of open ones leaves and comes back to zero."""
+    ends = sorted([(a, -1) for a, _ in spans] + [(b, 1) for _, b in spans])
+    out, depth = [], 0
+    for at, kind in ends:
+        if depth == 0:
+            start = at
+        depth -= kind
+        if depth == 0:
+            out.append((start, at))
+    return out
+
+
 def week_ranges(value: str | None) -> list[tuple[int, int]] | None:
     """Sorted disjoint ranges; None for what is not understood or only closes some days, [] for always closed.
 
     Rules after a semicolon replace the days they name, rules after a comma before a weekday add to them; a
     later end than midnight runs into the next day, equal ends are the whole day, public holidays are dropped.
     """
-    week: list[list[tuple[int, int]] | None] = [None] * 7
-    for part in (value or "").split(";"):
-        if not part.strip():
-            continue
+    # one record for each day a rule names: (day, whether it adds, spans), in the order of the text
+    records: list[tuple[int, bool, list[tuple[int, int]]]] = []
+    for part in filter(str.strip, (value or "").split(";")):
         tokens = _tokens(part)
-        rules = _rules(tokens) if tokens is not None else None
+        rules = None if tokens is None else _rules(tokens)
         if rules is None:
             return None
-        for k, (days, spans) in enumerate(rules):
-            for d in days:
-                week[d] = (week[d] or []) + spans if k and spans else spans
-    if not any(week) and None in week:
+        records += [(day, k > 0 and bool(spans), spans) for k, (days, spans) in enumerate(rules) for day in days]
+
+    def of(day: int) -> list[tuple[int, int]]:
+        own = [(adds, spans) for d, adds, spans in records if d == day]
+        since = max((i for i, (adds, _) in enumerate(own) if not adds), default=0)
+        return [s for _, spans in own[since:] for s in spans]
+
+    days = [of(day) for day in range(7)]
+    if not any(days) and len({d for d, *_ in records}) < 7:
         return None
-    flat = [(a + d * DAY, b + d * DAY) for d, spans in enumerate(week) for a, b in spans or []]
-    flat = [r for a, b in flat for r in ([(a, b)] if b <= WEEK else [(a, WEEK), (0, b - WEEK)])]
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(flat):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return merged
+    open_ = [(a + day * DAY, b + day * DAY) for day in range(7) for a, b in days[day]]
+    # what runs past the end of the week is the beginning of the next one
+    return joined([(a, min(b, WEEK)) for a, b in open_] + [(0, b - WEEK) for _, b in open_ if b > WEEK])
 
 
 @F.pandas_udf(RANGES)

@@ -227,22 +227,41 @@ def house_key(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, r",?\s*корп(?:ус)?\.?\s*", "к"), r"[\s-]", "")
 
 
+#: Phrases of camera lists' address rows. Fixed values.
+PHRASES = {
+    "toward": r"^(?:у|в)\s+напрямку\s*",
+    "near": r"^біля",
+    "crossing": r"(?i)^(?:перехр(?:естя)?\.?|перех\.)\s*",
+    "and": r"\s+(?:та|і)\s+(?:вулиці\s+)?",
+    "house": r",?\s*([0-9]+[\p{L}0-9_/-]*(?:,\s*корп\.\s*[0-9]+)?)$",
+}
+
+
+def _bare(x: Column) -> Column:
+    """Without blanks and commas at both ends."""
+    return F.regexp_replace(x, "^[ ,]+|[ ,]+$", "")
+
+
+def _said(notes: Column, phrase: str) -> Column:
+    """What follows the phrase in the first note that begins with it."""
+    return F.get(F.transform(F.filter(notes, lambda n: n.rlike(PHRASES[phrase])), lambda n: F.regexp_replace(n, PHRASES[phrase], "")), F.lit(0))
+
+
 def address(x: Column) -> Column:
     """A struct of street, house, crossing, near, toward of a list's address row.
 
-    Groups in brackets say what is near and which way is looked at. What remains names a crossing (after its word,
-    or with a slash), or a street with a house number at its end, or a street alone.
+    A row is a place, with notes in brackets. A place is one of three kinds: streets that meet, told by a word or by a
+    slash that no digit stands before; a street and a house number; a street.
     """
-    bracket = r"\(([^()]*)\)"
-    groups = F.transform(F.regexp_extract_all(x, F.lit(bracket), F.lit(1)), lambda g: F.trim(g))
-    way, beside = r"^(?:у|в)\s+напрямку\s*", "^біля"
-    toward = F.trim(F.get(F.split(F.regexp_replace(F.get(F.filter(groups, lambda g: g.rlike(way)), F.lit(0)), way, ""), ","), F.lit(0)))
-    near = F.trim(F.regexp_replace(F.get(F.filter(groups, lambda g: g.rlike(beside)), F.lit(0)), beside, ""))
-    head = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, bracket, " "), r"\s+", " "), "^[ ,]+|[ ,]+$", "")
-    meets = r"(?i)^(?:перехр(?:естя)?\.?|перех\.)\s*(.+)$"
-    trimmed = lambda parts: F.filter(F.transform(parts, lambda s: F.regexp_replace(s, "^[ ,]+|[ ,]+$", "")), lambda s: s != "")
-    crossing = F.when(head.rlike(meets), trimmed(F.split(F.regexp_replace(F.regexp_extract(head, meets, 1), r"\s+(?:та|і)\s+(?:вулиці\s+)?", " - "), r"\s*[-–—]\s*"))).when(head.rlike(r"[^0-9]\s*/"), trimmed(F.split(head, "/")))
-    numbered = r"^(.+?),?\s*([0-9]+[\p{L}0-9_/-]*(?:,\s*корп\.\s*[0-9]+)?)$"
-    plain = crossing.isNull()
-    street = F.when(head.rlike(numbered), F.regexp_replace(F.regexp_extract(head, numbered, 1), "^[ ,]+|[ ,]+$", "")).otherwise(head)
-    return F.struct(F.when(plain, street).alias("street"), F.when(plain & head.rlike(numbered), F.regexp_extract(head, numbered, 2)).alias("house"), crossing.alias("crossing"), near.alias("near"), toward.alias("toward"))
+    notes = F.transform(F.regexp_extract_all(x, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda n: F.trim(n))
+    place = _bare(F.regexp_replace(F.regexp_replace(x, r"\([^()]*\)", " "), r"\s+", " "))
+    kind = F.when(place.rlike(PHRASES["crossing"] + "."), "word").when(place.rlike(r"[^0-9]\s*/"), "slash").when(place.rlike("^.+?" + PHRASES["house"]), "house").otherwise("street")
+    by_word = F.regexp_replace(F.regexp_replace(place, PHRASES["crossing"], ""), PHRASES["and"], " - ")
+    streets = F.when(kind == "word", F.split(by_word, r"\s*[-–—]\s*")).when(kind == "slash", F.split(place, "/"))
+    return F.struct(
+        F.when(kind == "house", _bare(F.regexp_extract(place, "^(.+?)" + PHRASES["house"], 1))).when(kind == "street", place).alias("street"),
+        F.when(kind == "house", F.regexp_extract(place, "^(.+?)" + PHRASES["house"], 2)).alias("house"),
+        F.filter(F.transform(streets, _bare), lambda s: s != "").alias("crossing"),
+        F.trim(_said(notes, "near")).alias("near"),
+        F.trim(F.get(F.split(_said(notes, "toward"), ","), F.lit(0))).alias("toward"),
+    )
