@@ -31,6 +31,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+    with scratch() as held:
+        return held.keep(cut(_components(edges, nodes, rank)))
+
+
+def _components(edges: DataFrame, nodes: DataFrame, rank) -> DataFrame:
     left, steps = cut(edges.filter("a <> b").select("a", "b").distinct()), []
     while not left.isEmpty():
         step = both_ways(left).groupBy("a").agg(F.least(F.min(rank("b")), F.min(rank("a")))["n"].alias("m"))
@@ -325,3 +330,62 @@ def longest_path(edges: DataFrame, start: int) -> DataFrame:
     """a, b, cost: ends and length of the longest cheapest path of the tree that holds start, by two sweeps."""
     a = farthest(edges, start).first()["node"]
     return farthest(edges, a).select(F.lit(a).cast("long").alias("a"), F.col("node").alias("b"), "cost")
+
+
+def bridges(edges: DataFrame, places: DataFrame, reach: float, first: float) -> DataFrame:
+    """a, b, distance: straight hops of at most reach that join the pieces of a network into as few as they can, shortest first.
+
+    edges: a, b; places: node, x, y. In a round every piece takes its shortest hop to another one (of equal ones that between
+    the smallest nodes), so pieces at least halve and no hop is taken twice. A piece looks for foreign places in cells as wide as
+    `first`, and only if there is none in cells twice as wide, up to reach; each place keeps its nearest before pieces are compared.
+    """
+    with scratch() as held:
+        of = components(edges).withColumnRenamed("component", "piece")
+        at = cut(places.select("node", "x", "y").join(of, "node", "left").withColumn("piece", F.coalesce("piece", "node")))
+        found = []
+        while True:
+            left, hops_, width = at.select("piece").distinct(), [], min(first, reach)
+            while True:
+                mine = at.join(left, "piece", "left_semi")
+                i, j = F.floor(F.col("x") / width).cast("long"), F.floor(F.col("y") / width).cast("long")
+                around = F.explode(F.array(*(F.struct((i + k).alias("i"), (j + m).alias("j")) for k in (-1, 0, 1) for m in (-1, 0, 1))))
+                other = at.select(F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by_"), F.col("piece").alias("other"), around.alias("c")).select("*", F.col("c.i").alias("i"), F.col("c.j").alias("j")).drop("c")
+                met = mine.withColumns({"i": i, "j": j}).join(other, ["i", "j"]).filter("piece <> other")
+                met = met.withColumn("d", F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by_"))).filter(F.col("d") <= width)
+                hop = F.struct("d", F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), "other")
+                best = met.groupBy("piece", "node").agg(F.min(hop).alias("h")).groupBy("piece").agg(F.min("h").alias("h"))
+                hops_.append(cut(best))
+                left = cut(left.join(hops_[-1], "piece", "left_anti"))
+                if width >= reach or left.isEmpty():
+                    break
+                width = min(2 * width, reach)
+            taken = cut(_all(hops_))
+            if taken.isEmpty():
+                break
+            found.append(taken.select("h.a", "h.b", F.col("h.d").alias("distance")).distinct())
+            joined = components(taken.select(F.col("piece").alias("a"), F.col("h.other").alias("b")))
+            at = cut(at.join(joined.select(F.col("node").alias("piece"), "component"), "piece", "left").select("node", "x", "y", F.coalesce("component", "piece").alias("piece")))
+        if not found:
+            return edges.select(F.col("a"), F.col("b"), F.lit(0.0).alias("distance")).limit(0)
+        return held.keep(cut(_all(found)))
+
+
+def main_line(edges: DataFrame, places: DataFrame, reach: float, first: float) -> DataFrame:
+    """place, a, b: the longest of the shortest paths through a network (edges a, b) whose pieces are bridged by hops up to reach.
+
+    Lengths are straight ones between places (node, x, y). The piece with most places is taken; its longest path is found by two sweeps.
+    """
+    with scratch() as held:
+        hops_ = bridges(edges, places, reach, first)
+        p = places.select("node", "x", "y")
+        both = edges.select("a", "b").unionByName(hops_.select("a", "b"))
+        far = both.join(p.select(F.col("node").alias("a"), "x", "y"), "a").join(p.select(F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by_")), "b")
+        lengths = cut(both_ways(far.select("a", "b", F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by_")).alias("cost")), "cost"))
+        start = components(both).groupBy("component").count().orderBy(F.desc("count"), "component").first()
+        if start is None:
+            return held.keep(cut(both.select(F.lit(0).cast("long").alias("place"), "a", "b").limit(0)))
+        spark = edges.sparkSession
+        one = farthest(lengths, start["component"]).first()["node"]
+        reached = cheapest(lengths, spark.createDataFrame([(one, 0.0)], "node long, cost double"))
+        end = reached.orderBy(F.desc("cost"), "node").first()["node"]
+        return held.keep(cut(way_to(reached, end)))

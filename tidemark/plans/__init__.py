@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("timeline", "totals", "words", "places", "machines", "tracks", "motion", "roads", "parsing", "signals", "spots", "drives", "bus")
+FAMILIES = ("timeline", "totals", "words", "places", "machines", "tracks", "motion", "roads", "parsing", "signals", "spots", "drives", "bus", "pilots")
 
 
 def all_queries() -> dict:

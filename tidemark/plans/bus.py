@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import frames as fr
 from tidemark.operators import timeseries as ts
+from tidemark.streaming.windows import reordered
 
 
 def _events(spark, sf_dir):
@@ -52,7 +53,16 @@ def d14_speed_message(spark, sf_dir):
     return fr.speed_message(fr.speed_fields(fr.speed_pairs(frames, polls), 20)).select("bus", "id", "fields", F.round("r", 7).alias("r"))
 
 
-QUERIES = {f.__name__: f for f in (e18_retimed, d14_speed_fields, d14_speed_message)}
+def l1_reordered(spark, sf_dir):
+    """Readings of each user that come up to 0.7 s late, let out in order 0.3 s behind, 0.5 s once a bus frame was heard; place counts what came in time."""
+    e = ts.numbered(_events(spark, sf_dir), ["user_id"], ["us", "event_id"], "k")
+    e = e.select("user_id", "event_id", (F.col("k") * 100_000).alias("t"), F.when(F.col("event_id") % 50 == 3, "bus").otherwise("phone").alias("source"))
+    e = e.withColumn("arrival", (F.col("t") + F.col("event_id") * 7919 % 700 * 1000) * 1000 + F.col("event_id") % 1000)
+    got = reordered(e, "user_id", "arrival", "event_id", "t", "source", {"phone": 300_000, "bus": 500_000})
+    return got.select("user_id", F.col("id").alias("event_id"), "t", "late")
+
+
+QUERIES = {f.__name__: f for f in (l1_reordered, e18_retimed, d14_speed_fields, d14_speed_message)}
 _FIELDS = """ev AS (SELECT event_id, event_type AS bus, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) * 10000000 AS at_us, CAST(floor(value) AS BIGINT) % 120 AS v FROM events),
     p AS (SELECT bus, event_id, at_us + p * 1000000 AS t, p, CASE WHEN v = 0 THEN 0 ELSE v + p * (event_id % 2) END AS kph FROM ev, (SELECT unnest([0, 1]) AS p)),
     q AS (SELECT *, coalesce(t - lag(t) OVER w <= 1200000 AND abs(kph - lag(kph) OVER w) <= 2, false) AS steady FROM p WINDOW w AS (PARTITION BY bus ORDER BY t)),
@@ -70,6 +80,11 @@ _FIELDS = """ev AS (SELECT event_id, event_type AS bus, row_number() OVER (PARTI
         FROM gr JOIN rk ON rk.bus = gr.bus AND rk.id = gr.id AND rk.k = gr.k + 1, LATERAL (SELECT len(list_filter(gr.bytes, lambda x: abs(x - rk.byte) < 2)) = 0 AND abs(rk.per / gr.first - 1) <= 0.03 AS ok) t),
     ff AS (SELECT rk.* FROM rk JOIN gr USING (bus, id, k) WHERE took)"""
 ORACLES = {
+    "l1_reordered": """WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 100000 AS t, event_id % 50 = 3 AS bus FROM events),
+        b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (t + event_id * 7919 % 700 * 1000) * 1000 + event_id % 1000, event_id) AS k FROM a),
+        c AS (SELECT *, max(t) OVER w - CASE WHEN max(bus::INT) OVER w = 1 THEN 500000 ELSE 300000 END AS out_to FROM b WINDOW w AS (PARTITION BY user_id ORDER BY k)),
+        d AS (SELECT *, max(out_to) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gone FROM c)
+        SELECT user_id, event_id, t, coalesce(t <= gone, false) AS late FROM d""",
     "e18_retimed": """WITH RECURSIVE a AS (SELECT user_id % 7 AS bus, event_type AS id, event_id AS frame, row_number() OVER (PARTITION BY user_id % 7, event_type ORDER BY ts, event_id) AS k FROM events),
         b AS (SELECT bus, id, frame, k * 10000 + frame * 7919 % 60000 + k // 150 * 700000 AS t FROM a), w AS (SELECT DISTINCT bus, t // 1300000 * 1300000 AS end_t FROM b),
         c AS (SELECT *, row_number() OVER o AS n, lag(t) OVER o AS p FROM b WINDOW o AS (PARTITION BY bus, id ORDER BY t, frame)),

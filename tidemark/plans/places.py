@@ -91,6 +91,27 @@ def _bipartite(spark, sf_dir):
     return gr.both_ways(e, "cost")
 
 
+def _pieces(spark, sf_dir):
+    """Vectors as places, ten after one another along a street, and the streets."""
+    p = _points(spark, sf_dir).select(F.col("vec_id").alias("node"), "x", "y")
+    ends = p.select(F.col("node").alias("b"))
+    return p.filter("node % 10 < 9").select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).join(ends, "b").select("a", "b"), p
+
+
+def c38_bridges(spark, sf_dir):
+    """Hops of at most 0.08 that join the streets."""
+    edges, places = _pieces(spark, sf_dir)
+    return gr.bridges(edges, places, 0.08, 0.005).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+def h8_main_line(spark, sf_dir):
+    """Edges and metres of the longest shortest path through the streets and their bridges."""
+    edges, places = _pieces(spark, sf_dir)
+    line = gr.main_line(edges, places, 0.08, 0.005)
+    p = places.select(F.col("node").alias("a"), "x", "y").join(line, "a").join(places.select(F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by_")), "b")
+    return p.agg(F.count("*").alias("edges"), F.round(F.sum(F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by_"))), 6).alias("length"))
+
+
 def h6_hops(spark, sf_dir):
     return gr.hops(_bipartite(spark, sf_dir), spark.createDataFrame([(1_000_000_001,)], "node long"), 3)
 
@@ -153,3 +174,14 @@ ORACLES = {
         UNION SELECT n.node, min(n.cost) FROM (SELECT w.b AS node, d.cost + w.cost AS cost FROM d JOIN w ON w.a = d.node) n LEFT JOIN (SELECT node AS k0, cost AS c0 FROM recurring.d) r ON k0 = n.node WHERE c0 IS NULL OR n.cost < c0 GROUP BY 1)
         SELECT * FROM d""",
 }
+# Kruskal: pairs of pieces from the closest on, with the piece of every piece so far as a list; then all shortest paths of the piece with most places
+_JOINED = f"""{_P}, e0 AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS d FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 10 < 9),
+    c AS (SELECT vec_id, x, y, vec_id // 10 AS piece FROM p), h AS (SELECT min(struct_pack(d := sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), a := a.vec_id, b := b.vec_id)) AS h, a.piece AS p, b.piece AS q FROM c a JOIN c b ON a.piece < b.piece GROUP BY a.piece, b.piece),
+    k AS (SELECT h.d, h.a, h.b, p, q, row_number() OVER (ORDER BY h) AS k FROM h WHERE h.d <= 0.08), z AS (SELECT max(piece) AS z FROM c),
+    u AS (SELECT CAST(0 AS BIGINT) AS k, (SELECT list(i ORDER BY i) FROM range(0, (SELECT z + 1 FROM z)) t(i)) AS l, false AS took UNION ALL SELECT k.k, CASE WHEN u.l[p + 1] = u.l[q + 1] THEN u.l ELSE list_transform(u.l, lambda x: CASE WHEN x = u.l[q + 1] THEN u.l[p + 1] ELSE x END) END, u.l[p + 1] <> u.l[q + 1] FROM u JOIN k ON k.k = u.k + 1),
+    br AS (SELECT a, b, d FROM k JOIN u USING (k) WHERE took)"""
+ORACLES["c38_bridges"] = f"WITH RECURSIVE {_JOINED} SELECT a, b, round(d, 6) AS distance FROM br"
+ORACLES["h8_main_line"] = f"""WITH RECURSIVE {_JOINED}, w AS (SELECT a, b, d FROM e0 UNION ALL SELECT a, b, d FROM br), v AS (SELECT * FROM w UNION ALL SELECT b, a, d FROM w),
+    fin AS (SELECT l FROM u ORDER BY k DESC LIMIT 1), g AS (SELECT vec_id, (SELECT l FROM fin)[vec_id // 10 + 1] AS piece FROM p), big AS (SELECT piece FROM g GROUP BY 1 ORDER BY count(*) DESC, min(vec_id) LIMIT 1),
+    s AS (SELECT vec_id AS start, vec_id AS node, CAST(-1 AS BIGINT) AS came, CAST(0 AS DOUBLE) AS cost, 0 AS edges FROM g WHERE piece = (SELECT piece FROM big) UNION ALL SELECT s.start, v.b, v.a, s.cost + v.d, s.edges + 1 FROM s JOIN v ON v.a = s.node AND v.b <> s.came)
+    SELECT CAST(edges AS BIGINT) AS edges, round(cost, 6) AS length FROM s ORDER BY cost DESC LIMIT 1"""
