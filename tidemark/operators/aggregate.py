@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.tables import cut
+from tidemark.operators.tables import cut, scratch
 
 
 def line_fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -166,3 +166,81 @@ def budget_shares(df: DataFrame, by: list[str], value: str, budget: float, edges
     """by, n, over (share beyond budget), counts: rows below each edge and not below the one before, and the rest."""
     place = sum(((F.col(value) >= e).cast("int") for e in edges), F.lit(0))
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col(value) > budget).cast("double")).alias("over"), F.array(*(F.count_if(place == i) for i in range(len(edges) + 1))).alias("counts"))
+
+
+def peeled_fit(df: DataFrame, by: str, key: str, a: tuple[str, str], b: tuple[str, str], sigma: str, least: int, off: float) -> DataFrame:
+    """by, turn, dx, dy, n, turn_sigma: the rigid fit of points a to points b, weighted by sigma, without points that lie too far off it.
+
+    While a group has over `least` points and its worst one is more than off sigmas from where the fit puts it, that
+    one goes (of equal ones the first key) and the group is fitted anew. A round is two aggregates over the groups that
+    still lose points. turn_sigma grows with what is left of the error. A group of fewer points is left out.
+    """
+    (ax, ay), (bx, by_) = a, b
+    with scratch() as held:
+        w = 1.0 / F.col("s") / F.col("s")
+        points = cut(df.select(by, F.col(key).alias("k"), *(F.col(c).cast("double").alias(n) for c, n in ((ax, "ax"), (ay, "ay"), (bx, "bx"), (by_, "by_"), (sigma, "s")))))
+        done = []
+        while True:
+            m = points.groupBy(by).agg(F.count("*").alias("n"), F.sum(w).alias("w"), *((F.sum(w * F.col(c)) / F.sum(w)).alias(f"m_{c}") for c in ("ax", "ay", "bx", "by_"))).filter(F.col("n") >= least)
+            near = points.join(m.drop("n", "w"), by)
+            x, y, u, v = (F.col(c) - F.col(f"m_{c}") for c in ("ax", "ay", "bx", "by_"))
+            t = near.groupBy(by).agg(F.atan2(F.sum(w * (x * v - y * u)), F.sum(w * (x * u + y * v))).alias("turn"), F.sum(w * (x * x + y * y)).alias("info"))
+            fit = m.join(t, by)
+            c, s = F.cos("turn"), F.sin("turn")
+            fit = cut(fit.select(by, "turn", (F.col("m_bx") - c * F.col("m_ax") + s * F.col("m_ay")).alias("dx"), (F.col("m_by_") - s * F.col("m_ax") - c * F.col("m_ay")).alias("dy"), "n", "info"))
+            apart = points.join(fit, by).withColumn("r", F.hypot(c * F.col("ax") - s * F.col("ay") + F.col("dx") - F.col("bx"), s * F.col("ax") + c * F.col("ay") + F.col("dy") - F.col("by_")) / F.col("s"))
+            worst = cut(apart.groupBy(by).agg(F.sum(F.col("r") * F.col("r")).alias("chi"), F.min(F.struct((-F.col("r")).alias("r"), "k")).alias("worst")).join(fit, by))
+            more = (F.col("n") > least) & (-F.col("worst.r") > off)
+            spread = F.sqrt(F.greatest(F.lit(1.0), F.col("chi") / F.greatest(F.lit(1), 2 * F.col("n") - 3)) / F.col("info"))
+            done.append(worst.filter(~more).select(by, "turn", "dx", "dy", "n", spread.alias("turn_sigma")))
+            losing = worst.filter(more).select(by, F.col("worst.k").alias("_gone"))
+            if losing.isEmpty():
+                break
+            points = cut(points.join(losing, by).filter("k <> _gone").drop("_gone"))
+        out = done[0]
+        for d in done[1:]:
+            out = out.unionByName(d)
+        return held.keep(cut(out))
+
+
+def lag_search(fixes: DataFrame, track: DataFrame, by: str, lags: list[float], window: float = 30.0, step: float = 10.0, least_fixes: int = 25, least_turn: float = 0.5235987755982988, least_speed: float = 3.0, least_windows: int = 6) -> DataFrame:
+    """by, windows, lag, rms: the time by which fixes (by, t, x, y) come behind a track (by, t, x, y, psi, speed), where turns tell it.
+
+    Every window of `window` seconds, one each step, that has enough fixes and, at the least lag, enough of a turn and speed throughout, and whose
+    fixes all find the track at both the least and the largest lag, is fitted by turning, shifting and scaling the track at each lag; errors
+    of all windows are added up. The lag with the least sum counts, unless it is at an end of those tried or from
+    too few windows: then it is null, as is rms. t is in microseconds.
+
+    Sums are made by steps of time and added up to windows, so a fix is moved once for each lag and not for each window.
+    """
+    from tidemark.operators import timeseries as ts
+
+    us, many = 1_000_000, round(window / step)
+    t = ts.unwrapped(track, [by], ["t"], "psi", "_psi").select(by, "t", "x", "y", "_psi", "speed")
+    span = fixes.groupBy(by).agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
+    tried = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(round(lag * us)).alias("us")) for k, lag in enumerate(lags))))
+    f = fixes.join(span, by).select(by, "_t1", "_t0", F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("t").alias("_at"), tried.alias("lag"))
+    f = f.withColumn("t", F.col("_at") - F.col("lag.us")).withColumn("block", F.floor((F.col("_at") - F.col("_t0")) / (step * us)).cast("long"))
+    f = ts.around(f, t, [by], "t", ["x", "y", "_psi", "speed"], back="p", ahead="q")
+    share = F.when(F.col("q.t") > F.col("p.t"), (F.col("t") - F.col("p.t")) / (F.col("q.t") - F.col("p.t"))).otherwise(0.0)
+    mid = lambda c: F.col(f"p.{c}") + share * (F.col(f"q.{c}") - F.col(f"p.{c}"))
+    f = f.withColumns({"ax": mid("x"), "ay": mid("y"), "v": mid("speed"), "psi": F.col("p._psi"), "k": F.col("lag.k")})
+    x, y, u, v = (F.col(c) for c in ("ax", "ay", "fx", "fy"))
+    parts = {"n": F.lit(1.0), "sx": x, "sy": y, "su": u, "sv": v, "dot": x * u + y * v, "cross": x * v - y * u, "aa": x * x + y * y, "bb": u * u + v * v}
+    block = f.groupBy(by, "_t0", "_t1", "block", "k").agg(*(F.sum(c).alias(n) for n, c in parts.items()), F.count(F.when(F.col("ax").isNull(), 1)).alias("lost"), F.min("v").alias("slow"), F.min("psi").alias("lo"), F.max("psi").alias("hi"))
+    over = block.withColumn("window", F.explode(F.sequence(F.greatest(F.col("block") - (many - 1), F.lit(0).cast("long")), F.col("block"))))
+    over = over.filter(F.col("_t0") + F.col("window") * round(step * us) + round(window * us) <= F.col("_t1"))
+    sums = over.groupBy(by, "window", "k").agg(*(F.sum(n).alias(n) for n in parts), F.sum("lost").alias("lost"), F.min("slow").alias("slow"), (F.max("hi") - F.min("lo")).alias("turn"))
+    n = F.col("n")
+    mean = lambda a, b: F.col(a) * F.col(b) / n
+    dot, cross = F.col("dot") - mean("sx", "su") - mean("sy", "sv"), F.col("cross") - mean("sx", "sv") + mean("sy", "su")
+    aa, bb = F.col("aa") - mean("sx", "sx") - mean("sy", "sy"), F.col("bb") - mean("su", "su") - mean("sv", "sv")
+    rest = F.when(aa > 0, F.greatest(F.lit(0.0), bb - (dot * dot + cross * cross) / aa)).otherwise(bb)
+    ends = F.col("k").isin(0, len(lags) - 1)
+    good = sums.groupBy(by, "window").agg(F.max("n").alias("_n"), F.sum(F.when(ends, F.col("lost"))).alias("_lost"), F.min(F.when(F.col("k") == 0, F.col("slow"))).alias("_slow"), F.max(F.when(F.col("k") == 0, F.col("turn"))).alias("_turn"))
+    good = good.filter((F.col("_n") >= least_fixes) & (F.col("_lost") == 0) & (F.col("_slow") >= least_speed) & (F.col("_turn") >= least_turn)).select(by, "window")
+    sse = sums.withColumn("rest", rest).join(good, [by, "window"]).groupBy(by, "k").agg(F.sum("rest").alias("sse"), F.sum("n").alias("points"), F.count("*").alias("windows"))
+    best = sse.groupBy(by).agg(F.max("windows").alias("windows"), F.max("points").alias("points"), F.min(F.struct(F.round("sse", 9).alias("sse"), "k")).alias("b"))
+    sure = (F.col("windows") >= least_windows) & F.col("b.k").between(1, len(lags) - 2)
+    best = best.select(by, "windows", F.when(sure, F.element_at(F.array(*map(F.lit, lags)), F.col("b.k") + 1)).alias("lag"), F.when(sure, F.sqrt(F.col("b.sse") / F.col("points"))).alias("rms"))
+    return span.select(by).join(best, by, "left").select(by, F.coalesce("windows", F.lit(0).cast("long")).alias("windows"), "lag", "rms")

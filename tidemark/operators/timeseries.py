@@ -45,7 +45,7 @@ def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column, n
 def around(left: DataFrame, right: DataFrame, by: list[str], t: str, cols: list[str], tie: str | None = None, back: str | None = "back", ahead: str | None = "ahead", bucket: int = BUCKET) -> DataFrame:
     """left with structs (t, cols) of right's last row at or before its time and of the first at or after; a name of None leaves a side out.
 
-    Both sides come from one sort of each key's buckets, and what a bucket needs of its neighbours from a table
+    Each side comes from one walk over each key's buckets, and what a bucket needs of its neighbours from a table
     with one row a bucket. Right rows at one time are ordered by tie, the last of them counting either way.
     """
     keep = F.struct(F.col(t).alias("t"), *cols)
@@ -65,8 +65,10 @@ def around(left: DataFrame, right: DataFrame, by: list[str], t: str, cols: list[
         found[back] = F.coalesce("_back", "_before")
     if ahead:
         ends.append(F.min_by("_r", F.when(F.col("_o") == 2, F.struct("_t", "_tie"))).alias("_start"))
-        carry.append(F.first("_start", ignorenulls=True).over(buckets.rowsBetween(1, Window.unboundedFollowing)).alias("_behind"))
-        rows = rows.withColumn("_ahead", F.first(F.when(F.col("_o") == 2, F.col("_r")), ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+        carry.append(F.last("_start", ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_behind"))
+        # backwards, so that each row adds to what is known: a frame to the end would be read anew for every row
+        backwards = Window.partitionBy(*by, "_b").orderBy(F.desc("_t"), F.desc("_o"), F.desc("_tie")).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_ahead", F.last(F.when(F.col("_o") == 2, F.col("_r")), ignorenulls=True).over(backwards))
         found[ahead] = F.coalesce("_ahead", "_behind")
     marks = rows.groupBy(*by, "_b").agg(*ends).select(*carry)
     out = rows.filter("_o = 1").join(marks, [*by, "_b"], "left")
