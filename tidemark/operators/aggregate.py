@@ -34,11 +34,16 @@ def quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[
     A mergeable sketch brackets each rank; then values inside the brackets are counted by value, with the number
     below and the neighbours just outside. No task holds a group, whatever its size.
     """
+    with scratch() as held:
+        return held.keep(cut(_quantiles(df, by, value, wanted)))
+
+
+def _quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     qs = sorted({q for _, q in wanted.values()})
     d = 2 / SKETCH
-    edges = F.percentile_approx(value, [min(1.0, max(0.0, q + e)) for q in qs for e in (-d, d)], SKETCH)
-    rows = df.select(*by, F.col(value).alias("_v")).filter("_v is not null")
-    marks = cut(df.filter(F.col(value).isNotNull()).groupBy(*by).agg(edges.alias("_e"), F.count("*").alias("_n")))
+    edges = F.percentile_approx("_v", [min(1.0, max(0.0, q + e)) for q in qs for e in (-d, d)], SKETCH)
+    rows = cut(df.select(*by, F.col(value).alias("_v")).filter("_v is not null"))
+    marks = cut(rows.groupBy(*by).agg(edges.alias("_e"), F.count("*").alias("_n")))
     met = rows.join(F.broadcast(marks) if marks.count() <= BROADCAST_GROUPS else marks, by)
     met = cut(met.groupBy(*by, "_n", *(F.when(F.col("_v").between(F.col("_e")[2 * i], F.col("_e")[2 * i + 1]), F.col("_v")).alias(f"_in{i}") for i in range(len(qs))), *(F.when(F.col("_v") < F.col("_e")[2 * i], -1).when(F.col("_v") > F.col("_e")[2 * i + 1], 1).otherwise(0).alias(f"_side{i}") for i in range(len(qs)))).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     out = None

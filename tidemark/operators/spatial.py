@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import cell, in_ring, segment_distance
+from tidemark.operators.timeseries import previous, running_sum
 
 
 def _row(df: DataFrame) -> DataFrame:
@@ -50,14 +51,48 @@ def innermost(points: DataFrame, areas: list[tuple[str, float, list[tuple[float,
     return points.withColumn("area", found)
 
 
-def segments(line: DataFrame, by: list[str], order: str, x: str, y: str) -> DataFrame:
-    """Consecutive vertices as segments ax, ay, bx, by_ with the length before them."""
-    from pyspark.sql.window import Window
+def within_reach(points: DataFrame, places: DataFrame, x: str, y: str, reach: str) -> DataFrame:
+    """Pairs of points and places (columns px, py, and how far each reaches), with distance; a reach may be of any size.
+
+    Places are cells of their own class of reach, the power of two above it, so one with a long reach does not widen the cells of the
+    others; a point looks into one cell of each class, of which there are as many as the reaches have doublings.
+    """
+    level = F.ceil(F.log2(F.col(reach))).cast("int")
+    wide = places.filter(F.col(reach) > 0).withColumn("_level", level)
+    levels = sorted(r[0] for r in wide.select("_level").distinct().collect())
+    if not levels:
+        return points.join(places.limit(0), F.lit(False)).withColumn("distance", F.lit(0.0))
+    at = lambda c, more=0: (F.floor(c / F.pow(F.lit(2.0), F.col("_level"))) + more).cast("long")
+    around = F.array(*(F.struct(at(F.col("px"), i).alias("i"), at(F.col("py"), j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    spread = wide.withColumn("_c", F.explode(around)).select("*", F.col("_c.i").alias("_i"), F.col("_c.j").alias("_j")).drop("_c")
+    looked = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels))))
+    looked = looked.withColumns({"_i": at(F.col(x)), "_j": at(F.col(y))})
+    met = looked.join(spread, ["_level", "_i", "_j"]).drop("_level", "_i", "_j")
+    return met.withColumn("distance", F.hypot(F.col(x) - F.col("px"), F.col(y) - F.col("py"))).filter(F.col("distance") <= F.col(reach))
+
+
+def near_any(points: DataFrame, places: DataFrame, x: str, y: str, radius: float, per_place: Column | None = None, other: Column | None = None) -> DataFrame:
+    """Points with a place (columns px, py) at most radius, or the place's own, away, other than what the condition `other` leaves out; each once.
+
+    A semi-join within cells: a point stops at the first place it finds, and no pair is made.
+    """
+    around = F.array(*(F.struct((cell(F.col("px"), radius) + i).alias("i"), (cell(F.col("py"), radius) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    spread = places.withColumn("_c", F.explode(around)).select("*", F.col("_c.i").alias("_pi"), F.col("_c.j").alias("_pj")).drop("_c")
+    own = points.withColumns({"_i": cell(F.col(x), radius), "_j": cell(F.col(y), radius)})
+    far = F.hypot(F.col(x) - F.col("px"), F.col(y) - F.col("py")) <= (F.lit(radius) if per_place is None else F.least(F.lit(radius), per_place))
+    rule = (F.col("_i") == F.col("_pi")) & (F.col("_j") == F.col("_pj")) & far
+    return own.join(spread, rule if other is None else rule & other, "left_semi").drop("_i", "_j")
+
 
-    w = Window.partitionBy(*by).orderBy(order)
-    s = line.select(*by, order, F.col(x).alias("ax"), F.col(y).alias("ay"), F.lead(x).over(w).alias("bx"), F.lead(y).over(w).alias("by_"))
-    s = s.filter("bx is not null").withColumn("length", F.hypot(F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay")))
-    return s.withColumn("before", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
+def segments(line: DataFrame, by: list[str], order: str, x: str, y: str, stretch: int = 10_000) -> DataFrame:
+    """Consecutive vertices as segments (order of the first, ax, ay, bx, by_) with the length before them.
+
+    order is a number; stretches of it so wide are tasks of their own, so a line of any length is many.
+    """
+    v = previous(line.select(*by, order, F.col(x).alias("bx"), F.col(y).alias("by_")), by, [order], [order, "bx", "by_"], stretch, "_p")
+    s = v.withColumn("length", F.hypot(F.col("bx") - F.col("_p.bx"), F.col("by_") - F.col("_p.by_")))
+    s = running_sum(s, by, [order], F.col("length"), "_upto", stretch).filter("_p is not null")
+    return s.select(*by, F.col(f"_p.{order}").alias(order), F.col("_p.bx").alias("ax"), F.col("_p.by_").alias("ay"), "bx", "by_", "length", (F.col("_upto") - F.col("length")).alias("before"))
 
 
 def corridor(points: DataFrame, segs: DataFrame, key: str, x: str, y: str, width: float) -> DataFrame:

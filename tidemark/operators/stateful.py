@@ -146,6 +146,40 @@ def trips(parked_us: int = 300_000_000, moving: int = 2) -> Step:
     return step
 
 
+def recent_far(apart: float, within_us: int) -> Step:
+    """Rows (id, t, value): the latest earlier row of the last while whose value is at least `apart` away. Out: id, the other's id or null.
+
+    Of what went before only rows are held that no later one beats in height, or in depth; rows of one time do not count for one another.
+    State: rows (t, id, value) falling in value, rows rising in value, and the present time with the rows of it.
+    """
+    def latest(stack, far):
+        # values are sorted along the stack: the last row that is far enough stands before the first that is not
+        lo, hi = 0, len(stack)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if far(stack[mid][2]) else (lo, mid)
+        return stack[lo - 1][:2] if lo else None
+
+    def pushed(stack, row, beaten):
+        k = len(stack)
+        while k and beaten(stack[k - 1][2], row[2]):
+            k -= 1
+        return (*stack[:k], row)
+
+    def step(state, row):
+        high, low, now, same = state
+        n, t, value = row
+        if t != now:
+            for s in same:
+                high, low = pushed(high, s, lambda a, b: a <= b), pushed(low, s, lambda a, b: a >= b)
+            high, low = (tuple(r for r in stack if t - r[0] <= within_us) for stack in (high, low))
+            now, same = t, ()
+        found = [f for f in (latest(high, lambda v: v >= value + apart), latest(low, lambda v: v <= value - apart)) if f]
+        return (high, low, now, (*same, (t, n, value))), [(n, max(found)[1] if found else None)]
+
+    return step
+
+
 def ewma(tau_us: int) -> Step:
     """Exponentially weighted mean of rows (id, t, value) with time constant tau."""
     def step(state, row):

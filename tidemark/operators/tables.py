@@ -72,15 +72,27 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-_stored: dict[tuple[str, str], DataFrame] = {}
-
-
-def stored(spark, name: str, make) -> DataFrame:
-    """The table of this name, made and written to the shared folder when the session first asks for it."""
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _stored:
-        _stored[key] = cut(make())
-    return _stored[key]
+def version(df: DataFrame) -> tuple:
+    """The files that df reads, with their sizes and times: another value once the table has changed."""
+    spark = df.sparkSession
+    paths, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    states = (path.getFileSystem(conf).getFileStatus(path) for path in map(paths, df.inputFiles()))
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in states))
+
+
+_stored: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
+
+
+def stored(of: DataFrame, name: str, make) -> DataFrame:
+    """What make() returns, written to the shared folder when the session first asks for this name, and anew once the files of `of` have changed."""
+    key, now = (of.sparkSession.sparkContext.applicationId, name), version(of)
+    if key not in _stored or _stored[key][0] != now:
+        token = _scratch.set(None)  # it outlives whoever asked first
+        try:
+            _stored[key] = (now, cut(make()))
+        finally:
+            _scratch.reset(token)
+    return _stored[key][1]
 
 
 def ordinal(df: DataFrame, part: Column, order: list, name: str) -> DataFrame:

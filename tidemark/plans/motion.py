@@ -166,10 +166,10 @@ def c14_cell_counts(spark, sf_dir):
 
 
 def c8_events_in_windows(spark, sf_dir):
-    """Events inside any window of errors, whoever's: windows become disjoint first, then meet rows by time bucket."""
+    """Events inside any window of errors, whoever's: windows become disjoint first, then meet rows by the minute."""
     e = events(spark, sf_dir).withColumn("all", F.lit(1))
     wins = e.filter("event_type = 'error'").select("all", F.col("t").alias("from_t"), (F.col("t") + HOUR // 60).alias("to_t"))
-    got = ts.inside_windows(e, ts.merge_intervals(wins, ["all"], "from_t", "to_t"), ["all"], "t")
+    got = ts.inside_windows(e, ts.merge_intervals(wins, ["all"], "from_t", "to_t", HOUR), ["all"], "t", HOUR // 60)
     return got.filter("from_t is not null").groupBy("event_type").agg(F.count("*").alias("n"))
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import conv, fixes, wire
 from tidemark.operators import aggregate as ag
+from tidemark.operators import search as se
 from tidemark.operators import stateful as st
 from tidemark.operators import tables, tracks
 from tidemark.operators import timeseries as ts
+from tidemark.operators.stateful import batch, recent_far
 from tidemark.plans.timeline import _E, HOUR, events
 from tidemark.sources import ulog
 
@@ -206,8 +208,8 @@ def d50_ranked_devices(spark, sf_dir):
     """Parts as devices: rules give points, then size and key decide; the best two of each brand."""
     points = F.when(F.col("p_name").startswith("new"), 3).otherwise(0) + F.when(F.col("p_type").isin("PROMO", "ECONOMY"), 2).otherwise(0) + F.when(F.col("p_size") > 40, 1).otherwise(0)
     p = _t(spark, sf_dir, "part").withColumn("points", points)
-    best = p.groupBy("p_brand").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("points")).alias("a"), (-F.col("p_size")).alias("b"), "p_partkey"))), 1, 2).alias("best"))
-    return best.select("p_brand", F.posexplode("best").alias("place", "x")).select("p_brand", F.col("place").cast("long").alias("place"), F.col("x.p_partkey").alias("p_partkey"), (-F.col("x.a")).alias("points"))
+    best = se.top_per_group(p, ["p_brand"], [F.desc("points"), F.desc("p_size"), "p_partkey"], 2)
+    return best.select("p_brand", (F.col("place") - 1).cast("long").alias("place"), "p_partkey", "points")
 
 
 def d51_cluster_moments(spark, sf_dir):
@@ -238,10 +240,8 @@ def d55_shared_length(spark, sf_dir):
 
 def e4_recent_far(spark, sf_dir):
     """The latest earlier reading of the last day that differs by 50 or more."""
-    seen = F.struct("t", "event_id", "value")
-    e = ts.over_frame(events(spark, sf_dir), ["user_id"], "t", 24 * HOUR, {"seen": lambda w: F.collect_list(seen).over(w)})
-    far = F.filter("seen", lambda s: (s["t"] < F.col("t")) & (F.abs(s["value"] - F.col("value")) >= 50))
-    return e.select("event_id", F.array_max(far)["event_id"].alias("far_id"))
+    got = batch(events(spark, sf_dir), "user_id", ["event_id", "t", "value"], recent_far(50.0, 24 * HOUR), ((), (), None, ()), "user_id long, event_id long, far_id long", ["t", "event_id"])
+    return got.select("event_id", "far_id")
 
 
 def e14_jumps(spark, sf_dir):

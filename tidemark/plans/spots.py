@@ -70,10 +70,10 @@ def a27_camera_rows(spark, sf_dir):
 
 
 def a28_geojson(spark, sf_dir):
-    """A user's track as one line in GeoJSON, in order of time."""
-    e = _t(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id", F.format_string("[%d,%d]", F.col("event_id"), F.col("user_id")).alias("c")).alias("p"))
+    """A user's track as a line in GeoJSON for each day, in order of time."""
+    e = _t(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), F.struct("ts", "event_id", F.format_string("[%d,%d]", F.col("event_id"), F.col("user_id")).alias("c")).alias("p"))
     line = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["c"]), ",")
-    return e.groupBy("user_id").agg(F.concat(F.lit('{"type":"LineString","coordinates":['), line, F.lit("]}")).alias("json"))
+    return e.groupBy("user_id", F.col("day").cast("string").alias("day")).agg(F.concat(F.lit('{"type":"LineString","coordinates":['), line, F.lit("]}")).alias("json"))
 
 
 def a29_polygons(spark, sf_dir):
@@ -130,7 +130,7 @@ def c27_owners(spark, sf_dir):
 def c28_nearest_houses(spark, sf_dir):
     """Points to houses (every seventh vector) of settlements whose reach covers the point, the nearest within 0.1."""
     p = _points(spark, sf_dir)
-    covers = sp.within(p.select("vec_id", "x", "y"), _settlements(spark, sf_dir).withColumnsRenamed({"cx": "px", "cy": "py"}), "x", "y", 1.0, F.col("reach"))
+    covers = sp.within_reach(p.select("vec_id", "x", "y"), _settlements(spark, sf_dir).withColumnsRenamed({"cx": "px", "cy": "py"}), "x", "y", "reach")
     covers = covers.select("vec_id", F.col("label").alias("town"))
     houses = p.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("house"), F.col("label").alias("town"), F.col("x").alias("px"), F.col("y").alias("py"))
     near = sp.within(p.select("vec_id", "x", "y"), houses, "x", "y", 0.1).filter("vec_id <> house").join(covers, ["vec_id", "town"], "left_semi")
@@ -141,7 +141,7 @@ def c28_nearest_houses(spark, sf_dir):
 def c29_settlements_near(spark, sf_dir):
     """For each point the three settlements that reach it best."""
     s = _settlements(spark, sf_dir).withColumnsRenamed({"cx": "px", "cy": "py", "label": "town"})
-    met = sp.within(_points(spark, sf_dir).select("vec_id", "x", "y"), s, "x", "y", 1.0, F.col("reach")).withColumn("score", F.col("distance") / F.col("reach"))
+    met = sp.within_reach(_points(spark, sf_dir).select("vec_id", "x", "y"), s, "x", "y", "reach").withColumn("score", F.col("distance") / F.col("reach"))
     best = met.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "town"))), 1, 3).alias("b"))
     return best.select("vec_id", F.posexplode("b").alias("place", "s")).select("vec_id", F.col("place").cast("long").alias("place"), "s.town", F.round("s.score", 6).alias("score"))
 
@@ -164,7 +164,7 @@ def d46_urban(spark, sf_dir):
     """Points within the radius of any place, which depends on its kind."""
     k = F.col("vec_id")
     places = _points(spark, sf_dir).filter("vec_id % 10 = 0").select(k.alias("place"), F.col("x").alias("px"), F.col("y").alias("py"), F.element_at(F.array(*map(F.lit, (0.05, 0.03, 0.01))), (F.floor(k / 10) % 3 + 1).cast("int")).alias("r"))
-    return sp.within(_points(spark, sf_dir).select("vec_id", "x", "y"), places, "x", "y", 0.05, F.col("r")).select("vec_id").distinct()
+    return sp.near_any(_points(spark, sf_dir).select("vec_id", "x", "y"), places, "x", "y", 0.05, F.col("r")).select("vec_id")
 
 
 def d38_settlement_reach(spark, sf_dir):
@@ -209,7 +209,7 @@ def p6_off_road(spark, sf_dir):
     """Points with no other one (as a road) within 0.03."""
     p = _points(spark, sf_dir)
     roads = p.filter("vec_id % 4 = 0").select(F.col("vec_id").alias("road"), F.col("x").alias("px"), F.col("y").alias("py"))
-    on = sp.within(p.select("vec_id", "x", "y"), roads, "x", "y", 0.03).filter("vec_id <> road").select("vec_id").distinct()
+    on = sp.near_any(p.select("vec_id", "x", "y"), roads, "x", "y", 0.03, other=F.col("vec_id") != F.col("road")).select("vec_id")
     return p.join(on, "vec_id", "left_anti").select("vec_id")
 
 
@@ -286,7 +286,7 @@ ORACLES = {
     "a17_live_or_copy": "WITH n AS (SELECT c_mktsegment, count(*) FILTER (c_acctbal < 0) / count(*) <= 0.09 AND count(*) / count(*) FILTER (c_custkey % 2 = 0) BETWEEN 0.7 AND 2.2 AS live FROM customer GROUP BY 1) SELECT c_custkey, live FROM customer JOIN n USING (c_mktsegment) WHERE live OR c_custkey % 2 = 0",
     "a26_camera_lists": "SELECT s_suppkey, s_suppkey / 10 + 40 AS lat, CAST(s_nationkey + 20 AS DOUBLE) AS lon, CAST(NULL AS DOUBLE) AS bearing, CAST(s_suppkey % 4 * 20 + 50 AS INTEGER) AS \"limit\" FROM supplier",
     "a27_camera_rows": "SELECT s_suppkey, '[' || printf('%.6f', round(s_acctbal / 97, 6)) || ',' || CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 360 AS VARCHAR) ELSE '-1' END || ']' AS row FROM supplier",
-    "a28_geojson": """SELECT user_id, '{"type":"LineString","coordinates":[' || string_agg('[' || event_id || ',' || user_id || ']', ',' ORDER BY ts, event_id) || ']}' AS json FROM events GROUP BY 1""",
+    "a28_geojson": """SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, '{"type":"LineString","coordinates":[' || string_agg('[' || event_id || ',' || user_id || ']', ',' ORDER BY ts, event_id) || ']}' AS json FROM events GROUP BY 1, 2""",
     "a29_polygons": "SELECT s_suppkey, '1' AS ring, false AS hole, i, CASE i WHEN 0 THEN s_suppkey / 10 ELSE 31.0 END AS x, CASE i WHEN 0 THEN 50.5 ELSE s_nationkey / 4 END AS y FROM supplier, (SELECT unnest([0, 1]) AS i) UNION ALL SELECT s_suppkey, '2', true, 0, 1.0, 2.0 FROM supplier",
     "b10_row_problems": "WITH r AS (SELECT o_orderkey, CASE WHEN o_custkey % 140 NOT BETWEEN 5 AND 130 THEN 'limit' WHEN o_orderkey % 9 = 0 THEN 'road index' WHEN o_totalprice / 200 >= 2000 THEN 'km' END AS reason FROM orders) SELECT * FROM r WHERE reason IS NOT NULL",
     "c17_names_then_places": f"""WITH {_P}, q AS (SELECT *, CASE WHEN vec_id % 3 > 0 THEN label + CASE WHEN vec_id % 7 = 0 THEN 100 ELSE 0 END END AS name FROM p), m AS (SELECT label, list_sort(list(x))[CAST(ceil(count(*) * 0.5) AS BIGINT)] AS mx, list_sort(list(y))[CAST(ceil(count(*) * 0.5) AS BIGINT)] AS my FROM p GROUP BY 1),
@@ -297,10 +297,10 @@ ORACLES = {
     "c19_first_owners": "SELECT l_partkey AS node, min(l_orderkey) AS owner FROM lineitem GROUP BY 1",
     "c26_children": "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE regexp_matches(lower(n_name), '(^|[^a-z0-9])n'))",
     "c27_owners": "WITH s AS (SELECT s_suppkey AS k, sum(s_nationkey + 1) OVER (ORDER BY s_suppkey ROWS UNBOUNDED PRECEDING) AS e, s_nationkey + 1 AS n FROM supplier) SELECT p_partkey, k AS owner FROM part LEFT JOIN s ON p_partkey >= e - n AND p_partkey < e",
-    "c28_nearest_houses": f"""WITH {_P}, {_S}, v AS (SELECT vec_id, s.label AS town FROM p, s WHERE sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) <= least(1.0, reach)), h AS (SELECT vec_id AS house, label AS town, x, y FROM p WHERE vec_id % 7 = 0)
+    "c28_nearest_houses": f"""WITH {_P}, {_S}, v AS (SELECT vec_id, s.label AS town FROM p, s WHERE sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) <= reach), h AS (SELECT vec_id AS house, label AS town, x, y FROM p WHERE vec_id % 7 = 0)
         SELECT p.vec_id, h.house, round({_D('p', 'h')}, 6) AS distance FROM p JOIN v USING (vec_id) JOIN h ON h.town = v.town AND h.house <> p.vec_id AND {_D('p', 'h')} <= 0.1 QUALIFY row_number() OVER (PARTITION BY p.vec_id ORDER BY round({_D('p', 'h')}, 9), h.house) = 1""",
     "c29_settlements_near": f"""WITH {_P}, {_S}, d AS (SELECT vec_id, s.label AS town, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d, reach FROM p, s)
-        SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY d / reach, town) - 1 AS place, town, round(d / reach, 6) AS score FROM d WHERE d <= least(1.0, reach) QUALIFY place < 3""",
+        SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY d / reach, town) - 1 AS place, town, round(d / reach, 6) AS score FROM d WHERE d <= reach QUALIFY place < 3""",
     "c32_cameras_on_roads": f"""WITH {_P}, g AS (SELECT vec_id AS seg, x AS ax, y AS ay, 0.05::DOUBLE * (vec_id % 2) AS dx, 0.05::DOUBLE * (1 - vec_id % 2) AS dy FROM p WHERE vec_id % 3 = 0), j AS (SELECT vec_id, seg, vec_id % 8 AS o, seg % 2 AS e, x, y, ax, ay, dx, dy, greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / 0.0025)) AS t FROM p, g WHERE vec_id % 3 = 1),
         d AS (SELECT *, sqrt(power(x - ax - t * dx, 2) + power(y - ay - t * dy, 2)) AS off FROM j WHERE (o % 4) = CASE WHEN e = 1 THEN 2 ELSE 0 END) SELECT vec_id, seg, round(off, 6) AS off FROM d WHERE off <= 0.05 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(off, 9), seg) = 1""",
     "c34_without_repeats": """WITH RECURSIVE n AS (SELECT p_partkey, p_name, p_type, p_size, row_number() OVER (PARTITION BY p_name, p_type ORDER BY p_retailprice DESC, p_partkey) AS i FROM part),

@@ -16,7 +16,8 @@ def _t(spark, sf_dir, name):
 
 def _index(spark, sf_dir):
     """The documents' index, written once and read by every search of the session."""
-    return tables.stored(spark, f"index {sf_dir}", lambda: se.laid_out(se.postings(_t(spark, sf_dir, "documents"), "doc_id", "text")))
+    docs = _t(spark, sf_dir, "documents")
+    return tables.stored(docs, f"index {sf_dir}", lambda: se.laid_out(se.postings(docs, "doc_id", "text")))
 
 
 def s1_fold_tokens(spark, sf_dir):
@@ -34,7 +35,7 @@ def s5_typo_budget(spark, sf_dir):
 
 
 def s6_typo_match(spark, sf_dir):
-    i = tables.stored(spark, f"vocabulary {sf_dir}", lambda: _index(spark, sf_dir).select("token").distinct())
+    i = tables.stored(_t(spark, sf_dir, "documents"), f"vocabulary {sf_dir}", lambda: _index(spark, sf_dir).select("token").distinct())
     words = spark.createDataFrame([("thta",), ("wiht",), ("disgustign",), ("worhtless",), ("form",), ("patehtic",), ("teh",), ("clwon",)], "word string")
     return se.near_tokens(i, words)
 
