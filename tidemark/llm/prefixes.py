@@ -162,7 +162,7 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
         zero = F.lit(0).cast("long")
         owned = nodes.select("conv_id", "depth", F.lit(None).cast("string").alias("node"), (F.col("words") * (F.col("n_convs") - 1)).alias("saved"), F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("leaves"))
         both = rows.select("conv_id", "depth", "node", zero.alias("saved"), zero.alias("leaves")).unionByName(owned).withColumn("part", F.floor(F.col("depth") / STRETCH).cast("long"))
-        behind = Window.partitionBy("conv_id").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+        behind = Window.partitionBy("conv_id").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
         base = owned.withColumn("part", F.floor(F.col("depth") / STRETCH).cast("long")).groupBy("conv_id", "part").agg(F.sum("saved").alias("s"), F.sum("leaves").alias("l"))
         # stretches that own nothing have their base too
         spans = convs.select("conv_id", F.explode(F.sequence(zero, F.floor(F.col("length") / STRETCH).cast("long"))).alias("part")).join(base, ["conv_id", "part"], "left")
