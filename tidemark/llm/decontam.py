@@ -215,7 +215,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lim
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the rows that hold a window of the benchmark, columns unchanged."""
+    """docs without the rows that hold a window of the benchmark, columns unchanged.
+
+    Null and empty texts hold none and stay, as does every row where the benchmark has no word. Each row is judged by its own text: rows that repeat
+    an id or a text, or have no id, stay or go each for itself, and other columns, whatever their names, are not read. Empty in, empty out.
+    """
     plain, names = positional(docs)
     found = marked(plain, benchmark, text=names["text"], keep_text=True, limit=limit)
     return found.filter(F.size("spans") == 0).select(*plain.columns).toDF(*docs.columns)
