@@ -212,7 +212,7 @@ def detours(edges: DataFrame, start: int, goal: int, places: DataFrame) -> DataF
 def viterbi(df: DataFrame, by: list[str], order: list[str], emission: list[str], stay: float, gap: int) -> DataFrame:
     """df with state: the likeliest chain over columns of log-likelihoods, where leaving a state costs log(1 - stay).
 
-    A chain breaks where time (order[0]) jumps by more than gap, which bounds what one task holds; of equally
+    A chain breaks where time (order[0]) jumps by more than gap; one task holds a chain, so a key without gaps is held whole. Of equally
     likely states the first is taken.
     """
     n = len(emission)
