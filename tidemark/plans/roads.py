@@ -6,6 +6,7 @@ Tags are made from the tables' numbers by expressions that both engines read ali
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import roads as rd
 from tidemark.operators import graph as gr
@@ -135,12 +136,13 @@ def d44_edge_lengths(spark, sf_dir):
 
 
 def c36_mapped_restrictions(spark, sf_dir):
-    """Forbidden turns from an order's way over its first part's node into the way of the order that follows it there."""
+    """Turns forbidden or ordered from each way over a part's node into the next way there, the last one into the first."""
     e = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     edges = e.select((F.col("l_orderkey") * 10_000 + F.col("l_partkey")).alias("edge"), F.floor(F.col("l_orderkey") / 4).cast("long").alias("way"), F.col("l_partkey").alias("a"), (F.col("l_orderkey") + 1_000_000_000).alias("b"))
     r = _t(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 4).cast("long").alias("from_way"), F.col("l_partkey").alias("via"), (F.col("l_partkey") % 2 + 1).alias("kind"))
-    r = r.distinct().withColumn("to_way", F.col("from_way"))
-    return ro.map_restrictions(r, edges)
+    here = Window.partitionBy("via")
+    r = r.distinct().withColumn("to_way", F.coalesce(F.lead("from_way").over(here.orderBy("from_way")), F.min("from_way").over(here)))
+    return ro.map_restrictions(r.filter("to_way <> from_way"), edges)
 
 
 def c37_controls(spark, sf_dir):
@@ -317,8 +319,9 @@ ORACLES = {
     "d44_edge_lengths": f"""WITH {_ROAD}, {_REFS}, {_NODE}, c AS (SELECT node, count(*) AS uses FROM u GROUP BY 1), k AS (SELECT u.*, lat, lon, sum(CASE WHEN uses > 1 OR pos = 0 OR pos = size - 1 THEN 1 ELSE 0 END) OVER (PARTITION BY way ORDER BY pos) AS k FROM u JOIN c USING (node) JOIN n ON n.id = node),
         h AS (SELECT way, pos, node, CAST(lag(k) OVER w - 1 AS BIGINT) AS part, lag(node) OVER w AS p, radians(lat - lag(lat) OVER w) AS dy, radians(lon - lag(lon) OVER w) AS dx, cos(radians(lat)) * cos(radians(lag(lat) OVER w)) AS c FROM k WINDOW w AS (PARTITION BY way ORDER BY pos))
         SELECT way, part, arg_min(p, pos) AS a, arg_max(node, pos) AS b, round(sum(2 * {RADIUS} * asin(least(1, sqrt(power(sin(dy / 2), 2) + c * power(sin(dx / 2), 2))))), 3) AS metres FROM h WHERE part IS NOT NULL GROUP BY 1, 2""",
-    "c36_mapped_restrictions": """WITH e AS (SELECT DISTINCT l_orderkey * 10000 + l_partkey AS edge, l_orderkey // 4 AS way, l_partkey AS node FROM lineitem), o AS (SELECT way, node, min(edge) AS edge FROM e GROUP BY 1, 2 HAVING count(*) = 1)
-        SELECT node AS via, node % 2 + 1 AS kind, edge AS from_edge, edge AS to_edge FROM o""",
+    "c36_mapped_restrictions": """WITH e AS (SELECT DISTINCT l_orderkey * 10000 + l_partkey AS edge, l_orderkey // 4 AS way, l_partkey AS node FROM lineitem), o AS (SELECT way, node, min(edge) AS edge FROM e GROUP BY 1, 2 HAVING count(*) = 1),
+        r AS (SELECT DISTINCT way, node FROM e), n AS (SELECT *, coalesce(lead(way) OVER (PARTITION BY node ORDER BY way), min(way) OVER (PARTITION BY node)) AS to_way FROM r)
+        SELECT n.node AS via, n.node % 2 + 1 AS kind, f.edge AS from_edge, t.edge AS to_edge FROM n JOIN o f ON f.way = n.way AND f.node = n.node JOIN o t ON t.way = n.to_way AND t.node = n.node WHERE to_way <> n.way""",
     "c37_controls": """WITH e AS (SELECT o_orderkey AS edge, o_custkey AS a, o_orderkey % 97 + 1000000000 AS b, o_orderkey % 200 + 20.0 AS metres FROM orders), d AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY 1),
         s AS (SELECT l_orderkey * 8 + l_linenumber AS sign, edge, a, b, l_quantity * 4 AS spot, metres - l_quantity * 4 AS ahead FROM lineitem JOIN e ON edge = l_orderkey WHERE l_quantity * 4 <= metres),
         c AS (SELECT sign, edge, CASE WHEN spot <= ahead AND spot <= 40 AND da.degree >= 3 THEN a WHEN ahead <= 40 AND db.degree >= 3 THEN b END AS node FROM s JOIN d da ON da.node = a JOIN d db ON db.node = b) SELECT sign, node, CASE WHEN node IS NULL THEN edge END AS edge FROM c""",
