@@ -347,7 +347,9 @@ def p19_stops_at(spark, sf_dir):
 
 
 def t4_local_times(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").withColumn("at", F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Europe/Kyiv"))
+    """Events by day of the week and hour in Kyiv, spread over a year so that both changes of the clock lie in it."""
+    spread = F.col("ts").cast("timestamp") + F.make_dt_interval(F.col("event_id").cast("int") % 366)
+    e = _t(spark, sf_dir, "events").withColumn("at", F.from_utc_timestamp(spread, "Europe/Kyiv"))
     return e.groupBy(F.weekday("at").cast("long").alias("day"), F.hour("at").cast("long").alias("h")).agg(F.count("*").alias("n"))
 
 
@@ -439,5 +441,5 @@ ORACLES = {
         x AS (SELECT user_id, round(abs(value - cv), 4) AS error FROM m WHERE t - ct <= {48 * HOUR}) SELECT user_id, {_floor_q('error', 0.5)} AS p50, {_floor_q('error', 0.9)} AS p90, max(error) AS worst FROM x GROUP BY 1""",
     "p14_end_errors": f"WITH {_E}, l AS (SELECT user_id, event_type, arg_max(value, (t, event_id)) AS z FROM e GROUP BY 1, 2), m AS (SELECT *, avg(z) OVER (PARTITION BY event_type) AS m FROM l) SELECT user_id, round(avg(abs(z - m)), 6) AS error FROM m GROUP BY 1",
     "p19_stops_at": f"WITH {_E}, s AS (SELECT user_id, CAST(floor(value / 10) AS BIGINT) AS stop, arg_max(event_type, (t, event_id)) AS w FROM e WHERE t <= {1_704_067_200_000_000 + 15 * 24 * HOUR} GROUP BY 1, 2) SELECT user_id, stop FROM s WHERE w <> 'error'",
-    "t4_local_times": "WITH l AS (SELECT ts + INTERVAL 2 HOUR AS x FROM events) SELECT isodow(x) - 1 AS day, CAST(hour(x) AS BIGINT) AS h, count(*) AS n FROM l GROUP BY 1, 2",
+    "t4_local_times": "WITH u AS (SELECT ts + to_days(CAST(event_id % 366 AS INTEGER)) AS u FROM events), y AS (SELECT u, make_date(year(u), 3, 31) AS m, make_date(year(u), 10, 31) AS o FROM u), l AS (SELECT u + CASE WHEN u >= m - to_days(CAST(isodow(m) % 7 AS INTEGER)) + INTERVAL 1 HOUR AND u < o - to_days(CAST(isodow(o) % 7 AS INTEGER)) + INTERVAL 1 HOUR THEN INTERVAL 3 HOUR ELSE INTERVAL 2 HOUR END AS x FROM y) SELECT isodow(x) - 1 AS day, CAST(hour(x) AS BIGINT) AS h, count(*) AS n FROM l GROUP BY 1, 2",
 }
