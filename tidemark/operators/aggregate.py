@@ -114,6 +114,14 @@ def circular_mean(angle: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(F.sum(F.sin(F.radians(angle))), F.sum(F.cos(F.radians(angle))))), F.lit(360.0))
 
 
+def agreed_direction(df: DataFrame, by: list[str], order: list[str], angle: str, apart: float) -> DataFrame:
+    """by, direction: the circular mean of a group's angles in degrees, null if one of them is more than apart off the group's first; nulls count for nothing."""
+    known = df.filter(F.col(angle).isNotNull())
+    first = known.groupBy(*by).agg(F.min_by(angle, F.struct(*order)).alias("_first"))
+    off = F.abs(F.pmod(F.col(angle) - F.col("_first") + 180.0, F.lit(360.0)) - 180.0)
+    return known.join(first, by).groupBy(*by).agg(F.when(F.max(off) <= apart, circular_mean(F.col(angle))).alias("direction"))
+
+
 def effective_size(w: Column) -> Column:
     """Aggregate: number of equal weights that tell as much."""
     return F.pow(F.sum(w), 2) / F.nullif(F.sum(w * w), F.lit(0.0))

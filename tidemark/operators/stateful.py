@@ -146,6 +146,23 @@ def trips(parked_us: int = 300_000_000, moving: int = 2) -> Step:
     return step
 
 
+def kept_wheels() -> Step:
+    """Rows (id, t, wheels in m/s): whether a reading counts. One beyond range or with too much between its wheels does not, nor one that jumps from the last that counted.
+
+    A jump is more than a little and what the hardest braking can do since, within a third of a second. State: time and wheels of the last kept. Fixed values.
+    """
+    def step(state, row):
+        at, last = state
+        n, t, wheels = row
+        v = [math.inf if w is None or w != w else abs(w) for w in wheels or [math.inf]]
+        ok = max(v) <= 300 / 3.6 and max(v) - min(v) <= 3 / 3.6 + 0.5 * sum(v) / len(v)
+        if ok and at is not None and t - at <= 300_000:
+            ok = all(abs(a - b) <= 2 / 3.6 + 14 * max(0, t - at) / 1e6 for a, b in zip(v, last))
+        return ((t, v) if ok else state), [(n, ok)]
+
+    return step
+
+
 def recent_far(apart: float, within_us: int) -> Step:
     """Rows (id, t, value): the latest earlier row of the last while whose value is at least `apart` away. Out: id, the other's id or null.
 

@@ -10,7 +10,7 @@ from tidemark.operators import search as se
 from tidemark.operators import stateful as st
 from tidemark.operators import tables, tracks
 from tidemark.operators import timeseries as ts
-from tidemark.operators.stateful import batch, recent_far
+from tidemark.operators.stateful import batch, kept_wheels, recent_far
 from tidemark.plans.timeline import _E, HOUR, events
 from tidemark.sources import ulog
 
@@ -293,6 +293,13 @@ def m20_plausible(spark, sf_dir):
     return _wheels(spark, sf_dir).select("vec_id", wire.plausible(F.array("w0", "w1", "w2", "w3")).alias("ok"))
 
 
+def m20_kept_wheels(spark, sf_dir):
+    """Readings of four wheels of each label's vehicle, a tenth of a second apart: those that count, jumps from the last one that counted left out."""
+    w = _wheels(spark, sf_dir).join(_t(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    w = w.select("label", "vec_id", (F.col("vec_id") * 10_000).alias("t"), F.array("w0", "w1", "w2", "w3").alias("w"))
+    return batch(w, "label", ["vec_id", "t", "w"], kept_wheels(), (None, None), f"label {dict(w.dtypes)['label']}, vec_id long, ok boolean", ["t"])
+
+
 def m21_wheel_yaw(spark, sf_dir):
     return _wheels(spark, sf_dir).select("vec_id", F.round(wire.wheel_yaw(F.col("w2"), F.col("w3"), 1.5, F.col("vec_id") % 5 == 0), 6).alias("yaw"))
 
@@ -430,6 +437,12 @@ ORACLES = {
     "m17_insertions": """WITH q AS (SELECT l_orderkey, l_quantity AS q, row_number() OVER w AS i, lead(l_quantity) OVER w AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity))
         SELECT l_orderkey, i AS at, abs(q - 25) + abs(n - 25) - abs(n - q) AS more FROM q WHERE n IS NOT NULL QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY more, i) = 1""",
     "m20_plausible": "WITH w AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: abs(CAST(x AS DOUBLE) * 8)) AS w FROM embeddings) SELECT vec_id, list_max(w) <= 300 / 3.6 AND list_max(w) - list_min(w) <= 3 / 3.6 + 0.5 * list_avg(w) AS ok FROM w",
+    "m20_kept_wheels": """WITH RECURSIVE w AS (SELECT label, vec_id, vec_id * 10000 AS t, list_transform(embedding[1:4], lambda x: abs(CAST(x AS DOUBLE) * 8)) AS w, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+        o AS (SELECT *, list_max(w) <= 300 / 3.6 AND list_max(w) - list_min(w) <= 3 / 3.6 + 0.5 * list_avg(w) AS fits FROM w),
+        r AS (SELECT label, k, vec_id, fits AS ok, CASE WHEN fits THEN t END AS at_us, CASE WHEN fits THEN w END AS last FROM o WHERE k = 1
+            UNION ALL SELECT label, k, vec_id, ok, CASE WHEN ok THEN t ELSE at_us END, CASE WHEN ok THEN w ELSE last END
+            FROM (SELECT o.label, o.k, o.vec_id, o.t, o.w, r.at_us, r.last, o.fits AND (r.at_us IS NULL OR o.t - r.at_us > 300000 OR list_max(list_transform(list_zip(o.w, r.last), lambda z: abs(z[1] - z[2]))) <= 2 / 3.6 + 14 * (o.t - r.at_us) / 1e6) AS ok FROM r JOIN o ON o.label = r.label AND o.k = r.k + 1))
+        SELECT label, vec_id, ok FROM r""",
     "m21_wheel_yaw": "SELECT vec_id, round((abs(CAST(embedding[4] AS DOUBLE) * 8) - abs(CAST(embedding[3] AS DOUBLE) * 8)) / 1.5 * CASE WHEN vec_id % 5 = 0 THEN -1 ELSE 1 END, 6) AS yaw FROM embeddings",
     "m24_drawn": "WITH u AS (SELECT o_orderkey, o_orderkey % 1001 / 1000 AS u FROM orders) SELECT o_orderkey, round(CASE WHEN u <= 0 THEN 1 WHEN u <= 0.25 THEN 1 + u / 0.25 WHEN u <= 0.5 THEN 2 + (u - 0.25) / 0.25 * 2 WHEN u <= 0.9 THEN 4 + (u - 0.5) / 0.4 * 6 ELSE 10 + (u - 0.9) / 0.1 * 30 END, 6) AS drawn FROM u",
     "p3_catalogue": f"WITH {_E} SELECT user_id, min(t) AS from_t, max(t) AS to_t, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM e GROUP BY 1",

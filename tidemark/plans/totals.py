@@ -63,6 +63,13 @@ def d34_circular_mean(spark, sf_dir):
     return e.groupBy("user_id").agg(F.round(ag.circular_mean(F.col("value") * 1.8), 4).alias("direction"))
 
 
+def d34_agreed_direction(spark, sf_dir):
+    """The direction of each user's events of a kind, where none is more than 60 degrees off the first."""
+    e = _t(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", (F.col("value") * 1.8 + F.col("user_id") * 7).alias("angle"))
+    got = ag.agreed_direction(e, ["user_id", "event_type"], ["ts", "event_id"], "angle", 60.0)
+    return got.select("user_id", "event_type", F.round("direction", 4).alias("direction"))
+
+
 def d36_merge_groups(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
     best = F.max(F.struct("o_totalprice", (-F.col("o_orderkey")).alias("k")))
@@ -169,6 +176,8 @@ ORACLES = {
         k AS (SELECT *, unnest(range(c, least(a + c, c + d) + 1)) AS k FROM n)
         SELECT o_custkey, round(sum(CASE WHEN c + d - k <= b + d THEN exp(lgamma(a + c + 1) - lgamma(k + 1) - lgamma(a + c - k + 1) + lgamma(b + d + 1) - lgamma(c + d - k + 1) - lgamma(b + d - (c + d - k) + 1) - lgamma(a + b + c + d + 1) + lgamma(c + d + 1) + lgamma(a + b + 1)) ELSE 0 END), 6) AS chance FROM k GROUP BY 1""",
     "d34_circular_mean": "WITH d AS (SELECT user_id, degrees(atan2(sum(sin(radians(value * 1.8))), sum(cos(radians(value * 1.8))))) AS x FROM events GROUP BY 1) SELECT user_id, round(CASE WHEN x < 0 THEN x + 360 ELSE x END, 4) AS direction FROM d",
+    "d34_agreed_direction": """WITH e AS (SELECT user_id, event_type, value * 1.8::DOUBLE + user_id * 7 AS a, first_value(value * 1.8::DOUBLE + user_id * 7) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS f FROM events WHERE value IS NOT NULL),
+        m AS (SELECT user_id, event_type, degrees(atan2(sum(sin(radians(a))), sum(cos(radians(a))))) AS x, max(degrees(acos(greatest(-1, least(1, cos(radians(a - f))))))) AS off FROM e GROUP BY 1, 2) SELECT user_id, event_type, round(CASE WHEN off <= 60 THEN CASE WHEN x < 0 THEN x + 360 ELSE x END END, 4) AS direction FROM m""",
     "d36_merge_groups": "SELECT o_custkey, round(sum(o_totalprice), 2) AS total, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS largest_order, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY 1",
     "d40_dictionary": "WITH n AS (SELECT p_type, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, f, p_type) - 1 AS code FROM n) SELECT p_type, n, CASE WHEN code < 100 THEN code END AS code FROM r",
     "d48_agreed_value": "WITH w AS (SELECT l_partkey, l_returnflag AS v, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2), t AS (SELECT l_partkey, sum(w) AS total FROM w GROUP BY 1) SELECT l_partkey, CASE WHEN w >= 0.5 * total THEN v END AS agreed FROM w JOIN t USING (l_partkey) QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY w DESC, v DESC) = 1",
