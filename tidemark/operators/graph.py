@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tidemark.operators.stateful import batch
 from tidemark.operators.tables import cut, scratch, shared_path
-from tidemark.operators.timeseries import islands
+from tidemark.operators.timeseries import islands, numbered
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -212,29 +213,32 @@ def detours(edges: DataFrame, start: int, goal: int, places: DataFrame) -> DataF
 def viterbi(df: DataFrame, by: list[str], order: list[str], emission: list[str], stay: float, gap: int) -> DataFrame:
     """df with state: the likeliest chain over columns of log-likelihoods, where leaving a state costs log(1 - stay).
 
-    A chain breaks where time (order[0]) jumps by more than gap; one task holds a chain, so a key without gaps is held whole. Of equally
-    likely states the first is taken.
+    A chain breaks where time (order[0]) jumps by more than gap; of equally likely states the first is taken. Chains are walked
+    forth and back in sorted partitions, one row's scores being all that is held, so a chain of any length fits in a task.
     """
     n = len(emission)
-    change = np.full((n, n), np.log((1 - stay) / max(1, n - 1)))
-    np.fill_diagonal(change, np.log(stay))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        e = pdf[emission].to_numpy()
-        score, back = e[0].copy(), np.zeros((len(e), n), dtype=int)
-        for i in range(1, len(e)):
-            way = score[:, None] + change
-            back[i] = way.argmax(axis=0)
-            score = way.max(axis=0) + e[i]
-        state = np.zeros(len(e), dtype=int)
-        state[-1] = score.argmax()
-        for i in range(len(e) - 1, 0, -1):
-            state[i - 1] = back[i][state[i]]
-        return pdf.assign(state=state)
-
-    runs = islands(df, by, order, gap)
-    return runs.groupBy(*by, "run").applyInPandas(run, T.StructType([*runs.schema.fields, T.StructField("state", T.LongType())])).drop("run")
+    change = [[math.log(stay) if i == j else math.log((1 - stay) / max(1, n - 1)) for j in range(n)] for i in range(n)]
+
+    def forth(state, row):
+        at, told = row
+        if state[0] is None:
+            return (told,), [(at, told, [-1] * n)]
+        before = [max(range(n), key=lambda i: state[0][i] + change[i][j]) for j in range(n)]
+        score = [state[0][i] + change[i][j] + told[j] for j, i in enumerate(before)]
+        return (score,), [(at, score, before)]
+
+    def back(state, row):
+        at, score, before = row
+        k = max(range(n), key=score.__getitem__) if state[0] is None else state[0]
+        return (before[k],), [(at, k)]
+
+    runs = numbered(islands(df, by, order, gap), [*by, "run"], order, "_n").withColumn("_key", F.concat_ws("#", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in by), "run"))
+    with scratch() as held:
+        runs = cut(runs)
+        told = runs.select("_key", "_n", F.array(*(F.col(e).cast("double") for e in emission)).alias("told"))
+        onward = cut(batch(told, "_key", ["_n", "told"], forth, (None,), "_key string, _n long, score array<double>, before array<int>", ["_n"]))
+        taken = batch(onward.withColumn("_back", -F.col("_n")), "_key", ["_n", "score", "before"], back, (None,), "_key string, _n long, state long", ["_back"])
+        return held.keep(cut(runs.join(taken, ["_key", "_n"]).select(*df.columns, "state")))
 
 
 def split_ways(ways: DataFrame) -> DataFrame:

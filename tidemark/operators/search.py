@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.functions.text import tokens, typo_budget
-from tidemark.operators.tables import ordinal
+from tidemark.operators.stateful import batch
+from tidemark.operators.tables import cut, ordinal, scratch
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -93,14 +96,24 @@ def two_phase_top(df: DataFrame, coarse, full, tie: str, keep: int, k: int) -> D
 
 
 def drop_repeats(ranked: DataFrame, same: list[str], order: list[str], x: str, y: str, apart: float) -> DataFrame:
-    """Greedy: a row goes if a better kept row with the same keys is closer than apart; keys must be selective."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        kept, rows = [], []
-        for i, (a, b) in enumerate(zip(pdf[x], pdf[y])):
-            if all((a - c) ** 2 + (b - d) ** 2 >= apart**2 for c, d in kept):
-                kept.append((a, b))
-                rows.append(i)
-        return pdf.iloc[rows]
-
-    return ranked.groupBy(*same).applyInPandas(run, ranked.schema)
+    """Greedy: a row goes if a better kept row with the same keys is closer than apart.
+
+    Rows of a key are walked in sorted partitions; what is held of them are the places kept so far, by cells as wide as
+    apart, so a row looks at nine cells however many were kept. Rows without a place stay.
+    """
+    def step(state, row):
+        n, a, b = row
+        if a != a or b != b:
+            return state, [(n,)]
+        cells = {} if state[0] is None else state[0]
+        i, j = math.floor(a / apart), math.floor(b / apart)
+        near = (p for di in (-1, 0, 1) for dj in (-1, 0, 1) for p in cells.get((i + di, j + dj), ()))
+        if any((a - c) ** 2 + (b - d) ** 2 < apart**2 for c, d in near):
+            return (cells,), []
+        cells.setdefault((i, j), []).append((a, b))
+        return (cells,), [(n,)]
+
+    with scratch() as held:
+        rows = cut(ranked.withColumn("_row", F.monotonically_increasing_id()).withColumn("_same", F.to_json(F.struct(*same))))
+        kept = batch(rows.select("_same", "_row", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order))), "_same", ["_row", "_x", "_y"], step, (None,), "_same string, _row long", [*(f"_o{i}" for i in range(len(order))), "_row"])
+        return held.keep(cut(rows.join(kept.select("_row"), "_row", "left_semi").select(*ranked.columns)))
