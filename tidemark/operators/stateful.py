@@ -191,7 +191,8 @@ def recent_far(apart: float, within_us: int) -> Step:
                 high, low = pushed(high, s, lambda a, b: a <= b), pushed(low, s, lambda a, b: a >= b)
             high, low = (tuple(r for r in stack if t - r[0] <= within_us) for stack in (high, low))
             now, same = t, ()
-        found = [f for f in (latest(high, lambda v: v >= value + apart), latest(low, lambda v: v <= value - apart)) if f]
+        # the difference is what is held against apart: value + apart is rounded elsewhere
+        found = [f for f in (latest(high, lambda v: v - value >= apart), latest(low, lambda v: value - v >= apart)) if f]
         return (high, low, now, (*same, (t, n, value))), [(n, max(found)[1] if found else None)]
 
     return step
