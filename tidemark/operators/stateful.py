@@ -83,6 +83,20 @@ def chunks(amount: float) -> Step:
     return step
 
 
+def legs(amount: float) -> Step:
+    """Chunks of rows (t, value) that reached amount, as each closes: its number, its sum in the order of its rows, and its first and last time."""
+    def step(state, row):
+        number, total, since = state
+        t, value = row
+        since = t if since is None else since
+        total += value
+        if total >= amount:
+            return (number + 1, 0.0, None), [(number, total, since, t)]
+        return (number, total, since), []
+
+    return step
+
+
 def odometry(metres: float, wait_us: int) -> Step:
     """Chunks of rows (id, t, source, ds): one closes once it is metres long or lasted wait_us, and before the source changes. Out: id, chunk."""
     def step(state, row):

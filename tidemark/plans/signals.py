@@ -178,9 +178,8 @@ def d26_signed_offsets(spark, sf_dir):
 
 def d32_eta_windows(spark, sf_dir):
     """Stretches that close once 150 units are driven: planned against actual hours, by tenths of all stretches of a user."""
-    got = st.batch(events(spark, sf_dir), "user_id", ["event_id", "value"], st.chunks(150.0), (0, 0.0), "user_id long, event_id long, chunk long", ORDER)
-    e = events(spark, sf_dir).select("event_id", "t", "value")
-    w = got.join(e, "event_id").groupBy("user_id", "chunk").agg(F.sum("value").alias("driven"), ((F.max("t") - F.min("t")) / HOUR).alias("hours")).filter("driven >= 150 and hours > 0")
+    got = st.batch(events(spark, sf_dir), "user_id", ["t", "value"], st.legs(150.0), (0, 0.0, None), "user_id long, chunk long, driven double, from_t long, to_t long", ORDER)
+    w = got.withColumn("hours", (F.col("to_t") - F.col("from_t")) / HOUR).filter("hours > 0")
     w = tables.cut(w.select("user_id", F.round(F.col("hours") / F.col("driven"), 6).alias("ratio")))
     return ag.quantiles(w, ["user_id"], "ratio", {"p10": ("floor", 0.1), "p50": ("floor", 0.5), "p90": ("floor", 0.9)})
 
