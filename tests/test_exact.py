@@ -6,6 +6,7 @@ from itertools import islice
 from pyspark.sql import Row
 
 from tidemark.operators import stateful as st
+from tidemark.operators import timeseries as ts
 from tidemark.plans import parsing, signals
 
 
@@ -46,3 +47,9 @@ def test_legs_close_by_the_sum_in_order(spark, tmp_path):
     got = {r["user_id"]: r["p50"] for r in signals.d32_eta_windows(spark, str(tmp_path)).collect()}
     assert got == {u: round(2 / 150, 6) for u in range(len(tight))}
     assert walked(st.legs(10.0), (0, 0.0, None), [(1, 4.0), (2, 5.0), (3, 6.0), (4, 10.0), (5, 1.0)]) == [(0, 15.0, 1, 3), (1, 10.0, 4, 4)]
+
+
+def test_equal_intervals_do_not_break_runs(spark):
+    rows = [(k, a, a + d) for k in range(50) for a, d in ((0, 5), (10, 5), (10, 5), (10, 3), (12, 9), (30, 1), (30, 1), (31, 0), (40, 5))]
+    got = ts.merge_intervals(spark.createDataFrame(rows, "k long, a long, b long").repartition(7), ["k"], "a", "b", 7)
+    assert sorted(map(tuple, got.collect())) == [(k, *x) for k in range(50) for x in ((0, 5), (10, 21), (30, 31), (40, 45))]

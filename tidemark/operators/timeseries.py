@@ -168,8 +168,11 @@ def inside_windows(df: DataFrame, windows: DataFrame, by: list[str], t: str, buc
 
 
 def merge_intervals(df: DataFrame, by: list[str], start: str, end: str, bucket: int = BUCKET) -> DataFrame:
-    """by, start, end: touching and overlapping intervals of each key as one."""
-    df = _bucketed(df, start, bucket)
+    """by, start, end: touching and overlapping intervals of each key as one.
+
+    Of those that start together the longest stands for all, so no two rows tie in the order that runs are told by.
+    """
+    df = _bucketed(df.groupBy(*by, start).agg(F.max(end).alias(end)), start, bucket)
     inside = Window.partitionBy(*by, "_b").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = df.groupBy(*by, "_b").agg(F.max(end).alias("_m")).select(*by, "_b", F.max("_m").over(before).alias("_base"))
