@@ -181,14 +181,21 @@ def budget_shares(df: DataFrame, by: list[str], value: str, budget: float, edges
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col(value) > budget).cast("double")).alias("over"), F.array(*(F.count_if(place == i) for i in range(len(edges) + 1))).alias("counts"))
 
 
-def peeled_fit(df: DataFrame, by: str, key: str, a: tuple[str, str], b: tuple[str, str], sigma: str, least: int, off: float) -> DataFrame:
+#: Of a group that loses points about so many that lie farthest off are walked at once.
+PEELED = 20_000
+
+
+def peeled_fit(df: DataFrame, by: str, key: str, a: tuple[str, str], b: tuple[str, str], sigma: str, least: int, off: float, at_once: int = PEELED) -> DataFrame:
     """by, turn, dx, dy, n, turn_sigma: the rigid fit of points a to points b, weighted by sigma, without points that lie too far off it.
 
     While a group has over `least` points and its worst one is more than off sigmas from where the fit puts it, that
-    one goes (of equal ones the first key) and the group is fitted anew. A round is two aggregates over the groups that
-    still lose points. turn_sigma grows with what is left of the error. A group of fewer points is left out.
+    one goes (of equal ones the first key) and the group is fitted anew. turn_sigma grows with what is left of the error. A
+    group of fewer points is left out. A round is a few aggregates over the groups that still lose points; about at_once
+    points of each, those farthest off, are then walked by one task, for as long as none of the others can have become the
+    worst. So points that go cost a round by the thousand and not each.
     """
     (ax, ay), (bx, by_) = a, b
+    kind, key_kind = dict(df.dtypes)[by], dict(df.dtypes)[key]
     with scratch() as held:
         w = 1.0 / F.col("s") / F.col("s")
         points = cut(df.select(by, F.col(key).alias("k"), *(F.col(c).cast("double").alias(n) for c, n in ((ax, "ax"), (ay, "ay"), (bx, "bx"), (by_, "by_"), (sigma, "s")))))
@@ -197,25 +204,69 @@ def peeled_fit(df: DataFrame, by: str, key: str, a: tuple[str, str], b: tuple[st
             m = points.groupBy(by).agg(F.count("*").alias("n"), F.sum(w).alias("w"), *((F.sum(w * F.col(c)) / F.sum(w)).alias(f"m_{c}") for c in ("ax", "ay", "bx", "by_"))).filter(F.col("n") >= least)
             near = points.join(m.drop("n", "w"), by)
             x, y, u, v = (F.col(c) - F.col(f"m_{c}") for c in ("ax", "ay", "bx", "by_"))
-            t = near.groupBy(by).agg(F.atan2(F.sum(w * (x * v - y * u)), F.sum(w * (x * u + y * v))).alias("turn"), F.sum(w * (x * x + y * y)).alias("info"))
-            fit = m.join(t, by)
+            t = near.groupBy(by).agg(F.sum(w * (x * v - y * u)).alias("cross"), F.sum(w * (x * u + y * v)).alias("dot"), F.sum(w * (x * x + y * y)).alias("info"), F.max(F.hypot(x, y)).alias("radius"), F.min("s").alias("least_s"))
+            fit = m.join(t, by).withColumn("turn", F.atan2("cross", "dot"))
             c, s = F.cos("turn"), F.sin("turn")
-            fit = cut(fit.select(by, "turn", (F.col("m_bx") - c * F.col("m_ax") + s * F.col("m_ay")).alias("dx"), (F.col("m_by_") - s * F.col("m_ax") - c * F.col("m_ay")).alias("dy"), "n", "info"))
+            fit = cut(fit.withColumns({"dx": F.col("m_bx") - c * F.col("m_ax") + s * F.col("m_ay"), "dy": F.col("m_by_") - s * F.col("m_ax") - c * F.col("m_ay")}))
             apart = points.join(fit, by).withColumn("r", F.hypot(c * F.col("ax") - s * F.col("ay") + F.col("dx") - F.col("bx"), s * F.col("ax") + c * F.col("ay") + F.col("dy") - F.col("by_")) / F.col("s"))
-            worst = cut(apart.groupBy(by).agg(F.sum(F.col("r") * F.col("r")).alias("chi"), F.min(F.struct((-F.col("r")).alias("r"), "k")).alias("worst")).join(fit, by))
+            worst = cut(apart.groupBy(by).agg(F.sum(F.col("r") * F.col("r")).alias("chi"), F.percentile_approx("r", [1 - 0.5**i for i in range(40)], 20_000).alias("ladder"), F.min(F.struct((-F.col("r")).alias("r"), "k")).alias("worst")).join(fit, by))
             more = (F.col("n") > least) & (-F.col("worst.r") > off)
             spread = F.sqrt(F.greatest(F.lit(1.0), F.col("chi") / F.greatest(F.lit(1), 2 * F.col("n") - 3)) / F.col("info"))
             done.append(worst.filter(~more).select(by, "turn", "dx", "dy", "n", spread.alias("turn_sigma")))
-            losing = worst.filter(more).select(by, F.col("worst.k").alias("_gone"))
+            losing = worst.filter(more)
             if losing.isEmpty():
                 break
-            points = cut(points.join(losing, by).filter("k <> _gone").drop("_gone"))
+            # beyond the bound lie about at_once points, and never none: the worst is walked in any case
+            rung = F.ceil(F.log2(F.col("n") / at_once)).cast("int")
+            losing = losing.withColumn("bound", F.when(F.col("n") <= at_once, -1.0).otherwise(F.element_at("ladder", F.least(rung + 1, F.lit(40))))).drop("ladder", "chi")
+            far = apart.select(by, "k", "ax", "ay", "bx", "by_", "s", "r").join(losing, by).filter((F.col("r") > F.col("bound")) | (F.col("k") == F.col("worst.k")))
+            gone = cut(far.drop("worst").groupBy(by).applyInPandas(_peel(by, least, off), f"{by} {kind}, k {key_kind}"))
+            points = cut(points.join(losing.select(by), by, "left_semi").join(gone, [by, "k"], "left_anti"))
         out = done[0]
         for d in done[1:]:
             out = out.unionByName(d)
         return held.keep(cut(out))
 
 
+def _peel(by: str, least: int, off: float):
+    """The points of one group that go, of those given, which lie farthest off.
+
+    A fit depends on sums alone, so a point that goes is taken out of them. The points that are not given lie within the bound
+    of the first fit, and within what places have moved more of a later one; as soon as the worst may be among them, the walk ends.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k", kind="stable")
+        one = pdf.iloc[0]
+        x, y, u, v = (pdf[c].to_numpy() - one[f"m_{c}"] for c in ("ax", "ay", "bx", "by_"))
+        s = pdf["s"].to_numpy()
+        w, live, n = 1 / s / s, np.ones(len(pdf), dtype=bool), int(one["n"])
+        total, dot, cross, sx, sy, su, sv = one["w"], one["dot"], one["cross"], 0.0, 0.0, 0.0, 0.0
+        first = None
+        while n > least:
+            turn = np.arctan2(cross - (sx * sv - sy * su) / total, dot - (sx * su + sy * sv) / total)
+            c, d = np.cos(turn), np.sin(turn)
+            dx, dy = (su - c * sx + d * sy) / total, (sv - d * sx - c * sy) / total
+            first = first or (turn, dx, dy)
+            moved = 2 * abs(np.sin((turn - first[0]) / 2)) * one["radius"] + np.hypot(dx - first[1], dy - first[2])
+            r = np.where(live, np.hypot(c * x - d * y + dx - u, d * x + c * y + dy - v) / s, -1.0)
+            i = int(r.argmax())
+            # the first worst is known to be the worst of all
+            if not live[i] or r[i] <= off or (not live.all() and r[i] <= one["bound"] + moved / one["least_s"]):
+                break
+            live[i], n, total = False, n - 1, total - w[i]
+            dot, cross = dot - w[i] * (x[i] * u[i] + y[i] * v[i]), cross - w[i] * (x[i] * v[i] - y[i] * u[i])
+            sx, sy, su, sv = sx - w[i] * x[i], sy - w[i] * y[i], su - w[i] * u[i], sv - w[i] * v[i]
+        # rounding may put the worst at the limit itself: it goes all the same, as the round found
+        if live.all():
+            live[int(r.argmax())] = False
+        return pdf.loc[~live, [by, "k"]]
+
+    return run
+
+
 def lag_search(fixes: DataFrame, track: DataFrame, by: str, lags: list[float], window: float = 30.0, step: float = 10.0, least_fixes: int = 25, least_turn: float = 0.5235987755982988, least_speed: float = 3.0, least_windows: int = 6) -> DataFrame:
     """by, windows, lag, rms: the time by which fixes (by, t, x, y) come behind a track (by, t, x, y, psi, speed), where turns tell it.
 
