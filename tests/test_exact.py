@@ -11,6 +11,7 @@ from tidemark.operators import aggregate as ag
 from tidemark.operators import stateful as st
 from tidemark.operators import timeseries as ts
 from tidemark.plans import parsing, signals
+from tidemark.sources import ulog
 
 
 def walked(step, state, rows):
@@ -93,3 +94,14 @@ def test_peeling_in_steps_is_peeling_one_by_one(spark):
         for g, w in want.items():
             assert rows_[g]["n"] == w[3] and all(abs(rows_[g][c] - x) < 1e-9 for c, x in zip(("turn", "dx", "dy"), w))
         assert at_once == 10 or ran < 60
+
+
+def test_many_small_logs_share_batches(spark):
+    rows = [(k, d, t * 7919 % 101 + d * 1000, float(k * t) if t % 5 else None) for k in range(150) for d in range(2) for t in range(20)]
+    df = spark.createDataFrame(rows, "k long, d long, t long, v double").repartition(5)
+    files = ulog.encoded(df, ["k", "d"], "t", ["v"], "m")
+    # a call and a batch for each of the groups would cost more than the rows do
+    assert "FlatMapGroupsInPandas" not in files._jdf.queryExecution().toString()
+    got = ulog.stream_of(ulog.decode(files), "m", ["v"]).collect()
+    assert sorted((r["path"], r["t_us"], -1.0 if r["v"] is None else r["v"]) for r in got) == sorted((f"{k}/{d}", t, -1.0 if v is None else v) for k, d, t, v in rows)
+    assert files.count() == 300
