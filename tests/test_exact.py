@@ -5,9 +5,11 @@ import math
 import random
 from itertools import islice
 
+import numpy as np
 from pyspark.sql import Row
 
 from tidemark.operators import aggregate as ag
+from tidemark.operators import navigation as nv
 from tidemark.operators import stateful as st
 from tidemark.operators import timeseries as ts
 from tidemark.plans import parsing, signals
@@ -105,3 +107,20 @@ def test_many_small_logs_share_batches(spark):
     got = ulog.stream_of(ulog.decode(files), "m", ["v"]).collect()
     assert sorted((r["path"], r["t_us"], -1.0 if r["v"] is None else r["v"]) for r in got) == sorted((f"{k}/{d}", t, -1.0 if v is None else v) for k, d, t, v in rows)
     assert files.count() == 300
+
+
+def test_a_grid_stays_an_array_between_rows():
+    # what a row costs: no list of the grid is made, nor the route laid anew
+    step, state = nv.along_route(), nv.ALONG_START
+    laid = []
+    init = nv.Line.__post_init__
+    nv.Line.__post_init__ = lambda self: (laid.append(1), init(self))
+    try:
+        for k in range(20):
+            state, out = step(state, (k, [[0.0, 0.0], [300.0, 0.0], [300.0, 200.0]] if not k else None, 1.0, 20.0, 0.0, math.nan, math.nan, 50.0))
+    finally:
+        nv.Line.__post_init__ = init
+    assert laid == [1] and isinstance(state[1], np.ndarray)
+    # a state of lists, as a stream hands it back, goes on the same
+    row = (20, None, 1.0, 20.0, 0.1, 300.0, 40.0, 50.0)
+    assert step(tuple(v.tolist() if isinstance(v, np.ndarray) else v for v in state), row)[1] == step(state, row)[1]
