@@ -124,3 +124,17 @@ def test_a_grid_stays_an_array_between_rows():
     # a state of lists, as a stream hands it back, goes on the same
     row = (20, None, 1.0, 20.0, 0.1, 300.0, 40.0, 50.0)
     assert step(tuple(v.tolist() if isinstance(v, np.ndarray) else v for v in state), row)[1] == step(state, row)[1]
+
+
+def test_roads_are_told_once_for_a_cell(spark):
+    # along a row of cells and back, over and over; a row needs the nine cells around it
+    roads = spark.createDataFrame([(k, k, k + 1, 100.0 * k, 0.0, 100.0 * k + 100, 0.0, 0) for k in range(12)], "edge long, a long, b long, ax double, ay double, bx double, by_ double, oneway int")
+    rows = [(1, n, n * 1_000_000, float(n * 37 % 1200), 5.0, n * 37 % 1200 + 0.0, 5.0) for n in range(400)]
+    fixes = spark.createDataFrame(rows, "trip long, n long, t long, x double, y double, px double, py double")
+    told = nv.cells_around(fixes, roads, 200.0, 100_000_000).collect()
+    sent = [(r["n"] // 100, c["i"], c["j"]) for r in told for c in r["cells"]]
+    assert len(sent) == len(set(sent)) and len(sent) <= 4 * 7
+    step = nv.by_cells(lambda state, row: (state, [(row[0], sorted(r["state"] for r in row[1]))]))
+    cells = {r["n"]: r["cells"] for r in told}
+    got = dict(walked(step, (None, None, None), [(n, n // 100, int(x // 200), 0, cells.get(n)) for _, n, _, x, *_ in rows]))
+    assert got == {r["n"]: sorted(x["state"] for x in r["roads"]) for r in nv.roads_around(fixes, roads, 200.0).collect()}
