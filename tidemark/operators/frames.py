@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,17 +137,96 @@ BRACKET, STEADY_US, STEADY_KPH, MOVING_KPH = 800_000, 1_200_000, 2.0, 5.0
 LEAST_PAIRS, LEAST_R, NEAR_R, COUNTS, STAND_KPH, LEAST_STAND, SAME_SCALE = 120, 0.995, 0.001, (0.002, 1.0), 1.5, 3, 0.03
 
 
-def layouts(length: Column) -> Column:
-    """All (byte, little, shift, bits) of fields over two neighbouring bytes of a frame."""
-    kinds = F.array(*(F.struct(F.lit(little).alias("little"), F.lit(shift).alias("shift"), F.lit(bits).alias("bits")) for little in (False, True) for shift in SHIFTS for bits in WIDTHS if shift + bits <= 16))
-    return F.flatten(F.transform(F.sequence(F.lit(0), length - 2), lambda b: F.transform(kinds, lambda k: F.struct(b.alias("byte"), k["little"].alias("little"), k["shift"].alias("shift"), k["bits"].alias("bits")))))
+#: (little, shift, bits) of the fields over two neighbouring bytes of a frame.
+KINDS = [(little, shift, bits) for little in (False, True) for shift in SHIFTS for bits in WIDTHS if shift + bits <= 16]
+#: Ids of buses whose sums one task holds before it sends them on.
+HELD = 500
 
 
-def field(data: Column, layout: Column) -> Column:
-    """The number that stands in the bytes of a frame."""
-    a, b = F.get(data, layout["byte"]), F.get(data, layout["byte"] + 1)
-    word = F.when(layout["little"], a + b * 256).otherwise(a * 256 + b)
-    return F.floor(word / F.pow(F.lit(2.0), layout["shift"])).cast("long") % F.pow(F.lit(2.0), layout["bits"]).cast("long")
+def _weights() -> np.ndarray:
+    """What each bit of two bytes, the lowest of the first byte first, adds to the fields of KINDS."""
+    out = np.zeros((16, len(KINDS)))
+    for i, (little, shift, bits) in enumerate(KINDS):
+        for k in range(shift, shift + bits):
+            out[k if little else (k + 8) % 16, i] = 2.0 ** (k - shift)
+    return out
+
+
+def _moments(z: np.ndarray, there: np.ndarray) -> list[np.ndarray]:
+    """Number, means and centred products of the rows that are there, for each word: z (word, row, value), there (word, row)."""
+    n = there.sum(axis=1).astype(float)
+    z = np.where(there[:, :, None], z, 0.0)
+    mean = z.sum(axis=1) / np.maximum(n, 1)[:, None]
+    z = np.where(there[:, :, None], z - mean[:, None, :], 0.0)
+    return [n, mean, np.matmul(z.transpose(0, 2, 1), z)]
+
+
+def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """Moments of both sets of rows."""
+    n = a[0] + b[0]
+    part, d = b[0] / np.maximum(n, 1), b[1] - a[1]
+    return [n, a[1] + part[:, None] * d, a[2] + b[2] + (a[0] * part)[:, None, None] * d[:, :, None] * d[:, None, :]]
+
+
+def _bits(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of frames (row, byte), with NaN for none: the 16 bits of each two neighbouring bytes (word, row, bit), and whether both are there (word, row)."""
+    there = ~np.isnan(data)
+    own = (np.where(there, data, 0).astype(np.int64)[:, :, None] >> np.arange(8) & 1).astype(float)
+    words = np.concatenate([own[:, :-1], own[:, 1:]], axis=2).transpose(1, 0, 2)
+    return words, (there[:, :-1] & there[:, 1:]).T
+
+
+def layout_sums(pairs: DataFrame) -> DataFrame:
+    """bus, id, byte, little, shift, bits and, of the pairs (bus, id, x, share, before, after) a task read: n (with x), fitted and the moments of x and the field, stood and stand (mean without x).
+
+    A field is a sum over its bits, and so is its place between two frames; so means and products of the bits
+    of two neighbouring bytes give those of every field that lies in them, and no pair is laid out field by field.
+    """
+    kinds, weights = KINDS, _weights()
+
+    def rows(held):
+        names = ["bus", "id", "byte", "little", "shift", "bits", "n", "fitted", "mx", "my", "sxx", "sxy", "syy", "stood", "stand"]
+        out = [[] for _ in names]
+        for (bus, id_, _), (n, fit, stand) in held.items():
+            for byte in range(len(fit[0])):
+                my, sxy = fit[1][byte, 1:] @ weights, fit[2][byte, 0, 1:] @ weights
+                syy = np.einsum("ik,ij,jk->k", weights, fit[2][byte, 1:, 1:], weights)
+                still = stand[1][byte] @ weights
+                for i, kind in enumerate(kinds):
+                    for to, x in zip(out, (bus, id_, byte, *kind, n, int(fit[0][byte]), fit[1][byte, 0], my[i], fit[2][byte, 0, 0], sxy[i], syy[i], int(stand[0][byte]), still[i])):
+                        to.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
+
+    def run(batches):
+        held = {}
+        for b in batches:
+            lengths = pc.list_value_length(b.column(4)).to_numpy(zero_copy_only=False)
+            groups = {}
+            for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), lengths)):
+                groups.setdefault(key, []).append(i)
+            types[:2] = b.column(0).type, b.column(1).type
+            x, share = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (2, 3))
+            for key, at in groups.items():
+                if key[2] < 2:
+                    continue
+                at = np.array(at)
+                (u, u_there), (v, v_there) = (_bits(b.column(i).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), -1)) for i in (4, 5))
+                moving = ~np.isnan(x[at])
+                z = u + (v - u) * share[at][None, :, None]
+                z = np.concatenate([np.broadcast_to(x[at][None, :, None], (*z.shape[:2], 1)), z], axis=2)
+                new = int(moving.sum()), _moments(z[:, moving], (u_there & v_there)[:, moving]), _moments(u[:, ~moving], u_there[:, ~moving])
+                old = held.get(key)
+                held[key] = new if old is None else (old[0] + new[0], _merged(old[1], new[1]), _merged(old[2], new[2]))
+            if len(held) > HELD:
+                yield rows(held)
+                held = {}
+        if held:
+            yield rows(held)
+
+    types = [None, None, pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 5, pa.int64(), pa.float64()]
+    kind = {c: pairs.schema[c].dataType.simpleString() for c in ("bus", "id")}
+    schema = f"bus {kind['bus']}, id {kind['id']}, byte int, little boolean, shift int, bits int, n long, fitted long, mx double, my double, sxx double, sxy double, syy double, stood long, stand double"
+    return pairs.select("bus", "id", "x", "share", "before", "after").mapInArrow(run, schema)
 
 
 def speed_pairs(frames: DataFrame, polls: DataFrame, bracket: int = BRACKET) -> DataFrame:
@@ -165,21 +247,29 @@ def speed_pairs(frames: DataFrame, polls: DataFrame, bracket: int = BRACKET) ->
 def speed_fields(pairs: DataFrame, least_pairs: int = LEAST_PAIRS) -> DataFrame:
     """bus, id, byte, little, shift, bits, kph_per_count, zero, r: the fields of each id that read as a speed.
 
-    Every layout of every pair is one row of sums, combined in one aggregate: the task that reads the pairs sends a
+    Every layout gets its sums from those of the bits it is made of (`layout_sums`): the task that reads the pairs sends a
     row for each layout. A field must follow the polls in a line, in steps a speed has, and stand still where the car does. Of
     the variants of one pair of bytes that fit nearly alike the one without shift, then the widest, is taken; of
     fields that share a byte, or have another scale than the best one, the better.
     """
     moving = (F.col("kph") >= MOVING_KPH) & F.col("steady")
-    rows = pairs.filter(moving | (F.col("kph") == 0)).withColumn("layout", F.explode(layouts(F.size("before"))))
-    v0, v1 = field(F.col("before"), F.col("layout")).cast("double"), field(F.col("after"), F.col("layout"))
-    rows = rows.select("bus", "id", "layout", F.when(moving, F.col("kph").cast("double")).alias("x"), (v0 + (v1 - v0) * F.col("share")).alias("y"), F.when(F.col("kph") == 0, v0).alias("stand"))
-    y = F.when(F.col("x").isNotNull(), F.col("y"))
-    fit = rows.groupBy("bus", "id", "layout").agg(F.count("x").alias("n"), F.regr_slope(y, "x").alias("a"), F.regr_intercept(y, "x").alias("b"), F.corr("x", y).alias("r"), F.avg("stand").alias("stand"), F.count("stand").alias("stood"))
+    rows = pairs.filter(moving | (F.col("kph") == 0)).withColumn("x", F.when(moving, F.col("kph").cast("double")))
+    layout = ["byte", "little", "shift", "bits"]
+    all_of = Window.partitionBy("bus", "id", *layout)
+    sums = layout_sums(rows)
+    for c in ("mx", "my"):
+        sums = sums.withColumn(f"_{c}", F.sum(F.col("fitted") * F.col(c)).over(all_of) / F.nullif(F.sum("fitted").over(all_of), F.lit(0)))
+    product = lambda s, a, b: F.sum(F.col(s) + F.col("fitted") * (F.col(a) - F.col(f"_{a}")) * (F.col(b) - F.col(f"_{b}")))
+    fit = sums.groupBy("bus", "id", *layout).agg(
+        F.sum("n").alias("n"), product("sxx", "mx", "mx").alias("sxx"), product("sxy", "mx", "my").alias("sxy"), product("syy", "my", "my").alias("syy"),
+        F.max("_mx").alias("mx"), F.max("_my").alias("my"), F.sum("stood").alias("stood"), (F.sum(F.col("stood") * F.col("stand")) / F.nullif(F.sum("stood"), F.lit(0))).alias("stand"),
+    )
+    fit = fit.filter("sxx > 0 and syy > 0").withColumn("a", F.col("sxy") / F.col("sxx")).withColumn("b", F.col("my") - F.col("a") * F.col("mx")).withColumn("r", F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
+    fit = fit.filter("a > 0")
     per = F.lit(1.0) / F.col("a")
     zero = F.when(F.col("stood") >= LEAST_STAND, F.col("stand"))
-    ok = fit.filter((F.col("n") >= least_pairs) & (F.col("r") >= LEAST_R) & ~F.isnan("r") & (F.col("a") > 0) & per.between(*COUNTS))
-    ok = ok.withColumn("zero", F.coalesce(zero, F.col("b"))).filter(zero.isNull() | (F.abs(zero - F.col("b")) * per <= STAND_KPH)).select("bus", "id", "layout.*", per.alias("kph_per_count"), "zero", "r")
+    ok = fit.filter((F.col("n") >= least_pairs) & (F.col("r") >= LEAST_R) & per.between(*COUNTS))
+    ok = ok.withColumn("zero", F.coalesce(zero, F.col("b"))).filter(zero.isNull() | (F.abs(zero - F.col("b")) * per <= STAND_KPH)).select("bus", "id", *layout, per.alias("kph_per_count"), "zero", "r")
     word = Window.partitionBy("bus", "id", "byte", "little")
     near = ok.withColumn("_best", F.max("r").over(word)).filter(F.col("r") >= F.col("_best") - NEAR_R)
     plain = near.withColumn("_k", F.row_number().over(word.orderBy("shift", F.desc("bits")))).filter("_k = 1").drop("_best", "_k")
