@@ -343,3 +343,19 @@ def test_bridges_are_a_shortest_forest(spark):
             join(a, b)
     got = graph.bridges(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame(places, "node long, x double, y double"), 60.0, 2.0).collect()
     assert {(r["a"], r["b"]) for r in got} == want and len(want) > 10
+
+
+def test_a_row_of_the_filter_takes_little(monkeypatch):
+    """No general solver, and no matrix built anew but for the entries of the row, for each of so many rows."""
+    for name in ("solve", "eigvalsh", "inv"):
+        monkeypatch.setattr(np.linalg, name, None)
+    for name in ("eye", "vstack"):
+        monkeypatch.setattr(np, name, None)
+    step, state = navigation.dead_reckoning(), (None,) * 5
+    rows = [("fix", 0.0, 0.0, 5.0), ("speed", 8.0, 0.0, 0.0), ("speed", 0.0, 0.0, 0.0), ("yaw", 0.01, 0.0, 0.0), ("still", 0.0002, 0.0, 0.0), ("none", 0.0, 0.0, 0.0), ("fix", 1.0, 8.0, 6.0), ("late", 1.0, 9.0, 700_000.0)]
+    for n, (kind, a, b, c) in enumerate(rows):
+        state, out = step(state, (n, n * 500_000, kind, a, b, c))
+        assert len(out) == 1 and all(math.isfinite(v) for v in out[0][1:7])
+    # the state goes on as a stream keeps it: flat lists
+    kept = tuple(v.tolist() if hasattr(v, "tolist") else v for v in state)
+    assert len(kept[2]) == 64 and step(kept, (9, 5_000_000, "fix", 2.0, 20.0, 6.0))[1] == step(state, (9, 5_000_000, "fix", 2.0, 20.0, 6.0))[1]
