@@ -31,18 +31,22 @@ def fit(texts: list[str], labels: list[int], share: float) -> dict:
 
     Vectors of words and n-grams and the output layer are learned together by stochastic gradient descent
     over documents, one at a time. Classes weigh the same while learning; share then shifts the bias.
+    The driver does this, so it holds little: texts is emptied as its texts become buckets, and nothing is made twice.
     """
     rng = np.random.default_rng(3)
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
+    vectors = np.empty((1 << BITS, DIM), dtype=np.float32)
+    for at in range(0, 1 << BITS, 1 << 12):
+        vectors[at : at + (1 << 12)] = rng.uniform(-1 / DIM, 1 / DIM, (1 << 12, DIM))
     seen = np.zeros(1 << BITS, dtype=bool)
     out = np.zeros((DIM, 2), dtype=np.float32)
     bias = np.zeros(2, dtype=np.float32)
     y = np.array(labels, dtype=int)
     docs = []
-    for t in texts:
-        b, c = np.unique(np.concatenate(list(grams(t))), return_counts=True)
+    texts.reverse()
+    while texts:
+        b, c = np.unique(np.concatenate(list(grams(texts.pop()))), return_counts=True)
         seen[b] = True
-        docs.append((b, (c / c.sum()).astype(np.float32)))
+        docs.append((b.astype(np.int32), (c / c.sum()).astype(np.float32)))
     weight = np.array([0.5 / max(1, (y == k).sum()) * len(y) for k in (0, 1)], dtype=np.float32)
     steps, done = EPOCHS * len(docs), 0
     for _ in range(EPOCHS):
@@ -102,7 +106,9 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per
     frame, counts = labelled_sample(docs.select("doc_id", "text"), own.select("doc_id", "quality"), "quality", per_label)
     if frame["y"].nunique() < 2:
         return {"table": None}
-    return fit(frame["text"].tolist(), (frame["y"] > 0).astype(int).tolist(), sum(n for y, n in counts.items() if y > 0) / sum(counts.values()))
+    texts, y = frame["text"].tolist(), (frame["y"] > 0).astype(int).tolist()
+    del frame
+    return fit(texts, y, sum(n for y, n in counts.items() if y > 0) / sum(counts.values()))
 
 
 def scores(docs: DataFrame, model: dict, folds: int = 5, held: int = 0) -> DataFrame:
