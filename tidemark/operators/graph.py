@@ -341,24 +341,20 @@ def bridges(edges: DataFrame, places: DataFrame, reach: float, first: float) ->
 
     edges: a, b; places: node, x, y. In a round every piece takes its shortest hop to another one (of equal ones that between
     the smallest nodes), so pieces at least halve and no hop is taken twice. A piece looks for foreign places in cells as wide as
-    `first`, and only if there is none in cells twice as wide, up to reach; each place keeps its nearest before pieces are compared.
+    `first`, narrower where places are dense, and only if there is none in cells twice as wide, up to reach. Places look around only
+    where pieces meet, so the pairs made do not grow with a piece's size.
     """
     with scratch() as held:
         of = components(edges).withColumnRenamed("component", "piece")
         at = cut(places.select("node", "x", "y").join(of, "node", "left").withColumn("piece", F.coalesce("piece", "node")))
-        found = []
+        found, start = [], _narrow(at, min(first, reach))
         while True:
-            left, hops_, width = at.select("piece").distinct(), [], min(first, reach)
+            largest = at.groupBy("piece").count().orderBy(F.desc("count"), "piece").first()
+            if largest is None:
+                break
+            left, hops_, width = cut(at.select("piece").distinct()), [], start
             while True:
-                mine = at.join(left, "piece", "left_semi")
-                i, j = F.floor(F.col("x") / width).cast("long"), F.floor(F.col("y") / width).cast("long")
-                around = F.explode(F.array(*(F.struct((i + k).alias("i"), (j + m).alias("j")) for k in (-1, 0, 1) for m in (-1, 0, 1))))
-                other = at.select(F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by_"), F.col("piece").alias("other"), around.alias("c")).select("*", F.col("c.i").alias("i"), F.col("c.j").alias("j")).drop("c")
-                met = mine.withColumns({"i": i, "j": j}).join(other, ["i", "j"]).filter("piece <> other")
-                met = met.withColumn("d", F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by_"))).filter(F.col("d") <= width)
-                hop = F.struct("d", F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), "other")
-                best = met.groupBy("piece", "node").agg(F.min(hop).alias("h")).groupBy("piece").agg(F.min("h").alias("h"))
-                hops_.append(cut(best))
+                hops_.append(cut(_hops_within(at, left, largest["piece"], width)))
                 left = cut(left.join(hops_[-1], "piece", "left_anti"))
                 if width >= reach or left.isEmpty():
                     break
@@ -374,6 +370,37 @@ def bridges(edges: DataFrame, places: DataFrame, reach: float, first: float) ->
         return held.keep(cut(_all(found)))
 
 
+#: Places that share a cell with one, on the average, where bridges begin to look.
+CELL_PLACES = 8
+
+
+def _narrow(at: DataFrame, width: float) -> float:
+    """width, halved as often as it takes for a place to find about CELL_PLACES in its cell if they lie evenly."""
+    cells = at.groupBy(F.floor(F.col("x") / width), F.floor(F.col("y") / width)).agg(F.count("*").cast("double").alias("n"))
+    full = cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+    return width / 2 ** max(0, math.ceil(math.log2(max(1.0, full / CELL_PLACES)) / 2))
+
+
+def _hops_within(at: DataFrame, left: DataFrame, largest: int, width: float) -> DataFrame:
+    """piece, h (d, a, b, other): the shortest hop of at most width of each piece of `left` that has one.
+
+    A hop is met from its end outside the largest piece and counts for both its pieces, so no place of the largest looks around;
+    nor does any in whose nine cells there is one piece only, or none of `left`.
+    """
+    near = [F.struct((F.col("i") + k).alias("i"), (F.col("j") + m).alias("j")) for k in (-1, 0, 1) for m in (-1, 0, 1)]
+    celled = at.join(left.withColumn("open", F.lit(True)), "piece", "left").select("node", "x", "y", "piece", F.coalesce("open", F.lit(False)).alias("open"), F.floor(F.col("x") / width).cast("long").alias("i"), F.floor(F.col("y") / width).cast("long").alias("j"))
+    cells = celled.groupBy("i", "j").agg(F.min("piece").alias("low"), F.max("piece").alias("high"), F.max("open").alias("open"))
+    mixed = cells.select("low", "high", "open", F.explode(F.array(*near)).alias("c")).groupBy("c.i", "c.j").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("open").alias("open")).filter("low <> high and open").select("i", "j")
+    mine = celled.filter(F.col("piece") != largest).join(mixed, ["i", "j"], "left_semi")
+    asked = mine.select("i", "j").distinct()
+    other = celled.select(F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by_"), F.col("piece").alias("other"), F.col("open").alias("open_b"), F.explode(F.array(*near)).alias("c")).select("*", F.col("c.i").alias("i"), F.col("c.j").alias("j")).drop("c")
+    met = mine.join(other.join(asked, ["i", "j"], "left_semi"), ["i", "j"]).filter("piece <> other and (open or open_b)")
+    met = met.withColumn("d", F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by_"))).filter(F.col("d") <= width)
+    # either end's piece takes the hop; the least of a piece is kept by task before pieces are compared
+    ends = met.select("node", "b", "d", F.explode(F.array(F.struct("piece", "other", "open"), F.struct(F.col("other").alias("piece"), F.col("piece").alias("other"), F.col("open_b").alias("open")))).alias("e")).filter("e.open")
+    return ends.groupBy("e.piece").agg(F.min(F.struct("d", F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), F.col("e.other").alias("other"))).alias("h"))
+
+
 def main_line(edges: DataFrame, places: DataFrame, reach: float, first: float) -> DataFrame:
     """place, a, b: the longest of the shortest paths through a network (edges a, b) whose pieces are bridged by hops up to reach.
 
