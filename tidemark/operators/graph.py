@@ -60,7 +60,9 @@ BLOCK_EDGES = 1_500_000
 COMPACT = 8
 #: Nodes whose way back one task may walk; beyond, ways are found by doubling.
 WALK_NODES = 500_000
-_LABEL = "node long, cost double, via long, block int"
+#: Nodes of a front that are sent to the edges; more are dealt out to them.
+FRONT_NODES = 500_000
+_LABEL = "node long, cost double, via long"
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -71,7 +73,7 @@ def _all(tables: list[DataFrame]) -> DataFrame:
 
 
 def _least(tables: list[DataFrame]) -> DataFrame:
-    """node, cost, via: the least of each node."""
+    """node, cost, via: the least of each node in tables that have it once each."""
     if len(tables) == 1:
         return tables[0]
     return _all(tables).groupBy("node").agg(F.min(F.struct("cost", "via")).alias("s")).select("node", "s.*")
@@ -117,77 +119,83 @@ def relax(a: np.ndarray, b: np.ndarray, cost: np.ndarray, ahead: np.ndarray | No
     return ids[found], best[found], via[found]
 
 
-def _laid_out(edges: DataFrame, blocks: int, hub: int) -> DataFrame:
-    """edges with their block: that of their start, or for starts with over hub edges one of all blocks; written in buckets of blocks."""
-    if blocks == 1:
-        return edges.withColumn("block", F.lit(0))
+def _laid_out(edges: DataFrame, blocks: int, hub: int) -> tuple[DataFrame, DataFrame]:
+    """edges with their part, written in buckets of start and part, and the hubs (a, _hub): starts with over hub edges, whose edges have a part by their end; all others have 0."""
     spark, path = edges.sparkSession, shared_path(edges.sparkSession)
     # hubs of over an eighth of a block: fewer than eight for each block, one row of which is sent for 1.5 million edges
-    hubs = edges.groupBy("a").agg(F.count("*").alias("_n")).filter(F.col("_n") > hub).select("a", F.lit(True).alias("_hub"))
-    of = lambda *by: F.pmod(F.xxhash64(*by), F.lit(blocks)).cast("int")
-    laid = edges.join(F.broadcast(hubs), "a", "left").withColumn("block", F.when(F.col("_hub"), of("a", "b")).otherwise(of("a"))).drop("_hub")
+    hubs = cut(edges.groupBy("a").agg(F.count("*").alias("_n")).filter(F.col("_n") > hub).select("a", F.lit(True).alias("_hub")))
+    part = F.when(F.col("_hub"), F.pmod(F.xxhash64("a", "b"), F.lit(blocks)).cast("int")).otherwise(F.lit(0))
+    laid = edges.join(F.broadcast(hubs), "a", "left").withColumn("part", part).drop("_hub")
     name = f"tidemark_{path.rsplit('-', 1)[1]}"
-    laid.repartition(blocks, "block").write.bucketBy(blocks, "block").option("path", path).saveAsTable(name)
+    laid.repartition(blocks, "a", "part").write.bucketBy(blocks, "a", "part").option("path", path).saveAsTable(name)
     out = spark.table(name)
     out.laid_name = name
-    return out
+    return out, hubs
 
 
 def cheapest(edges: DataFrame, sources: DataFrame, most: float = float("inf"), goal: int | None = None) -> DataFrame:
     """node, cost, via: least cost over directed edges (a, b, cost) from sources (node, cost), at most `most`.
 
-    Runs until nothing improves, however many edges a path has. Edges are laid out once, in blocks of about BLOCK_EDGES by
-    their start (a hub's edges go to all blocks). In a round each block that got better costs searches all its edges in one
-    task, so paths inside a block take one round; what improved goes on to the blocks where its edges are. Of
-    equal costs the smallest via is kept, a source has none. Costs must not be negative.
+    Runs until nothing improves, however many edges a path has. Up to BLOCK_EDGES edges are searched in one task. Beyond, a round
+    takes each node that got better over its own edges, so there are as many rounds as a cheapest path has edges. Up to
+    FRONT_NODES such nodes are sent to the edges where they lie; for the first front that is larger, edges are laid out by their start, a hub's in
+    parts, and from then on fronts are dealt out to them. Of equal costs the smallest via is kept, a source has none. Costs must not be negative.
 
     With a goal only what may lie on a cheapest path to it is followed: nothing beyond the cost it has so far,
     and if edges have a column ahead, which never exceeds the cost from b to the goal, nothing whose sum with
     that is beyond. Costs of other nodes are then those found on the way, and may be missing.
     """
     with scratch() as held:
-        spark = edges.sparkSession
         more = ["ahead"] if "ahead" in edges.columns else []
         kept = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("cost").cast("double").alias("cost"), *more))
         blocks = max(1, -(-kept.count() // BLOCK_EDGES))
-        laid = _laid_out(kept, blocks, max(1, BLOCK_EDGES // 8))
         first = sources.groupBy(F.col("node").cast("long").alias("node")).agg(F.min(F.col("cost").cast("double")).alias("cost")).filter(F.col("cost") <= most)
-        limit = most
-
-        def search(labels: pa.Table, own: pa.Table) -> pa.Table:
-            get = lambda t, c: t.column(c).to_numpy()
-            if labels.num_rows:
-                node, cost, via = relax(get(own, "a"), get(own, "b"), get(own, "cost"), get(own, "ahead") if more else None, get(labels, "node"), get(labels, "cost"), labels.column("via").fill_null(NONE).to_numpy(), limit, goal)
-                block = np.full(len(node), labels.column("block")[0].as_py(), np.int32)
-            else:
-                node, cost, via, block = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)
-            return pa.table([pa.array(node), pa.array(cost), pa.array(via, mask=via == NONE), pa.array(block)], names=["node", "cost", "via", "block"])
-
-        if blocks == 1:
-            step = first.select("*", F.lit(None).cast("long").alias("via"), F.lit(0).alias("block")).groupBy("block").cogroup(laid.groupBy("block")).applyInArrow(search, _LABEL)
-            return held.keep(cut(step.drop("block")))
-        moved = cut(first.select("node", "cost", F.lit(None).cast("long").alias("via"), F.lit(-1).alias("block")))
-        best, aim = [moved.drop("block")], most
-        homes = cut(laid.select(F.col("a").alias("node"), "block").distinct())
-        while True:
-            limit = aim
-            labels = cut(moved.alias("m").join(homes.alias("h"), "node").filter("h.block <> m.block").select("node", "cost", "via", "h.block"))
-            active = [r[0] for r in labels.select("block").distinct().collect()]
-            if not active:
-                break
-            step = labels.groupBy("block").cogroup(laid.filter(F.col("block").isin(active)).groupBy("block")).applyInArrow(search, _LABEL)
-            step = step.groupBy("node").agg(F.min(F.struct("cost", "via", "block")).alias("s")).select("node", "s.*")
-            old = _least(best).select("node", F.col("cost").alias("_c"), F.col("via").alias("_v"))
-            better = cut(step.join(old, "node", "left").filter("_c is null or cost < _c or (cost = _c and via < _v)").withColumn("_same", F.coalesce(F.col("cost") == F.col("_c"), F.lit(False))))
-            best.append(better.select("node", "cost", "via"))
-            if goal is not None:
-                aim = min(aim, better.filter(F.col("node") == goal).agg(F.coalesce(F.min("cost"), F.lit(float("inf")))).first()[0])
-            moved = better.filter("not _same").select("node", "cost", "via", "block")
-            if len(best) > COMPACT:
-                best = [cut(_least(best))]
-        out = held.keep(cut(_least(best)))
-        spark.sql(f"DROP TABLE {laid.laid_name}")
-        return out
+        return held.keep(_in_one_task(kept, first, most, goal) if blocks == 1 else _by_fronts(kept, first, most, goal, blocks))
+
+
+def _in_one_task(edges: DataFrame, first: DataFrame, most: float, goal: int | None) -> DataFrame:
+    more = "ahead" in edges.columns
+
+    def search(labels: pa.Table, own: pa.Table) -> pa.Table:
+        get = lambda t, c: t.column(c).to_numpy()
+        if labels.num_rows:
+            node, cost, via = relax(get(own, "a"), get(own, "b"), get(own, "cost"), get(own, "ahead") if more else None, get(labels, "node"), get(labels, "cost"), np.full(labels.num_rows, NONE), most, goal)
+        else:
+            node, cost, via = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        return pa.table([pa.array(node), pa.array(cost), pa.array(via, mask=via == NONE)], names=["node", "cost", "via"])
+
+    block = F.lit(0).alias("block")
+    return cut(first.select("*", block).groupBy("block").cogroup(edges.select("*", block).groupBy("block")).applyInArrow(search, _LABEL))
+
+
+def _by_fronts(edges: DataFrame, first: DataFrame, most: float, goal: int | None, blocks: int) -> DataFrame:
+    front = cut(first)
+    best, aim, laid, ahead = [front.select("node", "cost", F.lit(None).cast("long").alias("via"))], most, None, "ahead" if "ahead" in edges.columns else "0"
+    while n := front.count():
+        start = front.select(F.col("node").alias("a"), F.col("cost").alias("_c"))
+        if n <= FRONT_NODES:
+            met = edges.join(F.broadcast(start), "a")
+        else:
+            laid = laid or _laid_out(edges, blocks, max(1, BLOCK_EDGES // 8))
+            parts = F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(blocks - 1))).otherwise(F.array(F.lit(0)))
+            start = start.join(F.broadcast(laid[1]), "a", "left").select("a", "_c", F.explode(parts).alias("part"))
+            met = laid[0].join(start.hint("shuffle_hash"), ["a", "part"])
+        step = met.select(F.col("b").alias("node"), (F.col("_c") + F.col("cost")).alias("cost"), F.col("a").alias("via"), F.expr(f"_c + cost + {ahead}").alias("_sum")).filter(F.col("_sum") <= aim)
+        step = cut(step.groupBy("node").agg(F.min(F.struct("cost", "via")).alias("s")).select("node", "s.*"))
+        # of what was found before, only the nodes met again go through the join
+        again = best if step.count() > FRONT_NODES else [t.join(F.broadcast(step.select("node")), "node", "left_semi") for t in best]
+        old = _least(again).select("node", F.col("cost").alias("_c"), F.col("via").alias("_v"))
+        better = cut(step.join(old, "node", "left").filter("_c is null or cost < _c or (cost = _c and via < _v)").withColumn("_same", F.coalesce(F.col("cost") == F.col("_c"), F.lit(False))))
+        best.append(better.select("node", "cost", "via"))
+        if goal is not None:
+            aim = min(aim, better.filter(F.col("node") == goal).agg(F.coalesce(F.min("cost"), F.lit(float("inf")))).first()[0])
+        front = better.filter("not _same").select("node", "cost")
+        if len(best) > COMPACT:
+            best = [cut(_least(best))]
+    out = cut(_least(best))
+    if laid:
+        edges.sparkSession.sql(f"DROP TABLE {laid[0].laid_name}")
+    return out
 
 
 def hops(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
