@@ -40,7 +40,8 @@ def batch(df: DataFrame, by: str, cols: list[str], step: Step, start: tuple, sch
             names = arrow.names
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)] if out else [pa.array([], f.type) for f in arrow], names)
 
-    own = df.repartition(by).sortWithinPartitions(by, *(F.col(c).asc_nulls_last() for c in order))
+    # a number of its own, as few megabytes of rows may be many seconds of steps: without it the runtime puts small partitions together
+    own = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).sortWithinPartitions(by, *(F.col(c).asc_nulls_last() for c in order))
     return own.select(by, *cols).mapInArrow(run, kinds)
 
 
@@ -251,14 +252,14 @@ def particles(count: int, drift: float, noise: float, unit_us: int) -> Step:
             x = row[2] + np.sqrt(noise) * rng.standard_normal(count)
             w = np.full(count, 1 / count)
         else:
-            x = np.array(state[1]) + np.sqrt(drift * (row[1] - state[0]) / unit_us) * rng.standard_normal(count)
-            v = np.log(np.array(state[2])) - (row[2] - x) ** 2 / (2 * noise)
+            x = np.asarray(state[1]) + np.sqrt(drift * (row[1] - state[0]) / unit_us) * rng.standard_normal(count)
+            v = np.log(np.asarray(state[2])) - (row[2] - x) ** 2 / (2 * noise)
             w = np.exp(v - v.max()) + 1e-300
             w /= w.sum()
             if 1 / (w @ w) < count / 2:
                 at = np.searchsorted(np.cumsum(w), (rng.random() + np.arange(count)) / count)
                 x, w = x[np.minimum(at, count - 1)], np.full(count, 1 / count)
-        return (row[1], x.tolist(), w.tolist()), [(row[0], float(w @ x))]
+        return (row[1], x, w), [(row[0], float(w @ x))]
 
     return step
 
