@@ -24,6 +24,8 @@ PAIRED = 96
 BROADCAST_TAGS = 1_000_000
 #: Fingerprints that show which keys are crowded; a key with so many of them is not paired at all.
 SHOWN, CROWDED = 20_000, 10
+#: Up to so many edges (of 16 bytes) one task contracts to the end: a round over all executors costs the driver some twelve stages with their plans.
+EDGES_AT_ONCE = 1_000_000
 #: Bytes of a row of signatures in a shuffle.
 SIGNATURE_BYTES = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -237,16 +239,41 @@ def links(prints: DataFrame) -> DataFrame:
     return cut(pairs.mapInArrow(_as_nodes, "u long, v long"), "simhash-links")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """u and root for each vertex of edges (u < v): contraction to the least neighbour until no edge is left.
-
-    Vertex numbers must be in the order of chance; then each round leaves at most about half of the vertices.
+def _contracted(batches):
+    """u and m, the least vertex of its component, for each vertex of all edges of the batches: the same contraction in one task."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not got:
+        return
+    a, b = (np.concatenate(x) for x in zip(*got))
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(names))
+    while len(a):
+        low = np.arange(len(names))
+        np.minimum.at(low, a, b)
+        np.minimum.at(low, b, a)
+        while (low != low[low]).any():
+            low = low[low]
+        root, a, b = low[root], low[a], low[b]
+        a, b = a[a != b], b[a != b]
+    for i in range(0, len(names), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 100_000]), pa.array(names[root[i : i + 100_000]])], ["u", "m"])
+
+
+def components(edges: DataFrame, name: str = "components", at_once: int = EDGES_AT_ONCE) -> DataFrame:
+    """u and root, the least vertex of its component, for each vertex of edges (u < v): contraction to the least neighbour until no edge is left.
+
+    Vertex numbers must be in the order of chance; then each round leaves at most about half of the vertices. As soon as at most
+    at_once edges are left, one task goes on with them.
     """
     steps = []
     while not edges.isEmpty():
+        if (n := edges.count()) <= at_once:
+            steps.append(cut(edges.coalesce(1).mapInArrow(_contracted, "u long, m long"), name))
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         step = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")), name)
-        hubs = step.filter(F.col("n") > F.lit(edges.count() / HOT_KEYS))
+        hubs = step.filter(F.col("n") > F.lit(n / HOT_KEYS))
         left, left_hot = (x.select("u", F.col("m").alias("mu")) for x in (step, hubs))
         right, right_hot = (x.select(F.col("u").alias("v"), F.col("m").alias("mv")) for x in (step, hubs))
         moved = join_spread(join_spread(edges, left, "u", left_hot, F.col("v")), right, "v", right_hot, F.col("u")).filter("mu <> mv")
