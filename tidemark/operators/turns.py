@@ -39,16 +39,27 @@ class Roads:
     def __init__(self, roads: list):
         self.of = {r["state"]: r for r in roads}
         self.heading = {s: math.atan2(r["bx"] - r["ax"], r["by_"] - r["ay"]) for s, r in self.of.items()}
+        self._on: dict[int, list[tuple[int, float]]] = {}
+        self._behind: dict[float, dict[int, int]] = {}
 
     def on(self, s: int) -> list[tuple[int, float]]:
         """(road, turn) of each way on from the end of a road, but back."""
-        return [(t, wrapped(self.heading[t] - self.heading[s])) for t in self.of[s]["next"] if t in self.of and t != s ^ 1]
+        if s not in self._on:
+            self._on[s] = [(t, wrapped(self.heading[t] - self.heading[s])) for t in self.of[s]["next"] if t in self.of and t != s ^ 1]
+        return self._on[s]
 
     def straight(self, s: int, o: Beam) -> int | None:
         """The road on that turns least, if that is no turn."""
         ways = sorted((abs(a), t) for t, a in self.on(s) if abs(a) < o.least)
         return ways[0][1] if ways else None
 
+    def behind(self, s: int, o: Beam) -> int | None:
+        """The road that runs into the beginning of one straightest, if that is no turn."""
+        if o.least not in self._behind:
+            ways = sorted((abs(a), r, t) for r in self.of for t, a in self.on(r) if abs(a) < o.least)
+            self._behind[o.least] = {t: r for _, r, t in reversed(ways)}
+        return self._behind[o.least].get(s)
+
 
 def driven(h: tuple, ds: float, o: Beam) -> tuple:
     """A hypothesis (road, offset, scale, and variances of offset, of scale, of both, log weight) after ds metres by the vehicle's own measure."""
@@ -68,9 +79,8 @@ def junctions(h: tuple, roads: Roads, o: Beam) -> list[tuple[float, int]]:
     """(distance from the hypothesis, road that ends there) of the junctions where it may be: behind it, at its road's end and straight on, as far as it is unsure."""
     s, off, _, pss, *_ = h
     far = o.sigmas * math.sqrt(pss) + o.slack
-    # the road behind the beginning of this one that runs into it straightest
-    before = sorted((abs(a), r) for r in roads.of for t, a in roads.on(r) if t == s and abs(a) < o.least)
-    out = [(-off, before[0][1])] if before and off <= far else []
+    before = roads.behind(s, o)
+    out = [(-off, before)] if before is not None and off <= far else []
     at, d = s, roads.of[s]["length"] - off
     while at is not None and d <= far:
         if d >= -far:
@@ -119,13 +129,21 @@ def follow_turns(o: Beam = Beam()) -> Step:
     straight, hypotheses move on by their scale of its metres; a turn over several rows is closed by the first steady one, and branches them
     where the middle of it was. State: roads, hypotheses, heading turned so far and while steady, and the metres of the open turn, half of which lie after its middle.
     """
+    last: list = [None, None]
+
+    def roads_of(held: list) -> Roads:
+        # told by the list itself, as rows that follow each other mostly have the same
+        if last[0] is not held:
+            last[:] = held, Roads(held)
+        return last[1]
+
     def step(state, row):
         held, hyps, psi, steady, opened = state
         n, given, ds, yaw, x, y = row
         if held is None:
             if not given:
                 return state, []
-            held, roads, hyps = given, Roads(given), []
+            held, roads, hyps = given, roads_of(given), []
             for s, r in roads.of.items():
                 way = ((r["bx"] - r["ax"]) / r["length"], (r["by_"] - r["ay"]) / r["length"])
                 off = max(0.0, min(r["length"], (x - r["ax"]) * way[0] + (y - r["ay"]) * way[1]))
@@ -134,7 +152,7 @@ def follow_turns(o: Beam = Beam()) -> Step:
                 hyps.append((s, off, o.scale, o.start_sigma**2, o.scale_sigma**2, 0.0, fit))
             psi = steady = yaw
         else:
-            roads = Roads(held)
+            roads = roads_of(held)
             psi += yaw
             hyps = [driven(h, ds, o) for h in hyps]
             turning = abs(psi - steady) > o.begin
@@ -159,3 +177,20 @@ def follow_turns(o: Beam = Beam()) -> Step:
 
 TURNED = "state long, offset double, x double, y double, scale double, share double, hypotheses int"
 TURNS_START = (None, (), 0.0, 0.0, None)
+
+
+def shared_roads(step: Step, start: tuple = TURNS_START) -> Step:
+    """follow_turns' step for rows (key, n, roads, ...) of many keys: a row without a key, before the others, has the roads around of all of them. Out: the key before what the step says.
+
+    State: the roads, the key, and the step's own.
+    """
+    def walk(state, row):
+        roads, now, inner = state
+        key, n, given, *rest = row
+        if key is None:
+            return (given, None, start), []
+        first = key != now
+        inner, out = step(start if first else inner, (n, roads if first else None, *rest))
+        return (roads, key, inner), [(key, *r) for r in out]
+
+    return walk
