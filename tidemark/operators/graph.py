@@ -250,12 +250,15 @@ def viterbi(df: DataFrame, by: list[str], order: list[str], emission: list[str],
 
 
 def split_ways(ways: DataFrame) -> DataFrame:
-    """way, part, refs: ways (id, refs) split at nodes used twice or more and at their ends."""
+    """way, part, refs: ways (id, refs) split at nodes used twice or more and at their ends.
+
+    Joined by sorting, as there are about as many nodes and ways on either side: none of them passes the driver.
+    """
     v = ways.select("id", F.posexplode("refs").alias("pos", "node"), F.size("refs").alias("size"))
     uses = v.groupBy("node").agg(F.count("*").alias("uses"))
-    v = v.join(uses, "node").withColumn("stop", (F.col("uses") > 1) | (F.col("pos") == 0) | (F.col("pos") == F.col("size") - 1))
+    v = v.join(uses.hint("merge"), "node").withColumn("stop", (F.col("uses") > 1) | (F.col("pos") == 0) | (F.col("pos") == F.col("size") - 1))
     stops = v.filter("stop").groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("stops"))
-    parts = ways.join(stops, "id").select("id", "refs", F.posexplode(F.expr("transform(slice(stops, 1, size(stops) - 1), (a, i) -> struct(a, stops[i + 1] as b))")).alias("part", "p"))
+    parts = ways.join(stops.hint("merge"), "id").select("id", "refs", F.posexplode(F.expr("transform(slice(stops, 1, size(stops) - 1), (a, i) -> struct(a, stops[i + 1] as b))")).alias("part", "p"))
     return parts.select(F.col("id").alias("way"), "part", F.expr("slice(refs, p.a + 1, p.b - p.a + 1)").alias("refs"))
 
 

@@ -32,8 +32,8 @@ def used_nodes(nodes: DataFrame, ways: DataFrame) -> DataFrame:
 
 
 def edge_lengths(parts: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
-    """way, part, a, b, vertices, metres of each part of a way (way, part, refs), over its located nodes in order."""
-    v = parts.select("way", "part", F.posexplode("refs").alias("pos", "id")).join(nodes.select("id", "lat", "lon"), "id")
+    """way, part, a, b, vertices, metres of each part of a way (way, part, refs), over its located nodes in order. Nodes are joined by sorting and do not pass the driver."""
+    v = parts.select("way", "part", F.posexplode("refs").alias("pos", "id")).join(nodes.select("id", "lat", "lon").hint("merge"), "id")
     v = v.groupBy("way", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "lat", "lon"))).alias("v"))
     hop = F.zip_with(F.slice("v", 1, F.size("v") - 1), F.slice("v", 2, F.size("v") - 1), lambda p, q: geo.haversine(p["lat"], p["lon"], q["lat"], q["lon"], radius))
     metres = F.aggregate(hop, F.lit(0.0), lambda s, x: s + x)

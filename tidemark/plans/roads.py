@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import roads as rd
 from tidemark.operators import graph as gr
 from tidemark.operators import roads as ro
+from tidemark.operators import tables
 
 RADIUS = 6_371_008.8
 
@@ -60,8 +61,9 @@ def _tags(exprs: dict[str, str]):
 def ways(spark, sf_dir):
     stop = F.struct("l_linenumber", "l_partkey", "l_suppkey")
     refs = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(stop)), lambda s: s["l_partkey"]).alias("refs"))
-    o = _t(spark, sf_dir, "orders").select("o_orderkey", _tags(WAY_TAGS).alias("tags"))
-    return o.join(refs, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("id"), "refs", "tags")
+    # joined by sorting: files of few bytes may hold many rows, and a broadcast that is chosen by their size has all of them pass the driver
+    o = _t(spark, sf_dir, "orders").join(refs.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return o.select(F.col("o_orderkey").alias("id"), "refs", _tags(WAY_TAGS).alias("tags"))
 
 
 def nodes(spark, sf_dir):
@@ -127,8 +129,9 @@ def m15_edge_seconds(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    parts = gr.split_ways(ro.drivable(ways(spark, sf_dir)).select("id", "refs"))
-    return ro.edge_lengths(parts, nodes(spark, sf_dir), RADIUS)
+    with tables.scratch() as held:
+        parts = gr.split_ways(tables.cut(ro.drivable(ways(spark, sf_dir)).select("id", "refs")))
+        return held.keep(tables.cut(ro.edge_lengths(parts, nodes(spark, sf_dir), RADIUS)))
 
 
 def d44_edge_lengths(spark, sf_dir):
